@@ -7,9 +7,11 @@
   share words in another order don't.  ``SKETCHES`` hash functions give as many sketches.
 * Texts that agree on a sketch share a bucket.  Every member is compared with one member of the bucket, its
   centre, so a bucket of any size costs one comparison per member.  Linked texts form classes.
-* Where a bucket still holds more than one class, all pairs of different classes are compared too, in blocks
-  of at most ``BLOCK`` x ``BLOCK`` members, behind two exact bounds: on length, and on the distance of hashed
-  word counts, which the edit distance can't be less than.  So no link is lost, and no cap drops a pair.
+* Where a bucket still holds more than one class, ``TURNS`` further centres, drawn by hash, are compared with
+  the members of other classes.  That joins what one centre missed at one comparison per member.
+* In buckets that are mixed even then, all pairs of different classes are compared, in blocks of at most
+  ``BLOCK`` x ``BLOCK`` members, behind two exact bounds: on length, and on the distance of hashed word
+  counts, which the edit distance can't be less than.  So no class is left apart, and no cap drops a pair.
 * A candidate is a link if the edit similarity of its words, 1 - distance / longer length, is at least
   ``SIMILARITY``, found by bit-parallel alignment within the band of diagonals that it allows.
 
@@ -35,6 +37,8 @@ SAMPLED = 3
 SKETCHES = 40
 SIMILARITY = 0.8
 BLOCK = 256
+#: Rounds of further centres.
+TURNS = 2
 #: Bins of the hashed word counts.
 BINS = 128
 #: Word hashes remembered by a task; a full memory is emptied.
@@ -324,6 +328,17 @@ def _cross_pairs(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
+def _turned(buckets: DataFrame, classes: DataFrame, done: DataFrame, turn: int) -> DataFrame:
+    """(a, b): members of mixed buckets with a centre of another class, which a hash of id and turn draws."""
+    labelled = buckets.join(classes, buckets.rep == classes.id, "left").select("band", "sketch", "rep", F.coalesce("class_id", "rep").alias("class_id"))
+    drawn = labelled.withColumn("draw", F.xxhash64("rep", "band", F.lit(turn)))
+    mixed = drawn.groupBy("band", "sketch").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.min("draw").alias("least")).where("lo < hi")
+    members = drawn.join(mixed.select("band", "sketch", "least"), ["band", "sketch"])
+    centres = members.where("draw = least").select("band", "sketch", F.col("rep").alias("centre"), F.col("class_id").alias("centre_class"))
+    pairs = members.join(centres, ["band", "sketch"]).where("class_id <> centre_class")
+    return pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+
+
 def _mixed_buckets(buckets: DataFrame, signed: DataFrame, classes: DataFrame, done: DataFrame) -> DataFrame:
     """(a, b): pairs of different classes that share a bucket and weren't compared yet."""
     labelled = buckets.join(classes, buckets.rep == classes.id, "left").select("band", "sketch", "rep", F.coalesce("class_id", "rep").alias("class_id"))
@@ -339,10 +354,9 @@ def _mixed_buckets(buckets: DataFrame, signed: DataFrame, classes: DataFrame, do
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (the smallest id of its class), n_links, kept.
+    """One row per row of ``docs``: doc_id, class_id (the smallest id of its class), kept.
 
-    n_links counts the verified links of the row's text to other texts of its class.  Texts without words
-    (null, empty, blank) and rows without an id are never near another text: each is its own class.  Texts
+    Texts without words (null, empty, blank) and rows without an id are never near another text: each is its own class.  Texts
     of fewer than five words are one k-mer and only equal to copies.  Repeated rows share their class, and
     all rows with the class's id are marked kept.  Ids of the smallest value stand for copies.
     """
@@ -356,21 +370,25 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     signed_reps = signed.select("doc_id", "n_words", "counts").join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     signed_reps = saved(signed_reps, "omh-counts")
 
-    star = saved(buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "omh-star")
-    links = saved(verified(star, texts), "omh-verified")
-    rest = saved(_mixed_buckets(buckets.select("band", "sketch", "rep"), signed_reps, components(links), star), "omh-rest")
-    if not rest.isEmpty():
-        links = saved(links.unionByName(verified(rest, texts)), "omh-verified")
-    classes = saved(components(links), "omh-final")
-    degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-
-    of_rep = reps.join(classes, reps.rep == classes.id, "left").join(degrees.withColumnRenamed("id", "d"), F.col("rep") == F.col("d"), "left")
-    of_rep = of_rep.select("text_hash", "n_words", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    of_doc = signed.select("doc_id", "text_hash", "n_words").join(of_rep, ["text_hash", "n_words"]).select("doc_id", "class_id", "n_links").dropDuplicates(["doc_id"])
-    known = of_doc.select(F.col("doc_id").alias("known"), "class_id", "n_links")
-    everyone = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id")).join(known, F.col("doc_id") == F.col("known"), "left")
-    class_id = F.coalesce("class_id", "doc_id")
-    return everyone.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.expr("doc_id <=> coalesce(class_id, doc_id)").alias("kept"))
+    done = saved(buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "omh-star")
+    links = saved(verified(done, texts), "omh-verified")
+    buckets, classes = buckets.select("band", "sketch", "rep"), components(links)
+    for turn in range(TURNS + 1):
+        rest = _turned(buckets, classes, done, turn) if turn < TURNS else _mixed_buckets(buckets, signed_reps, classes, done)
+        rest = saved(rest, "omh-rest")
+        if rest.isEmpty():
+            continue
+        found = saved(verified(rest, texts), "omh-verified")
+        done = saved(done.unionByName(rest), "omh-done")
+        if not found.isEmpty():
+            # Classes stand for the links they come from.
+            links = found.select("a", "b").unionByName(classes.where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b")))
+            classes = components(links)
+
+    of_rep = reps.join(classes, reps.rep == classes.id, "left").select("text_hash", "n_words", F.coalesce("class_id", "rep").alias("class_id"))
+    of_doc = signed.select("doc_id", "text_hash", "n_words").join(of_rep, ["text_hash", "n_words"]).groupBy(F.col("doc_id").alias("known")).agg(F.min("class_id").alias("class_id"))
+    everyone = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id")).join(of_doc, F.col("doc_id") == F.col("known"), "left")
+    return everyone.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.expr("doc_id <=> coalesce(class_id, doc_id)").alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
