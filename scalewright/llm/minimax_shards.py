@@ -68,6 +68,8 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
 def cut_keys(rows: DataFrame, shards: int) -> list[int]:
     """Largest keys of all shards but the last, for a table (key, size)."""
     ranges = sorted(_sums(rows, 1, []), key=lambda r: r.prefix << r.shift)
+    if not ranges:
+        return []
     for level in range(2, -(-KEY_BITS // LEVEL_BITS) + 1):
         sizes = [r.size for r in ranges]
         high = smallest_capacity(sizes, shards)
