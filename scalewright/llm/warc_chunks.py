@@ -4,7 +4,8 @@ A payload becomes rows (record, chunk number, bytes) of at most ``CHUNK`` bytes,
 Python tasks see one chunk at a time: they carry a running SHA-256 per record and emit each chunk as a
 WARC record of its own, the first as ``response`` and later ones as ``continuation`` segments, the form
 that the standard has for long records.  Spark's text writer puts the records into files; its line
-separator is the blank line pair that ends a WARC record.  Files are rolled after ``FILE_RECORDS``.
+separator is the blank line pair that ends a WARC record.  Files are gzipped and rolled after
+``FILE_RECORDS``, so that one is at most FILE_RECORDS x CHUNK bytes when it is read.
 
 Reading parses one archive at a time.  Records in one segment are digested there; segments of longer ones
 travel as chunk rows, are sorted by record and number, and digested as a stream.
@@ -12,6 +13,7 @@ travel as chunk rows, are sorted by record and number, and digested as a stream.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -126,7 +128,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     cut = chunk_table(rows, chunk).drop("payload_bytes").withColumnRenamed("full_bytes", "payload_bytes")
     records = cut.mapInArrow(_segments, "record binary")
     # The cast keeps the bytes as they are; the text writer copies them.
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse_archive(content: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -156,7 +158,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             rows = []
-            for fields, block in parse_archive(memoryview(content.as_py())):
+            for fields, block in parse_archive(memoryview(gzip.decompress(content.as_py()))):
                 kind = fields["WARC-Type"]
                 if kind == "revisit":
                     rows.append((_id_of(fields["WARC-Record-ID"]), int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].split(":")[1], kind, _id_of(fields["WARC-Refers-To"]), None, None, None))
