@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .store import new_path, saved
 
 #: Ids in a block, and blocks that are coded side by side.
-BLOCK, LANES = 2048, 1024
+BLOCK, LANES = 2048, 512
 END_ID = 2
 #: The split before the merges of the byte-level vocabulary, as its file's ByteLevel pre-tokenizer defines it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
