@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import counts as C
+from ..operators import mixtures as M
 from ..sources.responses import from_orders, packed
 
 ITEMS = 8
+#: EM runs of a registered fit; all share their passes, and the slowest one sets the number of passes.
+STARTS = 3
 #: Two fixed classes for the scoring queries.
 WEIGHTS = [0.4, 0.6]
 PROBS = [[round(0.9 - 0.1 * j, 2) for j in range(ITEMS)], [round(0.97 - 0.06 * j, 2) for j in range(ITEMS)]]
@@ -197,8 +200,46 @@ def _pairs() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
     }
 
 
+def _fitted(answers: Callable, model: str, **options) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that fits a model and returns its class table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f, _ = M.fit_responses(packed(answers(spark, sf_dir), ITEMS), model, n_starts=STARTS, **options)
+        return rounded(M.class_table(spark, f), "weight", "p")
+
+    return run
+
+
+def _with_rasch(answers: Callable, then: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    """A query on what a Rasch or partial-credit fit gives: ``then(spark, responses, packed, patterns, fit)``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        r = answers(spark, sf_dir)
+        p = packed(r, ITEMS)
+        f, patterns = M.fit_responses(p, "RM")
+        return then(spark, r, p, patterns, f)
+
+    return run
+
+
+def _fits() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Iterative fits, which SQL can't express; tests recover known parameters and compare with brute force."""
+    b, g = binary, graded
+    out = {f"fit_{m.lower()}": _fitted(b, m) for m in ("UN", "MON", "IIO", "DM", "LCR")}
+    out |= {"fit_lca_poly": _fitted(g, "UN"), "fit_lcr_poly": _fitted(g, "LCR")}
+    return out | {
+        "fit_rm": _with_rasch(b, lambda s, r, p, t, f: rounded(M.step_rows(s, f), "delta")),
+        "fit_rm_poly": _with_rasch(g, lambda s, r, p, t, f: rounded(M.step_rows(s, f), "delta")),
+        "rm_scores": _with_rasch(b, lambda s, r, p, t, f: rounded(M.person_scores(p, f), "eap", "sd", "modal")),
+        "rm_itemfit": _with_rasch(b, lambda s, r, p, t, f: rounded(C.item_fit(M.rasch_residuals(r, M.person_scores(p, f), f), "item_id"), "outfit", "infit")),
+        "rm_personfit": _with_rasch(b, lambda s, r, p, t, f: rounded(C.item_fit(M.rasch_residuals(r, M.person_scores(p, f), f), "person_id"), "outfit", "infit")),
+        "rm_item_info": _with_rasch(b, lambda s, r, p, t, f: rounded(M.item_information(s, f), "information")),
+        "fit_measures": _with_rasch(b, lambda s, r, p, t, f: rounded(M.fit_measures(t, f), "loglik", "aic", "bic", "g2", "x2")),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for name, (query, _) in _pairs().items()}
+    return {name: query for name, (query, _) in _pairs().items()} | _fits()
 
 
 def oracle_sql() -> dict[str, str]:
