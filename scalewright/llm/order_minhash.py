@@ -10,8 +10,8 @@
 * Where a bucket still holds more than one class, ``TURNS`` further centres, drawn by hash, are compared with
   the members of other classes.  That joins what one centre missed at one comparison per member.
 * In buckets that are mixed even then, all pairs of different classes are compared, in blocks of at most
-  ``BLOCK`` x ``BLOCK`` members, behind two exact bounds: on length, and on the distance of hashed word
-  counts, which the edit distance can't be less than.  So no class is left apart, and no cap drops a pair.
+  ``BLOCK`` x ``BLOCK`` members, behind two exact bounds: on length, and on the difference of hashed
+  word counts in twice as many bins as words, which the edit distance can't be less than.  So no class is left apart, and no cap drops a pair.
 * A candidate is a link if the edit similarity of its words, 1 - distance / longer length, is at least
   ``SIMILARITY``, found by bit-parallel alignment within the band of diagonals that it allows.
 
@@ -39,8 +39,8 @@ SIMILARITY = 0.8
 BLOCK = 256
 #: Rounds of further centres.
 TURNS = 2
-#: Bins of the hashed word counts.
-BINS = 128
+#: Least and most bins of the hashed word counts; between them a text has two a word, rounded up to a power of two.
+BINS, MOST_BINS = 512, 1 << 16
 #: Word hashes remembered by a task; a full memory is emptied.
 REMEMBERED = 1 << 19
 
@@ -102,8 +102,24 @@ def sketches(kmers: np.ndarray, sampled: int = SAMPLED) -> np.ndarray:
 
 
 def word_counts(words: np.ndarray) -> np.ndarray:
-    """Counts of hashed words, at most 255 a bin (which keeps differences a lower bound)."""
-    return np.minimum(np.bincount((words >> np.uint64(57)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+    """Counts of hashed words, at most 255 a bin (which keeps differences a lower bound).
+
+    Bins follow the length, since a fixed number of them fills up in long texts and then tells nothing.
+    """
+    bits = min(max(BINS, 2 * len(words)) - 1, MOST_BINS - 1).bit_length()
+    return np.minimum(np.bincount((words >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def folded(counts: np.ndarray, bins: int) -> np.ndarray:
+    """Rows of counts in fewer bins; sums of bins keep differences a lower bound."""
+    return counts.reshape(len(counts), bins, -1).sum(2, dtype=np.int16)
+
+
+def least_distances(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Lower bounds of the edit distances of one text and others, from rows of counts (1 row, many rows)."""
+    bins = min(one.shape[1], others.shape[1])
+    more = folded(others, bins) - folded(one, bins)
+    return np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
@@ -308,7 +324,9 @@ def _cross_pairs(group: pd.DataFrame) -> pd.DataFrame:
         other, own = one, True
     else:
         own = False
-    counts = [np.frombuffer(b"".join(g.counts), np.uint8).reshape(len(g), BINS).astype(np.int16) for g in (one, other)]
+    fine = [[np.frombuffer(c, np.uint8)[None, :] for c in g.counts] for g in (one, other)]
+    coarse = np.concatenate([folded(c, BINS) for c in fine[1]])
+    wide = np.array([c.shape[1] for c in fine[1]])
     n = [g.n_words.to_numpy() for g in (one, other)]
     ids = [g.rep.to_numpy() for g in (one, other)]
     classes = [g.class_id.to_numpy() for g in (one, other)]
@@ -320,9 +338,12 @@ def _cross_pairs(group: pd.DataFrame) -> pd.DataFrame:
             fits[: i + 1] = False
         at = np.flatnonzero(fits)
         if len(at):
-            more = counts[1][at] - counts[0][i]
-            least = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
-            at = at[least <= most[at]]
+            at = at[least_distances(folded(fine[0][i], BINS), coarse[at]) <= most[at]]
+            close = np.zeros(len(at), bool)
+            for bins in np.unique(wide[at]):
+                same = np.flatnonzero(wide[at] == bins)
+                close[same] = least_distances(fine[0][i], np.concatenate([fine[1][k] for k in at[same]])) <= most[at[same]]
+            at = at[close]
             a += [min(ids[0][i], x) for x in ids[1][at]]
             b += [max(ids[0][i], x) for x in ids[1][at]]
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
@@ -349,7 +370,10 @@ def _mixed_buckets(buckets: DataFrame, signed: DataFrame, classes: DataFrame, do
     members = members.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
     members = members.select("band", "sketch", F.least("block", "with").alias("lower"), F.greatest("block", "with").alias("upper"), (F.col("block") > F.col("with")).cast("int").alias("side"), F.col("rep"), "class_id")
     members = members.join(signed.select(F.col("doc_id").alias("rep"), "n_words", "counts"), "rep")
-    pairs = members.groupBy("band", "sketch", "lower", "upper").applyInPandas(_cross_pairs, "a long, b long").distinct()
+    # Few bytes but much work: a fixed number of partitions, which AQE doesn't merge into one task.
+    keys = ["band", "sketch", "lower", "upper"]
+    members = members.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    pairs = members.groupBy(*keys).applyInPandas(_cross_pairs, "a long, b long").distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
 
 

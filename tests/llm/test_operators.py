@@ -303,3 +303,19 @@ def test_source_mix(spark):
     mix = source_mix.mixture(docs)
     assert mix.columns == docs.columns and mix.count() == sum(r["copies"] for r in rows)
     assert source_mix.mixed(docs.where("false")).collect() == []
+
+
+def test_word_count_bound_never_exceeds_the_edit_distance():
+    rng = np.random.default_rng(1)
+    vocabulary = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    for _ in range(100):
+        a = vocabulary[rng.integers(0, 400, int(rng.integers(1, 900)))]
+        b = a.tolist()
+        for _ in range(int(rng.integers(0, 30))):
+            k = int(rng.integers(0, len(b) + 1))
+            b[k : k + int(rng.integers(0, 2))] = vocabulary[rng.integers(0, 400, int(rng.integers(0, 2)))].tolist()
+        b = np.array(b or [1], np.uint64)
+        distance = order_minhash.edit_distance(a.tolist(), b.tolist(), 2000)
+        counts = [order_minhash.word_counts(x)[None, :] for x in (a, b)]
+        assert order_minhash.least_distances(*counts)[0] <= distance
+        assert order_minhash.least_distances(*(order_minhash.folded(c, order_minhash.BINS) for c in counts))[0] <= distance
