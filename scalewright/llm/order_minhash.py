@@ -101,18 +101,28 @@ def sketches(kmers: np.ndarray, sampled: int = SAMPLED) -> np.ndarray:
     return out
 
 
+def bin_bits(n_words: int) -> int:
+    return min(max(BINS, 2 * n_words) - 1, MOST_BINS - 1).bit_length()
+
+
 def word_counts(words: np.ndarray) -> np.ndarray:
-    """Counts of hashed words, at most 255 a bin (which keeps differences a lower bound).
+    """Counts of hashed words in the smallest type that holds them; cut counts would be no bound once folded.
 
     Bins follow the length, since a fixed number of them fills up in long texts and then tells nothing.
     """
-    bits = min(max(BINS, 2 * len(words)) - 1, MOST_BINS - 1).bit_length()
-    return np.minimum(np.bincount((words >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+    bits = bin_bits(len(words))
+    counts = np.bincount((words >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.min_scalar_type(int(counts.max())))
+
+
+def stored_counts(raw: bytes, n_words: int) -> np.ndarray:
+    """The counts of a text of ``n_words`` from their bytes, one row."""
+    return np.frombuffer(raw, f"u{len(raw) >> bin_bits(n_words)}")[None, :]
 
 
 def folded(counts: np.ndarray, bins: int) -> np.ndarray:
     """Rows of counts in fewer bins; sums of bins keep differences a lower bound."""
-    return counts.reshape(len(counts), bins, -1).sum(2, dtype=np.int16)
+    return counts.reshape(len(counts), bins, -1).sum(2, dtype=np.int32)
 
 
 def least_distances(one: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -324,7 +334,7 @@ def _cross_pairs(group: pd.DataFrame) -> pd.DataFrame:
         other, own = one, True
     else:
         own = False
-    fine = [[np.frombuffer(c, np.uint8)[None, :] for c in g.counts] for g in (one, other)]
+    fine = [[stored_counts(c, n) for c, n in zip(g.counts, g.n_words)] for g in (one, other)]
     coarse = np.concatenate([folded(c, BINS) for c in fine[1]])
     wide = np.array([c.shape[1] for c in fine[1]])
     n = [g.n_words.to_numpy() for g in (one, other)]

@@ -6,6 +6,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -319,3 +320,14 @@ def test_word_count_bound_never_exceeds_the_edit_distance():
         counts = [order_minhash.word_counts(x)[None, :] for x in (a, b)]
         assert order_minhash.least_distances(*counts)[0] <= distance
         assert order_minhash.least_distances(*(order_minhash.folded(c, order_minhash.BINS) for c in counts))[0] <= distance
+
+
+def test_word_count_bound_holds_for_frequent_words_in_bins_of_two_widths():
+    a, b = np.uint64(1 << 54), np.uint64(1 << 54 | 1 << 53)  # one bin of 1,024, two of 2,048
+    one, other = (np.repeat(np.array([a, b]), n) for n in ((300, 200), (300, 220)))
+    counts = [order_minhash.word_counts(x)[None, :] for x in (one, other)]
+    assert [c.shape[1] for c in counts] == [1024, 2048]
+    assert order_minhash.least_distances(*counts)[0] == 20 == order_minhash.edit_distance(one.tolist(), other.tolist(), 104)
+    rows = [(i, len(x), order_minhash.word_counts(x).tobytes(), i, 0) for i, x in enumerate((one, other))]
+    pairs = order_minhash._cross_pairs(pd.DataFrame(rows, columns=["rep", "n_words", "counts", "class_id", "side"]))
+    assert pairs.to_numpy().tolist() == [[0, 1]]
