@@ -5,6 +5,10 @@
 * A sketch samples the ``SAMPLED`` labelled k-mers that are smallest under one hash function and keeps them
   in text order.  Texts of high edit similarity agree on a sketch with high probability; texts that only
   share words in another order don't.  ``SKETCHES`` hash functions give as many sketches.
+* Texts of up to ``SHORT`` words have few k-mers and get sketches of ``SAMPLED_SHORT`` k-mers.  Texts of up to
+  ``DELETED`` words get no sketches for each other but the hashes of all that deleting as many words as the
+  similarity allows can leave: two texts within that distance always have one in common.  Texts near a limit get
+  what both sides get, so no pair of the two sides is lost.
 * Texts that agree on a sketch share a bucket.  Every member is compared with one member of the bucket, its
   centre, so a bucket of any size costs one comparison per member.  Linked texts form classes.
 * Where a bucket still holds more than one class, ``TURNS`` further centres, drawn by hash, are compared with
@@ -32,9 +36,11 @@ from pyspark.sql import functions as F
 from .quotient_dedup import rows_kept
 from .store import saved
 
-K = 5
-SAMPLED = 3
-SKETCHES = 40
+K = 2
+SAMPLED, SAMPLED_SHORT = 3, 2
+SKETCHES = 48
+#: Words of the longest text with sketches of fewer k-mers, and of the longest whose deletions are listed.
+SHORT, DELETED = 64, 14
 SIMILARITY = 0.8
 BLOCK = 256
 #: Rounds of further centres.
@@ -65,8 +71,16 @@ class WordHashes(dict):
         return h
 
 
+def allowed(n: int) -> int:
+    """Most edits of a pair whose longer text has ``n`` words."""
+    return int(n * (1 - SIMILARITY) + 1e-9)
+
+
 def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
-    """Hashes of the k-mers of a text, in order, each with its occurrence; a text of fewer words is one k-mer."""
+    """Hashes of the k-mers of a text, in order, each with its occurrence; a text of fewer words is one k-mer.
+
+    A first occurrence has the plain hash, whether or not the text repeats another k-mer.
+    """
     n = max(1, len(words) - k + 1)
     h = np.zeros(n, dtype=np.uint64)
     for j in range(min(k, len(words))):
@@ -79,7 +93,7 @@ def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     first = np.maximum.accumulate(np.where(start, np.arange(n), 0))
     label = np.empty(n, dtype=np.uint64)
     label[order] = (np.arange(n) - first).astype(np.uint64)
-    return _mix(h + label * _M)
+    return np.where(label > 0, _mix(h + label * _M), h)
 
 
 def sketches(kmers: np.ndarray, sampled: int = SAMPLED) -> np.ndarray:
@@ -101,6 +115,27 @@ def sketches(kmers: np.ndarray, sampled: int = SAMPLED) -> np.ndarray:
     return out
 
 
+def deletions(words: np.ndarray) -> list[int]:
+    """Hashes of what is left after deleting at most ``allowed`` words, each once."""
+    left = found = {tuple(words.tolist())}
+    for _ in range(allowed(len(words))):
+        left = {x[:i] + x[i + 1 :] for x in left for i in range(len(x))}
+        found = found | left
+    return [xxhash.xxh3_64_intdigest(np.array(x, np.uint64).tobytes()) for x in found]
+
+
+def keys(words: np.ndarray) -> np.ndarray:
+    """All buckets of a text.  The shorter text of a pair with more than n words has n + 1 - allowed(n + 1) at least."""
+    n, out = len(words), []
+    if 4 <= n <= DELETED:
+        out.append(np.array(deletions(words), np.uint64))
+    kmers = labelled_kmers(words)
+    for sampled, least, most in ((SAMPLED_SHORT, DELETED, SHORT), (SAMPLED, SHORT, n)):
+        if least + 1 - allowed(least + 1) <= n <= most:
+            out.append(sketches(kmers, sampled))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
 def bin_bits(n_words: int) -> int:
     return min(max(BINS, 2 * n_words) - 1, MOST_BINS - 1).bit_length()
 
@@ -279,7 +314,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[0].append(doc_id)
             out[1].append(xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63))
             out[2].append(len(words))
-            out[3].append(sketches(labelled_kmers(hashes)).view(np.int64))
+            out[3].append(keys(hashes).view(np.int64))
             out[4].append(word_counts(hashes).tobytes())
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "text_hash", "n_words", "sketches", "counts"])
@@ -328,7 +363,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different classes in two blocks of a bucket that both bounds leave possible."""
+    """Pairs of different classes in two blocks of a bucket that both bounds leave possible.
+
+    A pair that shares several buckets is named by the one of the least sketch.
+    """
     one, other = group[group.side == 0], group[group.side == 1]
     if len(other) == 0:
         other, own = one, True
@@ -340,6 +378,7 @@ def _cross_pairs(group: pd.DataFrame) -> pd.DataFrame:
     n = [g.n_words.to_numpy() for g in (one, other)]
     ids = [g.rep.to_numpy() for g in (one, other)]
     classes = [g.class_id.to_numpy() for g in (one, other)]
+    sketched = [g.sketches.to_numpy() for g in (one, other)]
     a, b = [], []
     for i in range(len(one)):
         most = np.floor(np.maximum(n[0][i], n[1]) * (1 - SIMILARITY) + 1e-9)
@@ -354,6 +393,7 @@ def _cross_pairs(group: pd.DataFrame) -> pd.DataFrame:
                 same = np.flatnonzero(wide[at] == bins)
                 close[same] = least_distances(fine[0][i], np.concatenate([fine[1][k] for k in at[same]])) <= most[at[same]]
             at = at[close]
+            at = at[[np.intersect1d(sketched[0][i], sketched[1][k], assume_unique=True)[0] == group.sketch.iloc[0] for k in at]] if len(at) else at
             a += [min(ids[0][i], x) for x in ids[1][at]]
             b += [max(ids[0][i], x) for x in ids[1][at]]
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
@@ -361,27 +401,27 @@ def _cross_pairs(group: pd.DataFrame) -> pd.DataFrame:
 
 def _turned(buckets: DataFrame, classes: DataFrame, done: DataFrame, turn: int) -> DataFrame:
     """(a, b): members of mixed buckets with a centre of another class, which a hash of id and turn draws."""
-    labelled = buckets.join(classes, buckets.rep == classes.id, "left").select("band", "sketch", "rep", F.coalesce("class_id", "rep").alias("class_id"))
-    drawn = labelled.withColumn("draw", F.xxhash64("rep", "band", F.lit(turn)))
-    mixed = drawn.groupBy("band", "sketch").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.min("draw").alias("least")).where("lo < hi")
-    members = drawn.join(mixed.select("band", "sketch", "least"), ["band", "sketch"])
-    centres = members.where("draw = least").select("band", "sketch", F.col("rep").alias("centre"), F.col("class_id").alias("centre_class"))
-    pairs = members.join(centres, ["band", "sketch"]).where("class_id <> centre_class")
+    labelled = buckets.join(classes, buckets.rep == classes.id, "left").select("sketch", "rep", F.coalesce("class_id", "rep").alias("class_id"))
+    drawn = labelled.withColumn("draw", F.xxhash64("rep", "sketch", F.lit(turn)))
+    mixed = drawn.groupBy("sketch").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.min("draw").alias("least")).where("lo < hi")
+    members = drawn.join(mixed.select("sketch", "least"), ["sketch"])
+    centres = members.where("draw = least").select("sketch", F.col("rep").alias("centre"), F.col("class_id").alias("centre_class"))
+    pairs = members.join(centres, ["sketch"]).where("class_id <> centre_class")
     return pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
 
 
 def _mixed_buckets(buckets: DataFrame, signed: DataFrame, classes: DataFrame, done: DataFrame) -> DataFrame:
     """(a, b): pairs of different classes that share a bucket and weren't compared yet."""
-    labelled = buckets.join(classes, buckets.rep == classes.id, "left").select("band", "sketch", "rep", F.coalesce("class_id", "rep").alias("class_id"))
-    mixed = labelled.groupBy("band", "sketch").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("band", "sketch", "n")
-    members = labelled.join(mixed, ["band", "sketch"])
+    labelled = buckets.join(classes, buckets.rep == classes.id, "left").select("sketch", "rep", F.coalesce("class_id", "rep").alias("class_id"))
+    mixed = labelled.groupBy("sketch").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("sketch", "n")
+    members = labelled.join(mixed, ["sketch"])
     # A member of a bucket of many blocks goes to the groups (own block, other block), on the side of the lower block or the upper.
     members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     members = members.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-    members = members.select("band", "sketch", F.least("block", "with").alias("lower"), F.greatest("block", "with").alias("upper"), (F.col("block") > F.col("with")).cast("int").alias("side"), F.col("rep"), "class_id")
-    members = members.join(signed.select(F.col("doc_id").alias("rep"), "n_words", "counts"), "rep")
+    members = members.select("sketch", F.least("block", "with").alias("lower"), F.greatest("block", "with").alias("upper"), (F.col("block") > F.col("with")).cast("int").alias("side"), F.col("rep"), "class_id")
+    members = members.join(signed.select(F.col("doc_id").alias("rep"), "n_words", "counts", "sketches"), "rep")
     # Few bytes but much work: a fixed number of partitions, which AQE doesn't merge into one task.
-    keys = ["band", "sketch", "lower", "upper"]
+    keys = ["sketch", "lower", "upper"]
     members = members.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     pairs = members.groupBy(*keys).applyInPandas(_cross_pairs, "a long, b long").distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
@@ -391,7 +431,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """One row per row of ``docs``: doc_id, class_id (the smallest id of its class), kept.
 
     Texts without words (null, empty, blank) and rows without an id are never near another text: each is its own class.  Texts
-    of fewer than five words are one k-mer and only equal to copies.  Repeated rows share their class, and
+    of fewer than four words are only equal to copies, since one edit leaves a similarity below 0.8.  Repeated rows share their class, and
     all rows with the class's id are marked kept.  Ids of the smallest value stand for copies.
     """
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null")
@@ -399,14 +439,14 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # Copies: equal sequences of words, by hash and length.
     reps = saved(signed.groupBy("text_hash", "n_words").agg(F.min("doc_id").alias("rep")), "omh-reps")
     chosen = signed.join(reps.select(F.col("rep").alias("doc_id"), "text_hash"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id"])
-    rows = chosen.where(F.col("n_words") >= K).select(F.col("doc_id").alias("rep"), F.posexplode("sketches").alias("band", "sketch"))
-    buckets = saved(rows.join(rows.groupBy("band", "sketch").agg(F.min("rep").alias("centre"), F.max("rep").alias("most")).where("centre < most"), ["band", "sketch"]).select("band", "sketch", "rep", "centre"), "omh-buckets")
-    signed_reps = signed.select("doc_id", "n_words", "counts").join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = chosen.select(F.col("doc_id").alias("rep"), F.explode("sketches").alias("sketch"))
+    buckets = saved(rows.join(rows.groupBy("sketch").agg(F.min("rep").alias("centre"), F.max("rep").alias("most")).where("centre < most"), ["sketch"]).select("sketch", "rep", "centre"), "omh-buckets")
+    signed_reps = signed.select("doc_id", "n_words", "counts", "sketches").join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     signed_reps = saved(signed_reps, "omh-counts")
 
     done = saved(buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "omh-star")
     links = saved(verified(done, texts), "omh-verified")
-    buckets, classes = buckets.select("band", "sketch", "rep"), components(links)
+    buckets, classes = buckets.select("sketch", "rep"), components(links)
     for turn in range(TURNS + 1):
         rest = _turned(buckets, classes, done, turn) if turn < TURNS else _mixed_buckets(buckets, signed_reps, classes, done)
         rest = saved(rest, "omh-rest")

@@ -108,6 +108,53 @@ def test_near_groups(spark):
     assert order_minhash.near_groups(docs.where("false")).collect() == []
 
 
+def brute_classes(texts):
+    """Smallest index that links of similarity 0.8 lead to."""
+    words = [t.split() for t in texts]
+    label = list(range(len(words)))
+    for i, x in enumerate(words):
+        for j in range(i):
+            if label[i] != label[j] and 5 * levenshtein(x, words[j]) <= max(len(x), len(words[j])):
+                label = [min(label[i], label[j]) if c in (label[i], label[j]) else c for c in label]
+    return label
+
+
+def test_near_groups_of_short_texts(spark):
+    rng = random.Random(5)
+    texts = ["a b c d e f g", "a b c x e f g", "h i j k", "h i j k l", "m n o", "m n o p"]
+    for n in range(4, 15):
+        for _ in range(4):
+            words = [rng.choice(WORDS) for _ in range(n)]
+            for edits in (0, 1, 2):
+                other = list(words)
+                for at in rng.sample(range(n), edits):
+                    other[at] = rng.choice(["", "new", "new new"])
+                texts.append(" ".join(" ".join(other).split()))
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_groups(table(spark, texts)).collect()}
+    assert got[1] == 0 and got[3] == 2 and got[5] == 5
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_near_pairs_with_scattered_changes_share_a_bucket():
+    rng = np.random.default_rng(4)
+    for n, pairs in ((15, 60), (20, 60), (40, 60), (64, 60), (66, 60), (200, 60), (500, 20)):
+        for similarity, recall in ((0.8, 0.9), (0.85, 0.95), (0.9, 1), (0.95, 1)):
+            found = 0
+            for _ in range(pairs):
+                a = rng.integers(0, 2**63, n).astype(np.uint64)
+                b = a.copy()
+                at = rng.choice(n, int(n * (1 - similarity) + 1e-9), replace=False)
+                b[at] = rng.integers(0, 2**63, len(at)).astype(np.uint64)
+                found += len(np.intersect1d(order_minhash.keys(a), order_minhash.keys(b))) > 0
+            assert found >= recall * pairs, (n, similarity, found)
+
+
+def test_a_repeated_kmer_does_not_change_the_others():
+    words = np.arange(1, 81, dtype=np.uint64)
+    again = np.concatenate((words[:78], words[:2]))
+    assert len(np.intersect1d(order_minhash.labelled_kmers(words), order_minhash.labelled_kmers(again))) >= 70
+
+
 def test_bpe_round_trip(spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = byte_bpe.load_ranks(path)
@@ -328,6 +375,6 @@ def test_word_count_bound_holds_for_frequent_words_in_bins_of_two_widths():
     counts = [order_minhash.word_counts(x)[None, :] for x in (one, other)]
     assert [c.shape[1] for c in counts] == [1024, 2048]
     assert order_minhash.least_distances(*counts)[0] == 20 == order_minhash.edit_distance(one.tolist(), other.tolist(), 104)
-    rows = [(i, len(x), order_minhash.word_counts(x).tobytes(), i, 0) for i, x in enumerate((one, other))]
-    pairs = order_minhash._cross_pairs(pd.DataFrame(rows, columns=["rep", "n_words", "counts", "class_id", "side"]))
+    rows = [(i, len(x), order_minhash.word_counts(x).tobytes(), i, 0, 5, np.array([5, 7 + i])) for i, x in enumerate((one, other))]
+    pairs = order_minhash._cross_pairs(pd.DataFrame(rows, columns=["rep", "n_words", "counts", "class_id", "side", "sketch", "sketches"]))
     assert pairs.to_numpy().tolist() == [[0, 1]]
