@@ -108,11 +108,12 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     routed = texts.join(suspects.withColumnRenamed("doc_id", "suspect"), F.expr("doc_id <=> suspect"), "left_semi")
     # The larger text wins, then the smaller id: one number, so that the aggregate can hash and update in place.
+    # Rows without an id are counted, but neither maximum sees them; a group of only such rows has the null id.
     step = F.lit(str(2 * 10**19)).cast("decimal(38,0)")
     classes = (
         routed.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_cp"), without_spaces(F.col("text")).alias("norm"))
         .groupBy("norm")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.max("n_cp").alias("n_cp"), F.max(F.col("n_cp") * step - F.col("doc_id")).alias("rank"))
+        .agg(F.count(F.lit(1)).alias("group_size"), F.max(F.when(F.col("doc_id").isNotNull(), F.col("n_cp"))).alias("n_cp"), F.max(F.col("n_cp") * step - F.col("doc_id")).alias("rank"))
         .select(F.sha2("norm", 256).alias("text_sha256"), "group_size", (F.col("n_cp") * step - F.col("rank")).cast("long").alias("keep_id"))
     )
     known = F.col("group_size").isNotNull()

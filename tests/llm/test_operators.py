@@ -56,6 +56,15 @@ def test_exact_groups(spark):
     assert quotient_dedup.exact_groups(docs.where("false")).collect() == []
 
 
+def test_exact_groups_whose_longest_copy_has_no_id(spark):
+    rows = [(None, "a b c d"), (3, "ab cd"), (2, "ab cd"), (1, "abcd"), (None, "x y"), (None, "xy"), (4, "z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 0, 0, "r") for i, t in rows], DOCS)
+    got = sorted((r["text_sha256"], r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in quotient_dedup.exact_groups(docs).collect())
+    sha = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("abcd", "xy", "z")}
+    want = [(sha["abcd"], i, 2, 4, i == 2) for i in (0, 1, 2, 3)] + [(sha["xy"], 0, None, 2, True)] * 2 + [(sha["z"], 4, 4, 1, True)]
+    assert got == sorted(want, key=lambda r: r[:2])
+
+
 def test_quotient_filters_are_lossless():
     values = np.array([5, 5, 2**63 + 9, 2**40, 7], np.uint64)
     q, runs, rest, counts = quotient_dedup.filter_of(values, np.ones(5))
