@@ -28,7 +28,10 @@ TRAIN_PAGES = 4000
 # Names of HTML.
 BLOCKS = set("html body main article section header footer nav aside form div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address fieldset details summary dialog hgroup search menu".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-DROPPED = set("script style noscript template head title svg iframe object select option textarea button label canvas audio video math".split())
+DROPPED = set("script style noscript template head title svg iframe select option textarea button label".split())
+#: Dropped elements that end only with their own end tag, and what a head may hold.
+RAW = {"script", "style", "title", "textarea", "iframe"}
+IN_HEAD = set("html head base link meta title style script noscript template basefont bgsound".split())
 CLOSES_P = BLOCKS - {"html", "body", "li", "td", "th", "tr", "thead", "tbody", "tfoot", "dt", "dd", "caption"}
 #: Elements that are never content, and stems of classes and ids that say so.
 BOILERPLATE = {"nav", "footer", "aside", "header", "form", "menu", "dialog", "search"}
@@ -60,7 +63,9 @@ class Tree(HTMLParser):
         self.kind, self.barred = ["element"], [False]
         self.open: list[tuple[str, int]] = [("root", 0)]
         self.pieces: list[str] = []
-        self.in_link = self.skipped = self.link_chars = 0
+        self.in_link = self.link_chars = 0
+        #: Open elements from the outermost dropped one inwards; nothing is kept while there are any.
+        self.skipped: list[str] = []
 
     def _node(self, tag: str, hints: tuple, text: str | None = None, linked: int = 0) -> int:
         for column, value in zip((self.parent, self.tag, self.hints, self.text, self.linked), (self.open[-1][1], tag, hints, text, linked)):
@@ -82,9 +87,28 @@ class Tree(HTMLParser):
             self.open.pop()
         self.open.pop()
 
+    def _end_skipped_before(self, tag: str) -> None:
+        """End the dropped elements whose end tag may be left out before ``tag``."""
+        open_, last = self.skipped, self.skipped[-1]
+        if last in RAW:
+            return
+        if last == "head" and tag not in IN_HEAD or last == "option" and tag in ("option", "optgroup") or last == "svg" and tag in BLOCKS:
+            open_.pop()
+        elif tag in ("button", "label") and tag in open_:
+            del open_[open_.index(tag) :]
+        elif last in ("select", "option") and (tag in ("select", "input", "textarea") or tag in BLOCKS - {"div"}):
+            del open_[open_.index("select" if "select" in open_ else last) :]
+        elif all(t == "label" for t in open_):
+            outer = self.open[-1][0]
+            if outer == "p" and tag in CLOSES_P or any(outer in same and tag in same for same in (("li",), ("tr",), ("td", "th"), ("dt", "dd"))):
+                open_.clear()
+
     def handle_starttag(self, tag, attrs):
+        if self.skipped:
+            self._end_skipped_before(tag)
         if self.skipped or tag in DROPPED:
-            self.skipped += tag in DROPPED
+            if tag in DROPPED or tag in BLOCKS or tag == "foreignobject":
+                self.skipped.append(tag)
             return
         if tag == "br":
             self.pieces.append(" ")
@@ -102,8 +126,15 @@ class Tree(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.skipped:
-            self.skipped -= tag in DROPPED
-            return
+            if tag in self.skipped and self.skipped[-1] in (RAW - {tag}):
+                return
+            if tag in self.skipped:
+                del self.skipped[len(self.skipped) - 1 - self.skipped[::-1].index(tag) :]
+                return
+            # The end of an element around the dropped ones ends them too.
+            if self.skipped[-1] in RAW or "template" in self.skipped or tag not in BLOCKS or all(t != tag for t, _ in self.open):
+                return
+            self.skipped.clear()
         if tag == "a":
             self.in_link = 0
         elif tag in BLOCKS and any(t == tag for t, _ in self.open):
@@ -114,6 +145,8 @@ class Tree(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_data(self, data):
+        if self.skipped == ["head"] and data.strip():
+            self.skipped.clear()
         if not self.skipped:
             self.pieces.append(data)
             if self.in_link:

@@ -305,6 +305,28 @@ def test_main_text(spark):
     assert dom_marginals.extracted(pages.where("false")).collect() == []
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<head><title>T</title><body><p>kept", "kept"),
+        ("<html><head><meta charset=x><style>p{}</style><p>kept</p>", "kept"),
+        ("<head><title>T</title>kept", "kept"),
+        ("<body><select><option>A<option>B</select><p>kept", "kept"),
+        ("<body><select><optgroup><option>A<optgroup><option>B</select>kept", "kept"),
+        ("<div><button>Buy<div>now</div></div><p>kept", "kept"),
+        ("<div><button><div>Buy</div>now</button>kept</div>", "kept"),
+        ("<p>one<label>Name<p>kept", "one kept"),
+        ("<svg><path><p>kept", "kept"),
+        ("<svg><title>x</title><text>y</text></svg>kept", "kept"),
+        ("<template><div>no</div><p>no</template>kept", "kept"),
+        ("<script>if (a</b>) x('</p>')</script>kept<textarea><p>no</textarea>", "kept"),
+        ("<p>a <math><mi>x</mi></math> <canvas>b</canvas> <video>c</video> <audio>d</audio> <object>e</object>", "a x b c d e"),
+    ],
+)
+def test_dropped_elements_end_where_html_ends_them(html, want):
+    assert " ".join(t for t in dom_marginals.parsed(html).text if t is not None) == want
+
+
 def brute_marginals(tree, model):
     from itertools import product
 
