@@ -219,7 +219,8 @@ class _WordIds(dict):
     """word -> ids, asked of the tokenizers library once per distinct word.
 
     The vocabulary's merges never cross the words of its pre-tokenizer, so the ids of a text are the ids of
-    its words in turn; a test compares with whole texts.
+    its words in turn; a test compares with whole texts.  Texts that hold an added token are the exception:
+    the library looks for those tokens before the words, so it encodes such a text whole.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -227,7 +228,17 @@ class _WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.find = regex.compile(WORD_PATTERN)
+
+    def of_text(self, text: str) -> array:
+        ids = array("H")
+        if any(t in text for t in self.added):
+            ids.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        else:
+            for word in self.find.findall(text):
+                ids += self[word]
+        return ids
 
     def __missing__(self, word: str) -> array:
         ids = array("H", self.tokenizer.encode(word, add_special_tokens=False).ids)
@@ -245,7 +256,7 @@ def _write(tokenizer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, words, find = TaskContext.get().partitionId(), _WordIds(tokenizer.value), regex.compile(WORD_PATTERN)
+        part, words = TaskContext.get().partitionId(), _WordIds(tokenizer.value)
         held, docs = array("H"), []
 
         def segment(ids: np.ndarray) -> pa.RecordBatch:
@@ -254,8 +265,7 @@ def _write(tokenizer):
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 before = len(held)
-                for word in find.findall(text.as_py() or ""):
-                    held += words[word]
+                held += words.of_text(text.as_py() or "")
                 held.append(END_ID)
                 docs.append((_NULL_ID if doc_id.as_py() is None else doc_id.as_py(), len(held) - before))
                 while len(held) >= BLOCK * LANES:

@@ -253,6 +253,15 @@ def test_stored_ids(spark):
     assert mixing_coder.stored_documents(table(spark, texts).where("false"), path).collect() == []
 
 
+def test_ids_of_texts_with_added_tokens_are_the_librarys():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    real = Tokenizer.from_file(path)
+    words = mixing_coder._WordIds(open(path, encoding="utf-8").read())
+    for text in ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b", "<|endoftext", *(t or "" for t in TEXTS)]:
+        assert words.of_text(text).tolist() == real.encode(text, add_special_tokens=False).ids
+    assert words.of_text("hello <|endoftext|> world").tolist() == [31373, 220, 50256, 995]
+
+
 def best_capacity(sizes, shards):
     best = [[0] + [10**18] * len(sizes)]
     for _ in range(shards):
