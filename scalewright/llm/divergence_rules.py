@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .membership import rows_not_in
 from .store import saved
 from .text import SPACE_CLASS, SPACES, words
 
@@ -158,9 +159,20 @@ def assessed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "character_distance", "word_distance")
 
 
+def _content(text: str, lang: str) -> Column:
+    """What the verdict depends on, as a digest; null and empty are judged alike."""
+    return F.sha2(F.concat(F.coalesce(F.col(f"`{lang}`"), F.lit("")), F.lit("\n"), F.coalesce(F.col(f"`{text}`"), F.lit(""))), 256)
+
+
 def kept_documents(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns kept.  Texts are read twice and never shuffled."""
-    measured = features(docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))).drop("row")
-    measured = saved(measured.select("n_words", "base_failed", "language", "characters", "common", "barrier"), "divergence-features")
+    """The rows of ``docs`` that the rules keep, all columns kept; null and empty texts go.
+
+    Texts are measured once.  Rows that stay are never shuffled: what is rejected is taken out by the digest
+    of its text and language.
+    """
+    measured = features(docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")))
+    content = F.sha2(F.concat(F.coalesce("row.lang", F.lit("")), F.lit("\n"), F.coalesce("row.text", F.lit(""))), 256)
+    measured = saved(measured.select(content.alias("content"), "n_words", "base_failed", "language", "characters", "common", "barrier"), "divergence-features")
     known = saved(trimmed_references(measured), "divergence-references")
-    return verdicts(features(docs, text, lang), known).where("kept").select("row.*")
+    rejected = saved(verdicts(measured, known).where("not kept").select("content").distinct(), "divergence-rejected")
+    return rows_not_in(docs, {"content": _content(text, lang)}, rejected)

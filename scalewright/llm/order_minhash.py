@@ -33,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quotient_dedup import rows_kept
-from .store import saved
+from .membership import rows_but, rows_in
+from .store import saved, small_batches
 
 K = 2
 SAMPLED, SAMPLED_SHORT = 3, 2
@@ -48,7 +48,9 @@ TURNS = 2
 #: Least and most bins of the hashed word counts; between them a text has two a word, rounded up to a power of two.
 BINS, MOST_BINS = 512, 1 << 16
 #: Word hashes remembered by a task; a full memory is emptied.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
+#: Texts and pairs of texts that a Python task holds at once.
+TEXTS, PAIRS = 2048, 512
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,6 +62,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_MOST = np.uint64(2**64 - 1)
 _SEEDS = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _M)
 
 
@@ -106,8 +109,15 @@ def sketches(kmers: np.ndarray, sampled: int = SAMPLED) -> np.ndarray:
         values = (kmers[None, :] ^ seeds) * _M
         values ^= values >> np.uint64(29)
         m = min(sampled, n)
-        at = np.argpartition(values, m - 1, axis=1)[:, :m] if n > m else np.broadcast_to(np.arange(n), values.shape)
-        at = np.sort(at, axis=1)
+        if n > m:
+            # The smallest one after the other: a few scans are cheaper than a partition of each row.
+            at, row = np.empty((len(values), m), np.int64), np.arange(len(values))
+            for j in range(m):
+                at[:, j] = values.argmin(axis=1)
+                values[row, at[:, j]] = _MOST
+            at = np.sort(at, axis=1)
+        else:
+            at = np.broadcast_to(np.arange(n), values.shape)
         h = seeds[:, 0]
         for j in range(m):
             h = _mix(h * _M + kmers[at[:, j]])
@@ -328,20 +338,19 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
 
     for batch in batches:
-        for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-            found = similarities([(hashed(x), hashed(y)) for x, y in zip(part.column("text_a"), part.column("text_b"))])
-            rows = [(a, b, s) for a, b, s in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), found) if s is not None]
-            kinds = [pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([], [], []), kinds)], ["a", "b", "similarity"])
+        found = similarities([(hashed(x), hashed(y)) for x, y in zip(batch.column("text_a"), batch.column("text_b"))])
+        rows = [(a, b, s) for a, b, s in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), found) if s is not None]
+        kinds = [pa.int64(), pa.int64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([], [], []), kinds)], ["a", "b", "similarity"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs that alignment confirms.  Only texts that occur in a pair are moved."""
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "omh-ids")
-    needed = saved(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "omh-texts")
-    with_a = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_align, "a long, b long, similarity double")
+    """(a, b, similarity) of the pairs that alignment confirms; ``texts`` (doc_id, text) has one row per id."""
+    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    found = both.select("a", "b", "text_a", "text_b").mapInArrow(_align, "a long, b long, similarity double")
+    with small_batches(pairs.sparkSession, PAIRS):
+        return saved(found, "omh-verified")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -435,7 +444,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     all rows with the class's id are marked kept.  Ids of the smallest value stand for copies.
     """
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null")
-    signed = saved(texts.mapInArrow(_sign, _SIGNED), "omh-signed")
+    with small_batches(docs.sparkSession, TEXTS):
+        signed = saved(texts.mapInArrow(_sign, _SIGNED), "omh-signed")
     # Copies: equal sequences of words, by hash and length.
     reps = saved(signed.groupBy("text_hash", "n_words").agg(F.min("doc_id").alias("rep")), "omh-reps")
     chosen = signed.join(reps.select(F.col("rep").alias("doc_id"), "text_hash"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id"])
@@ -443,16 +453,18 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     buckets = saved(rows.join(rows.groupBy("sketch").agg(F.min("rep").alias("centre"), F.max("rep").alias("most")).where("centre < most"), ["sketch"]).select("sketch", "rep", "centre"), "omh-buckets")
     signed_reps = signed.select("doc_id", "n_words", "counts", "sketches").join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     signed_reps = saved(signed_reps, "omh-counts")
+    # The texts of bucket members alone: one pass over the documents serves all comparisons.
+    members = saved(rows_in(texts, {"doc_id": F.col("doc_id")}, signed_reps.select("doc_id")).dropDuplicates(["doc_id"]), "omh-texts")
 
     done = saved(buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "omh-star")
-    links = saved(verified(done, texts), "omh-verified")
+    links = verified(done, members)
     buckets, classes = buckets.select("sketch", "rep"), components(links)
     for turn in range(TURNS + 1):
         rest = _turned(buckets, classes, done, turn) if turn < TURNS else _mixed_buckets(buckets, signed_reps, classes, done)
         rest = saved(rest, "omh-rest")
         if rest.isEmpty():
             continue
-        found = saved(verified(rest, texts), "omh-verified")
+        found = verified(rest, members)
         done = saved(done.unionByName(rest), "omh-done")
         if not found.isEmpty():
             # Classes stand for the links they come from.
@@ -466,6 +478,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest id of each class, all columns kept."""
-    keep = saved(near_groups(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("keep_id")).distinct(), "omh-kept")
-    return rows_kept(docs, keep, doc_id, text)
+    """``docs`` with the row of the smallest id of each class, all columns kept.
+
+    Of rows repeated under one id and text one is left.  Only the rows of dropped and repeated ids are shuffled.
+    """
+    dropped = saved(near_groups(docs, doc_id, text).where("not kept").select("doc_id").distinct(), "omh-dropped")
+    body = F.col(f"`{text}`")
+    return rows_but(docs, {"doc_id": F.col(f"`{doc_id}`").cast("long")}, dropped, body, F.lit(1))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .membership import rows_but, rows_in
 from .store import saved
 from .text import without_spaces
 
@@ -106,7 +107,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     suspects = saved(lean.join(repeats, "fp", "left_semi").select("doc_id").distinct(), "exact-suspects")
 
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    routed = texts.join(suspects.withColumnRenamed("doc_id", "suspect"), F.expr("doc_id <=> suspect"), "left_semi")
+    routed = rows_in(texts, {"doc_id": F.col("doc_id")}, suspects)
     # The larger text wins, then the smaller id: one number, so that the aggregate can hash and update in place.
     # Rows without an id are counted, but neither maximum sees them; a group of only such rows has the null id.
     step = F.lit(str(2 * 10**19)).cast("decimal(38,0)")
@@ -131,17 +132,14 @@ def _lean(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return norm.select("doc_id", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256"))
 
 
-def rows_kept(docs: DataFrame, keep: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is in ``keep`` (one column, named ``keep_id``), one per id and text."""
-    here = docs.join(keep, F.col(f"`{doc_id}`").eqNullSafe(F.col("keep_id")), "left_semi")
-    repeated = saved(docs.groupBy(F.col(f"`{doc_id}`").alias("again")).count().where("count > 1").select("again"), "repeated-ids")
-    if repeated.isEmpty():
-        return here
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("again"))
-    return here.join(repeated, same, "left_anti").unionByName(here.join(repeated, same, "left_semi").dropDuplicates([doc_id, text]))
-
-
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept."""
-    keep = exact_groups(docs, doc_id, text).where("kept").select("keep_id").distinct()
-    return rows_kept(docs, saved(keep, "exact-kept"), doc_id, text)
+    """``docs`` with one row of each group of equal texts, all columns kept.
+
+    Of rows repeated under the id that stays, the one with the most code points is left.  Rows that stay are
+    never shuffled, but for those whose id is dropped or repeated elsewhere.
+    """
+    key = ["doc_id", "text_sha256"]
+    dropped = saved(exact_groups(docs, doc_id, text).where("not kept").select(*key).distinct(), "exact-dropped")
+    body = F.col(f"`{text}`")
+    of = {"doc_id": F.col(f"`{doc_id}`"), "text_sha256": F.sha2(without_spaces(body), 256)}
+    return rows_but(docs, of, dropped, of["text_sha256"], F.struct(F.char_length(body), body))

@@ -242,7 +242,6 @@ def test_range_coder_round_trips():
 def test_stored_ids(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     real = Tokenizer.from_file(path)
-    real.encode_special_tokens = True
     texts, start = [*TEXTS, "a <|endoftext|> b"], 0
     rows = mixing_coder.stored_documents(table(spark, texts).repartition(3), path).orderBy("doc_id").collect()
     assert len(rows) == len(texts)
