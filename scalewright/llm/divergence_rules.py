@@ -174,5 +174,6 @@ def kept_documents(docs: DataFrame, text: str = "text", lang: str = "lang") -> D
     content = F.sha2(F.concat(F.coalesce("row.lang", F.lit("")), F.lit("\n"), F.coalesce("row.text", F.lit(""))), 256)
     measured = saved(measured.select(content.alias("content"), "n_words", "base_failed", "language", "characters", "common", "barrier"), "divergence-features")
     known = saved(trimmed_references(measured), "divergence-references")
-    rejected = saved(verdicts(measured, known).where("not kept").select("content").distinct(), "divergence-rejected")
-    return rows_not_in(docs, {"content": _content(text, lang)}, rejected)
+    n = measured.count()
+    rejected = saved(verdicts(measured, known).where("not kept").select("content").distinct(), "divergence-rejected", n)
+    return rows_not_in(docs, {"content": _content(text, lang)}, rejected, n)

@@ -18,6 +18,9 @@ from .store import saved
 #: Positions per key, and the least and most positions of a bitmap (the most are 32 MB).
 POSITIONS_PER_KEY, LEAST_POSITIONS, MOST_POSITIONS = 16, 1 << 15, 1 << 28
 
+#: A task of the few rows that move is kept for so many rows of the table at least.
+WIDE_ROWS = 1 << 13
+
 
 def _position(keys: list[Column], positions: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(positions)) + 1
@@ -58,10 +61,10 @@ def rows_in(rows: DataFrame, of: dict[str, Column], keys: DataFrame) -> DataFram
     return split_by_keys(rows, of, keys)[1].join(_renamed(keys, list(of)), _same({n: n for n in of}), "left_semi").select("row.*")
 
 
-def rows_not_in(rows: DataFrame, of: dict[str, Column], keys: DataFrame) -> DataFrame:
-    """The rows whose key isn't in ``keys``, columns as in ``rows``."""
+def rows_not_in(rows: DataFrame, of: dict[str, Column], keys: DataFrame, n_rows: int) -> DataFrame:
+    """The rows whose key isn't in ``keys``, columns as in ``rows``, which has ``n_rows``."""
     rest, maybe = split_by_keys(rows, of, keys)
-    return rest.select("row.*").unionByName(maybe.join(_renamed(keys, list(of)), _same({n: n for n in of}), "left_anti").select("row.*"))
+    return rest.select("row.*").unionByName(maybe.join(_renamed(keys, list(of)), _same({n: n for n in of}), "left_anti").select("row.*").coalesce(1 + n_rows // WIDE_ROWS))
 
 
 def rows_but(rows: DataFrame, of: dict[str, Column], dropped: DataFrame, same: Column, longest: Column) -> DataFrame:
@@ -71,8 +74,8 @@ def rows_but(rows: DataFrame, of: dict[str, Column], dropped: DataFrame, same: C
     """
     names = list(of)
     repeated = rows.groupBy(of[names[0]].alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
-    ids = saved(dropped.select(F.col(names[0]).alias("id")).unionByName(repeated).distinct(), "dropped-ids")
+    ids = saved(dropped.select(F.col(names[0]).alias("id")).unionByName(repeated).distinct(), "dropped-ids", n_rows := rows.count())
     rest, maybe = split_by_keys(rows, {"id": of[names[0]]}, ids, {f"of_{n}": c for n, c in of.items()} | {"same": same, "longest": longest})
     stay = maybe.join(_renamed(dropped, names), _same({n: f"of_{n}" for n in names}), "left_anti")
     one = stay.groupBy("id", "same").agg(F.max_by("row", "longest").alias("row"))
-    return rest.select("row.*").unionByName(one.select("row.*"))
+    return rest.select("row.*").unionByName(one.select("row.*").coalesce(1 + n_rows // WIDE_ROWS))

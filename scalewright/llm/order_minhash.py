@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .membership import rows_but, rows_in
-from .store import saved, small_batches
+from .store import ROWS_PER_FILE, saved, small_batches
 
 K = 2
 SAMPLED, SAMPLED_SHORT = 3, 2
@@ -349,6 +349,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     found = both.select("a", "b", "text_a", "text_b").mapInArrow(_align, "a long, b long, similarity double")
+    # Links are small: they go to few files, while the alignment stays with its many tasks.
+    found = found.repartition(1 + pairs.count() // ROWS_PER_FILE)
     with small_batches(pairs.sparkSession, PAIRS):
         return saved(found, "omh-verified")
 
@@ -359,13 +361,14 @@ def components(links: DataFrame) -> DataFrame:
     Each round every id takes the smallest class of itself, its neighbours and its class's class; rounds
     grow with the logarithm of the longest chain.  Every round is written, so lineage stays short.
     """
-    both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "omh-links")
-    labels = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).select(F.col("a").alias("id"), F.col("c").alias("class_id")), "omh-classes")
+    n = 2 * links.count()
+    both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "omh-links", n)
+    labels = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).select(F.col("a").alias("id"), F.col("c").alias("class_id")), "omh-classes", n)
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("class_id").alias("near"))
         jump = labels.select(F.col("id").alias("via"), F.col("class_id").alias("far"))
         new = labels.join(near, labels.id == near.a).join(jump, F.col("class_id") == F.col("via"))
-        new = saved(new.select("id", F.least("class_id", "near", "far").alias("class_id"), (F.least("near", "far") < F.col("class_id")).alias("changed")), "omh-classes")
+        new = saved(new.select("id", F.least("class_id", "near", "far").alias("class_id"), (F.least("near", "far") < F.col("class_id")).alias("changed")), "omh-classes", n)
         labels = new.select("id", "class_id")
         if new.where("changed").isEmpty():
             return labels
@@ -446,26 +449,30 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null")
     with small_batches(docs.sparkSession, TEXTS):
         signed = saved(texts.mapInArrow(_sign, _SIGNED), "omh-signed")
+    n_docs = signed.count()
     # Copies: equal sequences of words, by hash and length.
-    reps = saved(signed.groupBy("text_hash", "n_words").agg(F.min("doc_id").alias("rep")), "omh-reps")
+    reps = saved(signed.groupBy("text_hash", "n_words").agg(F.min("doc_id").alias("rep")), "omh-reps", n_docs)
     chosen = signed.join(reps.select(F.col("rep").alias("doc_id"), "text_hash"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id"])
     rows = chosen.select(F.col("doc_id").alias("rep"), F.explode("sketches").alias("sketch"))
-    buckets = saved(rows.join(rows.groupBy("sketch").agg(F.min("rep").alias("centre"), F.max("rep").alias("most")).where("centre < most"), ["sketch"]).select("sketch", "rep", "centre"), "omh-buckets")
+    buckets = saved(rows.join(rows.groupBy("sketch").agg(F.min("rep").alias("centre"), F.max("rep").alias("most")).where("centre < most"), ["sketch"]).select("sketch", "rep", "centre"), "omh-buckets", SKETCHES * n_docs)
     signed_reps = signed.select("doc_id", "n_words", "counts", "sketches").join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    signed_reps = saved(signed_reps, "omh-counts")
+    signed_reps = saved(signed_reps, "omh-counts", 4 * n_docs)
     # The texts of bucket members alone: one pass over the documents serves all comparisons.
-    members = saved(rows_in(texts, {"doc_id": F.col("doc_id")}, signed_reps.select("doc_id")).dropDuplicates(["doc_id"]), "omh-texts")
+    members = saved(rows_in(texts, {"doc_id": F.col("doc_id")}, signed_reps.select("doc_id")).dropDuplicates(["doc_id"]), "omh-texts", 4 * n_docs)
 
-    done = saved(buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "omh-star")
+    n_rows = buckets.count()
+    done = saved(buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "omh-star", n_rows)
     links = verified(done, members)
     buckets, classes = buckets.select("sketch", "rep"), components(links)
     for turn in range(TURNS + 1):
-        rest = _turned(buckets, classes, done, turn) if turn < TURNS else _mixed_buckets(buckets, signed_reps, classes, done)
-        rest = saved(rest, "omh-rest")
+        if turn < TURNS:
+            rest = saved(_turned(buckets, classes, done, turn), "omh-rest", n_rows)
+        else:
+            rest = saved(_mixed_buckets(buckets, signed_reps, classes, done), "omh-rest", n_rows)
         if rest.isEmpty():
             continue
         found = verified(rest, members)
-        done = saved(done.unionByName(rest), "omh-done")
+        done = done.unionByName(rest)
         if not found.isEmpty():
             # Classes stand for the links they come from.
             links = found.select("a", "b").unionByName(classes.where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b")))
@@ -482,6 +489,6 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Of rows repeated under one id and text one is left.  Only the rows of dropped and repeated ids are shuffled.
     """
-    dropped = saved(near_groups(docs, doc_id, text).where("not kept").select("doc_id").distinct(), "omh-dropped")
+    dropped = saved(near_groups(docs, doc_id, text).where("not kept").select("doc_id").distinct(), "omh-dropped", docs.count())
     body = F.col(f"`{text}`")
     return rows_but(docs, {"doc_id": F.col(f"`{doc_id}`").cast("long")}, dropped, body, F.lit(1))

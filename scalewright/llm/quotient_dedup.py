@@ -102,9 +102,10 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     A null id loses against any other.  Very long texts are compared whole.  Other columns are ignored.
     """
     lean = saved(_lean(docs, doc_id, text), "exact-lean")
-    range_bits = min(20, max(4, math.ceil(math.log2(max(2, lean.count()) / RANGE_SIZE))))
+    n = lean.count()
+    range_bits = min(20, max(4, math.ceil(math.log2(max(2, n) / RANGE_SIZE))))
     repeats = saved(merged_repeats(partition_filters(lean, range_bits)), "exact-repeats")
-    suspects = saved(lean.join(repeats, "fp", "left_semi").select("doc_id").distinct(), "exact-suspects")
+    suspects = saved(lean.join(repeats, "fp", "left_semi").select("doc_id").distinct(), "exact-suspects", n)
 
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     routed = rows_in(texts, {"doc_id": F.col("doc_id")}, suspects)
@@ -139,7 +140,7 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     never shuffled, but for those whose id is dropped or repeated elsewhere.
     """
     key = ["doc_id", "text_sha256"]
-    dropped = saved(exact_groups(docs, doc_id, text).where("not kept").select(*key).distinct(), "exact-dropped")
+    dropped = saved(exact_groups(docs, doc_id, text).where("not kept").select(*key).distinct(), "exact-dropped", docs.count())
     body = F.col(f"`{text}`")
     of = {"doc_id": F.col(f"`{doc_id}`"), "text_sha256": F.sha2(without_spaces(body), 256)}
     return rows_but(docs, of, dropped, of["text_sha256"], F.struct(F.char_length(body), body))

@@ -74,7 +74,7 @@ def _lean(docs: DataFrame, doc_id: str, text: str, source: str, seed: str) -> Da
 
 def draw_thresholds(lean: DataFrame, targets: DataFrame) -> DataFrame:
     """(name, class, whole, below, source_size, target): a row takes ``whole`` copies, and one more if its slot is less than ``below``."""
-    counts = saved(lean.groupBy("source", "size_class", "slot").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "mix-slots")
+    counts = saved(lean.groupBy("source", "size_class", "slot").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "mix-slots", lean.count())
     classes = counts.groupBy("source", "size_class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     per_source = classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(F.col("size_class"), F.col("n"), F.col("words"))), asc=False).alias("classes"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -98,7 +98,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     one id and size are decided alike.  A document in a source without words is taken 0 times.
     """
     lean = saved(_lean(docs, doc_id, text, source, seed), "mix-sizes")
-    draws = saved(draw_thresholds(lean, source_targets(lean)), "mix-draws")
+    draws = saved(draw_thresholds(lean, source_targets(lean)), "mix-draws", lean.count())
     here = F.col("source").eqNullSafe(F.col("name")) & (F.col("size_class") == F.col("class"))
     copies = F.col("whole") + (F.col("slot") < F.col("below")).cast("int")
     return lean.join(draws, here).withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
@@ -107,7 +107,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """``docs`` with every row repeated as often as ``mixed`` takes it, all columns kept."""
     lean = saved(_lean(docs, doc_id, text, source, seed), "mix-sizes")
-    draws = saved(draw_thresholds(lean, source_targets(lean)), "mix-draws")
+    draws = saved(draw_thresholds(lean, source_targets(lean)), "mix-draws", lean.count())
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     row = row.withColumn("size_class", _size_class(F.size(words(F.col("row").getField(text))))).withColumn("slot", _slot(F.col("row").getField(doc_id), seed))
     joined = row.join(draws, F.col("row").getField(source).eqNullSafe(F.col("name")) & (F.col("size_class") == F.col("class")))

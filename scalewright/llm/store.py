@@ -14,6 +14,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR = "spark.checkpoint.dir"
+#: Narrow rows that a file of a small table should hold at least.
+ROWS_PER_FILE = 1 << 16
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -37,13 +39,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    The tables stay, since what an operator returns reads them; whoever owns the folder clears it.
+    ``rows``, a bound on the rows of a table that is cheap to make, keeps it from being written as many tiny
+    files.  The tables stay, since what an operator returns reads them; whoever owns the folder clears it.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_PER_FILE)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

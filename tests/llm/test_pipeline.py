@@ -29,24 +29,24 @@ def test_rows_by_key(spark):
     rows = spark.range(5000).selectExpr("case when id % 50 = 7 then null else id end as k", "id as maybe", "'x' as bits", "id as row")
     keys = spark.range(0, 5000, 3).selectExpr("id as k").unionByName(spark.sql("select cast(null as long) as k"))
     inside = membership.rows_in(rows, {"k": F.col("k")}, keys)
-    outside = membership.rows_not_in(rows, {"k": F.col("k")}, keys)
+    outside = membership.rows_not_in(rows, {"k": F.col("k")}, keys, 5000)
     assert inside.columns == outside.columns == rows.columns
     want = {i for i in range(5000) if i % 50 == 7 or i % 3 == 0}
     assert {r["maybe"] for r in inside.collect()} == want
     assert {r["maybe"] for r in outside.collect()} == set(range(5000)) - want
     assert membership.rows_in(rows, {"k": F.col("k")}, keys.where("false")).count() == 0
-    assert membership.rows_not_in(rows, {"k": F.col("k")}, keys.where("false")).count() == 5000
+    assert membership.rows_not_in(rows, {"k": F.col("k")}, keys.where("false"), 5000).count() == 5000
 
 
 def test_a_full_bitmap_changes_no_result(spark, monkeypatch):
     monkeypatch.setattr(membership, "MOST_POSITIONS", 1 << 15)
     monkeypatch.setattr(membership, "LEAST_POSITIONS", 64)
     rows, keys = spark.range(4000).toDF("k"), spark.range(0, 4000, 2).toDF("k")
-    assert sorted(r["k"] for r in membership.rows_not_in(rows, {"k": F.col("k")}, keys).collect()) == list(range(1, 4000, 2))
+    assert sorted(r["k"] for r in membership.rows_not_in(rows, {"k": F.col("k")}, keys, 4000).collect()) == list(range(1, 4000, 2))
 
 
 def test_rows_that_stay_are_not_shuffled(spark):
-    df = membership.rows_not_in(spark.range(1000).withColumn("text", F.lit("t")), {"k": F.col("id")}, spark.range(10).toDF("k"))
+    df = membership.rows_not_in(spark.range(1000).withColumn("text", F.lit("t")), {"k": F.col("id")}, spark.range(10).toDF("k"), 1000)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftOuter" in plan and "strategy=broadcast" in plan and plan.count("Join LeftAnti") == 1
 
