@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scalewright.llm import byte_bpe, divergence_rules, membership, order_minhash, quotient_dedup
+from scalewright.llm.store import saved
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Extra columns bear the names that the operators use inside.
@@ -168,7 +169,8 @@ def four(df):
 
 
 def test_every_stage_against_brute_force(spark, corpus):
-    stages = dict(corpus_pipeline.STAGES)
+    # Every stage is written and read again, as run() does.
+    stages = {name: lambda s, d, sf_dir, f=f, name=name: saved(f(s, d, sf_dir), name) for name, f in corpus_pipeline.STAGES}
     docs = table(spark, corpus)
 
     judged = {r["doc_id"]: r for r in divergence_rules.assessed(docs).collect()}
