@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding with the ranks of a public vocabulary.
 
-Texts are cut into words by the vocabulary's pattern.  Each task takes the distinct words of an Arrow batch
-of documents, folds the ranked merges over their byte arrays with a literal rank map, and replaces words by
-ids.  Decoding concatenates the byte pieces of the ids.
-
-The fold in Spark's own higher-order functions is ``merged_in_sql``; the README says why the query doesn't
-run on it.
+1. Spark cuts all texts into words by the vocabulary's pattern and counts the distinct ones.
+2. The ranked merges of the frequent distinct words are folded over their byte pieces by Spark's higher-order
+   functions, with the ranks as a literal map (``merged_in_sql``).  That table has at most ``FREQUENT`` words, so
+   it is broadcast.
+3. Texts become ids batch by batch: the distinct words of a batch are looked up in that table, and a rarer word is
+   folded where it occurs, in the task (``merge_word``).  The README says why those aren't folded by 2 and joined.
+4. Decoding concatenates the binary pieces of the ids.
 """
 
 from __future__ import annotations
@@ -13,18 +14,24 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words remembered between batches; a full memory is emptied, which costs time but changes no result.
-REMEMBERED = 1 << 19
-#: Words longer than this aren't remembered.
-LONGEST_REMEMBERED = 64
+from .store import saved, small_batches
+
+#: Words of the broadcast table at most, and the longest of them.
+FREQUENT, LONGEST_FREQUENT = 1 << 17, 64
+#: Rare words that a task remembers; a full memory is emptied, which costs time but changes no result.
+REMEMBERED = 1 << 16
+#: Texts that are turned into ids at once.
+TEXTS = 512
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -80,91 +87,148 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in alive if p is not None]
 
 
+def java_pattern(pattern: str) -> str:
+    """The pattern for Spark, whose white space has to be asked for by its Unicode property."""
+    return pattern.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
+
+
+def split_texts(docs: DataFrame, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, words, odd): the words of each text in order; null counts as empty.
+
+    ``odd`` is a text with code points that Spark's Java doesn't know yet, whose classes it can't tell; such
+    a text has no words here and is cut by the task.
+    """
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    odd = body.rlike("\\p{Cn}")
+    words = F.regexp_extract_all(body, F.lit(java_pattern(pattern)), F.lit(0))
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("key"), F.when(~odd, words).alias("words"), F.when(odd, body).alias("odd"))
+
+
+def frequent_words(split: DataFrame) -> DataFrame:
+    """(word) of the most frequent distinct words of all texts, at most ``FREQUENT``.
+
+    Counts are put in classes, eight for each doubling, and the classes with the largest counts that together
+    fit are taken, so nothing is sorted.
+    """
+    words = split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = saved(words.where(F.char_length("word") <= LONGEST_FREQUENT).withColumn("class", F.floor(F.log2("n") * 8).cast("int")), "bpe-words")
+    total, least = 0, None
+    for r in sorted(words.groupBy("class").count().collect(), key=lambda r: -r["class"]):  # a few hundred classes
+        total += r["count"]
+        if total > FREQUENT:
+            break
+        least = r["class"]
+    return words.where(F.col("class") >= least if least is not None else F.lit(False)).select("word")
+
+
 class WordIds(dict):
-    """word -> ids as an array; folds the merges for words it hasn't seen."""
+    """word -> ids as bytes of little-endian unsigned 32-bit integers; folds the merges of words it hasn't."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], frequent: dict[str, bytes], pattern: str):
         super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, word: str) -> array:
-        ids = array("I", merge_word(word.encode(), self.ranks))
-        if len(word) <= LONGEST_REMEMBERED:
+        self.ranks, self.frequent, self.find = ranks, frequent, regex.compile(pattern)
+
+    def __missing__(self, word: str) -> bytes:
+        known = self.frequent.get(word)
+        if known is not None:
+            return known
+        ids = array("I", merge_word(word.encode(), self.ranks)).tobytes()
+        if len(word) <= LONGEST_FREQUENT:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[word] = ids
         return ids
 
+    def of_texts(self, words: pa.ListArray, odd: pa.Array) -> list[bytes]:
+        """Ids of the texts of a batch; every distinct word is looked up once."""
+        coded = words.flatten().dictionary_encode()
+        found = [self[w] for w in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        table, starts, codes = np.frombuffer(b"".join(found), np.uint32), np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        times = sizes[codes]
+        ends = np.concatenate(([0], np.cumsum(times)))
+        ids = table[np.repeat(starts[codes] - ends[:-1], times) + np.arange(ends[-1])]
+        stops = ends[np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
+        out = [ids[a:b].tobytes() for a, b in zip([0, *stops], stops)]
+        for i in np.flatnonzero(odd.is_valid().to_numpy(zero_copy_only=False)):
+            out[i] = b"".join([self[w] for w in self.find.findall(odd[int(i)].as_py())])
+        return out
 
-def text_ids(text: str, words: WordIds, pattern: regex.Pattern) -> array:
-    ids = array("I")
-    for word in pattern.findall(text):
-        ids += words[word]
-    return ids
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
 
-def _encode(ranks, pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, words = regex.compile(pattern), WordIds(ranks.value)
-        for batch in batches:
-            ids = (text_ids(t or "", words, find).tobytes() for t in _values(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
 
-    return run
+def _shared(split: DataFrame, vocabulary: str):
+    """Broadcast ranks and ids of frequent words; both are of bounded size."""
+    ranks = load_ranks(vocabulary)
+    context = split.sparkSession.sparkContext
+    folded = merged_in_sql(frequent_words(split), ranks).collect()
+    return context.broadcast(ranks), context.broadcast({r["word"]: array("I", r["ids"]).tobytes() for r in folded})
 
 
-def _values(column: pa.Array) -> Iterator:
-    for x in column:
-        yield x.as_py()
+def encoded(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids): ids of the whole text as little-endian unsigned 32-bit integers.
 
+    Null counts as empty, and an empty text has no ids.  Repeated rows are encoded each.  Texts are never shuffled.
+    """
+    split = split_texts(docs, pattern, doc_id, text)
+    ranks, frequent = _shared(split, vocabulary)
 
-def _digests(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [b""] * (max(ranks.value.values(), default=-1) + 1)
-        for piece, rank in ranks.value.items():
-            pieces[rank] = piece
-        for batch in batches:
-            n, ids_sha, decoded_sha = [], [], []
-            for raw in batch.column("ids"):
-                ids = array("I", raw.as_py())
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                decoded_sha.append(hashlib.sha256(b"".join([pieces[i] for i in ids])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        words = WordIds(ranks.value, frequent.value, pattern)
+        for part in _parts(batches):
+            ids = words.of_texts(part.column("words"), part.column("odd"))
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
 
-    return run
+    return split.mapInArrow(run, "key long, ids binary").withColumnRenamed("key", "doc_id")
 
 
-def encoded(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): ids of the whole text as little-endian unsigned 32-bit integers.
+def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pieces
 
-    Null counts as empty, and an empty text has no ids.  Repeated rows are encoded each.  A map without a
-    shuffle; the rank map that is broadcast has the fixed size of the vocabulary file.
-    """
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
-    pairs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    return pairs.mapInArrow(_encode(ranks, pattern), "key long, ids binary").withColumnRenamed("key", "doc_id")
+
+def decoded_bytes(ids: bytes, pieces: list[bytes]) -> bytes:
+    return b"".join([pieces[i] for i in array("I", ids)])
 
 
 def decoded(ids: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, text) of a table (doc_id, ids)."""
-    ranks = docs_ranks = ids.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
+    ranks = ids.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = {rank: piece for piece, rank in docs_ranks.value.items()}
-        for batch in batches:
-            texts = [b"".join([pieces[i] for i in array("I", raw.as_py())]).decode() for raw in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+        pieces = _pieces(ranks.value)
+        for part in _parts(batches):
+            texts = [decoded_bytes(raw.as_py(), pieces).decode() for raw in part.column("ids")]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    del ranks
     return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 per row: every text is encoded, its ids decoded again."""
-    ids = encoded(docs, vocabulary, pattern, doc_id, text).withColumnRenamed("doc_id", "key")
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
-    return ids.mapInArrow(_digests(ranks), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", "doc_id")
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 per row: every text is encoded, its ids decoded again.
+
+    Null counts as empty; repeated rows are encoded each.  A batch of texts goes both ways in one task, since
+    ids of the whole corpus would be as large as its texts; what is written are the digests.
+    """
+    split = split_texts(docs, pattern, doc_id, text)
+    ranks, frequent = _shared(split, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pieces = WordIds(ranks.value, frequent.value, pattern), _pieces(ranks.value)
+        for part in _parts(batches):
+            ids = words.of_texts(part.column("words"), part.column("odd"))
+            n = pa.array([len(x) // 4 for x in ids], pa.int64())
+            shas = [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(decoded_bytes(x, pieces)).hexdigest() for x in ids])]
+            yield pa.RecordBatch.from_arrays([part.column("key"), n, *shas], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    with small_batches(docs.sparkSession, TEXTS):
+        return saved(split.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"), "bpe-digests")
 
 
 #: Parts of the literal rank map of ``merged_in_sql``: a look-up scans one part of a few entries.
@@ -173,8 +237,6 @@ MAP_PARTS = 4096
 
 def rank_literal(ranks: dict[bytes, int], parts: int = MAP_PARTS) -> Column:
     """The ranks as one foldable literal: an array of maps from hex pieces, parted by crc32."""
-    import zlib
-
     maps: list[dict[str, int]] = [{} for _ in range(parts)]
     for token, rank in ranks.items():
         key = token.hex().upper()

@@ -174,10 +174,38 @@ def test_bpe_round_trip(spark):
         ids = real.encode_ordinary(text)
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    # Words of every length, with bytes of every kind, folded by Spark alone.
+    words = ["", " the", "x" * 300, "".join(map(chr, range(33, 127))), "ü漢🙂" * 20, *{w for t in texts if t for w in t.split(" ")[:50]}]
+    folded = byte_bpe.merged_in_sql(spark.createDataFrame([(w,) for w in words], "word string"), ranks).collect()
+    assert {r["word"]: r["ids"] for r in folded} == {w: byte_bpe.merge_word(w.encode(), ranks) if w else [] for w in words}
     back = byte_bpe.decoded(byte_bpe.encoded(table(spark, TEXTS[8:12]), path, public_tokenizers.PATTERN), path)
     assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate(TEXTS[8:12]))
 
 
+def test_frequent_words_change_no_ids(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, TEXTS)
+    want = sorted(tuple(r) for r in byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN).collect())
+    for most in (0, 40):
+        monkeypatch.setattr(byte_bpe, "FREQUENT", most)
+        frequent = byte_bpe.frequent_words(byte_bpe.split_texts(docs, public_tokenizers.PATTERN)).count()
+        assert frequent <= most and sorted(tuple(r) for r in byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN).collect()) == want
+    assert byte_bpe.round_trip(docs.where("false"), path, public_tokenizers.PATTERN).collect() == []
+
+
+def test_every_code_point_is_cut_as_the_library_does(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = byte_bpe.load_ranks(path)
+    real = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    # Each code point between letters, digits, signs and white space, so that its class decides where words end.
+    texts = ["".join(f"a{c}1{c} {c}.{c}  " for c in chars[at : at + 256]) for at in range(0, len(chars), 256)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN).collect():
+        ids = real.encode_ordinary(texts[r["doc_id"]])
+        assert r["ids_sha256"] == hashlib.sha256(array("I", ids).tobytes()).hexdigest(), r["doc_id"]
+
+
 def base_rules(text):
     import re
 
