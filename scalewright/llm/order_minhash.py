@@ -358,20 +358,29 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, class_id) of all ids in ``links`` (a, b): the smallest id that links lead to.
 
-    Each round every id takes the smallest class of itself, its neighbours and its class's class; rounds
-    grow with the logarithm of the longest chain.  Every round is written, so lineage stays short.
+    Each round every id moves to its smallest neighbour, and on to where that one moves, and the links are
+    contracted to what still joins different ids; their number falls fast, so later rounds are small.  The
+    smallest id of a class never moves.  Every round is written, so lineage stays short.
     """
     n = 2 * links.count()
-    both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "omh-links", n)
-    labels = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).select(F.col("a").alias("id"), F.col("c").alias("class_id")), "omh-classes", n)
+    links = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "omh-links", n)
+    classes = None
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("class_id").alias("near"))
-        jump = labels.select(F.col("id").alias("via"), F.col("class_id").alias("far"))
-        new = labels.join(near, labels.id == near.a).join(jump, F.col("class_id") == F.col("via"))
-        new = saved(new.select("id", F.least("class_id", "near", "far").alias("class_id"), (F.least("near", "far") < F.col("class_id")).alias("changed")), "omh-classes", n)
-        labels = new.select("id", "class_id")
-        if new.where("changed").isEmpty():
-            return labels
+        ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        moved = saved(ends.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("p")), "omh-moves", n)
+        for _ in range(2):
+            on = moved.select(F.col("v").alias("w"), F.col("p").alias("q"))
+            moved = moved.join(on, F.col("p") == F.col("w")).select("v", F.col("q").alias("p"))
+        moved = saved(moved, "omh-moves", n)
+        if classes is None:
+            classes = moved.select(F.col("v").alias("id"), F.col("p").alias("class_id"))
+        else:
+            classes = saved(classes.join(moved, F.col("class_id") == F.col("v"), "left").select("id", F.coalesce("p", "class_id").alias("class_id")), "omh-classes", n)
+        one, other = moved.select(F.col("v").alias("a"), F.col("p").alias("pa")), moved.select(F.col("v").alias("b"), F.col("p").alias("pb"))
+        left = links.join(one, "a").join(other, "b").where("pa <> pb")
+        links = saved(left.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "omh-links", n)
+        if links.isEmpty():
+            return classes
 
 
 def _cross_pairs(group: pd.DataFrame) -> pd.DataFrame:

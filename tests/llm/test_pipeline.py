@@ -63,6 +63,19 @@ def test_dropping_copies_of_repeated_and_missing_ids(spark):
     assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in near.collect()) == [(0, "ab"), (0, "y"), (0, "z"), (1, "a b"), (1, "ab"), (3, ""), (4, "")]
 
 
+def test_components_of_chains_stars_and_rings(spark):
+    rng = random.Random(8)
+    links = [(i, i + 1) for i in range(100, 190)] + [(300, i) for i in range(200, 260)] + [(400 + i, 400 + (i + 1) % 37) for i in range(37)] + [(5, 5), (9, 7), (7, 9)]
+    links += [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(160)]
+    label = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for a, b in links * 300:
+        if a != b and label[a] != label[b]:
+            label[a] = label[b] = min(label[a], label[b])
+    got = order_minhash.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["id"]: r["class_id"] for r in got} == label and len(got) == len(label)
+    assert order_minhash.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def bare(text):
     return "".join(c for c in text or "" if c not in SPACES)
 
