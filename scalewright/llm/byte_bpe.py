@@ -165,8 +165,9 @@ def _shared(split: DataFrame, vocabulary: str):
     """Broadcast ranks and ids of frequent words; both are of bounded size."""
     ranks = load_ranks(vocabulary)
     context = split.sparkSession.sparkContext
-    folded = merged_in_sql(frequent_words(split), ranks).collect()
-    return context.broadcast(ranks), context.broadcast({r["word"]: array("I", r["ids"]).tobytes() for r in folded})
+    folded = merged_in_sql(frequent_words(split), ranks).toArrow()
+    ids = (array("I", x.as_py()).tobytes() for x in folded.column("ids"))
+    return context.broadcast(ranks), context.broadcast(dict(zip(folded.column("word").to_pylist(), ids)))
 
 
 def encoded(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -244,13 +245,30 @@ def rank_literal(ranks: dict[bytes, int], parts: int = MAP_PARTS) -> Column:
     return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
 
 
+def _folded(ranks: Column, hex_text: Column, parts: int) -> Column:
+    """Ids of a word in hex digits: the adjacent pieces of lowest rank are joined until no pair has a rank."""
+    none = F.lit(2147483647)
+
+    def rank(piece: Column) -> Column:
+        return ranks[(F.crc32(piece.cast("binary")) % parts).cast("int")][piece]
+
+    def joined(acc: Column) -> Column:
+        pairs = F.zip_with(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.slice(acc, 2, F.greatest(F.size(acc) - 1, F.lit(0))), lambda x, y: F.concat(x, y))
+        # transform over one element names a value that is used more than once.
+        return F.transform(F.array(F.transform(pairs, lambda k: F.coalesce(rank(k), none))), lambda r: F.when(F.coalesce(F.array_min(r), none) == none, acc).otherwise(
+            F.transform(F.array(F.array_position(r, F.array_min(r)).cast("int")), lambda p: F.concat(F.slice(acc, 1, p - 1), F.array(F.concat(acc[p - 1], acc[p])), F.slice(acc, p + 2, F.size(acc))))[0]
+        ))[0]
+
+    nothing = F.array().cast("array<string>")
+    pieces = F.when(F.length(hex_text) == 0, nothing).otherwise(F.transform(F.sequence(F.lit(1), F.length(hex_text), F.lit(2)), lambda i: F.substr(hex_text, i, F.lit(2))))
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(hex_text), F.lit(1))), pieces, lambda acc, _: joined(acc))
+    return F.transform(folded, rank)
+
+
 def merged_in_sql(words: DataFrame, ranks: dict[bytes, int], parts: int = MAP_PARTS) -> DataFrame:
-    """(word, ids) of a table of distinct words: the fold in Spark's higher-order functions alone."""
-    df = words.select("word").withColumn("ranks", rank_literal(ranks, parts)).withColumn("hex", F.hex(F.encode("word", "UTF-8")))
-    df = df.withColumn("pieces", F.expr("case when length(hex) = 0 then cast(array() as array<string>) else transform(sequence(1, length(hex), 2), i -> substr(hex, i, 2)) end"))
-    look_up = f"ranks[cast(crc32(cast(k as binary)) % {parts} as int)][k]"
-    step = f"""transform(array(transform(zip_with(slice(acc, 1, greatest(size(acc) - 1, 0)), slice(acc, 2, greatest(size(acc) - 1, 0)), (a, b) -> concat(a, b)), k -> coalesce({look_up}, 2147483647))),
-        r -> case when coalesce(array_min(r), 2147483647) = 2147483647 then acc else transform(array(cast(array_position(r, array_min(r)) as int)),
-            p -> concat(slice(acc, 1, p - 1), array(concat(acc[p - 1], acc[p])), slice(acc, p + 2, size(acc))))[0] end)[0]"""
-    df = df.withColumn("pieces", F.expr(f"aggregate(sequence(1, greatest(size(pieces), 1)), pieces, (acc, i) -> {step})"))
-    return df.select("word", F.expr(f"transform(pieces, k -> {look_up})").alias("ids"))
+    """(word, ids) of a table of distinct words: the fold in Spark's higher-order functions alone.
+
+    The literal map occurs once in the plan, bound to a lambda's variable.
+    """
+    hexed = words.select("word", F.hex(F.encode("word", "UTF-8")).alias("hex"))
+    return hexed.select("word", F.transform(F.array(rank_literal(ranks, parts)), lambda r: _folded(r, F.col("hex"), parts))[0].alias("ids"))
