@@ -5,13 +5,15 @@ Item statistics have a row per item and are broadcast; persons are only ever gro
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most items whose statistics are broadcast; wider tables join by key.
 BROADCAST_ITEMS = 100_000
+#: Probabilities of fixed models stay so far from 0 and 1.
+CLIP = 1e-10
 
 
 def _per_item(df: DataFrame, n_items: int) -> DataFrame:
@@ -88,17 +90,20 @@ def value_bands(r: DataFrame, n_items: int, kind: str = "facility", least: int =
     """(score, band): bands of equal scores that are never split, each of at least the target count.
 
     The distinct scores and their counts are folded in order; a thin last band joins the one before.  One
-    array of distinct scores is folded in one task; persons are not gathered.
+    array of distinct scores is folded in one task, since a band's start depends on the one before; persons are
+    not gathered.  ``adjusted`` scores are all but unique: round them before, to bound that array.
     """
     s = scores(r, n_items, kind).withColumn("score", F.round("score", 9))
     counts = s.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
     gathered = counts.agg(F.sort_array(F.collect_list(F.struct("score", "n"))).alias("c"), F.sum("n").alias("total"))
     gathered = gathered.withColumn("target", F.greatest(F.lit(max(2, least)), F.ceil(F.col("total") / (n_items + 1))))
-    fold = """aggregate(c, cast((0, 0L, array()) as struct<band: int, held: bigint, out: array<struct<score: double, band: int, n: bigint>>>), (s, v) ->
-        cast((if(s.held + v.n >= target, s.band + 1, s.band), if(s.held + v.n >= target, 0L, s.held + v.n), concat(s.out, array(struct(v.score, s.band, v.n))))
-            as struct<band: int, held: bigint, out: array<struct<score: double, band: int, n: bigint>>>),
-        s -> transform(s.out, o -> struct(o.score, if(s.held > 0 and s.band > 0 and o.band = s.band, s.band - 1, o.band) as band)))"""
-    return gathered.select(F.explode(F.expr(fold)).alias("o")).select("o.score", "o.band")
+    # The fold keeps what the open band holds and the last score of each closed one.  The last end bounds nothing: what
+    # lies above it, an open rest, belongs to the band that it closes.
+    fold = """aggregate(c, cast((0L, array()) as struct<held: bigint, ends: array<double>>), (s, v) ->
+        named_struct('held', if(s.held + v.n >= target, 0L, s.held + v.n), 'ends', if(s.held + v.n >= target, concat(s.ends, array(v.score)), s.ends)),
+        s -> slice(s.ends, 1, greatest(size(s.ends) - 1, 0)))"""
+    ends = gathered.select(F.expr(fold).alias("ends"))
+    return counts.join(F.broadcast(ends)).select("score", F.size(F.filter("ends", lambda e: e < F.col("score"))).alias("band"))
 
 
 def prepare_checks(r: DataFrame, n_items: int, least: int = 10) -> DataFrame:
@@ -124,7 +129,7 @@ def collapse_columns(cells: DataFrame) -> DataFrame:
     """Items of equal success totals merged: (score, col_rank, n_items, n_total, n_right)."""
     totals = cells.groupBy("item_id").agg(F.sum("n_right").alias("total"))
     ranked = totals.select("item_id", F.dense_rank().over(Window.orderBy("total")).alias("col_rank"))
-    return cells.join(F.broadcast(ranked), "item_id").groupBy("score", "col_rank").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n_total").cast("long").alias("n_total"), F.sum("n_right").cast("long").alias("n_right"))
+    return cells.join(ranked, "item_id").groupBy("score", "col_rank").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n_total").cast("long").alias("n_total"), F.sum("n_right").cast("long").alias("n_right"))
 
 
 def pattern_frequencies(packed: DataFrame) -> DataFrame:
@@ -135,7 +140,7 @@ def pattern_frequencies(packed: DataFrame) -> DataFrame:
 def recode_adjacent(r: DataFrame) -> DataFrame:
     """(person_id, item_id, step, y): 1 if x = step, 0 if x = step - 1, else NULL, for every step of the item."""
     top = r.groupBy("item_id").agg(F.max("x").alias("top")).where("top >= 1")
-    steps = r.join(F.broadcast(top), "item_id").withColumn("step", F.explode(F.sequence(F.lit(1), F.col("top"))))
+    steps = r.join(top, "item_id").withColumn("step", F.explode(F.sequence(F.lit(1), F.col("top"))))
     y = F.when(F.col("x") == F.col("step"), 1).when(F.col("x") == F.col("step") - 1, 0)
     return steps.select("person_id", "item_id", F.col("step").cast("int").alias("step"), y.cast("int").alias("y"))
 
@@ -175,16 +180,26 @@ def manifest_iio(r: DataFrame, n_items: int, least: int = 20) -> DataFrame:
     return summed.join(F.broadcast(persons)).select((F.col("s") / F.col("persons")).alias("statistic"))
 
 
-def mask_ranks(r: DataFrame, n_items: int) -> DataFrame:
-    """(person_id, n_answered, rank): persons by observed mean, by which masks are carried over; blanks last."""
+def mask_ranks(r: DataFrame, n_items: int, ids_per_group: int = 1 << 20) -> DataFrame:
+    """(person_id, n_answered, rank): persons by observed mean, by which masks are carried over; blanks last.
+
+    Persons are counted by mean and range of ids, the few counts are summed up in order, and persons are
+    numbered within their group, so no task sorts them all.
+    """
     s = r.groupBy("person_id").agg(F.count("x").alias("n_answered"), F.avg("x").alias("mean"))
-    return s.select("person_id", "n_answered", F.row_number().over(Window.orderBy(F.col("mean").asc_nulls_last(), "person_id")).alias("rank"))
+    s = s.withColumn("ids", F.floor(F.col("person_id") / ids_per_group))
+    groups = s.groupBy("mean", "ids").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.col("mean").asc_nulls_last(), "ids"))
+    groups = groups.select(F.col("mean").alias("of_mean"), F.col("ids").alias("of_ids"), (upto - F.col("n")).alias("before"))
+    within = s.withColumn("number", F.row_number().over(Window.partitionBy("mean", "ids").orderBy("person_id")))
+    joined = within.join(groups, F.col("mean").eqNullSafe(F.col("of_mean")) & (F.col("ids") == F.col("of_ids")))
+    return joined.select("person_id", "n_answered", (F.col("before") + F.col("number")).cast("int").alias("rank"))
 
 
 def cml_margins(r: DataFrame) -> DataFrame:
     """(item_id, step, reached): how often an answer reaches a step, among persons with neither none nor all steps."""
     top = r.groupBy("item_id").agg(F.max("x").alias("top"))
-    facts = r.where("x is not null").join(F.broadcast(top), "item_id")
+    facts = r.where("x is not null").join(top, "item_id")
     inner = facts.groupBy("person_id").agg(F.sum("x").alias("s"), F.sum("top").alias("m")).where("s > 0 and s < m").select("person_id")
     steps = facts.join(inner, "person_id", "left_semi").withColumn("step", F.explode(F.expr("sequence(1, greatest(top, 1))")))
     return steps.groupBy("item_id", "step").agg(F.sum((F.col("x") >= F.col("step")).cast("long")).alias("reached"))
@@ -224,12 +239,14 @@ def bernoulli_loglik(r: DataFrame) -> DataFrame:
 def posteriors(packed: DataFrame, weights: list[float], probs: list[list[float]]) -> DataFrame:
     """``packed`` with loglik and post: Bernoulli mixture of fixed parameters, missing answers left out.
 
-    ``probs`` holds a list per class.  One expression per class, evaluated where the row is.
+    ``probs`` holds a list per class; probabilities of 0 and 1 are kept off those ends by ``CLIP``.
     """
 
     def joint(k: int) -> Column:
-        terms = [F.when(F.col("x")[j].isNull(), F.lit(0.0)).when(F.col("x")[j] == 1, F.log(F.lit(p))).otherwise(F.log(F.lit(1 - p))) for j, p in enumerate(probs[k])]
-        return reduce(lambda a, b: a + b, terms, F.log(F.lit(weights[k])))
+        p = [min(max(v, CLIP), 1 - CLIP) for v in probs[k]]
+        right, wrong = (F.array(*[F.lit(math.log(v)) for v in side]) for side in (p, [1 - v for v in p]))
+        logs = F.zip_with(F.zip_with("x", right, lambda v, a: F.struct(v.alias("v"), a.alias("a"))), wrong, lambda s, b: F.when(s.v.isNull(), 0.0).when(s.v == 1, s.a).otherwise(b))
+        return F.aggregate(logs, F.lit(math.log(max(weights[k], 1e-300))), lambda s, v: s + v)
 
     df = packed.withColumn("joint", F.array(*[joint(k) for k in range(len(weights))]))
     df = df.withColumn("loglik", F.expr("array_max(joint) + ln(aggregate(joint, 0D, (s, v) -> s + exp(v - array_max(joint))))"))

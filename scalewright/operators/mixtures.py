@@ -1,9 +1,8 @@
 """Latent class and Rasch models fitted by EM on the table of distinct answer patterns.
 
-Spark folds persons into patterns and, in every step, patterns into expected counts: each partition returns one
-vector of sums for all starts together, and the vectors are added by position.  What reaches the driver has the size
-of the model (starts x classes x items x categories), whatever the number of persons.  The driver only turns expected
-counts into new parameters.
+Spark folds persons into patterns.  A small pattern table goes whole to one task per start.  Of a large one, every
+step folds patterns into expected counts: each partition returns one vector of sums for all starts together.  What
+reaches the driver has the size of the model (starts x classes x items x categories), whatever the number of persons.
 
 Missing answers (NULL) contribute nothing.  Ordered models sort classes by level, the free one by prevalence.
 """
@@ -24,8 +23,8 @@ from .counts import pattern_frequencies
 CLIP = 1e-10
 #: Nodes of the normal distribution of abilities.
 NODES = 61
-#: Distinct patterns that one task turns into expected counts.
-PATTERNS_PER_TASK = 20_000
+#: Distinct patterns that one task turns into expected counts at least, and the most tasks of a step.
+PATTERNS_PER_TASK, MOST_TASKS = 20_000, 512
 
 
 def weighted_pava(y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
@@ -104,33 +103,89 @@ def _posterior(seen: np.ndarray, weights: np.ndarray, probs: np.ndarray) -> tupl
     return np.exp(joint - loglik[:, None]), loglik
 
 
+def _sums(seen: np.ndarray, freq: np.ndarray, starts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Per start a row: loglik, class counts, counts per class, item and category, over one-hot patterns."""
+    n_classes = len(starts[0][0])
+    logs = np.log(np.maximum([p for _, p in starts], CLIP)).reshape(len(starts) * n_classes, -1)
+    prior = np.log(np.maximum([w for w, _ in starts], 1e-300)).ravel()
+    # All starts at once: one product for the logs, one for the counts.
+    joint = (seen @ logs.T + prior).reshape(len(seen), len(starts), n_classes)
+    top = joint.max(2, keepdims=True)
+    loglik = top[..., 0] + np.log(np.exp(joint - top).sum(2))
+    post = np.exp(joint - loglik[..., None]) * freq[:, None, None]
+    cells = (post.reshape(len(seen), -1).T @ seen).reshape(len(starts), -1)
+    return np.concatenate([(freq @ loglik)[:, None], post.sum(0), cells], axis=1)
+
+
+def _parted(sums: np.ndarray, shape: tuple[int, ...]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    return [(v[0], v[1 : 1 + shape[0]], v[1 + shape[0] :].reshape(shape)) for v in sums]
+
+
 def expected_counts(patterns: DataFrame, starts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """Per start (loglik, class counts, counts per class, item and category) over a table (x, freq)."""
     shape = starts[0][1].shape
     size = 1 + shape[0] * (1 + shape[1] * shape[2])
-    logs = np.log(np.maximum([p for _, p in starts], CLIP)).reshape(len(starts) * shape[0], -1)
-    prior = np.log(np.maximum([w for w, _ in starts], 1e-300)).ravel()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(starts) * size)
+        total = np.zeros((len(starts), size))
         for batch in batches:
-            if not len(batch):
-                continue
-            seen, freq = _one_hot(batch["x"], shape[1], shape[2]), batch["freq"].to_numpy(float)
-            # All starts at once: one product for the logs, one for the counts.
-            joint = (seen @ logs.T + prior).reshape(len(seen), len(starts), shape[0])
-            top = joint.max(2, keepdims=True)
-            loglik = top[..., 0] + np.log(np.exp(joint - top).sum(2))
-            post = np.exp(joint - loglik[..., None]) * freq[:, None, None]
-            cells = (post.reshape(len(seen), -1).T @ seen).reshape(len(starts), -1)
-            total += np.concatenate([(freq @ loglik)[:, None], post.sum(0), cells], axis=1).ravel()
-        yield pd.DataFrame({"sums": [total]})
-
-    sums = patterns.mapInPandas(run, "sums array<double>").select(F.posexplode("sums").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
-    out = np.zeros(len(starts) * size)
-    for row in sums.collect():  # as many rows as the model has cells
-        out[row["pos"]] = row["v"]
-    return [(v[0], v[1 : 1 + shape[0]], v[1 + shape[0] :].reshape(shape)) for v in out.reshape(len(starts), size)]
+            if len(batch):
+                total += _sums(_one_hot(batch["x"], shape[1], shape[2]), batch["freq"].to_numpy(float), starts)
+        yield pd.DataFrame({"sums": [total.tobytes()]})
+
+    # At most MOST_TASKS vectors of the model's size.
+    total = np.zeros((len(starts), size))
+    for row in patterns.mapInPandas(run, "sums binary").collect():
+        total += np.frombuffer(row["sums"]).reshape(total.shape)
+    return _parted(total, shape)
+
+
+def _climb(weights: np.ndarray, probs: np.ndarray, update: Callable, fixed_weights: bool, tol: float, max_iter: int):
+    """One EM run: yields parameters, gets their expected counts, returns (weights, probs, loglik, steps, converged)."""
+    last = -np.inf
+    for step in range(max_iter):
+        loglik, n, e = yield weights, probs
+        if step >= 3 and abs(loglik - last) < tol * (abs(loglik) + tol):
+            return weights, probs, loglik, step + 1, True
+        last, probs = loglik, update(e)
+        if not fixed_weights:
+            weights = n / n.sum()
+    loglik, _, _ = yield weights, probs  # a run that was ended early is judged by the parameters it returns
+    return weights, probs, loglik, max_iter, False
+
+
+def _climbed_together(patterns: DataFrame, runs: list) -> list[tuple]:
+    """Results of all runs, which share every pass over the patterns."""
+    ended: dict[int, tuple] = {}
+    asked = {k: next(run) for k, run in enumerate(runs)}
+    while asked:
+        ids = sorted(asked)
+        for k, found in zip(ids, expected_counts(patterns, [asked[k] for k in ids])):
+            try:
+                asked[k] = runs[k].send(found)
+            except StopIteration as end:
+                ended[k] = end.value
+                del asked[k]
+    return [ended[k] for k in range(len(runs))]
+
+
+def _climbed_apart(patterns: DataFrame, starts: list, shape: tuple[int, ...], climb: Callable) -> list[tuple]:
+    """Results of all runs, a task each, for a table of at most PATTERNS_PER_TASK patterns that each task gets whole."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        seen, freq, k = _one_hot(group["x"], shape[1], shape[2]), group["freq"].to_numpy(float), int(group["start"].iloc[0])
+        one, pars = climb(k)
+        asked = next(one)
+        while True:
+            try:
+                asked = one.send(_parted(_sums(seen, freq, [asked]), shape)[0])
+            except StopIteration as end:
+                weights, probs, loglik, steps, done = end.value
+                return pd.DataFrame({"start": [k], "weights": [weights.tobytes()], "probs": [np.ascontiguousarray(probs).tobytes()], "loglik": [loglik], "steps": [steps], "done": [done], "pars": [pars().tobytes()]})
+
+    each = patterns.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(len(starts) - 1))))
+    rows = {r["start"]: r for r in each.repartition(len(starts), "start").groupBy("start").applyInPandas(run, "start int, weights binary, probs binary, loglik double, steps int, done boolean, pars binary").collect()}
+    return [(np.frombuffer(r["weights"]), np.frombuffer(r["probs"]).reshape(shape), r["loglik"], r["steps"], r["done"], np.frombuffer(r["pars"])) for r in (rows[k] for k in range(len(starts)))]
 
 
 def _free(e: np.ndarray, tops: np.ndarray) -> np.ndarray:
@@ -209,7 +264,10 @@ def _starts(model: str, shares: np.ndarray, tops: np.ndarray, n_classes: int, n_
 
 
 def fit(patterns: DataFrame, model: str = "UN", n_classes: int = 2, n_starts: int = 10, tol: float = 1e-6, seed: int = 1, max_iter: int | None = None) -> Fit:
-    """The best of ``n_starts`` EM runs on a table (x, freq), all runs in the same pass over the patterns.
+    """The best of ``n_starts`` EM runs on a table (x, freq).
+
+    Runs on up to PATTERNS_PER_TASK patterns are a task each; on more, all runs share each pass over the patterns.
+    Both take the same steps.
 
     UN: free classes; MON: nondecreasing over classes; IIO: items in one order in every class; DM: both; LCR: Rasch or
     partial-credit items over free classes; RM: the same over a normal distribution (one start).  MON, IIO and DM
@@ -246,40 +304,39 @@ def fit(patterns: DataFrame, model: str = "UN", n_classes: int = 2, n_starts: in
         pars = [np.concatenate([a, *easy]) for a in lead]
         probs = [step_table(ability @ v[: ability.shape[1]], _split(v, ability.shape[1], tops), n_cat) for v in pars]
 
-    def update(s: int, e: np.ndarray) -> np.ndarray:
-        if ability is not None:
-            k = ability.shape[1]
-            pars[s] = _newton(e, pars[s], ability, tops)
-            if model == "RM":
-                pars[s][0] = np.clip(abs(pars[s][0]), 0.02, 20)
-            return step_table(ability @ pars[s][:k], _split(pars[s], k, tops), n_cat)
-        p = _free(e, tops)
-        if model == "UN":
-            return p
-        project: dict[str, Callable] = {"MON": lambda q: monotone(q, e.sum(2)), "IIO": lambda q: item_ordered(q, order), "DM": lambda q: doubly_monotone(q, e.sum(2), order)}
-        right = np.clip(project[model](p[:, :, 1]), CLIP, 1 - CLIP)
-        return np.stack([1 - right, right], 2)
-
-    patterns = patterns.repartition(1 + n_patterns // PATTERNS_PER_TASK).persist()
-    try:
-        last, running, loglik, steps, done = [-np.inf] * len(probs), set(range(len(probs))), [-np.inf] * len(probs), [0] * len(probs), [False] * len(probs)
-        for it in range(max_iter or (1000 if model == "UN" else 500)):
-            if not running:
-                break
-            ids = sorted(running)
-            for s, (ll, n, e) in zip(ids, expected_counts(patterns, [(weights[s], probs[s]) for s in ids])):
-                last[s], loglik[s], steps[s] = loglik[s], ll, it + 1
-                if it >= 3 and abs(ll - last[s]) < tol * (abs(ll) + tol):
-                    running.discard(s)
-                    done[s] = True
-                    continue
-                probs[s] = update(s, e)
-                if model != "RM":
-                    weights[s] = n / n.sum()
-        for s, (ll, _, _) in zip(sorted(running), expected_counts(patterns, [(weights[s], probs[s]) for s in sorted(running)]) if running else []):
-            loglik[s] = ll  # a run that was ended early is judged by the parameters it returns
-    finally:
-        patterns.unpersist()
+    def updater(par: list) -> Callable[[np.ndarray], np.ndarray]:
+        """The M step of one run, whose abilities and steps are in ``par``."""
+
+        def update(e: np.ndarray) -> np.ndarray:
+            if ability is not None:
+                k = ability.shape[1]
+                par[0] = _newton(e, par[0], ability, tops)
+                if model == "RM":
+                    par[0][0] = np.clip(abs(par[0][0]), 0.02, 20)
+                return step_table(ability @ par[0][:k], _split(par[0], k, tops), n_cat)
+            p = _free(e, tops)
+            if model == "UN":
+                return p
+            project: dict[str, Callable] = {"MON": lambda q: monotone(q, e.sum(2)), "IIO": lambda q: item_ordered(q, order), "DM": lambda q: doubly_monotone(q, e.sum(2), order)}
+            right = np.clip(project[model](p[:, :, 1]), CLIP, 1 - CLIP)
+            return np.stack([1 - right, right], 2)
+
+        return update
+
+    def climb(s: int):
+        par = [np.zeros(0) if pars is None else pars[s].copy()]
+        return _climb(weights[s], probs[s], updater(par), model == "RM", tol, max_iter or (1000 if model == "UN" else 500)), lambda: np.asarray(par[0], float)
+
+    if n_patterns <= PATTERNS_PER_TASK:
+        results = _climbed_apart(patterns, probs, probs[0].shape, climb)
+    else:
+        patterns = patterns.repartition(1 + min(n_patterns // PATTERNS_PER_TASK, MOST_TASKS - 1)).persist()
+        try:
+            runs = [climb(s) for s in range(len(probs))]
+            results = [(*r, last()) for r, (_, last) in zip(_climbed_together(patterns, [run for run, _ in runs]), runs)]
+        finally:
+            patterns.unpersist()
+    weights, probs, loglik, steps, done, pars = (list(column) for column in zip(*results))
     best = int(np.argmax(loglik))
     w, p = weights[best], probs[best]
     k = ability.shape[1] if ability is not None else 0

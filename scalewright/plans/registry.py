@@ -16,8 +16,8 @@ from ..operators import mixtures as M
 from ..sources.responses import from_orders, packed
 
 ITEMS = 8
-#: EM runs of a registered fit; all share their passes, and the slowest one sets the number of passes.
-STARTS = 3
+#: EM runs of a registered fit, the default.
+STARTS = 10
 #: Two fixed classes for the scoring queries.
 WEIGHTS = [0.4, 0.6]
 PROBS = [[round(0.9 - 0.1 * j, 2) for j in range(ITEMS)], [round(0.97 - 0.06 * j, 2) for j in range(ITEMS)]]
@@ -196,7 +196,15 @@ def _pairs() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
             lambda s, d: rounded(C.dominance_mass(_class_table(s, d)), "mass"),
             _B + _CLASSES + "SELECT a.class_id AS lower, h.class_id AS upper, ROUND(AVG(GREATEST(0.0, h.p - a.p)), 6) AS mass FROM tab a JOIN tab h ON a.item_id = h.item_id AND a.class_id <> h.class_id GROUP BY 1, 2",
         ),
-        "value_bands": (lambda s, d: rounded(C.value_bands(b(s, d), ITEMS), "score"), ""),
+        "value_bands": (
+            lambda s, d: rounded(C.value_bands(b(s, d), ITEMS), "score"),
+            _B.replace("WITH raw", "WITH RECURSIVE raw") + """, sc AS (SELECT ROUND(AVG(x), 9) AS score FROM r GROUP BY person_id), c AS (SELECT score, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER BY score) AS rn FROM sc GROUP BY 1),
+            t AS (SELECT GREATEST(10, CEIL(COUNT(*) / 9.0)) AS target FROM sc),
+            g AS (SELECT rn, 0 AS band, CASE WHEN n >= target THEN 0 ELSE n END AS held, n >= target AS closed FROM c, t WHERE rn = 1
+                UNION ALL SELECT c.rn, g.band + CAST(g.closed AS INT), CASE WHEN g.held + c.n >= target THEN 0 ELSE g.held + c.n END, g.held + c.n >= target FROM g JOIN c ON c.rn = g.rn + 1, t),
+            z AS (SELECT MAX(band) FILTER (WHERE closed) AS lastband FROM g)
+            SELECT ROUND(score, 6) AS score, CAST(LEAST(band, COALESCE(lastband, 0)) AS INT) AS band FROM g JOIN c USING (rn), z""",
+        ),
     }
 
 

@@ -30,7 +30,11 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(responses: DataFrame, n_items: int, value: str = "x") -> DataFrame:
-    """(person_id, x ARRAY<INT>): one element per item in order, NULL where the answer is missing."""
-    answers = F.map_from_entries(F.collect_list(F.struct("item_id", value)))
-    lists = responses.where(F.col(value).isNotNull()).groupBy("person_id").agg(answers.alias("m"))
+    """(person_id, x ARRAY<INT>): one element per item in order, NULL where the answer is missing.
+
+    Of rows repeated under one person and item the largest answer counts.  One shuffle serves both groupings.
+    """
+    by_person = responses.where(F.col(value).isNotNull()).select("person_id", "item_id", value).repartition("person_id")
+    once = by_person.groupBy("person_id", "item_id").agg(F.max(value).alias(value))
+    lists = once.groupBy("person_id").agg(F.map_from_entries(F.collect_list(F.struct("item_id", value))).alias("m"))
     return lists.select("person_id", F.transform(F.sequence(F.lit(0), F.lit(n_items - 1)), lambda i: F.col("m")[i]).alias("x"))

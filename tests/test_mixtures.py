@@ -81,3 +81,15 @@ def test_wrong_requests_are_refused(spark):
         M.fit(t, "other")
     with pytest.raises(ValueError):
         M.fit(spark.createDataFrame([], "x array<int>, freq long"))
+
+
+def test_runs_apart_and_together_agree(spark, monkeypatch):
+    people = [[int(R.random() < (0.8 if i % 2 else 0.3)) for _ in range(5)] for i in range(300)]
+    patterns = table(spark, people)
+    for model in ("UN", "MON", "LCR"):
+        monkeypatch.setattr(M, "PATTERNS_PER_TASK", 20_000)
+        apart = M.fit(patterns, model, n_starts=2)
+        monkeypatch.setattr(M, "PATTERNS_PER_TASK", 7)
+        together = M.fit(patterns, model, n_starts=2)
+        assert (apart.iterations, apart.converged) == (together.iterations, together.converged)
+        assert apart.loglik == pytest.approx(together.loglik) and np.allclose(apart.probs, together.probs, atol=1e-6)
