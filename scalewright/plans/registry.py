@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cancellation as K
 from ..operators import counts as C
 from ..operators import mixtures as M
+from ..operators import selection as S
 from ..sources.responses import from_orders, packed
 
 ITEMS = 8
@@ -59,6 +61,40 @@ def _item_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.item_facility(binary(spark, sf_dir)).select(F.concat(F.lit("item"), F.col("item_id")).alias("name"), (F.col("facility") / 20).alias("p"))
 
 
+def _closed_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits known without iteration: one probability for all, one per item, and the fixed classes."""
+    r = binary(spark, sf_dir)
+    one = r.agg(F.avg("x").alias("p"), F.count("x").alias("n"), F.countDistinct("person_id").alias("n_obs"))
+    one = one.select(F.lit("COMMON").alias("model"), (F.col("n") * (F.col("p") * F.log("p") + (1 - F.col("p")) * F.log(1 - F.col("p")))).alias("loglik"), F.lit(1).alias("n_par"), "n_obs")
+    items = C.bernoulli_loglik(r).select(F.lit("ITEMS").alias("model"), "loglik", F.col("n_par").cast("int").alias("n_par"), "n_obs")
+    fixed = _scored(spark, sf_dir).agg(F.sum("loglik").alias("loglik"), F.count(F.lit(1)).alias("n_obs")).select(F.lit("CLASSES").alias("model"), "loglik", F.lit(17).alias("n_par"), "n_obs")
+    return one.unionByName(items).unionByName(fixed)
+
+
+def _g2(spark: SparkSession, sf_dir: str, classes: bool) -> DataFrame:
+    """(g2, df, n_obs) over complete patterns, of the fixed classes or of items taken as independent."""
+    whole = packed(C.complete_cases(binary(spark, sf_dir), ITEMS), ITEMS)
+    if classes:
+        weights, probs, n_par = WEIGHTS, PROBS, 17
+    else:
+        weights, n_par = [1.0], ITEMS
+        rate = C.item_facility(C.complete_cases(binary(spark, sf_dir), ITEMS)).orderBy("item_id").collect()  # a row per item
+        probs = [[r["facility"] for r in rate]]
+    patterns = C.posteriors(C.pattern_frequencies(whole), weights, probs)
+    n = F.sum("freq")
+    return patterns.agg(n.alias("n_obs"), (2 * (F.sum(F.col("freq") * (F.log("freq") - F.col("loglik"))) - n * F.log(n))).alias("g2")).withColumn("df", F.lit(2**ITEMS - 1 - n_par))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = C.prepare_checks(binary(spark, sf_dir), ITEMS)
+    return counts.select(F.col("score").alias("row"), F.col("facility_rank").alias("col"), "n_total", "n_right")
+
+
+def _graded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = C.polytomous_counts(graded(spark, sf_dir), ITEMS)
+    return counts.select(F.col("score").alias("row"), (F.col("item_id") * 10 + F.col("step")).alias("col"), "n_total", "n_right")
+
+
 _R = """WITH raw AS (SELECT o_custkey AS person_id, CAST(l_partkey % 8 AS INT) AS item_id,
     MAX(CASE WHEN l_quantity > 20 + 4 * (l_partkey % 8) THEN 1 ELSE 0 END) AS xb,
     LEAST(3, SUM(CASE WHEN l_quantity > 20 + 4 * (l_partkey % 8) THEN 1 ELSE 0 END)) AS xg
@@ -91,6 +127,11 @@ _RES = f""", res AS (SELECT person_id, item_id, x, p0 * {_literal(PROBS[0])}[ite
 _CLASSES = """, cls AS (SELECT person_id, CAST(FLOOR(AVG(x) * 3.99) AS INT) AS class_id FROM r GROUP BY 1),
 tab AS (SELECT class_id, item_id, AVG(x) AS p FROM r JOIN cls USING (person_id) GROUP BY 1, 2)
 """
+_CLOSED = """, n0 AS (SELECT COUNT(DISTINCT person_id) AS n_obs FROM r),
+closed AS (SELECT 'COMMON' AS model, COUNT(x) * (AVG(x) * LN(AVG(x)) + (1 - AVG(x)) * LN(1 - AVG(x))) AS loglik, 1 AS n_par, (SELECT n_obs FROM n0) AS n_obs FROM r
+    UNION ALL SELECT 'ITEMS', SUM(successes * LN(facility) + (n - successes) * LN(1 - facility)), 8, (SELECT n_obs FROM n0) FROM fac
+    UNION ALL SELECT 'CLASSES', SUM(loglik), 17, (SELECT n_obs FROM n0) FROM post)
+"""
 
 
 def _pairs() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
@@ -196,6 +237,26 @@ def _pairs() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
             lambda s, d: rounded(C.dominance_mass(_class_table(s, d)), "mass"),
             _B + _CLASSES + "SELECT a.class_id AS lower, h.class_id AS upper, ROUND(AVG(GREATEST(0.0, h.p - a.p)), 6) AS mass FROM tab a JOIN tab h ON a.item_id = h.item_id AND a.class_id <> h.class_id GROUP BY 1, 2",
         ),
+        "compare_fits": (
+            lambda s, d: rounded(S.compared(_closed_fits(s, d)), "loglik", "aic", "bic", "sabic", "delta"),
+            _B + _POST + _CLOSED + "SELECT model, ROUND(loglik, 6) AS loglik, n_par, n_obs, ROUND(aic, 6) AS aic, ROUND(bic, 6) AS bic, ROUND(sabic, 6) AS sabic, ROUND(bic - MIN(bic) OVER (), 6) AS delta, CAST(ROW_NUMBER() OVER (ORDER BY bic, n_par, model) AS INT) AS rank FROM (SELECT *, -2 * loglik + 2 * n_par AS aic, -2 * loglik + n_par * LN(n_obs) AS bic, -2 * loglik + n_par * LN((n_obs + 2) / 24) AS sabic FROM closed)",
+        ),
+        "lr_statistics": (
+            lambda s, d: rounded(S.lr_test(_closed_fits(s, d)).drop("p_value"), "statistic"),
+            _B + _POST + _CLOSED + "SELECT a.model AS restricted, g.model AS general, ROUND(2 * (g.loglik - a.loglik), 6) AS statistic, g.n_par - a.n_par AS df FROM closed a JOIN closed g ON a.n_par < g.n_par",
+        ),
+        "relative_fit": (
+            lambda s, d: rounded(S.relative_fit(_g2(s, d, True), _g2(s, d, False)), "cfi", "tli", "rmsea"),
+            _B + ", w AS (SELECT r.* FROM r JOIN whole USING (person_id)), f AS (SELECT item_id, AVG(x) AS p FROM w GROUP BY 1), k AS (SELECT person_id, STRING_AGG(CAST(x AS VARCHAR), '' ORDER BY item_id) AS pattern, "
+            + ", ".join(f"LN(CAST({WEIGHTS[c]} AS DOUBLE)) + SUM(CASE WHEN x = 1 THEN LN({_literal(PROBS[c])}[item_id + 1]) ELSE LN(1 - {_literal(PROBS[c])}[item_id + 1]) END) AS j{c}" for c in range(2))
+            + ", SUM(CASE WHEN x = 1 THEN LN(p) ELSE LN(1 - p) END) AS i0 FROM w JOIN f USING (item_id) GROUP BY 1), c AS (SELECT pattern, COUNT(*) AS n, ANY_VALUE(GREATEST(j0, j1) + LN(1 + EXP(-ABS(j0 - j1)))) AS l1, ANY_VALUE(i0) AS l0 FROM k GROUP BY 1), "
+            + "t AS (SELECT SUM(n) AS m, 2 * (SUM(n * (LN(n) - l1)) - SUM(n) * LN(SUM(n))) AS g, 2 * (SUM(n * (LN(n) - l0)) - SUM(n) * LN(SUM(n))) AS g0, 238.0 AS d, 247.0 AS d0 FROM c) "
+            + "SELECT ROUND(CASE WHEN GREATEST(g - d, g0 - d0, 0) > 0 THEN 1 - GREATEST(g - d, 0) / GREATEST(g - d, g0 - d0, 0) ELSE 1 END, 6) AS cfi, ROUND((g0 / d0 - g / d) / (g0 / d0 - 1), 6) AS tli, ROUND(SQRT(GREATEST(g - d, 0) / (d * (m - 1))), 6) AS rmsea FROM t",
+        ),
+        "rasch_departures": (
+            lambda s, d: rounded(S.rasch_departures(_class_table(s, d)), "departure"),
+            _B + _CLASSES + ", lg AS (SELECT class_id, item_id, LN(q / (1 - q)) AS v FROM (SELECT *, GREATEST(1e-10, LEAST(1 - 1e-10, p)) AS q FROM tab)) SELECT class_id, item_id, ROUND(v - AVG(v) OVER (PARTITION BY class_id) - AVG(v) OVER (PARTITION BY item_id) + AVG(v) OVER (), 6) AS departure FROM lg",
+        ),
         "value_bands": (
             lambda s, d: rounded(C.value_bands(b(s, d), ITEMS), "score"),
             _B.replace("WITH raw", "WITH RECURSIVE raw") + """, sc AS (SELECT ROUND(AVG(x), 9) AS score FROM r GROUP BY person_id), c AS (SELECT score, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER BY score) AS rn FROM sc GROUP BY 1),
@@ -246,8 +307,35 @@ def _fits() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.pattern_frequencies(packed(binary(spark, sf_dir), ITEMS))
+
+
+def _checks(check: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: rounded(K.checked_cells(K.conjoint_checks(_cells(s, d), check, "all")), "rate")
+
+
+def _decisions() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Choices between fits and sampled checks; tests compare them with direct computation."""
+    few = {"n_starts": 3}
+    criteria = ("loglik", "aic", "bic", "sabic", "delta")
+    out = {f"cancellation_{check}": _checks(check) for check in ("single", "single_rows", "single_columns", "double", "double_only", "triple", "triple_only")}
+    return out | {
+        "cancellation_means": lambda s, d: rounded(K.violation_means(K.checked_cells(K.conjoint_checks(_cells(s, d), "double", "all"))), "unweighted", "weighted"),
+        "cancellation_columns": lambda s, d: rounded(K.column_means(K.checked_cells(K.conjoint_checks(_cells(s, d), "double"))), "rate"),
+        "cancellation_hierarchy": lambda s, d: K.hierarchy(_cells(s, d), "all").groupBy("status").count(),
+        "poly_counts_pruned": lambda s, d: K.dense_core(_graded_cells(s, d)),
+        "compare_models": lambda s, d: rounded(S.compare_models(_patterns(s, d), ("UN", "MON", "IIO", "DM", "LCR", "RM"), **few)[0], *criteria),
+        "successive_comparison": lambda s, d: rounded(S.successive_comparison(S.compare_models(_patterns(s, d), ("UN", "MON", "IIO", "DM", "LCR"), **few)[0]), "gain"),
+        "select_n_classes": lambda s, d: rounded(S.select_n_classes(_patterns(s, d), range(1, 5), **few)[0], *criteria),
+        "compare_rm_lcr": lambda s, d: rounded(S.compare_rm_lcr(_patterns(s, d), **few)[1], "rm", "lcr", "difference"),
+        "coefficients": lambda s, d: rounded(S.coefficients(s, M.fit(_patterns(s, d), "DM", **few)), "p", "logit"),
+        "standard_errors": lambda s, d: rounded(S.standard_errors(t := _patterns(s, d), M.fit(t, "UN", **few)), "estimate", "se"),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for name, (query, _) in _pairs().items()} | _fits()
+    return {name: query for name, (query, _) in _pairs().items()} | _fits() | _decisions()
 
 
 def oracle_sql() -> dict[str, str]:

@@ -84,8 +84,7 @@ def test_wrong_requests_are_refused(spark):
 
 
 def test_runs_apart_and_together_agree(spark, monkeypatch):
-    people = [[int(R.random() < (0.8 if i % 2 else 0.3)) for _ in range(5)] for i in range(300)]
-    patterns = table(spark, people)
+    patterns = table(spark, drawn(np.array([[0.8] * 5, [0.3] * 5]), 300))
     for model in ("UN", "MON", "LCR"):
         monkeypatch.setattr(M, "PATTERNS_PER_TASK", 20_000)
         apart = M.fit(patterns, model, n_starts=2)
