@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import new_path, saved
+from .store import new_path, saved, small_batches
 
 CHUNK = 1 << 16
 FILE_RECORDS = 512
+#: Chunks that a Python task holds at once.
+CHUNKS = 512
 #: Equal payloads shorter than this are all stored.
 LEAST_REVISIT = 100
 END = "\r\n\r\n"
@@ -46,24 +48,23 @@ def chunk_table(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Running digest over (page_id, chunk_no, n_chunks, data); one row per record after its last chunk."""
+    """Running digest over (page_id, mark, chunk_no, n_chunks, data); one row per record after its last chunk."""
     running, length = hashlib.sha256(), 0
     for batch in batches:
-        ids, out = batch.column("page_id"), ([], [], [])
+        ids, marks, out = batch.column("page_id"), batch.column("mark"), ([], [], [], [])
         for i, (no, n, data) in enumerate(zip(batch.column("chunk_no").to_pylist(), batch.column("n_chunks").to_pylist(), batch.column("data"))):
             if no == 0:
                 running, length = hashlib.sha256(), 0
             running.update(data.as_buffer())
             length += len(data.as_buffer())
             if no == n - 1:
-                out[0].append(ids[i].as_py())
-                out[1].append(length)
-                out[2].append(running.hexdigest())
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["page_id", "payload_bytes", "payload_digest"])
+                for column, value in zip(out, (ids[i].as_py(), marks[i].as_py(), length, running.hexdigest())):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], ["page_id", "mark", "payload_bytes", "payload_digest"])
 
 
 def chunk_digests(chunks: DataFrame) -> DataFrame:
-    return chunks.select("page_id", "chunk_no", "n_chunks", "data").mapInArrow(_digests, "page_id long, payload_bytes long, payload_digest string")
+    return chunks.select("page_id", "mark", "chunk_no", "n_chunks", "data").mapInArrow(_digests, "page_id long, mark long, payload_bytes long, payload_digest string")
 
 
 def _head(kind: str, uri: str, fields: list[tuple[str, str]], length: int) -> bytes:
@@ -100,7 +101,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_revisits(digests: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) for (page_id, payload_bytes, payload_digest).
+    """(page_id, mark, payload_bytes, payload_digest, record_type, refers_to) for (page_id, mark, payload_bytes, payload_digest).
 
     Among equal digests of ``LEAST_REVISIT`` bytes or more the smallest page_id is the response.  The
     minimum pre-aggregates in the map tasks, so a payload shared by most pages is no hot key.
@@ -108,7 +109,7 @@ def with_revisits(digests: DataFrame) -> DataFrame:
     first = digests.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("first"))
     revisits = F.col("first") != F.col("page_id")
     return digests.join(first, "payload_digest", "left").select(
-        "page_id", "payload_bytes", "payload_digest", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("first")).alias("refers_to")
+        "page_id", "mark", "payload_bytes", "payload_digest", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("first")).alias("refers_to")
     )
 
 
@@ -118,17 +119,22 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     Null payloads count as empty and null URLs as an empty URI.  Rows repeated under one page_id are all
     responses if it is the smallest of its payload.  Pages without an id are stored as responses.
     """
-    payloads = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.encode(F.coalesce(F.col(f"`{html}`"), F.lit("")), "UTF-8").alias("payload"))
-    digests = saved(chunk_digests(chunk_table(payloads.select("page_id", "payload"), chunk)).distinct(), "warc-digests")
-    kinds = saved(with_revisits(digests), "warc-kinds").withColumnRenamed("page_id", "known_id")
-    # A repeated page_id can come with several payloads: the digest decides which is meant.
-    typed = payloads.withColumn("digest", F.sha2("payload", 256)).join(kinds, F.expr("page_id <=> known_id and digest = payload_digest"))
-    payload = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    rows = typed.select("page_id", "url", F.col("payload_bytes").alias("full_bytes"), "payload_digest", "record_type", "refers_to", payload.alias("payload"))
-    cut = chunk_table(rows, chunk).drop("payload_bytes").withColumnRenamed("full_bytes", "payload_bytes")
-    records = cut.mapInArrow(_segments, "record binary")
+    # The mark tells payloads apart that come under one page_id; a page's record is known by both.
+    payload = F.encode(F.coalesce(F.col(f"`{html}`"), F.lit("")), "UTF-8")
+    payloads = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), payload.alias("payload")).withColumn("mark", F.xxhash64("payload"))
+    cut = chunk_table(payloads, chunk)
+    with small_batches(pages.sparkSession, CHUNKS):
+        digests = saved(chunk_digests(cut).distinct(), "warc-digests")
+    kinds = saved(with_revisits(digests), "warc-kinds").select(F.col("page_id").alias("known_id"), F.col("mark").alias("known_mark"), F.col("payload_bytes").alias("full_bytes"), "payload_digest", "record_type", "refers_to")
+    # What is joined and moved are chunks; of a revisit only the first is left, without its bytes.
+    typed = cut.join(kinds, F.col("page_id").eqNullSafe(F.col("known_id")) & (F.col("mark") == F.col("known_mark")))
+    response = F.col("record_type") == "response"
+    typed = typed.where(response | (F.col("chunk_no") == 0)).withColumn("data", F.when(response, F.col("data")).otherwise(F.lit(b"")))
+    rows = typed.select("page_id", "url", F.col("full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "chunk_no", "n_chunks", "data")
+    records = rows.mapInArrow(_segments, "record binary")
     # The cast keeps the bytes as they are; the text writer copies them.
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    with small_batches(pages.sparkSession, CHUNKS):
+        records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse_archive(content: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
