@@ -57,11 +57,10 @@ def chi2_tail(x: float, df: float) -> float:
 
 
 def lr_test(table: DataFrame) -> DataFrame:
-    """(restricted, general, statistic, df) of every two fits of a table, the one with fewer parameters being restricted.
+    """(restricted, general, statistic, df, p_value) of every two fits of a table, the one with fewer parameters being restricted.
 
     With df 0 the two differ by inequalities alone, and no chi-square law holds; ``p_value`` is null then.
     """
-    tail = {}
     a, b = (table.select(F.col("model").alias(m), F.col("loglik").alias(f"l{m}"), F.col("n_par").alias(f"k{m}")) for m in ("restricted", "general"))
     pairs = a.join(b, (F.col("krestricted") < F.col("kgeneral")) | ((F.col("krestricted") == F.col("kgeneral")) & (F.col("restricted") < F.col("general"))))
     pairs = pairs.select("restricted", "general", (2 * (F.col("lgeneral") - F.col("lrestricted"))).alias("statistic"), (F.col("kgeneral") - F.col("krestricted")).alias("df"))
