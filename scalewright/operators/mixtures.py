@@ -25,6 +25,7 @@ CLIP = 1e-10
 NODES = 61
 #: Distinct patterns that one task turns into expected counts at least, and the most tasks of a step.
 PATTERNS_PER_TASK, MOST_TASKS = 20_000, 512
+MODELS = ("UN", "MON", "IIO", "DM", "LCR", "RM")
 
 
 def weighted_pava(y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
@@ -74,6 +75,42 @@ def doubly_monotone(p: np.ndarray, weight: np.ndarray, order: np.ndarray, tol: f
     return x
 
 
+def tilted(p: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Distributions over the last axis, reweighted by exp(category * t) so that they have the given means."""
+    at, low, high = np.arange(p.shape[-1]), np.full(mean.shape, -60.0), np.full(mean.shape, 60.0)
+    for _ in range(60):
+        t = (low + high) / 2
+        logit = np.log(np.maximum(p, 1e-300)) + at * t[..., None]
+        q = np.exp(logit - logit.max(-1, keepdims=True)) * (p > 0)
+        q /= q.sum(-1, keepdims=True)
+        above = q @ at > mean
+        low, high = np.where(above, low, t), np.where(above, t, high)
+    return q
+
+
+def graded_ordered(p: np.ndarray, weight: np.ndarray, order: np.ndarray, model: str, cycles: int = 20) -> np.ndarray:
+    """A table classes x items x categories near ``p`` that keeps the orders of ``model``: MON, IIO, or DM for both.
+
+    Every P(answer >= x) becomes nondecreasing over classes; thresholds stay in order, as they are pooled with the same
+    weights.  Means of items are ordered within a class, and each distribution is tilted to its new mean.  For
+    both orders the two steps take turns until the means stay.
+    """
+    at = np.arange(p.shape[2])
+    for _ in range(cycles if model == "DM" else 1):
+        before = p @ at
+        if model != "MON":
+            wanted = item_ordered(p @ at, order)
+            moved = np.abs(wanted - p @ at) > 1e-12
+            p = np.where(moved[:, :, None], tilted(p, wanted), p)
+        if model != "IIO":
+            upto = np.stack([monotone(p[:, :, x:].sum(2), weight) for x in range(1, len(at))], 2)
+            upto = np.concatenate([np.ones_like(upto[:, :, :1]), upto, np.zeros_like(upto[:, :, :1])], 2)
+            p = np.maximum(upto[:, :, :-1] - upto[:, :, 1:], 0)
+        if np.abs(p @ at - before).max() < 1e-10:
+            break
+    return p
+
+
 @dataclass
 class Fit:
     """Parameters of the best start.  ``probs`` is classes x items x categories."""
@@ -263,30 +300,61 @@ def _starts(model: str, shares: np.ndarray, tops: np.ndarray, n_classes: int, n_
     return out
 
 
-def fit(patterns: DataFrame, model: str = "UN", n_classes: int = 2, n_starts: int = 10, tol: float = 1e-6, seed: int = 1, max_iter: int | None = None) -> Fit:
+def fit(patterns: DataFrame, model: str = "UN", n_classes: int = 2, n_starts: int = 10, tol: float = 1e-6, seed: int = 1, max_iter: int | None = None, also: list[Fit] | None = None) -> Fit:
     """The best of ``n_starts`` EM runs on a table (x, freq).
 
     Runs on up to PATTERNS_PER_TASK patterns are a task each; on more, all runs share each pass over the patterns.
     Both take the same steps.
 
     UN: free classes; MON: nondecreasing over classes; IIO: items in one order in every class; DM: both; LCR: Rasch or
-    partial-credit items over free classes; RM: the same over a normal distribution (one start).  MON, IIO and DM
-    take binary answers.  A run ends when the loglik changes by less than ``tol`` of its size, after 3 steps at least.
+    partial-credit items over free classes; RM: the same over a normal distribution (one start).  On graded answers
+    MON orders every P(answer >= x) over classes and IIO the mean answers of items.  A run ends when the loglik changes by less than ``tol`` of its size, after 3 steps at least.
+    Latent class fits in ``also`` with the same number of classes are further starts.
     """
-    if model not in ("UN", "MON", "IIO", "DM", "LCR", "RM"):
+    if model not in MODELS:
         raise ValueError(f"no model named {model}")
     overall = patterns.select("freq", F.posexplode("x").alias("item", "v")).groupBy("item", "v").agg(F.sum("freq").alias("n")).collect()
     n_patterns, n_obs = patterns.agg(F.count(F.lit(1)), F.coalesce(F.sum("freq"), F.lit(0))).first()
     answered = [r for r in overall if r["v"] is not None]
     if not answered:
         raise ValueError("no answers to fit")
-    n_items, n_cat = 1 + max(r["item"] for r in overall), max(2, 1 + max(r["v"] for r in answered))
-    counts = np.zeros((n_items, n_cat))
+    counts = np.zeros((1 + max(r["item"] for r in overall), max(2, 1 + max(r["v"] for r in answered))))
     for r in answered:
         counts[r["item"], r["v"]] += r["n"]
+    shape, starts, climb, finish = _problem(counts, model, n_classes, n_starts, tol, seed, max_iter, also)
+    if n_patterns <= PATTERNS_PER_TASK:
+        results = _climbed_apart(patterns, starts, shape, climb)
+    else:
+        patterns = patterns.repartition(1 + min(n_patterns // PATTERNS_PER_TASK, MOST_TASKS - 1)).persist()
+        try:
+            runs = [climb(s) for s in range(len(starts))]
+            results = [(*r, last()) for r, (_, last) in zip(_climbed_together(patterns, [run for run, _ in runs]), runs)]
+        finally:
+            patterns.unpersist()
+    return finish(results, n_obs)
+
+
+def fit_here(x: np.ndarray, freq: np.ndarray, n_cat: int, model: str = "UN", n_classes: int = 2, n_starts: int = 10, tol: float = 1e-6, seed: int = 1, max_iter: int | None = None, also: list[Fit] | None = None) -> Fit:
+    """``fit`` of patterns that a task holds: ``x`` is patterns x items, -1 where an answer is missing."""
+    seen = (x[:, :, None] == np.arange(n_cat)).reshape(len(x), -1).astype(float)
+    shape, starts, climb, finish = _problem((freq @ seen).reshape(x.shape[1], n_cat), model, n_classes, n_starts, tol, seed, max_iter, also)
+    results = []
+    for s in range(len(starts)):
+        run, last = climb(s)
+        asked = next(run)
+        while True:
+            try:
+                asked = run.send(_parted(_sums(seen, freq, [asked]), shape)[0])
+            except StopIteration as end:
+                results.append((*end.value, last()))
+                break
+    return finish(results, int(freq.sum()))
+
+
+def _problem(counts: np.ndarray, model: str, n_classes: int, n_starts: int, tol: float, seed: int, max_iter: int | None, also: list[Fit] | None) -> tuple:
+    """(shape of the probabilities, starts, ``climb(s)`` of one EM run, ``finish`` of all results) for answer counts per item and category."""
+    n_items, n_cat = counts.shape
     tops = np.maximum(1, np.array([np.nonzero(c)[0].max(initial=0) for c in counts]))
-    if model in ("MON", "IIO", "DM") and n_cat > 2:
-        raise ValueError(f"{model} takes binary answers")
     shares = (counts + 0.5 * (np.arange(n_cat) <= tops[:, None])) / (counts + 0.5 * (np.arange(n_cat) <= tops[:, None])).sum(1, keepdims=True)
     order = np.argsort(-(shares @ np.arange(n_cat)), kind="stable")
 
@@ -298,6 +366,11 @@ def fit(patterns: DataFrame, model: str = "UN", n_classes: int = 2, n_starts: in
         ability = np.eye(n_classes)
     probs = _starts(model, shares, tops, n_classes, n_starts, seed)
     weights = [node_weights if model == "RM" else np.full(n_classes, 1 / n_classes) for _ in probs]
+    if ability is None:
+        for f in also or []:
+            if f.probs.shape == probs[0].shape:
+                weights.append(f.weights)
+                probs.append(f.probs)
     if ability is not None:
         easy = [np.log(shares[j, :-1][: tops[j]] / shares[j, 1:][: tops[j]]) for j in range(n_items)]
         lead = [np.ones(1) if model == "RM" else np.sort(np.random.default_rng(seed + s).uniform(-4, 4, n_classes)) if s else np.linspace(-1.5, 1.5, n_classes) for s in range(n_starts)]
@@ -317,6 +390,8 @@ def fit(patterns: DataFrame, model: str = "UN", n_classes: int = 2, n_starts: in
             p = _free(e, tops)
             if model == "UN":
                 return p
+            if n_cat > 2:
+                return graded_ordered(p, e.sum(2), order, model)
             project: dict[str, Callable] = {"MON": lambda q: monotone(q, e.sum(2)), "IIO": lambda q: item_ordered(q, order), "DM": lambda q: doubly_monotone(q, e.sum(2), order)}
             right = np.clip(project[model](p[:, :, 1]), CLIP, 1 - CLIP)
             return np.stack([1 - right, right], 2)
@@ -327,30 +402,24 @@ def fit(patterns: DataFrame, model: str = "UN", n_classes: int = 2, n_starts: in
         par = [np.zeros(0) if pars is None else pars[s].copy()]
         return _climb(weights[s], probs[s], updater(par), model == "RM", tol, max_iter or (1000 if model == "UN" else 500)), lambda: np.asarray(par[0], float)
 
-    if n_patterns <= PATTERNS_PER_TASK:
-        results = _climbed_apart(patterns, probs, probs[0].shape, climb)
-    else:
-        patterns = patterns.repartition(1 + min(n_patterns // PATTERNS_PER_TASK, MOST_TASKS - 1)).persist()
-        try:
-            runs = [climb(s) for s in range(len(probs))]
-            results = [(*r, last()) for r, (_, last) in zip(_climbed_together(patterns, [run for run, _ in runs]), runs)]
-        finally:
-            patterns.unpersist()
-    weights, probs, loglik, steps, done, pars = (list(column) for column in zip(*results))
-    best = int(np.argmax(loglik))
-    w, p = weights[best], probs[best]
-    k = ability.shape[1] if ability is not None else 0
-    theta, items, sigma = None, [], None
-    if ability is not None:
-        theta, items = ability @ pars[best][:k], _split(pars[best], k, tops)
-        sigma = float(pars[best][0]) if model == "RM" else None
-        if model == "LCR":  # the steps sum to zero
-            shift = np.concatenate(items).mean()
-            theta, items = theta - shift, [d - shift for d in items]
-    level = theta if theta is not None else (p @ np.arange(n_cat)).sum(1)
-    rank = np.argsort(-w if model == "UN" else level, kind="stable")
-    n_par = {"RM": 1 + int(tops.sum()), "LCR": 2 * n_classes - 1 + int(tops.sum()) - 1}.get(model, n_classes - 1 + n_classes * int(tops.sum()))
-    return Fit(model, w[rank], p[rank], float(loglik[best]), n_par, n_obs, steps[best], done[best], None if theta is None else theta[rank], items, sigma)
+    def finish(results: list[tuple], n_obs: int) -> Fit:
+        weights, probs, loglik, steps, done, pars = (list(column) for column in zip(*results))
+        best = int(np.argmax(loglik))
+        w, p = weights[best], probs[best]
+        k = ability.shape[1] if ability is not None else 0
+        theta, items, sigma = None, [], None
+        if ability is not None:
+            theta, items = ability @ pars[best][:k], _split(pars[best], k, tops)
+            sigma = float(pars[best][0]) if model == "RM" else None
+            if model == "LCR":  # the steps sum to zero
+                shift = np.concatenate(items).mean()
+                theta, items = theta - shift, [d - shift for d in items]
+        level = theta if theta is not None else (p @ np.arange(n_cat)).sum(1)
+        rank = np.argsort(-w if model == "UN" else level, kind="stable")
+        n_par = {"RM": 1 + int(tops.sum()), "LCR": 2 * n_classes - 1 + int(tops.sum()) - 1}.get(model, n_classes - 1 + n_classes * int(tops.sum()))
+        return Fit(model, w[rank], p[rank], float(loglik[best]), n_par, n_obs, steps[best], done[best], None if theta is None else theta[rank], items, sigma)
+
+    return probs[0].shape, probs, climb, finish
 
 
 def _split(v: np.ndarray, k: int, tops: np.ndarray) -> list[np.ndarray]:
@@ -408,6 +477,54 @@ def person_scores(packed: DataFrame, f: Fit) -> DataFrame:
     return packed.select("person_id", "x").mapInPandas(run, "person_id long, eap double, sd double, modal double")
 
 
+def score_abilities(f: Fit, kind: str = "ML") -> list[tuple[int, float | None, float | None]]:
+    """(total, theta, se) for every total of all items of a Rasch or partial-credit fit.
+
+    ML is infinite without and with all steps, where WLE (the same with a correction for its bias) is null.  So is
+    an ability beyond 10.
+    """
+    if kind not in ("ML", "WLE"):
+        raise ValueError(f"no score named {kind}")
+    if f.theta is None:
+        raise ValueError(f"{f.model} has no abilities")
+    at, top = np.arange(f.probs.shape[2]), sum(map(len, f.steps))
+
+    def moments(theta: float) -> tuple[float, float, float]:
+        p = step_table(np.array([theta]), f.steps, len(at))[0]
+        mean = p @ at
+        away = at[None] - mean[:, None]
+        return mean.sum(), (p * away**2).sum(), (p * away**3).sum()
+
+    def excess(theta: float, total: int) -> float:
+        mean, var, skew = moments(theta)
+        return mean - total - (skew / (2 * var) if kind == "WLE" else 0.0)
+
+    out: list[tuple[int, float | None, float | None]] = []
+    for total in range(top + 1):
+        if total in (0, top):
+            out.append((total, None if kind == "WLE" else float("inf") if total else float("-inf"), None))
+            continue
+        low, high = -10.0, 10.0
+        if excess(low, total) > 0 or excess(high, total) < 0:
+            out.append((total, None, None))
+            continue
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (low, mid) if excess(mid, total) > 0 else (mid, high)
+        out.append((total, mid, 1 / float(np.sqrt(moments(mid)[1]))))
+    return out
+
+
+def total_scores(packed: DataFrame, f: Fit, kind: str = "ML") -> DataFrame:
+    """(person_id, theta, se) by total score, which the model makes sufficient; persons with missing answers get null.
+
+    There is one ability per total, so those are broadcast.
+    """
+    scale = F.broadcast(packed.sparkSession.createDataFrame(score_abilities(f, kind), "total int, theta double, se double"))
+    person = packed.select("person_id", F.when(~F.exists("x", lambda v: v.isNull()), F.aggregate("x", F.lit(0), lambda s, v: s + v)).alias("total"))
+    return person.join(scale, "total", "left").select("person_id", "theta", "se")
+
+
 def rasch_residuals(r: DataFrame, people: DataFrame, f: Fit) -> DataFrame:
     """(person_id, item_id, x, e, v): answers with their expectation and variance at the person's eap."""
     n_cat = f.probs.shape[2]
@@ -426,6 +543,11 @@ def item_information(spark, f: Fit, low: float = -4, high: float = 4, points: in
     return spark.createDataFrame([(float(t), j, float(info[i, j])) for i, t in enumerate(np.linspace(low, high, points)) for j in range(len(f.steps))], "theta double, item_id int, information double")
 
 
+def total_information(spark, f: Fit, low: float = -4, high: float = 4, points: int = 81) -> DataFrame:
+    """(theta, information) of all items together."""
+    return item_information(spark, f, low, high, points).groupBy("theta").agg(F.sum("information").alias("information"))
+
+
 def fit_responses(packed: DataFrame, model: str, **options) -> tuple[Fit, DataFrame]:
     """A fit of a packed table, and the pattern table it was made on."""
     patterns = pattern_frequencies(packed)

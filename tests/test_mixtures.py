@@ -75,8 +75,6 @@ def test_rasch_difficulties_and_spread_are_found(spark):
 
 def test_wrong_requests_are_refused(spark):
     t = table(spark, [[0, 2], [1, 1]])
-    with pytest.raises(ValueError):
-        M.fit(t, "MON")
     with pytest.raises(ValueError):
         M.fit(t, "other")
     with pytest.raises(ValueError):
