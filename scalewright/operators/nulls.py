@@ -282,35 +282,59 @@ def counts_of_patterns(x: np.ndarray, freq: np.ndarray, least: int = 10) -> tupl
     return total, right[:, order]
 
 
-def violation_rate(x: np.ndarray, freq: np.ndarray, check: str, least: int = 10, seed: int = 1) -> float:
-    """Mean violation rate of the adjacent sub-matrices of a pattern table, weighted by answers."""
+def _adjacent(replicates: DataFrame, size: int, least: int) -> DataFrame:
+    """(rep, part, i, j, n_total, n_right) of the adjacent sub-matrices, cells row by row, that can be checked.
+
+    A replicate's table of counts is score groups by items.  Its sub-matrices go to parts of about GROUP, which a task checks
+    side by side, whatever replicate they come from.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rep, rows = int(group["rep"].iloc[0]), []
+        try:
+            total, right = counts_of_patterns(_answers(group["x"]), group["freq"].to_numpy(float), least)
+        except ValueError:
+            total = right = np.zeros((0, 0))
+        for i in range(total.shape[0] - size + 1):
+            for j in range(total.shape[1] - size + 1):
+                n, k = (m[i : i + size, j : j + size].astype(float).ravel() for m in (total, right))
+                if ((k > 0) & (k < n)).all():
+                    rows.append((rep, i, j, n.tolist(), k.tolist()))
+        return pd.DataFrame(rows, columns=["rep", "i", "j", "n_total", "n_right"])
+
+    found = replicates.groupBy("rep").applyInPandas(run, "rep int, i int, j int, n_total array<double>, n_right array<double>")
+    # A replicate has fewer sub-matrices than cells, so neighbouring replicates share a part.
+    return found.withColumn("part", F.floor((F.col("rep") + 1) / max(1, K.GROUP // 32)))
+
+
+def violation_rates(replicates: DataFrame, check: str = "double", least: int = 10, seed: int = 1) -> DataFrame:
+    """(rep, statistic): mean violation rate of the adjacent sub-matrices of every replicate, weighted by answers.
+
+    A replicate without a sub-matrix that can be checked has no row.
+    """
     size = K.CHECKS[check][0]
-    total, right = counts_of_patterns(x, freq, least)
-    places = [(i, j) for i in range(total.shape[0] - size + 1) for j in range(total.shape[1] - size + 1)]
-    cut = lambda m: np.array([m[i : i + size, j : j + size] for i, j in places], float).reshape(-1, size, size)
-    n, k = cut(total), cut(right)
-    sound = ((k > 0) & (k < n)).all((1, 2))
-    if not sound.any():
-        raise ValueError("no sub-matrix can be checked")
-    n, k = n[sound], k[sound]
-    low, high, _ = K.sampled_ranges(n, k, check, np.random.default_rng([seed, len(n)]))
-    bad = ~((k / n > low) & (k / n < high))
-    checks, violated = np.zeros(total.shape), np.zeros(total.shape)
-    for (i, j), b in zip([p for p, s in zip(places, sound) if s], bad):
-        checks[i : i + size, j : j + size] += 1
-        violated[i : i + size, j : j + size] += b
-    seen = checks > 0
-    return float((violated[seen] / checks[seen] * total[seen]).sum() / total[seen].sum())
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["rep", "i", "j"])
+        n, k = (np.array(group[c].tolist()).reshape(-1, size, size) for c in ("n_total", "n_right"))
+        low, high, _ = K.sampled_ranges(n, k, check, np.random.default_rng([seed, int(group["part"].iloc[0])]))
+        bad = ~((k / n > low) & (k / n < high))
+        m, rows, cols = np.nonzero(np.ones_like(bad))
+        return pd.DataFrame({"rep": group["rep"].to_numpy()[m], "row": group["i"].to_numpy()[m] + rows, "col": group["j"].to_numpy()[m] + cols, "n_total": n.ravel(), "violated": bad.ravel()})
+
+    cells = _adjacent(replicates, size, least).groupBy("part").applyInPandas(run, "rep int, row int, col int, n_total double, violated boolean")
+    rate = cells.groupBy("rep", "row", "col").agg(F.first("n_total").alias("n"), F.avg(F.col("violated").cast("double")).alias("rate"))
+    return rate.groupBy("rep").agg((F.sum(F.col("rate") * F.col("n")) / F.sum("n")).alias("statistic"))
 
 
 def cancellation_null(packed: DataFrame, patterns: DataFrame, check: str = "double", replicates: int = REPLICATES, least: int = 10, seed: int = 1) -> tuple[float, DataFrame]:
-    """The weighted violation rate of a binary table, and (rep, statistic, failed) given everyone's total."""
+    """The weighted violation rate of a binary table, and (rep, statistic) given everyone's total."""
     _fits_in_task(patterns)
-    observed = per_replicate(patterns.select(F.lit(-1).alias("rep"), "x", "freq"), lambda x, n: violation_rate(x, n, check, least, seed)).first()["statistic"]
+    observed = violation_rates(patterns.select(F.lit(-1).alias("rep"), "x", "freq"), check, least, seed).first()
     if observed is None:
         raise ValueError("the table has too few score groups or no sub-matrix that can be checked")
     drawn = conditional_replicates(packed, fit_conditional(patterns), replicates, seed)
-    return observed, per_replicate(drawn, lambda x, n: violation_rate(x, n, check, least, seed))
+    return observed["statistic"], violation_rates(drawn, check, least, seed)
 
 
 def ordering_statistic(x: np.ndarray, freq: np.ndarray, least: int = 20) -> float:

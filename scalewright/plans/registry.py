@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cancellation as K
+from ..operators import choice as H
 from ..operators import counts as C
 from ..operators import mixtures as M
+from ..operators import nulls as N
+from ..operators import omnibus as O
 from ..operators import selection as S
 from ..sources.responses import from_orders, packed
 
@@ -133,6 +136,13 @@ closed AS (SELECT 'COMMON' AS model, COUNT(x) * (AVG(x) * LN(AVG(x)) + (1 - AVG(
     UNION ALL SELECT 'CLASSES', SUM(loglik), 17, (SELECT n_obs FROM n0) FROM post)
 """
 
+_BANDS = """, sc AS (SELECT ROUND(AVG(x), 9) AS score FROM r GROUP BY person_id), c AS (SELECT score, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER BY score) AS rn FROM sc GROUP BY 1),
+t AS (SELECT GREATEST({least}, CEIL(COUNT(*) / 9.0)) AS target FROM sc),
+g AS (SELECT rn, 0 AS band, CASE WHEN n >= target THEN 0 ELSE n END AS held, n >= target AS closed FROM c, t WHERE rn = 1
+    UNION ALL SELECT c.rn, g.band + CAST(g.closed AS INT), CASE WHEN g.held + c.n >= target THEN 0 ELSE g.held + c.n END, g.held + c.n >= target FROM g JOIN c ON c.rn = g.rn + 1, t),
+z AS (SELECT MAX(band) FILTER (WHERE closed) AS lastband FROM g),
+bands AS (SELECT score, CAST(LEAST(band, COALESCE(lastband, 0)) AS INT) AS band FROM g JOIN c USING (rn), z)"""
+
 
 def _pairs() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
     b, g = binary, graded
@@ -259,12 +269,23 @@ def _pairs() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
         ),
         "value_bands": (
             lambda s, d: rounded(C.value_bands(b(s, d), ITEMS), "score"),
-            _B.replace("WITH raw", "WITH RECURSIVE raw") + """, sc AS (SELECT ROUND(AVG(x), 9) AS score FROM r GROUP BY person_id), c AS (SELECT score, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER BY score) AS rn FROM sc GROUP BY 1),
-            t AS (SELECT GREATEST(10, CEIL(COUNT(*) / 9.0)) AS target FROM sc),
-            g AS (SELECT rn, 0 AS band, CASE WHEN n >= target THEN 0 ELSE n END AS held, n >= target AS closed FROM c, t WHERE rn = 1
-                UNION ALL SELECT c.rn, g.band + CAST(g.closed AS INT), CASE WHEN g.held + c.n >= target THEN 0 ELSE g.held + c.n END, g.held + c.n >= target FROM g JOIN c ON c.rn = g.rn + 1, t),
-            z AS (SELECT MAX(band) FILTER (WHERE closed) AS lastband FROM g)
-            SELECT ROUND(score, 6) AS score, CAST(LEAST(band, COALESCE(lastband, 0)) AS INT) AS band FROM g JOIN c USING (rn), z""",
+            _B.replace("WITH raw", "WITH RECURSIVE raw") + _BANDS.format(least=10) + " SELECT ROUND(score, 6) AS score, band FROM bands",
+        ),
+        "band_by_score": (
+            lambda s, d: rounded(O.band_by_score(b(s, d), ITEMS), "ability"),
+            _B.replace("WITH raw", "WITH RECURSIVE raw") + _BANDS.format(least="CEIL(COUNT(*) / 6.0)") + ", p AS (SELECT person_id, ROUND(AVG(x), 9) AS score FROM r GROUP BY 1), q AS (SELECT p.*, band FROM p JOIN bands USING (score)), ab AS (SELECT band, ROUND(AVG(score), 6) AS ability FROM q GROUP BY 1) SELECT band, item_id, ability, COUNT(x) AS n_total, CAST(SUM(x) AS BIGINT) AS n_right FROM r JOIN q USING (person_id) JOIN ab USING (band) GROUP BY 1, 2, 3",
+        ),
+        "monotone_classes": (
+            lambda s, d: H.monotone_classes(_class_table(s, d)),
+            _B + _CLASSES + ", m AS (SELECT *, AVG(p) OVER (PARTITION BY class_id) AS mean FROM tab), l AS (SELECT p < LAG(p) OVER (PARTITION BY item_id ORDER BY mean, class_id) AS down FROM m) SELECT CAST(COALESCE(SUM(CAST(down AS INT)), 0) AS BIGINT) AS decreases, COUNT(down) AS compared, COALESCE(SUM(CAST(down AS INT)), 0) <= 0.15 * COUNT(down) AS holds FROM l",
+        ),
+        "invariant_items": (
+            lambda s, d: H.invariant_items(_class_table(s, d)),
+            _B + _CLASSES + ", g AS (SELECT a.class_id, a.item_id AS i, h.item_id AS j, a.p - h.p AS d FROM tab a JOIN tab h ON a.class_id = h.class_id AND a.item_id < h.item_id), v AS (SELECT SIGN(a.d) <> SIGN(h.d) AND ABS(a.d) > 0.05 AND ABS(h.d) > 0.05 AS turned FROM g a JOIN g h ON a.i = h.i AND a.j = h.j AND a.class_id < h.class_id) SELECT CAST(COALESCE(SUM(CAST(turned AS INT)), 0) AS BIGINT) AS reversals, COUNT(*) AS compared, COALESCE(SUM(CAST(turned AS INT)), 0) <= 0.15 * COUNT(*) AS holds FROM v",
+        ),
+        "additive_classes": (
+            lambda s, d: rounded(H.additive_classes(_class_table(s, d)), "variation"),
+            _B + _CLASSES + ", lg AS (SELECT class_id, item_id, LN(q / (1 - q)) AS v FROM (SELECT *, GREATEST(0.001, LEAST(0.999, p)) AS q FROM tab)), m AS (SELECT *, AVG(v) OVER (PARTITION BY class_id) AS mean FROM lg), st AS (SELECT class_id, v - LAG(v) OVER (PARTITION BY item_id ORDER BY mean, class_id) AS step FROM m), u AS (SELECT AVG(step) AS m, STDDEV_SAMP(step) AS sd FROM st WHERE step IS NOT NULL GROUP BY class_id) SELECT ROUND(AVG(sd / ABS(m)), 6) AS variation, COUNT(*) AS compared, COALESCE(AVG(sd / ABS(m)) < 0.25, FALSE) AS holds FROM u WHERE sd > 0 AND ABS(m) > 0.1",
         ),
     }
 
@@ -296,12 +317,16 @@ def _fits() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     b, g = binary, graded
     out = {f"fit_{m.lower()}": _fitted(b, m) for m in ("UN", "MON", "IIO", "DM", "LCR")}
     out |= {"fit_lca_poly": _fitted(g, "UN"), "fit_lcr_poly": _fitted(g, "LCR")}
+    out |= {f"fit_{m.lower()}_poly": _fitted(g, m) for m in ("MON", "IIO", "DM")}
     return out | {
         "fit_rm": _with_rasch(b, lambda s, r, p, t, f: rounded(M.step_rows(s, f), "delta")),
         "fit_rm_poly": _with_rasch(g, lambda s, r, p, t, f: rounded(M.step_rows(s, f), "delta")),
         "rm_scores": _with_rasch(b, lambda s, r, p, t, f: rounded(M.person_scores(p, f), "eap", "sd", "modal")),
         "rm_itemfit": _with_rasch(b, lambda s, r, p, t, f: rounded(C.item_fit(M.rasch_residuals(r, M.person_scores(p, f), f), "item_id"), "outfit", "infit")),
         "rm_personfit": _with_rasch(b, lambda s, r, p, t, f: rounded(C.item_fit(M.rasch_residuals(r, M.person_scores(p, f), f), "person_id"), "outfit", "infit")),
+        "rm_scores_ml": _with_rasch(b, lambda s, r, p, t, f: rounded(M.total_scores(p, f, "ML"), "theta", "se")),
+        "rm_scores_wle": _with_rasch(g, lambda s, r, p, t, f: rounded(M.total_scores(p, f, "WLE"), "theta", "se")),
+        "rm_test_info": _with_rasch(b, lambda s, r, p, t, f: rounded(M.total_information(s, f), "information")),
         "rm_item_info": _with_rasch(b, lambda s, r, p, t, f: rounded(M.item_information(s, f), "information")),
         "fit_measures": _with_rasch(b, lambda s, r, p, t, f: rounded(M.fit_measures(t, f), "loglik", "aic", "bic", "g2", "x2")),
     }
@@ -334,8 +359,72 @@ def _decisions() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Replicates, draws and synthetic data sets of the registered bootstrap tests, below the operators' defaults.
+FEW, DRAWS, SYNTHETIC = 49, 250, 50
+
+
+def _null(then: Callable, answers: Callable = binary) -> Callable[[SparkSession, str], DataFrame]:
+    """A query on (observed, null) = ``then(packed, patterns)``: the observed statistic and its bootstrap p-value."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = packed(answers(spark, sf_dir), ITEMS)
+        observed, null = then(p, C.pattern_frequencies(p))
+        return rounded(C.bootstrap_p(null, observed).withColumn("observed", F.lit(float(observed))), "observed", "p", "percentile", "cutoff")
+
+    return run
+
+
+def _chosen(then: Callable, *names: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = packed(binary(spark, sf_dir), ITEMS)
+        return rounded(then(p, C.pattern_frequencies(p)), *names)
+
+    return run
+
+
+def _conditional_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = N.fit_conditional(C.pattern_frequencies(packed(graded(spark, sf_dir), ITEMS)))
+    return spark.createDataFrame([(j, k + 1, float(v)) for j, d in enumerate(steps) for k, v in enumerate(d)], "item_id int, step int, delta double")
+
+
+def _conditional_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons per replicate, answered items and total, which the draws keep."""
+    p = packed(graded(spark, sf_dir), ITEMS)
+    drawn = N.conditional_replicates(p, N.fit_conditional(C.pattern_frequencies(p)), 5)
+    return drawn.groupBy("rep", F.aggregate("x", F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0))).alias("total")).agg(F.sum("freq").cast("long").alias("persons"))
+
+
+def _omnibus_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = O.band_by_score(binary(spark, sf_dir), ITEMS)
+    return cells.select(F.lit(-1).alias("rep"), "ability", F.col("item_id").alias("item"), F.col("n_total").cast("double").alias("n_total"), F.col("n_right").cast("double").alias("n_right"))
+
+
+def _nulls() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Bootstrap tests and selection, which draw random numbers; tests compare them with enumeration and planted structure."""
+    few = {"replicates": FEW, "n_starts": 2}
+
+    def nested(p: DataFrame, t: DataFrame) -> tuple[float, DataFrame]:
+        return N.likelihood_ratio_test(p, t, M.fit(t, "MON", n_starts=3), M.fit(t, "UN", n_starts=3), **few)
+
+    return {
+        "conditional_fit": lambda s, d: rounded(_conditional_steps(s, d), "delta"),
+        "conditional_draws": _conditional_draws,
+        "ll_equivalence": _null(nested),
+        "rm_against_lcr": _null(lambda p, t: N.rasch_against_classes(p, t, M.fit(t, "RM"), (2, 3), **few)),
+        "cancellation_null": _null(lambda p, t: N.cancellation_null(p, t, "double", FEW)),
+        "cancellation_levels": _chosen(lambda p, t: H.check_hierarchy(p, t, replicates=FEW), "statistic", "p", "adjusted"),
+        "item_order_test": _null(lambda p, t: N.ordering_null(p, t, M.fit(t, "IIO", n_classes=3, n_starts=3), FEW)),
+        "omnibus_cells": lambda s, d: rounded(O.omnibus(_omnibus_cells(s, d), 2000, 100), "ability", "theta", "theta_free", "z", "ess", "kl"),
+        "omnibus_null": _chosen(lambda p, t: O.omnibus_null(p, t, replicates=FEW, draws=DRAWS, synthetic=SYNTHETIC), "statistic", "kl_median", "kl_max", "ess_min", "ess_median"),
+        "select_by_properties": _chosen(lambda p, t: H.read_properties(t), "bic_un", "bic_lcr", "bic_rm"),
+        "select_by_tests": _chosen(lambda p, t: H.select_by_tests(p, t, range(1, 4), replicates=FEW, n_starts=2), "statistic", "p", "cutoff"),
+        "select_by_axes": _chosen(lambda p, t: H.select_by_axes(p, t, n_classes=2, replicates=FEW, n_starts=2), "statistic", "p", "cutoff"),
+        "full_reading": _chosen(lambda p, t: H.full_reading(p, t, range(1, 4), replicates=19, draws=DRAWS, synthetic=SYNTHETIC, n_starts=2)),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for name, (query, _) in _pairs().items()} | _fits() | _decisions()
+    return {name: query for name, (query, _) in _pairs().items()} | _fits() | _decisions() | _nulls()
 
 
 def oracle_sql() -> dict[str, str]:

@@ -105,6 +105,15 @@ def test_cancellation_null_of_rasch_data(spark):
     observed, null = N.cancellation_null(people, patterns, "double", replicates=3)
     values = [r["statistic"] for r in null.collect()]
     assert len(values) == 3 and all(0 <= v <= 1 for v in [observed, *values])
+    # Counts of the observed table, as the counting operators give them.
+    rows = patterns.collect()
+    total, right = N.counts_of_patterns(np.array([r["x"] for r in rows]), np.array([r["freq"] for r in rows]))
+    scores = np.array(answers).sum(1)
+    kept = [s for s in range(6) if (scores == s).sum() >= 10]
+    order = np.argsort(np.array(answers).sum(0), kind="stable")
+    assert total.tolist() == [[(scores == s).sum()] * 5 for s in kept]
+    assert right.tolist() == [np.array(answers)[scores == s].sum(0)[order].tolist() for s in kept]
+    assert N.violation_rates(spark.createDataFrame([(0, [1, 0, 1], 50)], N.REPLICATE_ROWS)).count() == 0
 
 
 def test_graded_orders_and_scores(spark):
