@@ -1,16 +1,15 @@
 """Token ids in files, packed by an adaptive context-mixing range coder.
 
 Ids are cut into blocks of ``BLOCK``; a block starts with an empty model and has its own checksum.  For each
-id the model mixes four sources into one distribution, with weights that adapt to how each fared so far:
+id the model adds up four predictions into one distribution, with weights that adapt to how each fared so far:
 
 * the id that last followed the same two ids (order 2),
-* the id that last followed the same id (order 1),
-* the ids of the block so far by their counts (order 0),
-* any id, all alike.
+* the last two different ids that followed the same id (order 1),
+* the ids of the block so far by their counts, with a share for every id (order 0).
 
-The range coder narrows its interval to the part of the source that is used, and then to the id within
-that.  Blocks of a segment are coded side by side, one numpy lane each, so that a step over all lanes costs
-a few dozen array operations.
+The weights in use depend on how often the predictions of orders 2 and 1 held at last in their contexts.  The range
+coder narrows its interval to the id's part of that sum, which is exact in whole numbers.  Blocks of a segment are
+coded side by side, one numpy lane each, so that a step over all lanes costs a few dozen array operations.
 
 Files are written by Spark's text writer, one segment a line; the reader goes by the lengths in the headers.
 """
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from .store import new_path, saved
 
 #: Ids in a block, and blocks that are coded side by side.
-BLOCK, LANES = 2048, 512
+BLOCK, LANES = 4096, 512
 END_ID = 2
 #: The split before the merges of the byte-level vocabulary, as its file's ByteLevel pre-tokenizer defines it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,6 +40,10 @@ _NONE = 0xFFFF
 _HASHED = 1 << 14
 _U = np.uint64
 _TOP, _BOT, _WORD = _U(1 << 48), _U(1 << 32), _U(16)
+#: What a counted id weighs against one that wasn't seen, and the most that the weights of a lane add up to.
+_SEEN, _HEAVY = 128, 4000
+#: Bits that hold a lane's cumulative counts.
+_LANE = 20
 
 
 class _Model:
@@ -48,38 +51,83 @@ class _Model:
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
-        self.first = np.full((lanes, 1 << 16), _NONE, np.uint16)
-        self.second = np.full((lanes, _HASHED), _NONE, np.uint16)
-        self.weights = np.ones((lanes * 8, 4), np.int64)
+        self.points = [np.full(lanes * _HASHED, _NONE, np.uint16) for _ in range(3)]
+        self.held = [np.zeros(lanes * _HASHED, np.int8) for _ in range(2)]
+        self.weights = np.tile(np.array([16, 8, 4, 8]), (lanes * 16, 1))
         self.back1 = np.zeros(lanes, np.int64)
         self.back2 = np.zeros(lanes, np.int64)
-        self.past = np.zeros((lanes, 0), np.uint16)
-        self.flat = np.zeros(0, np.uint32)
+        self.n_past = 0
+        self.past = self.keys = self.ends = np.zeros(0, np.int32)
 
     def look(self) -> None:
-        self.at2 = (self.back2 * 40503 + self.back1 * 30011) % _HASHED
-        self.p1 = self.first[self.lane, self.back1].astype(np.int64)
-        self.p2 = self.second[self.lane, self.at2].astype(np.int64)
-        self.row = self.lane * 8 + (self.p2 != _NONE) * 4 + (self.p1 != _NONE) * 2 + (self.p1 == self.p2)
+        """Points, their masses, the mass of the counts, and the total of this position."""
+        self.at = [self.lane * _HASHED + (self.back2 * 40503 + self.back1 * 30011) % _HASHED, self.lane * _HASHED + (self.back1 * 40503 >> 4) % _HASHED]
+        self.p = np.stack([self.points[0][self.at[0]], self.points[1][self.at[1]], self.points[2][self.at[1]]]).astype(np.int64)
+        self.row = self.lane * 16 + self.held[0][self.at[0]] * 4 + self.held[1][self.at[1]]
         self.w = self.weights[self.row]
-        self.upto = np.cumsum(self.w, axis=1)
+        self.base = self.n_past * _SEEN + (1 << 16)
+        self.mass = np.where(self.p == _NONE, 0, self.w[:, :3].T) * self.base
+        self.counts = self.w[:, 3]
+        self.total = self.mass.sum(0) + self.counts * self.base
 
     def counted(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = (ids + (self.lane << 16)).astype(np.uint32)
-        low = np.searchsorted(self.flat, key, "left")
-        return low - self.lane * self.past.shape[1], np.searchsorted(self.flat, key, "right") - low
-
-    def update(self, ids: np.ndarray, route: np.ndarray, t: int, seen: np.ndarray) -> None:
-        self.w[self.lane, route] += 24
-        heavy = self.upto[:, 3] > 4000
-        self.weights[self.row] = np.where(heavy[:, None], (self.w + 1) >> 1, self.w)
-        self.first[self.lane, self.back1] = ids
-        self.second[self.lane, self.at2] = ids
+        """How many counted ids of the lane are smaller, and how many equal."""
+        key = (ids + (self.lane << 16)).astype(np.int32)
+        less = np.searchsorted(self.keys, key, "left")
+        return less - self.lane * self.n_past, np.searchsorted(self.keys, key, "right") - less
+
+    def part(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids' parts of the total begin, and how long they are."""
+        less, times = self.counted(ids)
+        self.own = times * _SEEN + 1
+        hit = self.p == ids
+        self.share = np.where(hit, self.mass, 0)
+        start = np.where(self.p < ids, self.mass, 0).sum(0) + self.counts * (less * _SEEN + ids)
+        return start, self.share.sum(0) + self.counts * self.own
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The id whose part holds ``value``."""
+        less, times = self.counted(self.p)
+        start = np.where(self.p < self.p[:, None], self.mass, 0).sum(1) + self.counts * (less * _SEEN + self.p)
+        end = start + np.where(self.p == self.p[:, None], self.mass, 0).sum(1) + self.counts * (times * _SEEN + 1)
+        real = self.p != _NONE
+        known = np.where(real & (value >= start) & (value < end), self.p, -1).max(0)
+        rest = value - np.where(real & (value >= end), self.mass, 0).sum(0)
+        at = rest // self.counts
+        upto = np.searchsorted(self.ends, (np.clip(at, 0, self.base - 1) + (self.lane << _LANE)).astype(np.int32), "right")
+        rank = upto - self.lane * self.n_past
+        if self.n_past:
+            last = self.past[np.maximum(upto - 1, 0)]
+            free = np.where((rank > 0) & (at <= rank * _SEEN + last), last, at - rank * _SEEN)
+        else:
+            free = at
+        return np.where(known >= 0, known, free)
+
+    def update(self, ids: np.ndarray, t: int, seen: np.ndarray) -> None:
+        """Weights gain by their part in the id's probability; the ids are noted in their contexts.  ``part`` was called before."""
+        gained = np.concatenate([self.share, (self.counts * self.own)[None]]).T
+        w = self.w + 32 * gained // gained.sum(1, keepdims=True)
+        self.weights[self.row] = np.where(w.sum(1, keepdims=True) > _HEAVY, (w + 1) >> 1, w)
+        for k in range(2):
+            held = self.held[k][self.at[k]]
+            self.held[k][self.at[k]] = np.where(self.p[k] == ids, np.minimum(held + 1, 3), np.where(self.p[k] == _NONE, 1, np.maximum(held >> 1, 1)))
+        self.points[0][self.at[0]] = ids
+        self.points[2][self.at[1]] = np.where(self.p[1] == ids, self.p[2], self.p[1])
+        self.points[1][self.at[1]] = ids
         self.back2, self.back1 = self.back1, ids
         n = t + 1
-        if n >= 64 and (n & (n - 1) == 0 or n % 512 == 0):
-            self.past = np.sort(seen[:, :n].astype(np.uint16), axis=1)
-            self.flat = (self.past.astype(np.int64) + (self.lane[:, None] << 16)).astype(np.uint32).ravel()
+        if n >= 16 and (n & (n - 1) == 0 or n % 256 == 0):
+            past = np.sort(seen[:, :n].astype(np.int32), axis=1)
+            self.n_past, self.past = n, past.ravel()
+            self.keys = (past + (self.lane[:, None] << 16)).astype(np.int32).ravel()
+            self.ends = (past + np.arange(n) * _SEEN + (self.lane[:, None] << _LANE)).astype(np.int32).ravel()
+
+
+def _unsettled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose next word is settled or whose span became too short, and the spans."""
+    settled = (low ^ (low + span)) < _TOP
+    short = ~settled & (span < _BOT)
+    return np.flatnonzero(settled | short), np.where(short, (_U(0) - low) & (_BOT - _U(1)), span)
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -91,31 +139,20 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     out, end = np.zeros((lanes, 3 * length + 8), np.uint16), np.zeros(lanes, np.int64)
 
     for t in range(length):
-        x = ids[:, t]
         model.look()
-        n_past = model.past.shape[1]
-        start, times = model.counted(x) if n_past else (np.zeros(lanes, np.int64), np.zeros(lanes, np.int64))
-        route = np.where(x == model.p2, 0, np.where(x == model.p1, 1, np.where(times > 0, 2, 3)))
-        weight = model.w[model.lane, route]
-        part = span // model.upto[:, 3].astype(_U)
-        low = low + part * (model.upto[model.lane, route] - weight).astype(_U)
-        span = part * weight.astype(_U)
-        counted, free = route == 2, route == 3
-        part = span // np.where(counted, n_past, np.where(free, 1 << 16, 1)).astype(_U)
-        low = low + part * np.where(counted, start, np.where(free, x, 0)).astype(_U)
-        span = np.where(route < 2, span, part * np.where(counted, times, 1).astype(_U))
+        start, own = model.part(ids[:, t])
+        unit = span // model.total.astype(_U)
+        low = low + unit * start.astype(_U)
+        span = unit * own.astype(_U)
         while True:
-            settled = (low ^ (low + span)) < _TOP
-            short = ~settled & (span < _BOT)
-            at = np.flatnonzero(settled | short)
+            at, span = _unsettled(low, span)
             if not len(at):
                 break
-            span = np.where(short, (_U(0) - low) & (_BOT - _U(1)), span)
             out[at, end[at]] = (low[at] >> _U(48)).astype(np.uint16)
             end[at] += 1
             low[at] <<= _WORD
             span[at] <<= _WORD
-        model.update(x, route, t, ids)
+        model.update(ids[:, t], t, ids)
     for k in (48, 32, 16, 0):
         out[model.lane, end] = ((low >> _U(k)) & _U(0xFFFF)).astype(np.uint16)
         end += 1
@@ -137,37 +174,21 @@ def decode_blocks(packed: list[bytes], length: int) -> np.ndarray:
 
     for t in range(length):
         model.look()
-        n_past = model.past.shape[1]
-        part = span // model.upto[:, 3].astype(_U)
-        value = np.minimum(((code - low) // part).astype(np.int64), model.upto[:, 3] - 1)
-        route = (value[:, None] >= model.upto).sum(1)
-        weight = model.w[model.lane, route]
-        low = low + part * (model.upto[model.lane, route] - weight).astype(_U)
-        span = part * weight.astype(_U)
-        counted, free = route == 2, route == 3
-        total = np.where(counted, n_past, np.where(free, 1 << 16, 1))
-        part = span // total.astype(_U)
-        value = np.minimum(((code - low) // part).astype(np.int64), total - 1)
-        x = np.where(route == 0, model.p2, np.where(route == 1, model.p1, value))
-        start, times = np.zeros(lanes, np.int64), np.ones(lanes, np.int64)
-        if n_past:
-            x = np.where(counted, model.past[model.lane, np.where(counted, value, 0)], x)
-            start, times = model.counted(x)
-        low = low + part * np.where(counted, start, np.where(free, x, 0)).astype(_U)
-        span = np.where(route < 2, span, part * np.where(counted, times, 1).astype(_U))
+        unit = span // model.total.astype(_U)
+        x = model.find(np.minimum(((code - low) // unit).astype(np.int64), model.total - 1))
+        start, own = model.part(x)
+        low = low + unit * start.astype(_U)
+        span = unit * own.astype(_U)
         while True:
-            settled = (low ^ (low + span)) < _TOP
-            short = ~settled & (span < _BOT)
-            at = np.flatnonzero(settled | short)
+            at, span = _unsettled(low, span)
             if not len(at):
                 break
-            span = np.where(short, (_U(0) - low) & (_BOT - _U(1)), span)
             code[at] = (code[at] << _WORD) | words[at, at_word[at]]
             at_word[at] += 1
             low[at] <<= _WORD
             span[at] <<= _WORD
         ids[:, t] = x
-        model.update(x, route, t, ids)
+        model.update(x, t, ids)
     return ids
 
 

@@ -267,6 +267,41 @@ def test_range_coder_round_trips():
         list(mixing_coder.unpack_segments(bytes(broken) + b"\n"))
 
 
+def test_mixed_parts_of_all_ids_fill_the_total():
+    rng = np.random.default_rng(5)
+    seen = rng.integers(0, 40, (3, 64))
+    model = mixing_coder._Model(3)
+    for t in range(40):
+        model.look()
+        model.part(seen[:, t])
+        model.update(seen[:, t], t, seen)
+    model.look()
+    upto = np.zeros(3, np.int64)
+    for x in range(1 << 16):
+        start, own = model.part(np.full(3, x))
+        assert (start == upto).all()
+        if x < 60:  # every value of a part leads back to its id
+            for value in (start, start + own // 2, start + own - 1):
+                assert (model.find(value) == x).all()
+        upto = start + own
+    assert (upto == model.total).all()
+
+
+def test_mixing_packs_closer_than_zlib():
+    import zlib
+
+    import public_tokenizers
+    import pyarrow.parquet as pq
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        words = mixing_coder._WordIds(f.read())
+    ids = [x for text in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"] for x in words.of_text(text.as_py() or "")]
+    grid = np.array(ids[: len(ids) // 4096 * 4096], np.uint16).reshape(-1, 4096)
+    packed = mixing_coder.encode_blocks(grid)
+    assert (mixing_coder.decode_blocks(packed, 4096) == grid).all()
+    assert sum(map(len, packed)) < len(zlib.compress(grid.tobytes(), 9)) < sum(len(zlib.compress(row.tobytes(), 9)) for row in grid)
+
+
 def test_stored_ids(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     real = Tokenizer.from_file(path)
