@@ -360,7 +360,7 @@ def _decisions() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: Replicates, draws and synthetic data sets of the registered bootstrap tests, below the operators' defaults.
-FEW, DRAWS, SYNTHETIC = 49, 250, 50
+FEW, DRAWS, SYNTHETIC = 19, 250, 50
 
 
 def _null(then: Callable, answers: Callable = binary) -> Callable[[SparkSession, str], DataFrame]:
