@@ -25,14 +25,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import saved, small_batches
 
 LEAST, TOP, SHARE = 10, 2000, 50
 #: Bits of a word's id, and the most words that have one.
 ID_BITS = 20
 MOST_WORDS = (1 << ID_BITS) - 1
 #: Bytes of text that are cut into words at once, distinct words and phrases that a task holds before it hands them on.
-SLICE_BYTES, HELD_WORDS, HELD_PHRASES = 4 << 20, 1 << 19, 1 << 22
+SLICE_BYTES, HELD_WORDS, HELD_PHRASES = 1 << 20, 1 << 18, 1 << 21
+#: Texts that a task gets at once, and parts in which the best phrases of a language are found first.
+TEXTS, PARTS = 256, 16
 #: Phrases of a merged range on average, and the most bits of a range's number.
 RANGE_PHRASES, MOST_RANGE_BITS = 1 << 20, 16
 #: Positions of a bitmap per key, and at most (32 MB).
@@ -344,10 +346,12 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
     the phrase.  Texts are cut a slice at a time, however long they are.  An empty table, or one without frequent
     phrases, gives no rows.  Other columns are ignored.
     """
-    counts = saved(word_counts(docs, text, lang), "phrase-words")
+    with small_batches(docs.sparkSession, TEXTS):
+        counts = saved(word_counts(docs, text, lang), "phrase-words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     words = saved(counts.where(F.col("n") >= least), "frequent-words")
-    two, three = frequent_phrases(docs, words, least, most_words, text, lang)
+    with small_batches(docs.sparkSession, TEXTS):
+        two, three = frequent_phrases(docs, words, least, most_words, text, lang)
     part = lambda df, name, *key: df.select("lang", *key, F.col("a").alias(name))
     one = words.select("lang", F.col("word").alias("w"), F.col("n").alias("a"))
     two = two.select("lang", F.col("words")[0].alias("w1"), F.col("words")[1].alias("w2"), "a")
@@ -370,6 +374,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
     pick = lambda name: F.when(first, F.col(f"{name}1")).otherwise(F.col(f"{name}2"))
     triples = triples.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", pick("l").alias("l"), pick("r").alias("r"), pick("s").alias("score"))
 
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase"))
-    best = pairs.unionByName(triples).withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
+    # The first ones of a language are among the first ones of its parts, so no task gets more than PARTS x ``top`` rows of it.
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")).cast("long")
+    best = pairs.unionByName(triples).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    best = best.withColumn("rank", rank("lang", "part")).where(F.col("rank") <= top).repartition("lang")
+    best = best.withColumn("rank", rank("lang")).where(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
