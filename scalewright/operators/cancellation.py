@@ -1,44 +1,47 @@
 """Cancellation checks of a table of success counts (row, col, n_total, n_right), rows and columns in order.
 
-Sub-matrices are rows of a DataFrame.  Each is sampled under the order that an additive structure demands, many
+Sub-matrices are numbered, and tasks find theirs by number, so none lists them all.  Each is sampled under the order that an additive structure demands, many
 side by side in a task, and a cell counts as violated if its observed rate lies outside the sampled range.  What
 the checks say about each cell is summed up by DataFrame aggregates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Sub-matrices that are sampled side by side; the group's number is part of the seed.
 GROUP = 256
 #: Sampling steps, those left out at the start, and every how many-th one is kept.
 STEPS, BURN, EVERY = 3000, 1000, 4
-#: Above so many sub-matrices, a sample of SAMPLED stands for all.
-MOST, SAMPLED = 200_000, 5000
+#: Draws of a sub-matrix until one can be checked, and the most tasks that groups go to.
+TRIES, MOST_TASKS = 1000, 4096
 
 # The 14 coherent triple cancellation tests of a 4 x 4 table (Kyngdon and Richards 2006).  Each has three
 # premises and a conclusion, given as pairs of columns; their rows are always 1 and 0, 2 and 1, 3 and 2, and 3 and 0.
-TRIPLE = """
-01 12 23 03
-01 12 12 02
-01 01 23 03
-01 01 12 02
-02 23 12 03
-02 23 01 13
-02 12 23 03
-02 12 01 13
-02 01 23 03
-12 23 01 03
-12 01 23 03
-12 01 12 03
-01 23 12 03
-01 13 23 03
-"""
+TRIPLE = [
+    [(0, 1), (1, 2), (2, 3), (0, 3)],
+    [(0, 1), (1, 2), (1, 2), (0, 2)],
+    [(0, 1), (0, 1), (2, 3), (0, 3)],
+    [(0, 1), (0, 1), (1, 2), (0, 2)],
+    [(0, 2), (2, 3), (1, 2), (0, 3)],
+    [(0, 2), (2, 3), (0, 1), (1, 3)],
+    [(0, 2), (1, 2), (2, 3), (0, 3)],
+    [(0, 2), (1, 2), (0, 1), (1, 3)],
+    [(0, 2), (0, 1), (2, 3), (0, 3)],
+    [(1, 2), (2, 3), (0, 1), (0, 3)],
+    [(1, 2), (0, 1), (2, 3), (0, 3)],
+    [(1, 2), (0, 1), (1, 2), (0, 3)],
+    [(0, 1), (2, 3), (1, 2), (0, 3)],
+    [(0, 1), (1, 3), (2, 3), (0, 3)],
+]
 
 Cell = tuple[int, int]
 #: Premises (smaller, larger) and the conclusion (smaller, larger).  If no premise holds, the conclusion is reversed.
@@ -53,11 +56,9 @@ def double_rules(size: int) -> list[Rule]:
 
 def triple_rules() -> list[Rule]:
     out = []
-    for line in TRIPLE.split("\n"):
-        if line:
-            a, b, c, end = [(int(x), int(y)) for x, y in line.split()]
-            premises = [((k + 1, x), (k, y)) for k, (x, y) in enumerate((a, b, c))]
-            out.append((premises, ((3, end[0]), (0, end[1]))))
+    for *pairs, end in TRIPLE:
+        premises = [((k + 1, x), (k, y)) for k, (x, y) in enumerate(pairs)]
+        out.append((premises, ((3, end[0]), (0, end[1]))))
     return out
 
 
@@ -133,46 +134,126 @@ def sampled_ranges(total: np.ndarray, right: np.ndarray, check: str, rng: np.ran
     return np.quantile(draws, low, axis=0), np.quantile(draws, high, axis=0), draws.mean(0)
 
 
-def sub_matrices(cells: DataFrame, size: int, which: str | int = "adjacent", seed: int = 1) -> DataFrame:
-    """(sub_id, rows, cols): adjacent ones, "all", or a number of them drawn by hash.
+def combination(rank: int, n: int, size: int) -> list[int]:
+    """The combination of ``size`` out of 0 to n - 1 with the given number, in lexicographic order."""
+    out, at = [], 0
+    for left in range(size, 0, -1):
+        while (behind := comb(n - at - 1, left - 1)) <= rank:
+            rank -= behind
+            at += 1
+        out.append(at)
+        at += 1
+    return out
+
+
+def _places(number: int, shape: tuple[int, int], size: int, adjacent: bool) -> tuple[list[int], list[int]]:
+    """Rows and columns of the sub-matrix with the given number."""
+    if adjacent:
+        i, j = divmod(number, shape[1] - size + 1)
+        return list(range(i, i + size)), list(range(j, j + size))
+    i, j = divmod(number, comb(shape[1], size))
+    return combination(i, shape[0], size), combination(j, shape[1], size)
+
+
+def _number_of(shape: tuple[int, int], size: int, adjacent: bool) -> int:
+    return (shape[0] - size + 1) * (shape[1] - size + 1) if adjacent else comb(shape[0], size) * comb(shape[1], size)
 
-    The table of counts has a row per score group and item, so its sides are listed on the driver.
+
+def chosen_places(numbers: range, shape: tuple[int, int], size: int, which: str | int, sound: Callable[[list[int], list[int]], bool], seed: tuple[int, ...]) -> list[tuple[int, list[int], list[int]]]:
+    """(number, rows, columns) of sub-matrices: those with these numbers, or as many drawn ones.
+
+    A draw that can't be checked is repeated, up to TRIES times; then its last try stands.  As many draws as there are
+    sub-matrices, or more, take each of them once.
     """
-    spark = cells.sparkSession
-    sides = cells.agg(F.sort_array(F.collect_set("row")).alias("rows"), F.sort_array(F.collect_set("col")).alias("cols")).first()
-    if min(len(sides["rows"]), len(sides["cols"])) < size:
+    total = _number_of(shape, size, which == "adjacent")
+    if isinstance(which, str) or which >= total:
+        return [(k, *_places(k, shape, size, which == "adjacent")) for k in numbers]
+    out = []
+    for k in numbers:
+        rng = np.random.default_rng([*seed, k])
+        for _ in range(TRIES):
+            rows, cols = (sorted(rng.choice(n, size, replace=False).tolist()) for n in shape)
+            if sound(rows, cols):
+                break
+        out.append((k, rows, cols))
+    return out
+
+
+@dataclass(frozen=True)
+class Table:
+    """A table of counts that every task gets: a row per score group, a column per item."""
+
+    rows: list[int]
+    cols: list[int]
+    total: np.ndarray
+    right: np.ndarray
+
+    def sound(self, rows: list[int], cols: list[int]) -> bool:
+        n, k = self.total[np.ix_(rows, cols)], self.right[np.ix_(rows, cols)]
+        return bool(((k > 0) & (k < n)).all())
+
+
+def table_of(cells: DataFrame, adjust_extremes: bool = False) -> Table:
+    """The table as arrays; a cell that is absent has no answers.  It has a row per score group, so it is small."""
+    found = cells.select("row", "col", "n_total", "n_right").collect()
+    rows, cols = (sorted({r[k] for r in found}) for k in ("row", "col"))
+    at_row, at_col = ({v: k for k, v in enumerate(side)} for side in (rows, cols))
+    total, right = np.zeros((2, len(rows), len(cols)))
+    for r in found:
+        at = at_row[r["row"]], at_col[r["col"]]
+        total[at], right[at] = float(r["n_total"]), float(r["n_right"])
+    if adjust_extremes:
+        right = np.where((right == 0) & (total > 0), 0.001 * total, np.where(right == total, 0.999 * total, right))
+    return Table(rows, cols, total, right)
+
+
+def _over_groups(spark: SparkSession, table: Table, size: int, which: str | int, seed: int, then: Callable[[int, list[tuple[int, list[int], list[int]]]], pd.DataFrame], schema: str) -> DataFrame:
+    """``then(group, sub-matrices)`` of groups of GROUP sub-matrices, which tasks number and draw by themselves."""
+    shape = table.total.shape
+    if min(shape) < size:
         raise ValueError(f"the table must have {size} rows and columns at least")
-    pick = (lambda s: [s[k : k + size] for k in range(len(s) - size + 1)]) if which == "adjacent" else (lambda s: [list(c) for c in combinations(s, size)])
-    rows, cols = pick(sides["rows"]), pick(sides["cols"])
-    total = len(rows) * len(cols)
-    one = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k long, rows array<int>")
-    other = F.posexplode(F.array(*[F.array(*map(F.lit, c)) for c in cols])).alias("j", "cols")
-    subs = one.select("k", "rows", other).select((F.col("k") * len(cols) + F.col("j")).alias("sub_id"), "rows", "cols")
-    wanted = which if isinstance(which, int) else SAMPLED if total > MOST else total
-    return subs if wanted >= total else subs.orderBy(F.xxhash64("sub_id", F.lit(seed)), "sub_id").limit(wanted)
+    total = _number_of(shape, size, which == "adjacent")
+    wanted = min(which, total) if isinstance(which, int) else total
+    groups = -(-wanted // GROUP)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g in b["id"].tolist():
+                yield then(g, chosen_places(range(g * GROUP, min(wanted, (g + 1) * GROUP)), shape, size, which, table.sound, (seed,)))
+
+    return spark.range(0, groups, 1, min(groups, MOST_TASKS)).mapInPandas(run, schema)
+
+
+def sub_matrices(cells: DataFrame, size: int, which: str | int = "adjacent", seed: int = 1) -> DataFrame:
+    """(sub_id, rows, cols): adjacent ones, "all", or a number of them that are drawn, each drawn again while it can't be checked."""
+    table = table_of(cells)
+
+    def listed(_: int, found: list[tuple[int, list[int], list[int]]]) -> pd.DataFrame:
+        return pd.DataFrame([(k, [table.rows[i] for i in rows], [table.cols[j] for j in cols]) for k, rows, cols in found], columns=["sub_id", "rows", "cols"])
+
+    return _over_groups(cells.sparkSession, table, size, which, seed, listed, "sub_id long, rows array<int>, cols array<int>")
 
 
 def conjoint_checks(cells: DataFrame, check: str = "double", which: str | int = "adjacent", adjust_extremes: bool = False, seed: int = 1, low: float = 0.025, high: float = 0.975, steps: int = STEPS, burn: int = BURN) -> DataFrame:
     """(sub_id, row, col, n_total, rate, low, high, mean, violated) of every cell of every sub-matrix that is checked.
 
     A sub-matrix with a rate of 0 or 1 isn't checked, unless those are moved to 0.001 and 0.999.  A rate on the
-    border of its range is a violation.
+    border of its range is a violation.  GROUP sub-matrices are sampled side by side, groups go to tasks of their own.
     """
     size = CHECKS[check][0]
-    subs = sub_matrices(cells, size, which, seed)
-    places = subs.select("sub_id", F.posexplode("rows").alias("i", "row"), "cols").select("sub_id", "i", "row", F.posexplode("cols").alias("j", "col"))
-    right = F.when((F.col("n_right") == 0) & F.lit(adjust_extremes), 0.001 * F.col("n_total")).when((F.col("n_right") == F.col("n_total")) & F.lit(adjust_extremes), 0.999 * F.col("n_total")).otherwise(F.col("n_right"))
-    filled = places.join(cells.select("row", "col", F.col("n_total").cast("double").alias("n_total"), right.cast("double").alias("n_right")), ["row", "col"])
-    sound = filled.groupBy("sub_id").agg(F.count(F.lit(1)).alias("n"), F.sum(((F.col("n_right") <= 0) | (F.col("n_right") >= F.col("n_total"))).cast("int")).alias("ends")).where((F.col("n") == size * size) & (F.col("ends") == 0))
-    filled = filled.join(sound.select("sub_id"), "sub_id", "left_semi").withColumn("part", F.floor(F.col("sub_id") / GROUP))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["sub_id", "i", "j"])
-        total, right = (group[c].to_numpy(float).reshape(-1, size, size) for c in ("n_total", "n_right"))
-        lo, hi, mean = sampled_ranges(total, right, check, np.random.default_rng([seed, int(group["part"].iloc[0])]), low, high, steps, burn)
-        return group.assign(low=lo.ravel(), high=hi.ravel(), mean=mean.ravel())[["sub_id", "row", "col", "n_total", "n_right", "low", "high", "mean"]]
-
-    checked = filled.groupBy("part").applyInPandas(run, "sub_id long, row int, col int, n_total double, n_right double, low double, high double, mean double")
+    table = table_of(cells, adjust_extremes)
+    names = ["sub_id", "row", "col", "n_total", "n_right", "low", "high", "mean"]
+
+    def sampled(group: int, found: list[tuple[int, list[int], list[int]]]) -> pd.DataFrame:
+        found = [f for f in found if table.sound(*f[1:])]
+        if not found:
+            return pd.DataFrame([], columns=names)
+        total, right = (np.array([m[np.ix_(rows, cols)] for _, rows, cols in found]) for m in (table.total, table.right))
+        lo, hi, mean = sampled_ranges(total, right, check, np.random.default_rng([seed, group]), low, high, steps, burn)
+        sides = [(k, table.rows[i], table.cols[j]) for k, rows, cols in found for i in rows for j in cols]
+        return pd.DataFrame(sides, columns=names[:3]).assign(n_total=total.ravel(), n_right=right.ravel(), low=lo.ravel(), high=hi.ravel(), mean=mean.ravel())
+
+    checked = _over_groups(cells.sparkSession, table, size, which, seed, sampled, "sub_id long, row int, col int, n_total double, n_right double, low double, high double, mean double")
     rate = F.col("n_right") / F.col("n_total")
     return checked.select("sub_id", "row", "col", "n_total", rate.alias("rate"), "low", "high", "mean", (~((rate > F.col("low")) & (rate < F.col("high")))).alias("violated"))
 
@@ -223,10 +304,15 @@ def dense_core(cells: DataFrame, least: int = 5) -> DataFrame:
     """
     n = {(r["row"], r["col"]): r["n_total"] for r in cells.select("row", "col", "n_total").collect()}
     rows, cols = (sorted({k[i] for k in n}) for i in (0, 1))
-    while True:
-        thin = np.array([[n.get((r, c), 0) < least for c in cols] for r in rows], dtype=int).reshape(len(rows), len(cols))
-        if not thin.any():
-            break
+    table = np.array([[n.get((r, c), 0) for c in cols] for r in rows]).reshape(len(rows), len(cols))
+    stay = dense_sides(table, least)
+    return cells.where(F.col("row").isin([rows[i] for i in stay[0]]) & F.col("col").isin([cols[j] for j in stay[1]]))
+
+
+def dense_sides(total: np.ndarray, least: int = 5) -> tuple[list[int], list[int]]:
+    """Rows and columns that ``dense_core`` keeps of a table of counts."""
+    rows, cols = (list(range(n)) for n in total.shape)
+    while (thin := total[np.ix_(rows, cols)] < least).any():
         by_row, by_col = thin.sum(1), thin.sum(0)
         if by_row.max() >= by_col.max():
             del rows[int(by_row.argmax())]
@@ -234,4 +320,4 @@ def dense_core(cells: DataFrame, least: int = 5) -> DataFrame:
             del cols[int(by_col.argmax())]
         if min(len(rows), len(cols)) < 3:
             raise ValueError("fewer than three rows or columns are left")
-    return cells.where(F.col("row").isin(rows) & F.col("col").isin(cols))
+    return rows, cols

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .counts import pattern_frequencies
+from .fanout import kept, per_key
+from .orders import Constraints, OrderedStep, expected_loglik, ordering
 
 #: Least probability of a category and least weight of a cell.
 CLIP = 1e-10
@@ -75,42 +77,6 @@ def doubly_monotone(p: np.ndarray, weight: np.ndarray, order: np.ndarray, tol: f
     return x
 
 
-def tilted(p: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """Distributions over the last axis, reweighted by exp(category * t) so that they have the given means."""
-    at, low, high = np.arange(p.shape[-1]), np.full(mean.shape, -60.0), np.full(mean.shape, 60.0)
-    for _ in range(60):
-        t = (low + high) / 2
-        logit = np.log(np.maximum(p, 1e-300)) + at * t[..., None]
-        q = np.exp(logit - logit.max(-1, keepdims=True)) * (p > 0)
-        q /= q.sum(-1, keepdims=True)
-        above = q @ at > mean
-        low, high = np.where(above, low, t), np.where(above, t, high)
-    return q
-
-
-def graded_ordered(p: np.ndarray, weight: np.ndarray, order: np.ndarray, model: str, cycles: int = 20) -> np.ndarray:
-    """A table classes x items x categories near ``p`` that keeps the orders of ``model``: MON, IIO, or DM for both.
-
-    Every P(answer >= x) becomes nondecreasing over classes; thresholds stay in order, as they are pooled with the same
-    weights.  Means of items are ordered within a class, and each distribution is tilted to its new mean.  For
-    both orders the two steps take turns until the means stay.
-    """
-    at = np.arange(p.shape[2])
-    for _ in range(cycles if model == "DM" else 1):
-        before = p @ at
-        if model != "MON":
-            wanted = item_ordered(p @ at, order)
-            moved = np.abs(wanted - p @ at) > 1e-12
-            p = np.where(moved[:, :, None], tilted(p, wanted), p)
-        if model != "IIO":
-            upto = np.stack([monotone(p[:, :, x:].sum(2), weight) for x in range(1, len(at))], 2)
-            upto = np.concatenate([np.ones_like(upto[:, :, :1]), upto, np.zeros_like(upto[:, :, :1])], 2)
-            p = np.maximum(upto[:, :, :-1] - upto[:, :, 1:], 0)
-        if np.abs(p @ at - before).max() < 1e-10:
-            break
-    return p
-
-
 @dataclass
 class Fit:
     """Parameters of the best start.  ``probs`` is classes x items x categories."""
@@ -206,7 +172,7 @@ def _climbed_together(patterns: DataFrame, runs: list) -> list[tuple]:
     return [ended[k] for k in range(len(runs))]
 
 
-def _climbed_apart(patterns: DataFrame, starts: list, shape: tuple[int, ...], climb: Callable) -> list[tuple]:
+def _climbed_apart(patterns: DataFrame, n_starts: int, shape: tuple[int, ...], climb: Callable) -> list[tuple]:
     """Results of all runs, a task each, for a table of at most PATTERNS_PER_TASK patterns that each task gets whole."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -220,9 +186,9 @@ def _climbed_apart(patterns: DataFrame, starts: list, shape: tuple[int, ...], cl
                 weights, probs, loglik, steps, done = end.value
                 return pd.DataFrame({"start": [k], "weights": [weights.tobytes()], "probs": [np.ascontiguousarray(probs).tobytes()], "loglik": [loglik], "steps": [steps], "done": [done], "pars": [pars().tobytes()]})
 
-    each = patterns.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(len(starts) - 1))))
-    rows = {r["start"]: r for r in each.repartition(len(starts), "start").groupBy("start").applyInPandas(run, "start int, weights binary, probs binary, loglik double, steps int, done boolean, pars binary").collect()}
-    return [(np.frombuffer(r["weights"]), np.frombuffer(r["probs"]).reshape(shape), r["loglik"], r["steps"], r["done"], np.frombuffer(r["pars"])) for r in (rows[k] for k in range(len(starts)))]
+    each = patterns.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(n_starts - 1))))
+    rows = {r["start"]: r for r in per_key(each, "start", n_starts, run, "start int, weights binary, probs binary, loglik double, steps int, done boolean, pars binary").collect()}
+    return [(np.frombuffer(r["weights"]), np.frombuffer(r["probs"]).reshape(shape), r["loglik"], r["steps"], r["done"], np.frombuffer(r["pars"])) for r in (rows[k] for k in range(n_starts))]
 
 
 def _free(e: np.ndarray, tops: np.ndarray) -> np.ndarray:
@@ -242,16 +208,17 @@ def step_table(theta: np.ndarray, steps: list[np.ndarray], n_cat: int) -> np.nda
     return out
 
 
-def _newton(e: np.ndarray, par: np.ndarray, ability: np.ndarray, tops: np.ndarray, rounds: int = 3) -> np.ndarray:
+def _newton(e: np.ndarray, par: np.ndarray, ability: np.ndarray, tops: np.ndarray, rounds: int = 3, fixed: np.ndarray | float = 0.0) -> np.ndarray:
     """Raise the expected loglik of a partial-credit table that is linear in ``par``.
 
-    ``ability`` maps the first parameters to one ability per class; the rest are the steps item by item.
+    ``ability`` maps the first parameters to one ability per class, on top of what is ``fixed``; the rest are the steps
+    item by item.
     """
     k = ability.shape[1]
     first = k + np.concatenate([[0], np.cumsum(tops)]).astype(int)
 
     def table(v: np.ndarray) -> np.ndarray:
-        return step_table(ability @ v[:k], [v[first[j] : first[j + 1]] for j in range(len(tops))], e.shape[2])
+        return step_table(ability @ v[:k] + fixed, [v[first[j] : first[j + 1]] for j in range(len(tops))], e.shape[2])
 
     def quality(v: np.ndarray) -> float:
         return float((e * np.log(np.maximum(table(v), 1e-300))).sum())
@@ -300,7 +267,7 @@ def _starts(model: str, shares: np.ndarray, tops: np.ndarray, n_classes: int, n_
     return out
 
 
-def fit(patterns: DataFrame, model: str = "UN", n_classes: int = 2, n_starts: int = 10, tol: float = 1e-6, seed: int = 1, max_iter: int | None = None, also: list[Fit] | None = None) -> Fit:
+def fit(patterns: DataFrame, model: str = "UN", n_classes: int = 2, n_starts: int = 10, tol: float = 1e-6, seed: int = 1, max_iter: int | None = None, also: list[Fit] | None = None, item_order: tuple[int, ...] | None = None, constraints: Constraints | None = None) -> Fit:
     """The best of ``n_starts`` EM runs on a table (x, freq).
 
     Runs on up to PATTERNS_PER_TASK patterns are a task each; on more, all runs share each pass over the patterns.
@@ -308,9 +275,15 @@ def fit(patterns: DataFrame, model: str = "UN", n_classes: int = 2, n_starts: in
 
     UN: free classes; MON: nondecreasing over classes; IIO: items in one order in every class; DM: both; LCR: Rasch or
     partial-credit items over free classes; RM: the same over a normal distribution (one start).  On graded answers
-    MON orders every P(answer >= x) over classes and IIO the mean answers of items.  A run ends when the loglik changes by less than ``tol`` of its size, after 3 steps at least.
-    Latent class fits in ``also`` with the same number of classes are further starts.
+    MON orders every P(answer >= x) over classes and IIO the mean answers of items; their M step is the constrained maximum.  A run ends when the loglik changes by less than ``tol`` of its size, after 3 steps at least.
+    Latent class fits in ``also`` with the same number of classes are further starts.  ``item_order`` (easy to hard) takes the
+    place of the order of mean answers; ``constraints`` put any orders on free classes.
     """
+    with kept(patterns) as patterns:
+        return _fit(patterns, model, n_classes, n_starts, tol, seed, max_iter, also, item_order, constraints)
+
+
+def _fit(patterns: DataFrame, model: str, n_classes: int, n_starts: int, tol: float, seed: int, max_iter: int | None, also: list[Fit] | None, item_order: tuple[int, ...] | None, constraints: Constraints | None) -> Fit:
     if model not in MODELS:
         raise ValueError(f"no model named {model}")
     overall = patterns.select("freq", F.posexplode("x").alias("item", "v")).groupBy("item", "v").agg(F.sum("freq").alias("n")).collect()
@@ -321,23 +294,23 @@ def fit(patterns: DataFrame, model: str = "UN", n_classes: int = 2, n_starts: in
     counts = np.zeros((1 + max(r["item"] for r in overall), max(2, 1 + max(r["v"] for r in answered))))
     for r in answered:
         counts[r["item"], r["v"]] += r["n"]
-    shape, starts, climb, finish = _problem(counts, model, n_classes, n_starts, tol, seed, max_iter, also)
+    shape, starts, climb, finish = _problem(counts, model, n_classes, n_starts, tol, seed, max_iter, also, item_order, constraints)
+    return finish(climbed(patterns, n_patterns, len(starts), shape, climb), n_obs)
+
+
+def climbed(patterns: DataFrame, n_patterns: int, n_starts: int, shape: tuple[int, ...], climb: Callable) -> list[tuple]:
+    """Results of ``n_starts`` EM runs, each with its last parameters, over a table of any size."""
     if n_patterns <= PATTERNS_PER_TASK:
-        results = _climbed_apart(patterns, starts, shape, climb)
-    else:
-        patterns = patterns.repartition(1 + min(n_patterns // PATTERNS_PER_TASK, MOST_TASKS - 1)).persist()
-        try:
-            runs = [climb(s) for s in range(len(starts))]
-            results = [(*r, last()) for r, (_, last) in zip(_climbed_together(patterns, [run for run, _ in runs]), runs)]
-        finally:
-            patterns.unpersist()
-    return finish(results, n_obs)
-
-
-def fit_here(x: np.ndarray, freq: np.ndarray, n_cat: int, model: str = "UN", n_classes: int = 2, n_starts: int = 10, tol: float = 1e-6, seed: int = 1, max_iter: int | None = None, also: list[Fit] | None = None) -> Fit:
+        return _climbed_apart(patterns, n_starts, shape, climb)
+    with kept(patterns.repartition(1 + min(n_patterns // PATTERNS_PER_TASK, MOST_TASKS - 1))) as spread:
+        runs = [climb(s) for s in range(n_starts)]
+        return [(*r, last()) for r, (_, last) in zip(_climbed_together(spread, [run for run, _ in runs]), runs)]
+
+
+def fit_here(x: np.ndarray, freq: np.ndarray, n_cat: int, model: str = "UN", n_classes: int = 2, n_starts: int = 10, tol: float = 1e-6, seed: int = 1, max_iter: int | None = None, also: list[Fit] | None = None, item_order: tuple[int, ...] | None = None, constraints: Constraints | None = None) -> Fit:
     """``fit`` of patterns that a task holds: ``x`` is patterns x items, -1 where an answer is missing."""
     seen = (x[:, :, None] == np.arange(n_cat)).reshape(len(x), -1).astype(float)
-    shape, starts, climb, finish = _problem((freq @ seen).reshape(x.shape[1], n_cat), model, n_classes, n_starts, tol, seed, max_iter, also)
+    shape, starts, climb, finish = _problem((freq @ seen).reshape(x.shape[1], n_cat), model, n_classes, n_starts, tol, seed, max_iter, also, item_order, constraints)
     results = []
     for s in range(len(starts)):
         run, last = climb(s)
@@ -351,12 +324,14 @@ def fit_here(x: np.ndarray, freq: np.ndarray, n_cat: int, model: str = "UN", n_c
     return finish(results, int(freq.sum()))
 
 
-def _problem(counts: np.ndarray, model: str, n_classes: int, n_starts: int, tol: float, seed: int, max_iter: int | None, also: list[Fit] | None) -> tuple:
+def _problem(counts: np.ndarray, model: str, n_classes: int, n_starts: int, tol: float, seed: int, max_iter: int | None, also: list[Fit] | None, item_order: tuple[int, ...] | None = None, constraints: Constraints | None = None) -> tuple:
     """(shape of the probabilities, starts, ``climb(s)`` of one EM run, ``finish`` of all results) for answer counts per item and category."""
     n_items, n_cat = counts.shape
     tops = np.maximum(1, np.array([np.nonzero(c)[0].max(initial=0) for c in counts]))
     shares = (counts + 0.5 * (np.arange(n_cat) <= tops[:, None])) / (counts + 0.5 * (np.arange(n_cat) <= tops[:, None])).sum(1, keepdims=True)
-    order = np.argsort(-(shares @ np.arange(n_cat)), kind="stable")
+    order = np.argsort(-(shares @ np.arange(n_cat)), kind="stable") if item_order is None else np.array(item_order)
+    if constraints is not None and model != "UN":
+        raise ValueError("constraints are for free classes")
 
     ability, pars = None, None
     if model == "RM":
@@ -377,8 +352,19 @@ def _problem(counts: np.ndarray, model: str, n_classes: int, n_starts: int, tol:
         pars = [np.concatenate([a, *easy]) for a in lead]
         probs = [step_table(ability @ v[: ability.shape[1]], _split(v, ability.shape[1], tops), n_cat) for v in pars]
 
+    ordered = OrderedStep(probs[0].shape, tops, constraints or ordering(model, order)) if ability is None and (constraints or model != "UN") else None
+
     def updater(par: list) -> Callable[[np.ndarray], np.ndarray]:
         """The M step of one run, whose abilities and steps are in ``par``."""
+        last: list[np.ndarray] = []
+
+        def likeliest(e: np.ndarray) -> np.ndarray:
+            p = ordered(e)
+            # What was found before keeps the orders too; the search's last digits mustn't cost likelihood.
+            if last and expected_loglik(e, last[0]) > expected_loglik(e, p):
+                return last[0]
+            last[:] = [p]
+            return p
 
         def update(e: np.ndarray) -> np.ndarray:
             if ability is not None:
@@ -387,11 +373,12 @@ def _problem(counts: np.ndarray, model: str, n_classes: int, n_starts: int, tol:
                 if model == "RM":
                     par[0][0] = np.clip(abs(par[0][0]), 0.02, 20)
                 return step_table(ability @ par[0][:k], _split(par[0], k, tops), n_cat)
+            # Weights that differ between items, as with missing answers, keep a least-squares projection from being the maximum.
+            if constraints is not None or (model != "UN" and n_cat > 2) or (model in ("IIO", "DM") and np.ptp(e.sum(2), axis=1).max() > 1e-7 * e.sum()):
+                return likeliest(e)
             p = _free(e, tops)
             if model == "UN":
                 return p
-            if n_cat > 2:
-                return graded_ordered(p, e.sum(2), order, model)
             project: dict[str, Callable] = {"MON": lambda q: monotone(q, e.sum(2)), "IIO": lambda q: item_ordered(q, order), "DM": lambda q: doubly_monotone(q, e.sum(2), order)}
             right = np.clip(project[model](p[:, :, 1]), CLIP, 1 - CLIP)
             return np.stack([1 - right, right], 2)

@@ -8,17 +8,21 @@ on a pattern table per replicate: (rep, x, freq).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import cancellation as K
+from . import mixtures as M
+from .fanout import MOST_TASKS, kept, per_key
 from .mixtures import PATTERNS_PER_TASK, Fit, fit, fit_here
 
-#: Replicates of a test, and distinct (answered items, total) rows that the driver may hold while fitting.
-REPLICATES = 99
+#: Replicates of a test, and distinct (answered items, total) rows that the driver weighs itself; tasks weigh more of them.
+REPLICATES, GROUPS_ON_DRIVER = 99, 2_000
 REPLICATE_ROWS = "rep int, x array<int>, freq long"
 
 
@@ -39,24 +43,40 @@ def _answers(x: pd.Series) -> np.ndarray:
     return np.nan_to_num(np.array([np.asarray(v, float) for v in x]), nan=-1).astype(int)
 
 
-def _replicated(packed: DataFrame, replicates: int, draw: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> DataFrame:
-    """(rep, x, freq) of ``draw(person_ids, answers, rep)`` for every replicate."""
+def _matrix(x: pa.Array) -> np.ndarray:
+    """The same of an Arrow column of lists of one length."""
+    return x.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(int).reshape(len(x), -1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _lists(answers: np.ndarray) -> pa.Array:
+    """Patterns as an Arrow column, null where an answer is missing."""
+    flat = answers.astype(np.int32).ravel()
+    offsets = np.arange(len(answers) + 1, dtype=np.int32) * answers.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, mask=flat < 0))
+
+
+def _replicated(people: DataFrame, replicates: range, draw: Callable[..., np.ndarray], *more: str) -> DataFrame:
+    """(rep, x, freq) of ``draw(person_ids, answers, rep, columns named in more)`` for every replicate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            ids, answers = b["person_id"].to_numpy(), _answers(b["x"])
-            for rep in range(replicates):
-                patterns, freq = np.unique(draw(ids, answers, rep), axis=0, return_counts=True)
-                yield pd.DataFrame({"rep": rep, "x": [[None if v < 0 else int(v) for v in row] for row in patterns], "freq": freq})
+            ids, answers = b.column(0).to_numpy(), _matrix(b.column(1))
+            extra = [b.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(more))]
+            for rep in replicates:
+                patterns, freq = np.unique(draw(ids, answers, rep, *extra), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(patterns), rep, np.int32)), _lists(patterns), pa.array(freq.astype(np.int64))], ["rep", "x", "freq"])
 
-    drawn = packed.where("person_id is not null").select("person_id", "x").mapInPandas(run, REPLICATE_ROWS)
+    drawn = people.where("person_id is not null").select("person_id", "x", *more).mapInArrow(run, REPLICATE_ROWS)
     return drawn.groupBy("rep", "x").agg(F.sum("freq").alias("freq"))
 
 
-def model_replicates(packed: DataFrame, f: Fit, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
-    """(rep, x, freq): everyone draws a class and answers under ``f``; what somebody left out stays out."""
+def model_replicates(packed: DataFrame, f: Fit, replicates: int = REPLICATES, seed: int = 1, first: int = 0) -> DataFrame:
+    """(rep, x, freq): everyone draws a class and answers under ``f``; what somebody left out stays out.
+
+    Replicates are numbered from ``first`` on; each is the same whichever others are drawn.
+    """
     weights, tables = np.cumsum(f.weights), np.cumsum(f.probs, axis=2)
 
     def draw(ids: np.ndarray, answers: np.ndarray, rep: int) -> np.ndarray:
@@ -65,7 +85,7 @@ def model_replicates(packed: DataFrame, f: Fit, replicates: int = REPLICATES, se
         new = np.column_stack([np.minimum((_uniform(ids, rep, j + 1, seed)[:, None] >= tables[k, j]).sum(1), top) for j in range(answers.shape[1])])
         return np.where(answers < 0, -1, new)
 
-    return _replicated(packed, replicates, draw)
+    return _replicated(packed, range(first, first + replicates), draw)
 
 
 def _products(weights: list[np.ndarray]) -> list[np.ndarray]:
@@ -121,29 +141,57 @@ def _conditional_loss(groups: list[tuple[str, int, int]], steps: list[np.ndarray
     return value, reached
 
 
+def _loss_in_tasks(groups: DataFrame, steps: list[np.ndarray]) -> tuple[float, np.ndarray]:
+    """``_conditional_loss`` of a table (mask, total, n): a task per part of it, one vector of sums from each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(1 + sum(map(len, steps)))
+        for b in batches:
+            value, reached = _conditional_loss(list(zip(b["mask"], b["total"].tolist(), b["n"].tolist())), steps)
+            sums += np.concatenate([[value], reached])
+        yield pd.DataFrame({"sums": [sums.tobytes()]})
+
+    sums = sum((np.frombuffer(r["sums"]) for r in groups.mapInPandas(run, "sums binary").collect()), np.zeros(1 + sum(map(len, steps))))
+    return float(sums[0]), sums[1:]
+
+
 def fit_conditional(patterns: DataFrame, rounds: int = 500, tol: float = 1e-8) -> list[np.ndarray]:
     """Steps of every item, summing to zero, by conditional maximum likelihood given who answered what and their totals.
 
-    Persons with none or all of their steps say nothing, nor do those with one answer.  The driver holds a row per
-    set of answered items and total, each iteration costs as much as there are of them.  A step beyond 25 and a
-    search that doesn't end are errors.
+    Persons with none or all of their steps say nothing, nor do those with one answer.  An iteration costs as much as there
+    are sets of answered items and totals; more than GROUPS_ON_DRIVER of them are weighed by tasks.  A step beyond 25 and
+    a search that doesn't end are errors.
     """
+    with kept(patterns) as patterns:
+        return _fit_conditional(patterns, rounds, tol)
+
+
+def _fit_conditional(patterns: DataFrame, rounds: int, tol: float) -> list[np.ndarray]:
     tops = [max(1, r["top"] or 1) for r in patterns.select(F.posexplode("x").alias("item", "v")).groupBy("item").agg(F.max("v").alias("top")).orderBy("item").collect()]
     first = np.concatenate([[0], np.cumsum(tops)]).astype(int)
     most = F.aggregate(F.zip_with("x", F.array(*map(F.lit, tops)), lambda v, m: F.when(v.isNotNull(), m).otherwise(0)), F.lit(0), lambda s, v: s + v)
     total = F.aggregate("x", F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0)))
     telling = patterns.where((total > 0) & (total < most) & (F.aggregate("x", F.lit(0), lambda s, v: s + v.isNotNull().cast("int")) > 1))
-    groups = [(r["mask"], r["total"], r["n"]) for r in mask_totals(telling).collect()]
-    if not groups:
+    masks = mask_totals(telling)
+    few = masks.limit(GROUPS_ON_DRIVER + 1).collect()
+    if not few:
         raise ValueError("nobody has some but not all of the steps")
+    if len(few) > GROUPS_ON_DRIVER:
+        # Groups of one set of items share its generating function, so they stay together.
+        masks = masks.repartition(MOST_TASKS, "mask").persist()
+        persons = masks.agg(F.sum("n")).first()[0]
+        loss_of = lambda d: _loss_in_tasks(masks, d)
+    else:
+        groups = [(r["mask"], r["total"], r["n"]) for r in few]
+        persons = sum(n for _, _, n in groups)
+        loss_of = lambda d: _conditional_loss(groups, d)
     margin = np.zeros(first[-1])
     counts = telling.select("freq", F.posexplode("x").alias("item", "v")).where("v > 0").groupBy("item", "v").agg(F.sum("freq").alias("n")).collect()
     for r in counts:
         margin[first[r["item"]] : first[r["item"]] + r["v"]] += r["n"]
-    persons = sum(n for _, _, n in groups)
 
     def loss(d: np.ndarray) -> tuple[float, np.ndarray]:
-        value, reached = _conditional_loss(groups, np.split(d, first[1:-1]))
+        value, reached = loss_of(np.split(d, first[1:-1]))
         return (value + margin @ d) / persons, (margin - reached) / persons
 
     at = np.zeros(first[-1])
@@ -201,52 +249,190 @@ def conditional_replicates(packed: DataFrame, steps: list[np.ndarray], replicate
                 left = left - x
         return out
 
-    return _replicated(packed, replicates, draw)
+    return _replicated(packed, range(replicates), draw)
 
 
-def per_replicate(replicates: DataFrame, statistic: Callable[[np.ndarray, np.ndarray], float]) -> DataFrame:
-    """(rep, statistic, failed): ``statistic(patterns, freq)`` of every replicate, which a task holds as a pattern table.
+def per_replicate(replicates: DataFrame, statistic: Callable[[np.ndarray, np.ndarray], float], n: int = REPLICATES) -> DataFrame:
+    """(rep, statistic, failed): ``statistic(patterns, freq)`` of each of ``n`` replicates, a task each, which holds its pattern table.
 
     A replicate that raises ValueError has no statistic, and is marked.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(key=[str(list(v)) for v in group["x"]]).sort_values("key")
+        x, freq = _sorted_patterns(group)
         try:
-            value: float | None = float(statistic(_answers(group["x"]), group["freq"].to_numpy(float)))
+            value: float | None = float(statistic(x, freq))
         except (ValueError, np.linalg.LinAlgError):
             value = None
         return pd.DataFrame({"rep": [int(group["rep"].iloc[0])], "statistic": [value], "failed": [value is None]}).astype({"statistic": "float64"})
 
-    out = replicates.groupBy("rep").applyInPandas(run, "rep int, statistic double, failed boolean")
+    out = per_key(replicates, "rep", n, run, "rep int, statistic double, failed boolean")
     return out.withColumn("statistic", F.when(~F.col("failed"), F.col("statistic")))
 
 
+def _sorted_patterns(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns, freq) in an order that doesn't depend on how rows came in."""
+    x, freq = _answers(group["x"]), group["freq"].to_numpy(float)
+    order = np.lexsort(x.T[::-1])
+    return x[order], freq[order]
+
+
 def _categories(fits: list[Fit]) -> int:
     return max(f.probs.shape[2] for f in fits)
 
 
-def _fits_in_task(patterns: DataFrame) -> None:
-    if patterns.limit(PATTERNS_PER_TASK + 1).count() > PATTERNS_PER_TASK:
-        raise ValueError(f"bootstrap refits take tables of at most {PATTERNS_PER_TASK} patterns")
+def is_large(patterns: DataFrame) -> bool:
+    """Whether a pattern table, and so its replicates, is more than a task should hold."""
+    return patterns.limit(PATTERNS_PER_TASK + 1).count() > PATTERNS_PER_TASK
+
+
+@dataclass(frozen=True)
+class Refit:
+    """A fit to be made of every replicate; ``also`` names others that it starts from too."""
+
+    model: str
+    n_classes: int = 2
+    also: tuple[str, ...] = ()
+
+
+def _expected_each(replicates: DataFrame, asked: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]) -> dict[tuple[int, int], tuple]:
+    """Expected counts of every run, a (replicate, start), at its parameters; a row per replicate and task reaches the driver."""
+    of: dict[int, list[int]] = {}
+    for rep, s in asked:
+        of.setdefault(rep, []).append(s)
+    shape = next(iter(asked.values()))[1].shape
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for rep, group in b.groupby("rep"):
+                if rep in of:
+                    sums[rep] = sums.get(rep, 0) + M._sums(M._one_hot(group["x"], shape[1], shape[2]), group["freq"].to_numpy(float), [asked[rep, s] for s in of[rep]])
+        yield pd.DataFrame({"rep": list(sums), "sums": [v.tobytes() for v in sums.values()]})
+
+    total: dict[int, np.ndarray] = {}
+    for r in replicates.mapInPandas(run, "rep int, sums binary").collect():
+        total[r["rep"]] = total.get(r["rep"], 0) + np.frombuffer(r["sums"]).reshape(len(of[r["rep"]]), -1)
+    return {(rep, s): one for rep, starts in of.items() if rep in total for s, one in zip(starts, M._parted(total[rep], shape))}
+
+
+def fit_each(replicates: DataFrame, n_cat: int, model: str, n_classes: int, n_starts: int, seed: int, also: dict[int, list[Fit]] | None = None) -> dict[int, Fit]:
+    """The fit of every replicate of a table that no task holds whole; one pass serves a step of all runs.
 
+    A replicate that can't be fitted is absent.
+    """
+    found = replicates.select("rep", "freq", F.posexplode("x").alias("item", "v")).where("v is not null").groupBy("rep", "item", "v").agg(F.sum("freq").alias("n")).collect()
+    persons = {r["rep"]: r["n"] for r in replicates.groupBy("rep").agg(F.sum("freq").alias("n")).collect()}
+    n_items = 1 + max((r["item"] for r in found), default=0)
+    counts = {rep: np.zeros((n_items, n_cat)) for rep in persons}
+    for r in found:
+        counts[r["rep"]][r["item"], r["v"]] += r["n"]
+    problems = {rep: M._problem(c, model, n_classes, n_starts, 1e-6, seed, None, (also or {}).get(rep)) for rep, c in counts.items() if c.any()}
+    runs = {(rep, s): climb(s) for rep, (_, starts, climb, _) in problems.items() for s in range(len(starts))}
+    asked, ended = {k: next(run) for k, (run, _) in runs.items()}, {}
+    while asked:
+        for k, one in _expected_each(replicates, asked).items():
+            try:
+                asked[k] = runs[k][0].send(one)
+            except StopIteration as end:
+                ended[k] = (*end.value, runs[k][1]())
+                del asked[k]
+    return {rep: finish([ended[rep, s] for s in range(len(starts))], int(persons[rep])) for rep, (_, starts, _, finish) in problems.items()}
+
+
+def refitted(replicates: DataFrame, n: int, n_cat: int, recipe: dict[str, Refit], statistic: Callable[[Callable[[str], Fit]], float], large: bool = False, n_starts: int = 3, seed: int = 1) -> DataFrame:
+    """(rep, statistic, failed): ``statistic(get)`` of every replicate, where ``get`` gives its fits by name.
+
+    Small tables are a task each, which makes the fits that are asked for.  Of large ones all fits are made, a replicate's
+    patterns being spread over tasks.
+    """
+    if not large:
+
+        def here(x: np.ndarray, freq: np.ndarray) -> float:
+            done: dict[str, Fit] = {}
+
+            def get(name: str) -> Fit:
+                if name not in done:
+                    r = recipe[name]
+                    done[name] = fit_here(x, freq, n_cat, r.model, n_classes=r.n_classes, n_starts=n_starts, seed=seed, also=[get(a) for a in r.also])
+                return done[name]
+
+            return statistic(get)
+
+        return per_replicate(replicates, here, n)
+    parts = max(1, MOST_TASKS // max(n, 1))
+    with kept(replicates.repartition(min(n * parts, MOST_TASKS), "rep", F.pmod(F.xxhash64("x"), F.lit(parts)))) as spread:
+        fits: dict[str, dict[int, Fit]] = {}
+        for name, r in recipe.items():  # in order, so that what a fit starts from is there
+            also = {rep: [fits[a][rep] for a in r.also] for rep in (fits[r.also[0]] if r.also else {})}
+            fits[name] = fit_each(spread, n_cat, r.model, r.n_classes, n_starts, seed, also)
+    rows = []
+    for rep in sorted(set().union(*fits.values())):
+        try:
+            rows.append((rep, float(statistic(lambda name: fits[name][rep])), False))  # noqa: B023
+        except (KeyError, ValueError):
+            rows.append((rep, None, True))
+    return replicates.sparkSession.createDataFrame(rows, "rep int, statistic double, failed boolean")
+
+
+def _ratio(low: Fit, high: Fit) -> float:
+    return max(0.0, 2 * (high.loglik - low.loglik))
+
+
+def _ratio_recipe(restricted: str, general: str, n_classes: int, reselect: tuple[int, ...], selection: str) -> tuple[dict[str, Refit], Callable[[Callable[[str], Fit]], float]]:
+    """Refits and the likelihood ratio of a replicate.
 
-def likelihood_ratio_test(packed: DataFrame, patterns: DataFrame, restricted: Fit, general: Fit, replicates: int = REPLICATES, n_starts: int = 3, seed: int = 1) -> tuple[float, DataFrame]:
+    With ``reselect`` every replicate first takes the number of classes, two at least, at which the model ``selection`` has the
+    least BIC, as was done with the data.
+    """
+    sizes = tuple(sorted(set(reselect))) if len(set(reselect)) > 1 else (n_classes,)
+    recipe: dict[str, Refit] = {}
+    for c in sizes:
+        recipe |= {f"selection {c}": Refit(selection, c), f"low {c}": Refit(restricted, c), f"high {c}": Refit(general, c, (f"low {c}",))}
+    if len(sizes) == 1:
+        del recipe[f"selection {n_classes}"]
+
+    def statistic(get: Callable[[str], Fit]) -> float:
+        c = n_classes
+        if len(sizes) > 1:
+            bic = {k: _bic(get(f"selection {k}")) for k in sizes if k >= 2}
+            c = min(bic, key=lambda k: (bic[k], k)) if bic else n_classes
+        return _ratio(get(f"low {c}"), get(f"high {c}"))
+
+    return recipe, statistic
+
+
+def likelihood_ratio_test(packed: DataFrame, patterns: DataFrame, restricted: Fit, general: Fit, replicates: int = REPLICATES, n_starts: int = 3, seed: int = 1, reselect: tuple[int, ...] = (), selection: str | None = None) -> tuple[float, DataFrame]:
     """The likelihood ratio of two nested latent class fits, and (rep, statistic, failed) under the restricted one.
 
     The general model also starts from the restricted solution, so the ratio doesn't fall below zero by a bad optimum.
+    ``reselect`` repeats the choice of the number of classes among those sizes in every replicate, by the BIC of ``selection``
+    (the general model's by default).
     """
-    _fits_in_task(patterns)
-    n_cat, classes = _categories([restricted, general]), len(general.weights)
+    classes = len(general.weights)
     if restricted.loglik > general.loglik:
         general = fit(patterns, general.model, n_classes=classes, n_starts=n_starts, seed=seed, also=[restricted])
+    recipe, statistic = _ratio_recipe(restricted.model, general.model, classes, reselect, selection or general.model)
+    drawn = model_replicates(packed, restricted, replicates, seed)
+    return _ratio(restricted, general), refitted(drawn, replicates, _categories([restricted, general]), recipe, statistic, is_large(patterns), n_starts, seed)
+
 
-    def ratio(x: np.ndarray, freq: np.ndarray) -> float:
-        low = fit_here(x, freq, n_cat, restricted.model, n_classes=len(restricted.weights), n_starts=n_starts, seed=seed)
-        high = fit_here(x, freq, n_cat, general.model, n_classes=classes, n_starts=n_starts, seed=seed, also=[low])
-        return max(0.0, 2 * (high.loglik - low.loglik))
+def severity(packed: DataFrame, patterns: DataFrame, restricted: Fit, general: Fit, null: DataFrame, replicates: int = REPLICATES, n_starts: int = 3, seed: int = 1, alpha: float = 0.05, reselect: tuple[int, ...] = (), selection: str | None = None) -> DataFrame:
+    """(cutoff, power, effect, observed_rank, replicates): how far the likelihood ratio moves if the general fit is true.
 
-    return max(0.0, 2 * (general.loglik - restricted.loglik)), per_replicate(model_replicates(packed, restricted, replicates, seed), ratio)
+    ``power`` is the share of ratios under the general fit above the null's cutoff, ``effect`` the chance that one of them
+    exceeds one of the null (ties half), ``observed_rank`` the share of them below the observed ratio.
+    """
+    recipe, statistic = _ratio_recipe(restricted.model, general.model, len(general.weights), reselect, selection or general.model)
+    drawn = model_replicates(packed, general, replicates, seed + 1)
+    shifted = refitted(drawn, replicates, _categories([restricted, general]), recipe, statistic, is_large(patterns), n_starts, seed).where("not failed")
+    null = null.where(F.col("statistic").isNotNull())
+    cutoff = null.agg(F.percentile("statistic", F.lit(1 - alpha)).alias("cutoff"))
+    # Both sides are a row per replicate.
+    pairs = shifted.select(F.col("statistic").alias("s")).join(null.select(F.col("statistic").alias("t")), F.lit(True))
+    effect = pairs.agg(F.avg(F.when(F.col("s") > F.col("t"), 1.0).when(F.col("s") == F.col("t"), 0.5).otherwise(0.0)).alias("effect"))
+    rank = shifted.join(cutoff, F.lit(True)).agg(F.first("cutoff").alias("cutoff"), F.avg((F.col("statistic") > F.col("cutoff")).cast("double")).alias("power"), F.avg((F.col("statistic") < _ratio(restricted, general)).cast("double")).alias("observed_rank"), F.count(F.lit(1)).alias("replicates"))
+    return rank.join(effect, F.lit(True)).select("cutoff", "power", "effect", "observed_rank", "replicates")
 
 
 def _bic(f: Fit) -> float:
@@ -258,83 +444,107 @@ def rasch_against_classes(packed: DataFrame, patterns: DataFrame, rasch: Fit, gr
 
     Small values speak for classes, so the p-value is the lower tail's.
     """
-    _fits_in_task(patterns)
-    n_cat = rasch.probs.shape[2]
     observed = min(_bic(fit(patterns, "LCR", n_classes=c, n_starts=n_starts, seed=seed)) for c in grain) - _bic(rasch)
+    recipe = {f"{c} classes": Refit("LCR", c) for c in grain} | {"RM": Refit("RM")}
 
-    def gap(x: np.ndarray, freq: np.ndarray) -> float:
-        return min(_bic(fit_here(x, freq, n_cat, "LCR", n_classes=c, n_starts=n_starts, seed=seed)) for c in grain) - _bic(fit_here(x, freq, n_cat, "RM"))
+    def gap(get: Callable[[str], Fit]) -> float:
+        return min(_bic(get(f"{c} classes")) for c in grain) - _bic(get("RM"))
 
-    return observed, per_replicate(model_replicates(packed, rasch, replicates, seed), gap)
+    drawn = model_replicates(packed, rasch, replicates, seed)
+    return observed, refitted(drawn, replicates, rasch.probs.shape[2], recipe, gap, is_large(patterns), n_starts, seed)
 
 
-def counts_of_patterns(x: np.ndarray, freq: np.ndarray, least: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """(n_total, n_right), score groups x items, the hardest item first, of complete binary patterns."""
+def counts_of_patterns(x: np.ndarray, freq: np.ndarray, least: int = 10, thin: int = 5, with_scores: bool = False) -> tuple[np.ndarray, ...]:
+    """(n_total, n_right), score groups x items, the hardest item first, of complete patterns; and the scores if asked for.
+
+    Graded answers have a column per step: of those who gave one of its two neighbouring answers, how many gave the
+    upper one.  Rows and columns go until every cell has ``thin`` answers.  Fewer than three of either is an error.
+    """
     whole = (x >= 0).all(1)
     x, freq = x[whole], freq[whole]
     score = x.sum(1)
-    groups = [s for s in np.unique(score) if freq[score == s].sum() >= least]
+    values = np.unique(score)
+    groups = [s for s in values if freq[score == s].sum() >= least]
+    graded = x.max(initial=0) > 1
     if len(groups) < 3:
         raise ValueError("fewer than three score groups")
-    right = np.array([freq[score == s] @ x[score == s] for s in groups])
-    order = np.argsort(freq @ x, kind="stable")
-    total = np.repeat([[freq[score == s].sum()] for s in groups], x.shape[1], axis=1)
-    return total, right[:, order]
-
-
-def _adjacent(replicates: DataFrame, size: int, least: int) -> DataFrame:
-    """(rep, part, i, j, n_total, n_right) of the adjacent sub-matrices, cells row by row, that can be checked.
+    rows = list(range(len(groups)))
+    if not graded:
+        right = np.array([freq[score == s] @ x[score == s] for s in groups])
+        total = np.repeat([[freq[score == s].sum()] for s in groups], x.shape[1], axis=1)
+    else:
+        steps = [(j, k) for j in range(x.shape[1]) for k in range(1, x[:, j].max() + 1)]
+        upper = np.stack([x[:, j] == k for j, k in steps], 1).astype(float)
+        either = upper + np.stack([x[:, j] == k - 1 for j, k in steps], 1)
+        right, total = (np.array([freq[score == s] @ m[score == s] for s in groups]) for m in (upper, either))
+        rows, cols = K.dense_sides(total, thin)
+        right, total = right[np.ix_(rows, cols)], total[np.ix_(rows, cols)]
+    order = np.argsort(right.sum(0) / np.maximum(total.sum(0), 1), kind="stable")
+    return (total[:, order], right[:, order], *([np.array(groups)[rows]] if with_scores else []))
+
+
+def _sub_tables(replicates: DataFrame, size: int, least: int, which: str | int, seed: int, n: int) -> tuple[DataFrame, int]:
+    """((rep, part, k, rows, cols, n_total, n_right) of sub-matrices that can be checked, cells row by row; parts).
 
     A replicate's table of counts is score groups by items.  Its sub-matrices go to parts of about GROUP, which a task checks
-    side by side, whatever replicate they come from.
+    side by side; replicates with few of them share a part.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rep, rows = int(group["rep"].iloc[0]), []
+        rep, found = int(group["rep"].iloc[0]), []
         try:
-            total, right = counts_of_patterns(_answers(group["x"]), group["freq"].to_numpy(float), least)
+            total, right = counts_of_patterns(*_sorted_patterns(group), least)
         except ValueError:
             total = right = np.zeros((0, 0))
-        for i in range(total.shape[0] - size + 1):
-            for j in range(total.shape[1] - size + 1):
-                n, k = (m[i : i + size, j : j + size].astype(float).ravel() for m in (total, right))
-                if ((k > 0) & (k < n)).all():
-                    rows.append((rep, i, j, n.tolist(), k.tolist()))
-        return pd.DataFrame(rows, columns=["rep", "i", "j", "n_total", "n_right"])
-
-    found = replicates.groupBy("rep").applyInPandas(run, "rep int, i int, j int, n_total array<double>, n_right array<double>")
-    # A replicate has fewer sub-matrices than cells, so neighbouring replicates share a part.
-    return found.withColumn("part", F.floor((F.col("rep") + 1) / max(1, K.GROUP // 32)))
-
-
-def violation_rates(replicates: DataFrame, check: str = "double", least: int = 10, seed: int = 1) -> DataFrame:
-    """(rep, statistic): mean violation rate of the adjacent sub-matrices of every replicate, weighted by answers.
-
-    A replicate without a sub-matrix that can be checked has no row.
+        if min(total.shape) >= size:
+            table = K.Table(list(range(total.shape[0])), list(range(total.shape[1])), total, right)
+            number = K._number_of(total.shape, size, which == "adjacent")
+            wanted = min(which, number) if isinstance(which, int) else number
+            for k, rows, cols in K.chosen_places(range(wanted), total.shape, size, which, table.sound, (seed, rep + 1)):
+                if table.sound(rows, cols):
+                    found.append((rep, k, rows, cols, total[np.ix_(rows, cols)].ravel().tolist(), right[np.ix_(rows, cols)].ravel().tolist()))
+        return pd.DataFrame(found, columns=["rep", "k", "rows", "cols", "n_total", "n_right"])
+
+    found = per_key(replicates, "rep", n, run, "rep int, k long, rows array<int>, cols array<int>, n_total array<double>, n_right array<double>")
+    shared = max(1, K.GROUP // 32) if which == "adjacent" else 1
+    parts = 1 if which == "adjacent" else 1 + (which if isinstance(which, int) else 1 << 16) // K.GROUP
+    part = F.floor((F.col("rep") + 1) / shared) * parts + F.floor(F.col("k") / K.GROUP) % parts
+    return found.withColumn("part", part.cast("int")), -(-(n + 1) // shared) * parts
+
+
+def violation_rates(replicates: DataFrame, check: str = "double", least: int = 10, seed: int = 1, which: str | int = "adjacent", n: int = REPLICATES) -> DataFrame:
+    """(rep, statistic): mean violation rate of the sub-matrices of every replicate, weighted by answers.
+
+    ``which`` is "adjacent", "all", or a number that every replicate draws.  A replicate without a sub-matrix that can be
+    checked has no row.
     """
     size = K.CHECKS[check][0]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rep", "i", "j"])
-        n, k = (np.array(group[c].tolist()).reshape(-1, size, size) for c in ("n_total", "n_right"))
-        low, high, _ = K.sampled_ranges(n, k, check, np.random.default_rng([seed, int(group["part"].iloc[0])]))
-        bad = ~((k / n > low) & (k / n < high))
-        m, rows, cols = np.nonzero(np.ones_like(bad))
-        return pd.DataFrame({"rep": group["rep"].to_numpy()[m], "row": group["i"].to_numpy()[m] + rows, "col": group["j"].to_numpy()[m] + cols, "n_total": n.ravel(), "violated": bad.ravel()})
-
-    cells = _adjacent(replicates, size, least).groupBy("part").applyInPandas(run, "rep int, row int, col int, n_total double, violated boolean")
+        group = group.sort_values(["rep", "k"])
+        total, right = (np.array(group[c].tolist()).reshape(-1, size, size) for c in ("n_total", "n_right"))
+        low, high, _ = K.sampled_ranges(total, right, check, np.random.default_rng([seed, int(group["part"].iloc[0])]))
+        bad = ~((right / total > low) & (right / total < high))
+        rows, cols = (np.array(group[c].tolist()) for c in ("rows", "cols"))
+        return pd.DataFrame({"rep": np.repeat(group["rep"].to_numpy(), size * size), "row": np.repeat(rows, size, axis=1).ravel(), "col": np.tile(cols, size).ravel(), "n_total": total.ravel(), "violated": bad.ravel()})
+
+    found, parts = _sub_tables(replicates, size, least, which, seed, n)
+    cells = per_key(found, "part", parts, run, "rep int, row int, col int, n_total double, violated boolean")
     rate = cells.groupBy("rep", "row", "col").agg(F.first("n_total").alias("n"), F.avg(F.col("violated").cast("double")).alias("rate"))
     return rate.groupBy("rep").agg((F.sum(F.col("rate") * F.col("n")) / F.sum("n")).alias("statistic"))
 
 
-def cancellation_null(packed: DataFrame, patterns: DataFrame, check: str = "double", replicates: int = REPLICATES, least: int = 10, seed: int = 1) -> tuple[float, DataFrame]:
-    """The weighted violation rate of a binary table, and (rep, statistic) given everyone's total."""
-    _fits_in_task(patterns)
-    observed = violation_rates(patterns.select(F.lit(-1).alias("rep"), "x", "freq"), check, least, seed).first()
+def cancellation_null(packed: DataFrame, patterns: DataFrame, check: str = "double", replicates: int = REPLICATES, least: int = 10, seed: int = 1, which: str | int = "adjacent", drawn: DataFrame | None = None) -> tuple[float, DataFrame]:
+    """The weighted violation rate of a table, and (rep, statistic) of its replicates.
+
+    Those are drawn given everyone's total, or given as ``drawn``.  Graded answers are recoded to steps in each of them.
+    """
+    observed = violation_rates(patterns.select(F.lit(-1).alias("rep"), "x", "freq"), check, least, seed, which, 1).first()
     if observed is None:
         raise ValueError("the table has too few score groups or no sub-matrix that can be checked")
-    drawn = conditional_replicates(packed, fit_conditional(patterns), replicates, seed)
-    return observed["statistic"], violation_rates(drawn, check, least, seed)
+    if drawn is None:
+        drawn = conditional_replicates(packed, fit_conditional(patterns), replicates, seed)
+    return observed["statistic"], violation_rates(drawn, check, least, seed, which, replicates)
 
 
 def ordering_statistic(x: np.ndarray, freq: np.ndarray, least: int = 20) -> float:
@@ -352,8 +562,26 @@ def ordering_statistic(x: np.ndarray, freq: np.ndarray, least: int = 20) -> floa
     return out / freq.sum()
 
 
-def ordering_null(packed: DataFrame, patterns: DataFrame, ordered: Fit, replicates: int = REPLICATES, least: int = 20, seed: int = 1) -> tuple[float, DataFrame]:
+def ordering_null(packed: DataFrame, patterns: DataFrame, ordered: Fit, replicates: int = REPLICATES, least: int = 20, seed: int = 1, first: int = 0) -> tuple[float, DataFrame]:
     """The statistic of item ordering, and (rep, statistic, failed) under a fit that keeps items in one order."""
-    _fits_in_task(patterns)
-    observed = per_replicate(patterns.select(F.lit(-1).alias("rep"), "x", "freq"), lambda x, n: ordering_statistic(x, n, least)).first()["statistic"]
-    return observed, per_replicate(model_replicates(packed, ordered, replicates, seed), lambda x, n: ordering_statistic(x, n, least))
+    statistic = lambda x, n: ordering_statistic(x, n, least)
+    observed = per_replicate(patterns.select(F.lit(-1).alias("rep"), "x", "freq"), statistic, 1).first()["statistic"]
+    return observed, per_replicate(model_replicates(packed, ordered, replicates, seed, first), statistic, replicates)
+
+
+def in_stages(stage: Callable[[int, int], DataFrame], observed: float, replicates: int, most: int = 999, alpha: float = 0.05) -> tuple[DataFrame, bool]:
+    """(null, whether it was extended): ``replicates`` draws, and as many more as make ``most`` where their p-value can't decide.
+
+    ``stage(first, n)`` gives the draws from number ``first`` on; draws of the first stage stay.  A p-value decides if it is as small
+    as it can be, or above ``alpha`` by more than three of its standard errors.
+    """
+    rows = [tuple(r) for r in (null := stage(0, replicates)).collect()]
+    spark, schema = null.sparkSession, null.schema
+    at = null.columns.index("statistic")
+    values = [r[at] for r in rows if r[at] is not None]
+    p = (1 + sum(v >= observed for v in values)) / (len(values) + 1)
+    low, high = 1.5 / (replicates + 1), alpha + 3 * float(np.sqrt(alpha * (1 - alpha) / replicates))
+    extended = most > replicates and low <= p <= high
+    if extended:
+        rows += [tuple(r) for r in stage(replicates, most - replicates).collect()]
+    return spark.createDataFrame(rows, schema), extended

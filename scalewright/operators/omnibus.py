@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import counts as C
-from .nulls import REPLICATES, _answers, _fits_in_task, conditional_replicates, fit_conditional
+from .fanout import per_key
+from .nulls import REPLICATES, _sorted_patterns, conditional_replicates, counts_of_patterns, fit_conditional
 
 #: Prior draws in a task.
 BLOCK = 250
@@ -90,14 +91,14 @@ def block_sums(design: np.ndarray, total: np.ndarray, right: np.ndarray, draws:
     return sums
 
 
-def omnibus(cells: DataFrame, draws: int = 30_000, synthetic: int = 100, a: float = 0.5, b: float = 0.5, seed: int = 1) -> DataFrame:
+def omnibus(cells: DataFrame, draws: int = 30_000, synthetic: int = 100, a: float = 0.5, b: float = 0.5, seed: int = 1, n_tables: int = 1) -> DataFrame:
     """(rep, ability, item, n_total, n_right, theta, theta_free, z, ess, kl, violated) of tables of counts ``CELLS``.
 
     ``theta`` is the mean under additivity, ``theta_free`` the one without; a cell is violated if they diverge by more
-    than 0.01.  A table is small (groups by items); each goes to draws / BLOCK tasks.
+    than 0.01.  A table is small (groups by items); each of ``n_tables`` goes to draws / BLOCK tasks.
     """
     blocks = -(-draws // BLOCK)
-    spread = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    spread = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("unit", (F.col("rep") + 1) * blocks + F.col("block"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["ability", "item"])
@@ -107,7 +108,7 @@ def omnibus(cells: DataFrame, draws: int = 30_000, synthetic: int = 100, a: floa
         sums = block_sums(_design(group["ability"].to_numpy(), group["item"].to_numpy()), total, right, n, synthetic, a, b, np.random.default_rng([seed, rep + 2, block]))
         return group[["rep", "ability", "item", "n_total", "n_right"]].assign(w=sums[0], ww=sums[1], wt=sums[2], wz=sums[3])
 
-    parts = spread.where("n_total > 0").groupBy("rep", "block").applyInPandas(run, CELLS + ", w double, ww double, wt double, wz double")
+    parts = per_key(spread.where("n_total > 0"), "unit", blocks * n_tables, run, CELLS + ", w double, ww double, wt double, wz double")
     summed = parts.groupBy("rep", "ability", "item", "n_total", "n_right").agg(*[F.sum(c).alias(c) for c in ("w", "ww", "wt", "wz")])
     clip = lambda c: F.greatest(F.lit(1e-10), F.least(F.lit(1 - 1e-10), c))
     out = summed.withColumns({"theta": clip(F.col("wt") / F.col("w")), "theta_free": clip((a + F.col("n_right")) / (a + b + F.col("n_total"))), "z": F.col("wz") / F.col("w"), "ess": F.col("w") * F.col("w") / F.col("ww")})
@@ -124,48 +125,82 @@ def summary(tested: DataFrame) -> DataFrame:
     )
 
 
-def band_by_score(r: DataFrame, n_items: int, n_bands: int = 6) -> DataFrame:
-    """(band, item_id, ability, n_total, n_right): bands of equal size that never split a score, their mean score as ability."""
-    persons = r.where("x is not null").agg(F.countDistinct("person_id")).first()[0]
-    least = max(2, -(-persons // n_bands))
-    bands = C.value_bands(r, n_items, "facility", least)
-    person = C.scores(r, n_items, "facility").select("person_id", F.round("score", 9).alias("score")).join(bands, "score").select("person_id", "band", F.col("score").alias("of_person"))
-    ability = person.groupBy("band").agg(F.avg("of_person").alias("ability"))
-    cells = r.join(person, "person_id").groupBy("band", "item_id").agg(F.count("x").alias("n_total"), F.coalesce(F.sum("x"), F.lit(0)).cast("long").alias("n_right"))
-    return cells.join(ability, "band").select("band", "item_id", "ability", "n_total", "n_right")
+def band_by_score(r: DataFrame, n_items: int, n_bands: int = 6, person_order: str = "complete") -> DataFrame:
+    """(band, item_id, ability, n_total, n_right): up to ``n_bands`` bands that never split a score, their mean score as ability.
 
-
-def banded_replicates(replicates: DataFrame, n_bands: int = 6) -> DataFrame:
-    """``CELLS`` of every replicate (rep, x, freq), banded as in ``band_by_score``."""
+    Distinct scores are taken in order; a band closes once it has as many persons as there are per band (or per distinct
+    score, if those are fewer), the last band takes the rest.  ``complete`` orders persons without missing answers by their
+    sum, ``facility`` and ``adjusted`` all persons by the scores of those names.  Fewer than two bands is an error.
+    One array of distinct scores is folded in one task; ``adjusted`` scores are rounded to 9 places.
+    """
+    person = C.scores(r, n_items, person_order).select("person_id", F.round("score", 9).alias("score"))
+    counts = person.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    gathered = counts.agg(F.sort_array(F.collect_list(F.struct("score", "n"))).alias("c"), F.sum("n").alias("total"))
+    gathered = gathered.where(F.size("c") > 1).withColumn("target", F.col("total") / F.least(F.lit(n_bands), F.size("c")))
+    fold = f"""aggregate(c, cast((0L, 0, array()) as struct<held: bigint, band: int, ends: array<double>>), (s, v) ->
+        if(s.held + v.n >= target and s.band < {n_bands - 1} and v.score < c[size(c) - 1].score,
+            named_struct('held', 0L, 'band', s.band + 1, 'ends', concat(s.ends, array(v.score))),
+            named_struct('held', s.held + v.n, 'band', s.band, 'ends', s.ends)), s -> s.ends)"""
+    ends = gathered.select(F.expr(fold).alias("ends"))
+    banded = person.join(F.broadcast(ends)).select("person_id", "score", F.size(F.filter("ends", lambda e: e < F.col("score"))).alias("band"))
+    ability = banded.groupBy("band").agg(F.avg("score").alias("ability"))
+    cells = r.join(banded.select("person_id", "band"), "person_id").groupBy("band", "item_id").agg(F.count("x").alias("n_total"), F.coalesce(F.sum("x"), F.lit(0)).cast("long").alias("n_right"))
+    return cells.join(F.broadcast(ability), "band").select("band", "item_id", "ability", "n_total", "n_right")
+
+
+def bands_of(scores: np.ndarray, freq: np.ndarray, n_bands: int) -> np.ndarray:
+    """The band of every pattern, as in ``band_by_score``."""
+    values, of = np.unique(scores, return_inverse=True)
+    if len(values) < 2:
+        raise ValueError("fewer than two scores")
+    counts = np.bincount(of.ravel(), freq)
+    target, band, held, bands = counts.sum() / min(n_bands, len(values)), 0, 0.0, []
+    for k, n in enumerate(counts):
+        bands.append(band)
+        held += n
+        if held >= target and band < n_bands - 1 and k < len(values) - 1:
+            band, held = band + 1, 0.0
+    return np.array(bands)[of.ravel()]
+
+
+def banded_replicates(replicates: DataFrame, n_bands: int = 6, least: int = 10, n: int = REPLICATES) -> DataFrame:
+    """``CELLS`` of every replicate (rep, x, freq): complete patterns banded as in ``band_by_score``, those of graded answers by step.
+
+    Graded answers have score groups of ``least`` persons in place of bands, and go by steps of the dense core of their counts.
+    A replicate without two bands, or without a dense core, has no cells.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        x, freq = _answers(group["x"]), group["freq"].to_numpy(float)
-        seen = x >= 0
-        score = np.round(np.maximum(x, 0).sum(1) / np.maximum(seen.sum(1), 1), 9)
-        some = seen.any(1)
-        values = np.unique(score[some])
-        counts = np.array([freq[some][score[some] == v].sum() for v in values])
-        target, band, held, bands = max(2, np.ceil(counts.sum() / n_bands), np.ceil(counts.sum() / (x.shape[1] + 1))), 0, 0.0, []
-        for n in counts:
-            bands.append(band)
-            held += n
-            if held >= target:
-                band, held = band + 1, 0.0
-        bands = np.minimum(bands, max(band - 1, 0))
-        of_row = np.where(some, bands[np.clip(np.searchsorted(values, score), 0, len(values) - 1)], -1)
+        rep = int(group["rep"].iloc[0])
+        x, freq = _sorted_patterns(group)
+        whole = (x >= 0).all(1)
+        x, freq = x[whole], freq[whole]
         rows = []
-        for k in np.unique(bands):
-            here = of_row == k
-            ability = (freq * score)[here].sum() / freq[here].sum()
-            rows += [(int(group["rep"].iloc[0]), ability, j, float((freq * seen[:, j])[here].sum()), float((freq * (x[:, j] == 1))[here].sum())) for j in range(x.shape[1])]
+        try:
+            if x.max(initial=0) > 1:
+                total, right, scores = counts_of_patterns(x, freq, least, with_scores=True)
+                rows = [(rep, float(s), j, total[i, j], right[i, j]) for i, s in enumerate(scores) for j in range(total.shape[1])]
+            else:
+                score = x.sum(1)
+                bands = bands_of(score, freq, n_bands)
+                for k in np.unique(bands):
+                    here = bands == k
+                    ability = (freq * score)[here].sum() / freq[here].sum()
+                    rows += [(rep, ability, j, freq[here].sum(), float((freq * x[:, j])[here].sum())) for j in range(x.shape[1])]
+        except ValueError:
+            rows = []
         return pd.DataFrame(rows, columns=["rep", "ability", "item", "n_total", "n_right"])
 
-    return replicates.groupBy("rep").applyInPandas(run, CELLS)
+    return per_key(replicates, "rep", n, run, CELLS)
 
 
-def omnibus_null(packed: DataFrame, patterns: DataFrame, n_bands: int = 6, replicates: int = REPLICATES, draws: int = 10_000, synthetic: int = 100, seed: int = 1) -> DataFrame:
-    """``summary`` of the banded table (rep -1) and of its replicates given everyone's total, all tested alike."""
-    _fits_in_task(patterns)
-    drawn = conditional_replicates(packed, fit_conditional(patterns), replicates, seed)
-    every = drawn.unionByName(patterns.select(F.lit(-1).alias("rep"), "x", "freq"))
-    return summary(omnibus(banded_replicates(every, n_bands), draws, synthetic, seed=seed))
+def omnibus_null(packed: DataFrame, patterns: DataFrame, n_bands: int = 6, replicates: int = REPLICATES, draws: int = 10_000, synthetic: int = 100, seed: int = 1, drawn: DataFrame | None = None) -> DataFrame:
+    """``summary`` of the banded table (rep -1) and of its replicates, all tested alike.
+
+    Replicates are drawn given everyone's total, or given as ``drawn``.  They are drawn and banded once, so every block of draws
+    reads a table of cells.
+    """
+    if drawn is None:
+        drawn = conditional_replicates(packed, fit_conditional(patterns), replicates, seed)
+    every = drawn.unionByName(patterns.select(F.lit(-1).cast("int").alias("rep"), "x", "freq"))
+    return summary(omnibus(banded_replicates(every, n_bands, n=replicates + 1), draws, synthetic, seed=seed, n_tables=replicates + 1))

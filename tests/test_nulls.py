@@ -116,16 +116,7 @@ def test_cancellation_null_of_rasch_data(spark):
     assert N.violation_rates(spark.createDataFrame([(0, [1, 0, 1], 50)], N.REPLICATE_ROWS)).count() == 0
 
 
-def test_graded_orders_and_scores(spark):
-    p = np.random.default_rng(1).dirichlet(np.ones(4), (3, 5))
-    order, at = np.array([2, 0, 1, 4, 3]), np.arange(4)
-    mon, both = (M.graded_ordered(p, np.ones((3, 5)), order, m, 400) for m in ("MON", "DM"))
-    for q in (mon, both):
-        assert q.sum(2) == pytest.approx(np.ones((3, 5)))
-        upto = np.cumsum(q[:, :, ::-1], axis=2)
-        assert (np.diff(upto, axis=0) > -1e-9).all()
-    for q in (both, M.graded_ordered(p, np.ones((3, 5)), order, "IIO")):
-        assert (np.diff((q @ at)[:, order], axis=1) < 1e-6).all()
+def test_scores_by_total():
     f = M.Fit("RM", np.ones(1), np.zeros((1, 3, 3)), 0.0, 1, 1, 1, True, np.zeros(1), [np.array([-0.5, 0.5]), np.array([0.2]), np.array([-0.2])], 1.0)
     ml, wle = ({t: (a, s) for t, a, s in M.score_abilities(f, kind)} for kind in ("ML", "WLE"))
     assert ml[0][0] == -np.inf and ml[4][0] == np.inf and wle[0] == (None, None)
