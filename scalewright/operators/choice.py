@@ -6,13 +6,17 @@ import math
 from itertools import permutations
 
 import numpy as np
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import counts as C
 from . import nulls as N
+from . import posets as P
 from . import selection as S
-from .mixtures import class_table, fit, fit_here
+from .fanout import kept
+from .mixtures import class_table, fit
+from .nulls import Refit, resampled
 from .omnibus import omnibus_null
 
 #: What a model says about the variable behind the answers.
@@ -108,18 +112,24 @@ def _quantitative(packed: DataFrame, patterns: DataFrame, record: _Record, grain
     return "RM" if record.add("RM against LCR", observed, null, alpha, lower=True) else "LCR"
 
 
-def select_by_tests(packed: DataFrame, patterns: DataFrame, classes: range = range(1, 7), alpha: float = 0.05, replicates: int = N.REPLICATES, n_starts: int = 5, least: float = 1.0, joint: bool = False, seed: int = 1) -> DataFrame:
+def select_by_tests(packed: DataFrame, patterns: DataFrame, classes: range = range(1, 7), alpha: float = 0.05, replicates: int = N.REPLICATES, n_starts: int = 5, least: float = 1.0, joint: bool = False, seed: int = 1, reselect: bool = False) -> DataFrame:
     """``TESTS``: bootstrap likelihood-ratio tests along the lattice of orders, then the quantitative edge; the last row names the choice.
 
     MON and IIO are tested against free classes, DM against both if both hold (``joint``: DM against free classes first).
-    If both hold and DM doesn't, the likelier of the two is chosen.  The number of classes is that of least BIC, two at least.
+    If both hold and DM doesn't, the likelier of the two is chosen.  The number of classes is that of least BIC, two at least;
+    ``reselect`` repeats that choice in every replicate of the tests of order.
     """
+    with kept(packed) as packed, kept(patterns) as patterns:
+        return _by_tests(packed, patterns, classes, alpha, replicates, n_starts, least, joint, seed, reselect)
+
+
+def _by_tests(packed: DataFrame, patterns: DataFrame, classes: range, alpha: float, replicates: int, n_starts: int, least: float, joint: bool, seed: int, reselect: bool) -> DataFrame:
     options = {"replicates": replicates, "n_starts": n_starts, "seed": seed}
     _, best = S.select_n_classes(patterns, classes, n_starts=n_starts, seed=seed)
     c = max(2, len(best.weights))
     fits = {m: fit(patterns, m, n_classes=c, n_starts=n_starts, seed=seed) for m in ("UN", "MON", "IIO", "DM")}
     record = _Record(patterns)
-    holds = lambda low, high: record.add(f"{low} against {high}", *N.likelihood_ratio_test(packed, patterns, fits[low], fits[high], **options), alpha, least)
+    holds = lambda low, high: record.add(f"{low} against {high}", *N.likelihood_ratio_test(packed, patterns, fits[low], fits[high], **options, reselect=tuple(classes) if reselect else (), selection="UN"), alpha, least)
     double = joint and holds("DM", "UN")
     selected = "DM" if double else "UN"
     if not double:
@@ -140,35 +150,31 @@ def least_decrease(p: np.ndarray) -> float:
     return min(float(np.maximum(0, -np.diff(p[list(o)], axis=0)).sum()) for o in orders) / p.shape[1]
 
 
-def resampled(packed: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
-    """(rep, x, freq) of persons drawn with replacement: everyone counts Poisson(1) times, by their own numbers."""
-
-    table = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-
-    def draw(ids: np.ndarray, answers: np.ndarray, rep: int) -> np.ndarray:
-        return np.repeat(answers, (N._uniform(ids, rep, 0, seed)[:, None] >= table).sum(1), axis=0)
-
-    return N._replicated(packed, replicates, draw)
-
-
-def select_by_axes(packed: DataFrame, patterns: DataFrame, n_classes: int = 3, grain: range = range(2, 5), alpha: float = 0.05, replicates: int = 49, n_starts: int = 5, least: float = 1.0, slight: float = 0.01, seed: int = 1) -> DataFrame:
+def select_by_axes(packed: DataFrame, patterns: DataFrame, n_classes: int = 3, grain: range = range(2, 5), alpha: float = 0.05, replicates: int = 49, n_starts: int = 5, least: float = 1.0, slight: float = 0.01, seed: int = 1, most: int = 999, posets: bool = True, null_classes: range = range(2, 7)) -> DataFrame:
     """``TESTS``: item order by crossings of rest-score curves, class order by the decreases of free classes over resamples.
 
-    The two axes give UN, MON, IIO or DM; DM goes on to the quantitative edge.  Class order holds if the 5 % quantile of
-    the decreases is at most ``slight`` at 1,500 persons, and more for fewer.
+    The two axes give UN, MON, IIO or DM; DM goes on to the quantitative edge.  The null of item order has as many classes as
+    make the BIC least, and goes on to ``most`` replicates where its p-value can't decide.  Class order holds if the 5 % quantile
+    of the decreases is at most ``slight`` at 1,500 persons, and more for fewer.  A side whose order is rejected is searched for
+    a partial order: a row with the number of pairs shown to be ordered, and its shape in the test's name.
     """
+    with kept(packed) as packed, kept(patterns) as patterns:
+        return _by_axes(packed, patterns, n_classes, grain, alpha, replicates, n_starts, least, slight, seed, most, posets, null_classes)
+
+
+def _by_axes(packed: DataFrame, patterns: DataFrame, n_classes: int, grain: range, alpha: float, replicates: int, n_starts: int, least: float, slight: float, seed: int, most: int, posets: bool, null_classes: range) -> DataFrame:
     options = {"replicates": replicates, "n_starts": n_starts, "seed": seed}
     record = _Record(patterns)
-    _, best = S.select_n_classes(patterns, range(2, 7), n_starts=n_starts, seed=seed)
-    ordered = fit(patterns, "IIO", n_classes=max(n_classes, len(best.weights)), n_starts=n_starts, seed=seed)
-    iio = record.add("item order", *N.ordering_null(packed, patterns, ordered, replicates, seed=seed), alpha)
+    sizes = sorted({n_classes, *(c for c in null_classes if c >= n_classes)})
+    ordered = min((fit(patterns, "IIO", n_classes=c, n_starts=n_starts, seed=seed) for c in sizes), key=N._bic)
+    observed = N.ordering_null(packed, patterns, ordered, 1, seed=seed)[0]
+    null, _ = N.in_stages(lambda first, n: N.ordering_null(packed, patterns, ordered, n, seed=seed, first=first)[1], observed, replicates, most, alpha)
+    iio = record.add("item order", observed, null, alpha)
     free = fit(patterns, "UN", n_classes=n_classes, n_starts=n_starts, seed=seed)
     n_cat = free.probs.shape[2]
 
-    def decrease(x: np.ndarray, freq: np.ndarray) -> float:
-        return least_decrease(fit_here(x, freq, n_cat, "UN", n_classes=n_classes, n_starts=n_starts, seed=seed).probs @ np.arange(n_cat))
-
-    drawn = N.per_replicate(resampled(packed, max(replicates // 2, 20), seed), decrease)
+    few = max(replicates // 2, 20)
+    drawn = N.refitted(resampled(packed, few, seed), few, n_cat, {"UN": Refit("UN", n_classes)}, lambda get: least_decrease(get("UN").probs @ np.arange(n_cat)), N.is_large(patterns), n_starts, seed)
     low = drawn.where("not failed").agg(F.percentile("statistic", F.lit(0.05)).alias("low"), F.count(F.lit(1)).alias("n")).first()
     bound = slight * math.sqrt(1500 / max(free.n_obs, 1))
     mon = low["low"] is not None and low["low"] <= bound
@@ -176,15 +182,23 @@ def select_by_axes(packed: DataFrame, patterns: DataFrame, n_classes: int = 3, g
     selected = {(True, True): "DM", (True, False): "MON", (False, True): "IIO", (False, False): "UN"}[mon, iio]
     if selected == "DM":
         selected = _quantitative(packed, patterns, record, grain, alpha, least, options)
+    sides = tuple(side for side, holds in (("class", mon), ("item", iio)) if not holds and (side == "item" or n_classes > 2))
+    if posets and sides:
+        for r in P.refine(packed, patterns, n_classes, replicates, bound, alpha, n_starts, sides, seed)[1].orderBy("side").collect():
+            record.rows.append((len(record.rows) + 1, f"{r['side']} poset: {r['shape']}" + (f" ({r['kind']})" if r["kind"] else ""), float(r["comparable"]), None, float(r["total"]), None, r["comparable"] > 0, None))
     return record.result(selected)
 
 
-def check_hierarchy(packed: DataFrame, patterns: DataFrame, levels: tuple[str, ...] = ("single", "double", "triple"), replicates: int = N.REPLICATES, alpha: float = 0.05, seed: int = 1) -> DataFrame:
-    """(name, statistic, p, adjusted, reject) of the cancellation checks against their nulls, adjusted after Holm."""
+def check_hierarchy(packed: DataFrame, patterns: DataFrame, levels: tuple[str, ...] = ("single", "double", "triple"), replicates: int = N.REPLICATES, alpha: float = 0.05, seed: int = 1, which: str | int = "adjacent", drawn: DataFrame | None = None) -> DataFrame:
+    """(name, statistic, p, adjusted, reject) of the cancellation checks against their nulls, adjusted after Holm.
+
+    All levels check the same replicates, drawn given everyone's total unless others are given as ``drawn``.
+    """
     rows = []
-    for level in levels:
-        observed, null = N.cancellation_null(packed, patterns, level, replicates, seed=seed)
-        rows.append((level, float(observed), float(C.bootstrap_p(null, observed).first()["p"])))
+    with kept(patterns) as patterns, kept(N.conditional_replicates(packed, N.fit_conditional(patterns), replicates, seed) if drawn is None else drawn) as drawn:
+        for level in levels:
+            observed, null = N.cancellation_null(packed, patterns, level, replicates, seed=seed, which=which, drawn=drawn)
+            rows.append((level, float(observed), float(C.bootstrap_p(null, observed).first()["p"])))
     table = patterns.sparkSession.createDataFrame(rows, "name string, statistic double, p double")
     return C.holm(table).join(table.select("name", "statistic"), "name").select("name", "statistic", "p", "adjusted", (F.col("adjusted") <= alpha).alias("reject"))
 
@@ -206,28 +220,42 @@ def verdict(scale: str | None, axioms: list[bool | None]) -> str:
 def full_reading(packed: DataFrame, patterns: DataFrame, classes: range = range(1, 7), replicates: int = N.REPLICATES, draws: int = 10_000, synthetic: int = 100, n_bands: int = 6, n_starts: int = 5, alpha: float = 0.05, seed: int = 1) -> DataFrame:
     """(route, outcome, supports): model selection, cancellation checks and the omnibus test, and the verdict of all three.
 
-    A route that can't be run has a null vote, which counts neither way.
+    A route that can't be run, for the table or in a task, has a null vote, which counts neither way.
     """
+    with kept(packed) as packed, kept(patterns) as patterns:
+        return _full_reading(packed, patterns, classes, replicates, draws, synthetic, n_bands, n_starts, alpha, seed)
+
+
+#: What makes a route unavailable; an error in a task arrives as the second.
+UNAVAILABLE = (ValueError, PythonException)
+
+
+def _reason(error: Exception) -> str:
+    """The last line of an error that says something."""
+    return next((line.strip() for line in reversed(str(error).splitlines()) if line.strip()), type(error).__name__)
+
+
+def _full_reading(packed: DataFrame, patterns: DataFrame, classes: range, replicates: int, draws: int, synthetic: int, n_bands: int, n_starts: int, alpha: float, seed: int) -> DataFrame:
     rows: list[tuple[str, str, bool | None]] = []
     try:
         model = select_by_tests(packed, patterns, classes, alpha, replicates, n_starts, seed=seed).where("selected is not null").first()["selected"]
         scale: str | None = SCALE[model]
         rows.append(("models", model, scale == "quantitative"))
-    except ValueError as error:
+    except UNAVAILABLE as error:
         scale = None
-        rows.append(("models", str(error), None))
+        rows.append(("models", _reason(error), None))
     try:
         rejected = [r["name"] for r in check_hierarchy(packed, patterns, replicates=replicates, alpha=alpha, seed=seed).where("reject").collect()]
         rows.append(("cancellation", "rejected: " + ", ".join(sorted(rejected)) if rejected else "holds", not rejected))
-    except ValueError as error:
-        rows.append(("cancellation", str(error), None))
+    except UNAVAILABLE as error:
+        rows.append(("cancellation", _reason(error), None))
     try:
         tested = omnibus_null(packed, patterns, n_bands, replicates, draws, synthetic, seed + 2).select("rep", "statistic").persist()
         observed = tested.where("rep = -1").first()["statistic"]
         reject = C.bootstrap_p(tested.where("rep >= 0"), observed, alpha).first()["reject"]
         tested.unpersist()
         rows.append(("omnibus", "rejected" if reject else "holds", not reject))
-    except ValueError as error:
-        rows.append(("omnibus", str(error), None))
+    except UNAVAILABLE as error:
+        rows.append(("omnibus", _reason(error), None))
     rows.append(("verdict", verdict(scale, [v for route, _, v in rows if route != "models"]), None))
     return patterns.sparkSession.createDataFrame(rows, "route string, outcome string, supports boolean")

@@ -7,6 +7,7 @@ on a pattern table per replicate: (rep, x, freq).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -226,6 +227,21 @@ def _fit_conditional(patterns: DataFrame, rounds: int, tol: float) -> list[np.nd
     return np.split(at - at.mean(), first[1:-1])
 
 
+def given_totals(totals: np.ndarray, weights: list[np.ndarray], uniform: Callable[[int], np.ndarray]) -> np.ndarray:
+    """Answers to all of the items with these step weights, one row per total; ``uniform(place)`` gives an item's random numbers."""
+    out, left = np.empty((len(totals), len(weights)), int), totals
+    rests = _products(weights)
+    for place, weight in enumerate(weights):
+        rest, k = rests[place + 1], np.arange(len(weight))
+        after = left[:, None] - k
+        p = np.where((after >= 0) & (after < len(rest)), weight * rest[np.clip(after, 0, len(rest) - 1)], 0)
+        upto = np.cumsum(p, axis=1)
+        x = (uniform(place)[:, None] * upto[:, -1:] >= upto).sum(1)
+        out[:, place] = np.minimum(x, (p > 0) @ np.ones(len(k), int) - 1 + (p > 0).argmax(1))
+        left = left - out[:, place]
+    return out
+
+
 def conditional_replicates(packed: DataFrame, steps: list[np.ndarray], replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """(rep, x, freq) drawn given everyone's answered items and total, both of which stay exactly as they are."""
     weights = _step_weights(steps)
@@ -234,24 +250,25 @@ def conditional_replicates(packed: DataFrame, steps: list[np.ndarray], replicate
         out = np.full_like(answers, -1)
         masks, kind = np.unique(answers >= 0, axis=0, return_inverse=True)
         for m, mask in enumerate(masks):
-            rows = np.flatnonzero(kind.ravel() == m)
-            items = np.flatnonzero(mask)
-            left = np.maximum(answers[rows], 0).sum(1)
-            rests = _products([weights[j] for j in items])
-            for place, j in enumerate(items):
-                rest, k = rests[place + 1], np.arange(len(weights[j]))
-                after = left[:, None] - k
-                p = np.where((after >= 0) & (after < len(rest)), weights[j] * rest[np.clip(after, 0, len(rest) - 1)], 0)
-                upto = np.cumsum(p, axis=1)
-                x = (_uniform(ids[rows], rep, j, seed)[:, None] * upto[:, -1:] >= upto).sum(1)
-                x = np.minimum(x, (p > 0) @ np.ones(len(k), int) - 1 + (p > 0).argmax(1))
-                out[rows, j] = x
-                left = left - x
+            rows, items = np.flatnonzero(kind.ravel() == m), np.flatnonzero(mask)
+            if len(items):
+                out[np.ix_(rows, items)] = given_totals(np.maximum(answers[rows], 0).sum(1), [weights[j] for j in items], lambda place: _uniform(ids[rows], rep, items[place], seed))  # noqa: B023
         return out
 
     return _replicated(packed, range(replicates), draw)
 
 
+def resampled(packed: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
+    """(rep, x, freq) of persons drawn with replacement: everyone counts Poisson(1) times, by their own numbers."""
+
+    table = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+    def draw(ids: np.ndarray, answers: np.ndarray, rep: int) -> np.ndarray:
+        return np.repeat(answers, (_uniform(ids, rep, 0, seed)[:, None] >= table).sum(1), axis=0)
+
+    return _replicated(packed, range(replicates), draw)
+
+
 def per_replicate(replicates: DataFrame, statistic: Callable[[np.ndarray, np.ndarray], float], n: int = REPLICATES) -> DataFrame:
     """(rep, statistic, failed): ``statistic(patterns, freq)`` of each of ``n`` replicates, a task each, which holds its pattern table.
 
@@ -375,6 +392,33 @@ def refitted(replicates: DataFrame, n: int, n_cat: int, recipe: dict[str, Refit]
     return replicates.sparkSession.createDataFrame(rows, "rep int, statistic double, failed boolean")
 
 
+FITS = "rep int, weights array<double>, probs array<double>, theta array<double>, steps array<double>, sigma double"
+
+
+def refit_table(replicates: DataFrame, n: int, n_cat: int, refit: Refit, large: bool = False, n_starts: int = 3, seed: int = 1) -> DataFrame:
+    """``FITS``: the parameters of one fit of every replicate; those that can't be fitted are absent."""
+
+    def row(rep: int, f: Fit) -> tuple:
+        flat = [float(d) for item in f.steps for d in item]
+        return rep, f.weights.tolist(), f.probs.ravel().tolist(), None if f.theta is None else f.theta.tolist(), flat, f.sigma
+
+    if large:
+        parts = max(1, MOST_TASKS // max(n, 1))
+        with kept(replicates.repartition(min(n * parts, MOST_TASKS), "rep", F.pmod(F.xxhash64("x"), F.lit(parts)))) as spread:
+            fits = fit_each(spread, n_cat, refit.model, refit.n_classes, n_starts, seed)
+        return replicates.sparkSession.createDataFrame([row(rep, f) for rep, f in fits.items()], FITS)
+    names = [c.split()[0] for c in FITS.split(", ")]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        try:
+            f = fit_here(*_sorted_patterns(group), n_cat, refit.model, n_classes=refit.n_classes, n_starts=n_starts, seed=seed)
+        except (ValueError, np.linalg.LinAlgError):
+            return pd.DataFrame([], columns=names)
+        return pd.DataFrame([row(int(group["rep"].iloc[0]), f)], columns=names)
+
+    return per_key(replicates, "rep", n, run, FITS)
+
+
 def _ratio(low: Fit, high: Fit) -> float:
     return max(0.0, 2 * (high.loglik - low.loglik))
 
@@ -575,7 +619,8 @@ def in_stages(stage: Callable[[int, int], DataFrame], observed: float, replicate
     ``stage(first, n)`` gives the draws from number ``first`` on; draws of the first stage stay.  A p-value decides if it is as small
     as it can be, or above ``alpha`` by more than three of its standard errors.
     """
-    rows = [tuple(r) for r in (null := stage(0, replicates)).collect()]
+    null = stage(0, replicates)
+    rows = [tuple(r) for r in null.collect()]
     spark, schema = null.sparkSession, null.schema
     at = null.columns.index("statistic")
     values = [r[at] for r in rows if r[at] is not None]

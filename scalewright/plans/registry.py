@@ -273,7 +273,12 @@ def _pairs() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
         ),
         "band_by_score": (
             lambda s, d: rounded(O.band_by_score(b(s, d), ITEMS), "ability"),
-            _B.replace("WITH raw", "WITH RECURSIVE raw") + _BANDS.format(least="CEIL(COUNT(*) / 6.0)") + ", p AS (SELECT person_id, ROUND(AVG(x), 9) AS score FROM r GROUP BY 1), q AS (SELECT p.*, band FROM p JOIN bands USING (score)), ab AS (SELECT band, ROUND(AVG(score), 6) AS ability FROM q GROUP BY 1) SELECT band, item_id, ability, COUNT(x) AS n_total, CAST(SUM(x) AS BIGINT) AS n_right FROM r JOIN q USING (person_id) JOIN ab USING (band) GROUP BY 1, 2, 3",
+            _B.replace("WITH raw", "WITH RECURSIVE raw")
+            + ", p AS (SELECT person_id, CAST(SUM(x) AS DOUBLE) AS score FROM r GROUP BY 1 HAVING COUNT(x) = 8), c AS (SELECT score, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER BY score) AS k, COUNT(*) OVER () AS m FROM p GROUP BY score), "
+            + "t AS (SELECT SUM(n) / LEAST(6, COUNT(*)) AS target FROM c), walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS score, 0 AS band, 0 AS following, CAST(0 AS DOUBLE) AS held UNION ALL "
+            + "SELECT c.k, c.score, w.following, CASE WHEN w.held + c.n >= target AND w.following < 5 AND c.k < c.m THEN w.following + 1 ELSE w.following END, CASE WHEN w.held + c.n >= target AND w.following < 5 AND c.k < c.m THEN 0 ELSE w.held + c.n END "
+            + "FROM walk w JOIN c ON c.k = w.k + 1, t), q AS (SELECT p.*, band FROM p JOIN walk USING (score)), ab AS (SELECT band, ROUND(AVG(score), 6) AS ability FROM q GROUP BY 1) "
+            + "SELECT band, item_id, ability, COUNT(x) AS n_total, CAST(SUM(x) AS BIGINT) AS n_right FROM r JOIN q USING (person_id) JOIN ab USING (band) GROUP BY 1, 2, 3",
         ),
         "monotone_classes": (
             lambda s, d: H.monotone_classes(_class_table(s, d)),

@@ -52,7 +52,12 @@ def test_bands_of_replicates_equal_bands_of_answers(spark):
     long = people.select("person_id", F.posexplode("x").alias("item_id", "x"))
     patterns = people.groupBy("x").agg(F.count(F.lit(1)).alias("freq")).withColumn("rep", F.lit(0)).select("rep", "x", "freq")
     key = lambda rows, item: sorted((round(r["ability"], 6), r[item], float(r["n_total"]), float(r["n_right"])) for r in rows)
-    assert key(O.band_by_score(long, 4, 3).collect(), "item_id") == key(O.banded_replicates(patterns, 3).collect(), "item")
+    for bands in (3, 6):
+        assert key(O.band_by_score(long, 4, bands).collect(), "item_id") == key(O.banded_replicates(patterns, bands).collect(), "item")
+    assert O.band_by_score(long, 4, 3, "facility").agg(F.sum("n_total")).first()[0] == long.where("x is not null").count()
+    # Three bands of 8 persons with scores 0 (5), 1 (1), 2 (1), 3 (1): the first closes at once, the last takes the rest.
+    few = spark.createDataFrame([(i, j, int(j < s)) for i, s in enumerate([0, 0, 0, 0, 0, 1, 2, 3]) for j in range(3)], "person_id long, item_id int, x int")
+    assert sorted({(r["band"], r["ability"], r["n_total"]) for r in O.band_by_score(few, 3, 3).collect()}) == [(0, 0.0, 5), (1, 2.0, 3)]
 
 
 @pytest.mark.parametrize(
