@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Sub-matrices that are sampled side by side; the group's number is part of the seed.
-GROUP = 256
+GROUP = 512
 #: Sampling steps, those left out at the start, and every how many-th one is kept.
 STEPS, BURN, EVERY = 3000, 1000, 4
 #: Draws of a sub-matrix until one can be checked, and the most tasks that groups go to.
@@ -91,47 +91,65 @@ def sampled_ranges(total: np.ndarray, right: np.ndarray, check: str, rng: np.ran
     A step proposes for one cell after the other a uniform value between its bounds, upper ones below the lower
     one giving way to 1, and takes it by the ratio of binomial likelihoods.  A value at 0 or 1 is always left.
     """
-    size, orders, rules = CHECKS[check]
-    old = first_values(right / total)
+    size = CHECKS[check][0]
+    m = len(right)
+    flat = lambda tables: np.ascontiguousarray(tables.reshape(m, -1).T)
+    old, hits = flat(first_values(right / total)), flat(right)
+    misses = flat(total) - hits
+    at_ends = bool(((old == 0) | (old == 1)).any())
+    plan, zero, one, kept = _plan(check), np.zeros(m), np.ones(m), []
     with np.errstate(divide="ignore", invalid="ignore"):
-        held = right * np.log(old) + (total - right) * np.log1p(-old)
-    kept = []
-    m = len(old)
-    for step in range(2, steps + 1):
-        for i in range(size):
-            for j in range(size):
-                lower, upper = np.zeros(m), np.ones(m)
-                if "R" in orders:
-                    lower = np.maximum(lower, old[:, i, j - 1]) if j else lower
-                    upper = np.minimum(upper, old[:, i, j + 1]) if j < size - 1 else upper
-                if "C" in orders:
-                    lower = np.maximum(lower, old[:, i - 1, j]) if i else lower
-                    upper = np.minimum(upper, old[:, i + 1, j]) if i < size - 1 else upper
-                cross = np.ones(m)
-                for premises, (small, large) in rules:
-                    if (i, j) not in (small, large):
-                        continue
-                    holds = np.array([old[:, a[0], a[1]] < old[:, b[0], b[1]] for a, b in premises])
-                    every, none = holds.all(0), ~holds.any(0)
-                    other = old[:, large[0], large[1]] if (i, j) == small else old[:, small[0], small[1]]
-                    above, below = (every, none) if (i, j) == small else (none, every)
-                    cross = np.where(above, np.minimum(cross, other), cross)
-                    lower = np.where(below, np.maximum(lower, other), lower)
-                upper = np.where(cross > lower, np.minimum(upper, cross), upper)
+        held = hits * np.log(old) + misses * np.log1p(-old)
+        for step in range(2, steps + 1):
+            random = rng.random((len(plan), 2, m))
+            for c, (below, above, a, b, rules) in enumerate(plan):
+                lower = zero if not below else old[below[0]] if len(below) == 1 else np.maximum(old[below[0]], old[below[1]])
+                upper = one if not above else old[above[0]] if len(above) == 1 else np.minimum(old[above[0]], old[above[1]])
+                if rules:
+                    less, cross = old[a] < old[b], one
+                    for premises, other, is_small in rules:
+                        every = none = less[premises[0]]
+                        for k in premises[1:]:
+                            every, none = every & less[k], none | less[k]
+                        under, over = (every, ~none) if is_small else (~none, every)
+                        cross = np.where(under, np.minimum(cross, old[other]), cross)
+                        lower = np.where(over, np.maximum(lower, old[other]), lower)
+                    upper = np.where(cross > lower, np.minimum(upper, cross), upper)
                 upper = np.where(upper < lower, 1.0, upper)
-                draw = lower + (upper - lower) * rng.random(m)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    new = right[:, i, j] * np.log(draw) + (total[:, i, j] - right[:, i, j]) * np.log1p(-draw)
-                    ratio = np.where((old[:, i, j] == 0) | (old[:, i, j] == 1), 2.0, np.exp(np.minimum(new - held[:, i, j], 1.0)))
-                take = ratio > rng.random(m)
-                old[:, i, j] = np.where(take, draw, old[:, i, j])
-                held[:, i, j] = np.where(take, new, held[:, i, j])
-        if step > burn and step % EVERY == 0:
-            kept.append(old.copy())
+                draw = lower + (upper - lower) * random[c, 0]
+                new = hits[c] * np.log(draw) + misses[c] * np.log1p(-draw)
+                ratio = np.exp(np.minimum(new - held[c], 1.0))
+                if at_ends:
+                    ratio = np.where((old[c] == 0) | (old[c] == 1), 2.0, ratio)
+                take = ratio > random[c, 1]
+                np.copyto(old[c], draw, where=take)
+                np.copyto(held[c], new, where=take)
+            if step > burn and step % EVERY == 0:
+                kept.append(old.copy())
     if not kept:
         raise ValueError("no draws are left after the first ones")
     draws = np.array(kept)
-    return np.quantile(draws, low, axis=0), np.quantile(draws, high, axis=0), draws.mean(0)
+    tables = lambda v: v.T.reshape(m, size, size)
+    return tables(np.quantile(draws, low, axis=0)), tables(np.quantile(draws, high, axis=0)), tables(draws.mean(0))
+
+
+def _plan(check: str) -> list[tuple]:
+    """Per cell, numbered row by row: cells that bound it from below and from above, pairs to compare, and its rules.
+
+    A rule is (places of its premises among the pairs, the other cell of the conclusion, whether this is the smaller one).
+    """
+    size, orders, rules = CHECKS[check]
+    number = lambda cell: cell[0] * size + cell[1]
+    out = []
+    for i in range(size):
+        for j in range(size):
+            below = [number((i, j - 1))] * ("R" in orders and j > 0) + [number((i - 1, j))] * ("C" in orders and i > 0)
+            above = [number((i, j + 1))] * ("R" in orders and j < size - 1) + [number((i + 1, j))] * ("C" in orders and i < size - 1)
+            mine = [r for r in rules if (i, j) in r[1]]
+            pairs = sorted({(number(a), number(b)) for premises, _ in mine for a, b in premises})
+            found = [([pairs.index((number(a), number(b))) for a, b in premises], number(end[1] if end[0] == (i, j) else end[0]), end[0] == (i, j)) for premises, end in mine]
+            out.append((below, above, [a for a, _ in pairs], [b for _, b in pairs], found))
+    return out
 
 
 def combination(rank: int, n: int, size: int) -> list[int]:

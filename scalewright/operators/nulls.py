@@ -550,7 +550,7 @@ def _sub_tables(replicates: DataFrame, size: int, least: int, which: str | int,
         return pd.DataFrame(found, columns=["rep", "k", "rows", "cols", "n_total", "n_right"])
 
     found = per_key(replicates, "rep", n, run, "rep int, k long, rows array<int>, cols array<int>, n_total array<double>, n_right array<double>")
-    shared = max(1, K.GROUP // 32) if which == "adjacent" else 1
+    shared = max(1, K.GROUP // 64) if which == "adjacent" else 1
     parts = 1 if which == "adjacent" else 1 + (which if isinstance(which, int) else 1 << 16) // K.GROUP
     part = F.floor((F.col("rep") + 1) / shared) * parts + F.floor(F.col("k") / K.GROUP) % parts
     return found.withColumn("part", part.cast("int")), -(-(n + 1) // shared) * parts
@@ -583,12 +583,14 @@ def cancellation_null(packed: DataFrame, patterns: DataFrame, check: str = "doub
 
     Those are drawn given everyone's total, or given as ``drawn``.  Graded answers are recoded to steps in each of them.
     """
-    observed = violation_rates(patterns.select(F.lit(-1).alias("rep"), "x", "freq"), check, least, seed, which, 1).first()
-    if observed is None:
-        raise ValueError("the table has too few score groups or no sub-matrix that can be checked")
     if drawn is None:
         drawn = conditional_replicates(packed, fit_conditional(patterns), replicates, seed)
-    return observed["statistic"], violation_rates(drawn, check, least, seed, which, replicates)
+    every = drawn.unionByName(patterns.select(F.lit(-1).cast("int").alias("rep"), "x", "freq"))
+    rates = {r["rep"]: r["statistic"] for r in violation_rates(every, check, least, seed, which, replicates).collect()}
+    if -1 not in rates:
+        raise ValueError("the table has too few score groups or no sub-matrix that can be checked")
+    observed = rates.pop(-1)
+    return observed, patterns.sparkSession.createDataFrame(sorted(rates.items()), "rep int, statistic double")
 
 
 def ordering_statistic(x: np.ndarray, freq: np.ndarray, least: int = 20) -> float:
