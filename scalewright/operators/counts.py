@@ -109,15 +109,37 @@ def value_bands(r: DataFrame, n_items: int, kind: str = "facility", least: int =
 def prepare_checks(r: DataFrame, n_items: int, least: int = 10) -> DataFrame:
     """(score, item_id, n_total, n_right, rate, facility_rank): attempts and successes per score group and item.
 
-    Items are ranked by facility, hardest first.  Fewer than three score groups are the caller's error to
-    raise, see ``require_groups``.
+    Persons with missing answers are left out.  Items are ranked by facility, hardest first.  Fewer than three score groups
+    are the caller's error to raise, see ``require_groups``.  Responses are grouped by person once; all that follows is
+    made from the counts per score and item, a small table.
     """
-    kept = score_groups(r, n_items, least).select("score")
-    person = scores(r, n_items).select("person_id", F.col("score").cast("int").alias("score")).join(F.broadcast(kept), "score", "left_semi")
-    cells = r.join(person, "person_id").groupBy("score", "item_id").agg(F.count("x").alias("n_total"), F.sum("x").cast("long").alias("n_right"))
-    facility = complete_cases(r, n_items).groupBy("item_id").agg(F.avg("x").alias("facility"))
-    ranked = facility.select("item_id", F.row_number().over(Window.orderBy("facility", "item_id")).alias("facility_rank"))
-    return cells.join(_per_item(ranked, n_items), "item_id").select("score", "item_id", "n_total", "n_right", (F.col("n_right") / F.col("n_total")).alias("rate"), "facility_rank")
+    person = r.where("x is not null").groupBy("person_id").agg(F.collect_list(F.struct("item_id", "x")).alias("answers"), F.sum("x").cast("int").alias("score"))
+    counts = person.where(F.size("answers") == n_items).select("score", F.explode("answers").alias("a")).groupBy("score", F.col("a.item_id").alias("item_id")).agg(F.count(F.lit(1)).alias("n_total"), F.sum("a.x").cast("long").alias("n_right"))
+    items = Window.partitionBy("item_id")
+    facility = F.sum("n_right").over(items) / F.sum("n_total").over(items)
+    # Everyone counted answered every item, so a group's persons are the answers to any of its items.
+    cells = counts.withColumn("facility", facility).where(F.col("n_total") >= max(2, least))
+    rank = F.dense_rank().over(Window.orderBy("facility", "item_id"))
+    return cells.select("score", "item_id", "n_total", "n_right", (F.col("n_right") / F.col("n_total")).alias("rate"), rank.alias("facility_rank"))
+
+
+def prepare_bands(r: DataFrame, n_items: int, person_order: str = "facility", least: int = 10) -> DataFrame:
+    """(band, ability, item_id, n_total, n_right, rate, facility_rank): the same over bands of everyone's mean or adjusted scores.
+
+    Persons with missing answers stay; a cell counts those of its band who answered the item.  A band in which nobody answered
+    some item is left out.  ``adjusted`` scores are rounded to 9 places.
+    """
+    if person_order not in ("facility", "adjusted"):
+        raise ValueError(f"no order of persons named {person_order}")
+    person = scores(r, n_items, person_order).select("person_id", F.round("score", 9).alias("score"))
+    person = person.join(F.broadcast(value_bands(r, n_items, person_order, least)), "score")
+    ability = person.groupBy("band").agg(F.avg("score").alias("ability"))
+    cells = r.where("x is not null").join(person.select("person_id", "band"), "person_id").groupBy("band", "item_id").agg(F.count(F.lit(1)).alias("n_total"), F.sum("x").cast("long").alias("n_right"))
+    items = Window.partitionBy("item_id")
+    whole = F.count(F.lit(1)).over(Window.partitionBy("band")) == n_items
+    cells = cells.withColumn("facility", F.sum("n_right").over(items) / F.sum("n_total").over(items)).withColumn("whole", whole).where("whole")
+    rank = F.dense_rank().over(Window.orderBy("facility", "item_id"))
+    return cells.join(F.broadcast(ability), "band").select("band", "ability", "item_id", "n_total", "n_right", (F.col("n_right") / F.col("n_total")).alias("rate"), rank.alias("facility_rank"))
 
 
 def require_groups(cells: DataFrame, least: int = 3) -> None:

@@ -4,7 +4,8 @@ Spark folds persons into patterns.  A small pattern table goes whole to one task
 step folds patterns into expected counts: each partition returns one vector of sums for all starts together.  What
 reaches the driver has the size of the model (starts x classes x items x categories), whatever the number of persons.
 
-Missing answers (NULL) contribute nothing.  Ordered models sort classes by level, the free one by prevalence.
+Missing answers (NULL) contribute nothing.  Ordered models sort classes by level, the free one by prevalence;
+under constraints of the caller's they keep their numbers.
 """
 
 from __future__ import annotations
@@ -402,7 +403,8 @@ def _problem(counts: np.ndarray, model: str, n_classes: int, n_starts: int, tol:
                 shift = np.concatenate(items).mean()
                 theta, items = theta - shift, [d - shift for d in items]
         level = theta if theta is not None else (p @ np.arange(n_cat)).sum(1)
-        rank = np.argsort(-w if model == "UN" else level, kind="stable")
+        # Classes that constraints name keep their numbers.
+        rank = np.arange(len(w)) if constraints is not None else np.argsort(-w if model == "UN" else level, kind="stable")
         n_par = {"RM": 1 + int(tops.sum()), "LCR": 2 * n_classes - 1 + int(tops.sum()) - 1}.get(model, n_classes - 1 + n_classes * int(tops.sum()))
         return Fit(model, w[rank], p[rank], float(loglik[best]), n_par, n_obs, steps[best], done[best], None if theta is None else theta[rank], items, sigma)
 

@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 from ..operators import cancellation as K
 from ..operators import choice as H
 from ..operators import counts as C
+from ..operators import errors as E
+from ..operators import latent as L
 from ..operators import mixtures as M
 from ..operators import nulls as N
 from ..operators import omnibus as O
+from ..operators import posets as P
 from ..operators import selection as S
+from ..operators.fanout import kept
+from ..operators.orders import Cell, Constraints
 from ..sources.responses import from_orders, packed
 
 ITEMS = 8
@@ -167,6 +172,13 @@ def _pairs() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
             lambda s, d: rounded(C.prepare_checks(b(s, d), ITEMS), "rate"),
             _B + _CELLS + "SELECT score, item_id, n_total, n_right, ROUND(n_right / CAST(n_total AS DOUBLE), 6) AS rate, facility_rank FROM cells JOIN rk USING (item_id)",
         ),
+        "prepare_bands": (
+            lambda s, d: rounded(C.prepare_bands(b(s, d), ITEMS), "ability", "rate"),
+            _B.replace("WITH raw", "WITH RECURSIVE raw") + _BANDS.format(least=10)
+            + ", p AS (SELECT person_id, ROUND(AVG(x), 9) AS score FROM r GROUP BY 1), q AS (SELECT p.*, band FROM p JOIN bands USING (score)), ab AS (SELECT band, ROUND(AVG(score), 6) AS ability FROM q GROUP BY 1), "
+            + "ce AS (SELECT band, item_id, COUNT(x) AS n_total, CAST(SUM(x) AS BIGINT) AS n_right FROM r JOIN q USING (person_id) WHERE x IS NOT NULL GROUP BY 1, 2), fa AS (SELECT item_id, ROW_NUMBER() OVER (ORDER BY AVG(x), item_id) AS facility_rank FROM r WHERE x IS NOT NULL GROUP BY 1), "
+            + "full_bands AS (SELECT band FROM ce GROUP BY 1 HAVING COUNT(*) = 8) SELECT band, ability, item_id, n_total, n_right, ROUND(n_right / CAST(n_total AS DOUBLE), 6) AS rate, facility_rank FROM ce JOIN full_bands USING (band) JOIN ab USING (band) JOIN fa USING (item_id)",
+        ),
         "collapse_columns": (
             lambda s, d: C.collapse_columns(C.prepare_checks(b(s, d), ITEMS)),
             _B + _CELLS + ", t AS (SELECT item_id, DENSE_RANK() OVER (ORDER BY SUM(n_right)) AS col_rank FROM cells GROUP BY 1) SELECT score, col_rank, COUNT(*) AS n_items, CAST(SUM(n_total) AS BIGINT) AS n_total, CAST(SUM(n_right) AS BIGINT) AS n_right FROM cells JOIN t USING (item_id) GROUP BY 1, 2",
@@ -347,7 +359,7 @@ def _checks(check: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _decisions() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Choices between fits and sampled checks; tests compare them with direct computation."""
-    few = {"n_starts": 3}
+    few = {"n_starts": STARTS}
     criteria = ("loglik", "aic", "bic", "sabic", "delta")
     out = {f"cancellation_{check}": _checks(check) for check in ("single", "single_rows", "single_columns", "double", "double_only", "triple", "triple_only")}
     return out | {
@@ -364,27 +376,37 @@ def _decisions() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-#: Replicates, draws and synthetic data sets of the registered bootstrap tests, below the operators' defaults.
-FEW, DRAWS, SYNTHETIC = 19, 250, 50
+#: Draws and synthetic data sets of the registered omnibus nulls, below the operator's 10,000 of 100, and the replicates of those.
+DRAWS, SYNTHETIC, FEW = 250, 50, 19
+#: Starts of every refit of a replicate, the default.
+REFITS = 3
 
 
-def _null(then: Callable, answers: Callable = binary) -> Callable[[SparkSession, str], DataFrame]:
-    """A query on (observed, null) = ``then(packed, patterns)``: the observed statistic and its bootstrap p-value."""
+def _tables(answers: Callable, then: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    """A query ``then(packed, patterns)`` that reads the answers of persons and their patterns several times."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = packed(answers(spark, sf_dir), ITEMS)
-        observed, null = then(p, C.pattern_frequencies(p))
-        return rounded(C.bootstrap_p(null, observed).withColumn("observed", F.lit(float(observed))), "observed", "p", "percentile", "cutoff")
+        with kept(p) as p, kept(C.pattern_frequencies(p)) as t:
+            found = then(p, t)
+            # What is left is small: rows of tests, parameters or replicates.
+            return spark.createDataFrame(found.collect(), found.schema)
 
     return run
 
 
-def _chosen(then: Callable, *names: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        p = packed(binary(spark, sf_dir), ITEMS)
-        return rounded(then(p, C.pattern_frequencies(p)), *names)
+def _null(then: Callable, answers: Callable = binary) -> Callable[[SparkSession, str], DataFrame]:
+    """A query on (observed, null) = ``then(packed, patterns)``: the observed statistic and its bootstrap p-value."""
 
-    return run
+    def tested(p: DataFrame, t: DataFrame) -> DataFrame:
+        observed, null = then(p, t)
+        return rounded(C.bootstrap_p(null, observed).withColumn("observed", F.lit(float(observed))), "observed", "p", "percentile", "cutoff")
+
+    return _tables(answers, tested)
+
+
+def _chosen(then: Callable, *names: str, answers: Callable = binary) -> Callable[[SparkSession, str], DataFrame]:
+    return _tables(answers, lambda p, t: rounded(then(p, t), *names))
 
 
 def _conditional_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,11 +414,14 @@ def _conditional_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(j, k + 1, float(v)) for j, d in enumerate(steps) for k, v in enumerate(d)], "item_id int, step int, delta double")
 
 
-def _conditional_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Persons per replicate, answered items and total, which the draws keep."""
-    p = packed(graded(spark, sf_dir), ITEMS)
-    drawn = N.conditional_replicates(p, N.fit_conditional(C.pattern_frequencies(p)), 5)
-    return drawn.groupBy("rep", F.aggregate("x", F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0))).alias("total")).agg(F.sum("freq").cast("long").alias("persons"))
+def _conditional_residuals(p: DataFrame, t: DataFrame) -> DataFrame:
+    """(item_id, third, observed, expected, sd): mean answers by third of the totals, and over replicates given everyone's total."""
+    drawn = N.conditional_replicates(p, N.fit_conditional(t), FEW).unionByName(t.select(F.lit(-1).cast("int").alias("rep"), "x", "freq"))
+    third = F.least(F.lit(2), F.floor(F.aggregate("x", F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0))) / 8)).cast("int")
+    long = drawn.select("rep", "freq", third.alias("third"), F.posexplode("x").alias("item_id", "v")).where("v is not null")
+    means = long.groupBy("rep", "third", "item_id").agg((F.sum(F.col("freq") * F.col("v")) / F.sum("freq")).alias("mean"))
+    null = F.col("rep") >= 0
+    return means.groupBy("item_id", "third").agg(F.max(F.when(~null, F.col("mean"))).alias("observed"), F.avg(F.when(null, F.col("mean"))).alias("expected"), F.stddev_samp(F.when(null, F.col("mean"))).alias("sd"))
 
 
 def _omnibus_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,25 +431,55 @@ def _omnibus_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _nulls() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Bootstrap tests and selection, which draw random numbers; tests compare them with enumeration and planted structure."""
-    few = {"replicates": FEW, "n_starts": 2}
+    refits = {"n_starts": REFITS}
+    errors = ("estimate", "se")
+
+    def nested(p: DataFrame, t: DataFrame, **options) -> tuple[float, DataFrame]:
+        return N.likelihood_ratio_test(p, t, M.fit(t, "MON", n_starts=STARTS), M.fit(t, "UN", n_starts=STARTS), **refits, **options)
+
+    def severe(p: DataFrame, t: DataFrame) -> DataFrame:
+        low, high = (M.fit(t, m, n_starts=STARTS) for m in ("MON", "UN"))
+        return N.severity(p, t, low, high, N.likelihood_ratio_test(p, t, low, high, **refits)[1], **refits)
+
+    def staged(p: DataFrame, t: DataFrame) -> tuple[float, DataFrame]:
+        ordered = M.fit(t, "IIO", n_classes=3, n_starts=STARTS)
+        observed = N.ordering_null(p, t, ordered, 1)[0]
+        return observed, N.in_stages(lambda first, n: N.ordering_null(p, t, ordered, n, first=first)[1], observed, 49)[0]
 
-    def nested(p: DataFrame, t: DataFrame) -> tuple[float, DataFrame]:
-        return N.likelihood_ratio_test(p, t, M.fit(t, "MON", n_starts=3), M.fit(t, "UN", n_starts=3), **few)
+    def free_null(p: DataFrame, t: DataFrame) -> tuple[float, DataFrame]:
+        return N.cancellation_null(p, t, "double", drawn=L.marginal_replicates(p, L.free_latent(t, M.fit(t, "RM"))))
 
     return {
         "conditional_fit": lambda s, d: rounded(_conditional_steps(s, d), "delta"),
-        "conditional_draws": _conditional_draws,
+        "conditional_draws": _chosen(_conditional_residuals, "observed", "expected", "sd", answers=graded),
         "ll_equivalence": _null(nested),
-        "rm_against_lcr": _null(lambda p, t: N.rasch_against_classes(p, t, M.fit(t, "RM"), (2, 3), **few)),
-        "cancellation_null": _null(lambda p, t: N.cancellation_null(p, t, "double", FEW)),
-        "cancellation_levels": _chosen(lambda p, t: H.check_hierarchy(p, t, replicates=FEW), "statistic", "p", "adjusted"),
-        "item_order_test": _null(lambda p, t: N.ordering_null(p, t, M.fit(t, "IIO", n_classes=3, n_starts=3), FEW)),
+        "ll_equivalence_reselected": _null(lambda p, t: nested(p, t, reselect=(2, 3))),
+        "severity": _chosen(severe, "cutoff", "power", "effect", "observed_rank"),
+        "rm_against_lcr": _null(lambda p, t: N.rasch_against_classes(p, t, M.fit(t, "RM"), (2, 3, 4), **refits)),
+        "cancellation_null": _null(lambda p, t: N.cancellation_null(p, t, "double")),
+        "cancellation_null_graded": _null(lambda p, t: N.cancellation_null(p, t, "single"), graded),
+        "cancellation_null_free": _null(free_null),
+        "cancellation_levels": _chosen(lambda p, t: H.check_hierarchy(p, t), "statistic", "p", "adjusted"),
+        "item_order_test": _null(lambda p, t: N.ordering_null(p, t, M.fit(t, "IIO", n_classes=3, n_starts=STARTS))),
+        "item_order_staged": _null(staged),
         "omnibus_cells": lambda s, d: rounded(O.omnibus(_omnibus_cells(s, d), 2000, 100), "ability", "theta", "theta_free", "z", "ess", "kl"),
         "omnibus_null": _chosen(lambda p, t: O.omnibus_null(p, t, replicates=FEW, draws=DRAWS, synthetic=SYNTHETIC), "statistic", "kl_median", "kl_max", "ess_min", "ess_median"),
+        "omnibus_null_graded": _chosen(lambda p, t: O.omnibus_null(p, t, replicates=FEW, draws=DRAWS, synthetic=SYNTHETIC), "statistic", "kl_median", "kl_max", "ess_min", "ess_median", answers=graded),
         "select_by_properties": _chosen(lambda p, t: H.read_properties(t), "bic_un", "bic_lcr", "bic_rm"),
-        "select_by_tests": _chosen(lambda p, t: H.select_by_tests(p, t, range(1, 4), replicates=FEW, n_starts=2), "statistic", "p", "cutoff"),
-        "select_by_axes": _chosen(lambda p, t: H.select_by_axes(p, t, n_classes=2, replicates=FEW, n_starts=2), "statistic", "p", "cutoff"),
-        "full_reading": _chosen(lambda p, t: H.full_reading(p, t, range(1, 4), replicates=19, draws=DRAWS, synthetic=SYNTHETIC, n_starts=2)),
+        "select_by_tests": _chosen(lambda p, t: H.select_by_tests(p, t, range(1, 4), replicates=49, n_starts=REFITS), "statistic", "p", "cutoff"),
+        "select_by_axes": _chosen(lambda p, t: H.select_by_axes(p, t, n_starts=REFITS, null_classes=range(3, 5)), "statistic", "p", "cutoff"),
+        "full_reading": _chosen(lambda p, t: H.full_reading(p, t, range(1, 4), replicates=FEW, draws=DRAWS, synthetic=SYNTHETIC, n_starts=2)),
+        "poset_pairs": _chosen(lambda p, t: P.refine(p, t, n_starts=REFITS)[0]),
+        "poset_shapes": _chosen(lambda p, t: P.refine(p, t, n_starts=REFITS)[1]),
+        "rasch_errors": _chosen(lambda p, t: E.rasch_errors(t, M.fit(t, "RM")), *errors, answers=graded),
+        "lcr_errors": _chosen(lambda p, t: E.rasch_errors(t, M.fit(t, "LCR", n_classes=2, n_starts=STARTS)), *errors),
+        "bootstrap_errors": _chosen(lambda p, t: E.bootstrap_errors(p, t, M.fit(t, "UN", n_starts=STARTS)), *errors),
+        "bootstrap_errors_rasch": _chosen(lambda p, t: E.bootstrap_errors(p, t, M.fit(t, "RM")), *errors),
+        "latent_histogram": _chosen(lambda p, t: L.histogram(t.sparkSession, L.free_latent(t, M.fit(t, "RM"))), "ability", "weight", answers=graded),
+        "fit_iio_given_order": _fitted(binary, "IIO", n_classes=2, item_order=(7, 6, 5, 4, 3, 2, 1, 0)),
+        "fit_partial_order": _fitted(binary, "UN", n_classes=3, constraints=Constraints(pairs=tuple((Cell(0, j), Cell(c, j)) for j in range(ITEMS) for c in (1, 2)))),
+        "fit_ordered_steps": _fitted(graded, "UN", n_classes=2, constraints=Constraints(True, pairs=((Cell(0, 7), Cell(0, 0)), (Cell(1, 7), Cell(1, 0))))),
+        "cancellation_drawn": lambda s, d: rounded(K.checked_cells(K.conjoint_checks(_cells(s, d), "double", 500)), "rate"),
     }
 
 

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -71,3 +72,20 @@ def test_holm_by_hand(spark):
 def test_empty_responses_give_empty_tables(spark):
     none = responses(spark, [])
     assert C.item_facility(none).collect() == [] and C.score_groups(none, 3).collect() == [] and C.prepare_checks(none, 3).collect() == []
+
+
+def test_bands_keep_persons_with_missing_answers(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, j, None if rng.random() < 0.2 else int(rng.random() < 0.3 + 0.1 * j)) for i in range(300) for j in range(4)]
+    rows += [(900, j, None) for j in range(4)]
+    r = spark.createDataFrame(rows, "person_id long, item_id int, x int")
+    for order in ("facility", "adjusted"):
+        cells = C.prepare_bands(r, 4, order, 20).collect()
+        assert sum(c["n_total"] for c in cells) == sum(x is not None for _, _, x in rows)
+        assert sum(c["n_right"] for c in cells) == sum(x or 0 for _, _, x in rows)
+        ability = {c["band"]: c["ability"] for c in cells}
+        assert len(ability) >= 3 and [ability[k] for k in sorted(ability)] == sorted(ability.values())
+        assert {c["item_id"]: c["facility_rank"] for c in cells} == {0: 1, 1: 2, 2: 3, 3: 4}
+    with pytest.raises(ValueError):
+        C.prepare_bands(r, 4, "complete")
+    assert C.prepare_bands(r.where("false"), 4).count() == 0
