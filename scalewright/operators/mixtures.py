@@ -57,20 +57,23 @@ def monotone(p: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.column_stack([weighted_pava(p[:, j], np.maximum(weight[:, j], CLIP)) for j in range(p.shape[1])])
 
 
-def item_ordered(p: np.ndarray, order: np.ndarray) -> np.ndarray:
+def item_ordered(p: np.ndarray, order: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
     """Nonincreasing from the easiest item to the hardest, class by class; ``order`` lists items easy to hard."""
     out = np.empty_like(p)
-    out[:, order] = np.vstack([-weighted_pava(-row[order]) for row in p])
+    weight = np.ones_like(p) if weight is None else weight
+    out[:, order] = np.vstack([-weighted_pava(-row[order], np.maximum(w[order], CLIP)) for row, w in zip(p, weight)])
     return out
 
 
 def doubly_monotone(p: np.ndarray, weight: np.ndarray, order: np.ndarray, tol: float = 1e-10, cycles: int = 500) -> np.ndarray:
-    """The nearest table in both orders, by alternating projections with corrections."""
+    """The table nearest in weighted least squares in both orders, by alternating projections with corrections."""
     x, a, b = p.copy(), np.zeros_like(p), np.zeros_like(p)
-    for _ in range(cycles):
+    for k in range(cycles):
         y = monotone(x + a, weight)
+        if not k and (np.diff(y[:, order], axis=1) <= 0).all():
+            return y  # the nearest under one order alone keeps the other
         a = x + a - y
-        z = item_ordered(y + b, order)
+        z = item_ordered(y + b, order, weight)
         b = y + b - z
         if np.abs(z - x).max() < tol and np.abs(z - y).max() < tol:
             return z
@@ -233,10 +236,11 @@ def _newton(e: np.ndarray, par: np.ndarray, ability: np.ndarray, tops: np.ndarra
             design = np.zeros((e.shape[0], e.shape[2], len(par)))
             design[:, :, :k] = at[None, :, None] * ability[:, None, :]
             design[:, :, first[j] : first[j + 1]] = -1.0 * (np.arange(1, top + 1) <= at[:, None])[None]
-            slope += np.einsum("cx,cxv->v", e[:, j] - n[:, j, None] * p[:, j], design)
-            mean = np.einsum("cx,cxv->cv", p[:, j], design)
-            spread = design - mean[:, None, :]
-            curve += np.einsum("c,cx,cxu,cxv->uv", n[:, j], p[:, j], spread, spread, optimize=True)
+            flat = design.reshape(-1, len(par))
+            slope += (e[:, j] - n[:, j, None] * p[:, j]).ravel() @ flat
+            mean = (p[:, j, None, :] @ design)[:, 0]
+            spread = (design - mean[:, None, :]).reshape(flat.shape)
+            curve += spread.T @ ((n[:, j, None] * p[:, j]).ravel()[:, None] * spread)
         move = np.linalg.lstsq(curve, slope, rcond=None)[0]
         for scale in (1.0, 0.5, 0.25, 0.1, 0.01):
             tried = par + scale * np.clip(move, -2, 2)
@@ -374,13 +378,13 @@ def _problem(counts: np.ndarray, model: str, n_classes: int, n_starts: int, tol:
                 if model == "RM":
                     par[0][0] = np.clip(abs(par[0][0]), 0.02, 20)
                 return step_table(ability @ par[0][:k], _split(par[0], k, tops), n_cat)
-            # Weights that differ between items, as with missing answers, keep a least-squares projection from being the maximum.
-            if constraints is not None or (model != "UN" and n_cat > 2) or (model in ("IIO", "DM") and np.ptp(e.sum(2), axis=1).max() > 1e-7 * e.sum()):
+            if constraints is not None or (model != "UN" and n_cat > 2):
                 return likeliest(e)
             p = _free(e, tops)
             if model == "UN":
                 return p
-            project: dict[str, Callable] = {"MON": lambda q: monotone(q, e.sum(2)), "IIO": lambda q: item_ordered(q, order), "DM": lambda q: doubly_monotone(q, e.sum(2), order)}
+            # Of two categories the weighted projection is the maximum.
+            project: dict[str, Callable] = {"MON": lambda q: monotone(q, e.sum(2)), "IIO": lambda q: item_ordered(q, order, e.sum(2)), "DM": lambda q: doubly_monotone(q, e.sum(2), order)}
             right = np.clip(project[model](p[:, :, 1]), CLIP, 1 - CLIP)
             return np.stack([1 - right, right], 2)
 

@@ -57,6 +57,10 @@ def test_binary_step_equals_isotonic_regression():
     p = OrderedStep((4, 3, 2), np.ones(3), ordering("MON", []))(np.stack([n - k, k], 2))
     want = M.monotone(k / n, n)
     assert p[:, :, 1] == pytest.approx(want, abs=1e-5)
+    order = np.array([2, 0, 1])
+    for model, found in (("IIO", M.item_ordered(k / n, order, n)), ("DM", M.doubly_monotone(k / n, n, order))):
+        p = OrderedStep((4, 3, 2), np.ones(3), ordering(model, order))(np.stack([n - k, k], 2))
+        assert p[:, :, 1] == pytest.approx(found, abs=2e-5)
     pairs = [(i, i + 1) for i in range(3)]
     for j in range(3):
         assert projected(k[:, j] / n[:, j], n[:, j], pairs) == pytest.approx(want[:, j], abs=1e-6)
