@@ -39,6 +39,27 @@ def require_binary(r: DataFrame, allow_missing: bool = False) -> None:
         raise ValueError(f"{s['n_missing']} answers are missing")
 
 
+def require_valid(r: DataFrame, allow_missing: bool = False) -> str:
+    """``binary`` or ``graded``, or ValueError: negative answers, missing ones unless allowed, items without answers or with a gap in them.
+
+    An item of graded answers must have all of 0 to its highest answer, so two at least.
+    """
+    s = validation_summary(r).first()
+    if s["n_rows"] == s["n_missing"]:
+        raise ValueError("no answers")
+    if s["n_negative"]:
+        raise ValueError(f"{s['n_negative']} answers are negative")
+    if s["n_missing"] and not allow_missing:
+        raise ValueError(f"{s['n_missing']} answers are missing")
+    if not s["n_not_binary"]:
+        return "binary"
+    items = r.select("item_id").distinct().join(category_counts(r), "item_id", "left")
+    gaps = [row["item_id"] for row in items.where(~F.coalesce("consecutive", F.lit(False))).orderBy("item_id").limit(10).collect()]
+    if gaps:
+        raise ValueError(f"answers to items {gaps} don't take all values from 0 to the highest")
+    return "graded"
+
+
 def category_counts(r: DataFrame) -> DataFrame:
     """(item_id, top, n_categories, consecutive): consecutive if 0 to top all occur and top is 1 or more."""
     g = r.where("x is not null").groupBy("item_id").agg(F.max("x").cast("int").alias("top"), F.countDistinct("x").alias("n_categories"))

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .mixtures import CLIP, PATTERNS_PER_TASK, Fit, expected_counts, fit
+from .mixtures import CLIP, PATTERNS_PER_TASK, Fit, expected_counts, fit, fit_measures
 
 FITS = "model string, n_classes int, loglik double, n_par int, n_obs long, converged boolean"
 
@@ -56,6 +56,20 @@ def chi2_tail(x: float, df: float) -> float:
     return min(1.0, scale * h)
 
 
+def goodness_of_fit(patterns: DataFrame, f: Fit) -> DataFrame:
+    """``fit_measures`` with p_g2 and p_x2, the tails of the chi-square law; null without degrees of freedom.
+
+    A Rasch fit over a distribution of abilities is an error: its table of patterns has no such law.
+    """
+    if f.model == "RM":
+        raise ValueError("G2 and X2 of a Rasch fit over a distribution of abilities have no chi-square law")
+    measures = fit_measures(patterns, f)
+    row = measures.first()
+    tails = tuple(chi2_tail(row[c], row["df"]) if row[c] is not None and row["df"] > 0 else None for c in ("g2", "x2"))
+    schema = measures.schema.add("p_g2", "double").add("p_x2", "double")
+    return patterns.sparkSession.createDataFrame([(*row, *tails)], schema)
+
+
 def lr_test(table: DataFrame) -> DataFrame:
     """(restricted, general, statistic, df, p_value) of every two fits of a table, the one with fewer parameters being restricted.
 

@@ -371,12 +371,14 @@ def _decisions() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "successive_comparison": lambda s, d: rounded(S.successive_comparison(S.compare_models(_patterns(s, d), ("UN", "MON", "IIO", "DM", "LCR"), **few)[0]), "gain"),
         "select_n_classes": lambda s, d: rounded(S.select_n_classes(_patterns(s, d), range(1, 5), **few)[0], *criteria),
         "compare_rm_lcr": lambda s, d: rounded(S.compare_rm_lcr(_patterns(s, d), **few)[1], "rm", "lcr", "difference"),
+        "goodness_of_fit": lambda s, d: rounded(S.goodness_of_fit(t := _patterns(s, d), M.fit(t, "UN", **few)), "loglik", "aic", "bic", "g2", "x2", "p_g2", "p_x2"),
         "coefficients": lambda s, d: rounded(S.coefficients(s, M.fit(_patterns(s, d), "DM", **few)), "p", "logit"),
         "standard_errors": lambda s, d: rounded(S.standard_errors(t := _patterns(s, d), M.fit(t, "UN", **few)), "estimate", "se"),
     }
 
 
-#: Draws and synthetic data sets of the registered omnibus nulls, below the operator's 10,000 of 100, and the replicates of those.
+#: Draws and synthetic data sets of the registered omnibus nulls, below the operator's 10,000 of 100, and the replicates of those,
+#: of the tests of order and of the whole reading.
 DRAWS, SYNTHETIC, FEW = 250, 50, 19
 #: Starts of every refit of a replicate, the default.
 REFITS = 3
@@ -466,7 +468,7 @@ def _nulls() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "omnibus_null": _chosen(lambda p, t: O.omnibus_null(p, t, replicates=FEW, draws=DRAWS, synthetic=SYNTHETIC), "statistic", "kl_median", "kl_max", "ess_min", "ess_median"),
         "omnibus_null_graded": _chosen(lambda p, t: O.omnibus_null(p, t, replicates=FEW, draws=DRAWS, synthetic=SYNTHETIC), "statistic", "kl_median", "kl_max", "ess_min", "ess_median", answers=graded),
         "select_by_properties": _chosen(lambda p, t: H.read_properties(t), "bic_un", "bic_lcr", "bic_rm"),
-        "select_by_tests": _chosen(lambda p, t: H.select_by_tests(p, t, range(1, 4), replicates=49, n_starts=REFITS), "statistic", "p", "cutoff"),
+        "select_by_tests": _chosen(lambda p, t: H.select_by_tests(p, t, range(1, 4), replicates=FEW, n_starts=REFITS), "statistic", "p", "cutoff"),
         "select_by_axes": _chosen(lambda p, t: H.select_by_axes(p, t, n_starts=REFITS, null_classes=range(3, 5)), "statistic", "p", "cutoff"),
         "full_reading": _chosen(lambda p, t: H.full_reading(p, t, range(1, 4), replicates=FEW, draws=DRAWS, synthetic=SYNTHETIC, n_starts=2)),
         "poset_pairs": _chosen(lambda p, t: P.refine(p, t, n_starts=REFITS)[0]),

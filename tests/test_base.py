@@ -29,3 +29,34 @@ def test_mask_ranks_over_groups_of_ids(spark):
     mean = {k: None if v[0] is None else sum(v) / 3 for k, v in means.items()}
     order = sorted(mean, key=lambda k: (mean[k] is None, mean[k] or 0, k))
     assert {x["person_id"]: x["rank"] for x in rows} == {k: i + 1 for i, k in enumerate(order)}
+
+
+def test_workers_of_an_older_session_find_the_package(spark):
+    import os
+
+    import __spark_entry__ as entry
+
+    before = dict(spark.sparkContext.environment)
+    try:
+        spark.sparkContext.environment.pop("PYTHONPATH", None)
+        entry.ship(spark)
+        entry.ship(spark)
+        assert spark.sparkContext.environment["PYTHONPATH"].split(os.pathsep).count(entry.ROOT) == 1
+        assert len(spark.range(3).mapInPandas(lambda batches: batches, "id long").collect()) == 3
+    finally:
+        spark.sparkContext.environment.clear()
+        spark.sparkContext.environment.update(before)
+
+
+def test_keys_are_dealt_to_tasks_of_their_own(spark):
+    import pandas as pd
+    from pyspark import TaskContext
+
+    from scalewright.operators.fanout import per_key
+
+    def where(group):
+        return pd.DataFrame({"rep": [int(group["rep"].iloc[0])], "task": [TaskContext.get().partitionId()], "n": [len(group)]})
+
+    df = spark.range(600).selectExpr("cast(id % 12 - 1 as int) as rep", "id")
+    rows = per_key(df, "rep", 12, where, "rep int, task int, n int").collect()
+    assert sorted(r["rep"] for r in rows) == list(range(-1, 11)) and len({r["task"] for r in rows}) == 12 and {r["n"] for r in rows} == {50}

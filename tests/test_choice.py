@@ -82,3 +82,16 @@ def test_selection_finds_planted_structure(spark):
     assert H.least_decrease(np.array([[0.9, 0.8], [0.2, 0.3], [0.5, 0.1]])) == pytest.approx(min(0.2 / 2, 0.2 / 2))
     rows = H.resampled(crossed, 3).collect()
     assert sum(r["freq"] for r in rows) == pytest.approx(1800, rel=0.1)
+
+
+# Published counts of 65 persons per cell, 4 score groups x 3 items, score fastest.
+RASCH_COUNTS = [31, 48, 55, 63, 8, 24, 37, 57, 2, 7, 9, 30]
+CROSSING_COUNTS = [23, 42, 60, 63, 27, 35, 38, 32, 1, 7, 34, 57]
+
+
+@pytest.mark.parametrize("counts, kl, violations", [(RASCH_COUNTS, 0.021, 0), (CROSSING_COUNTS, 0.297, 6)])
+def test_omnibus_agrees_with_published_results(spark, counts, kl, violations):
+    df = spark.createDataFrame([(-1, float(k % 4), k // 4, 65.0, float(n)) for k, n in enumerate(counts)], O.CELLS)
+    row = O.summary(O.omnibus(df, 6000, 60)).first()
+    # Published from 30,000 draws of 100 data sets.
+    assert row["statistic"] == pytest.approx(kl, abs=max(0.02, 0.3 * kl)) and abs(row["n_violated"] - violations) <= 1

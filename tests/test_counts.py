@@ -89,3 +89,12 @@ def test_bands_keep_persons_with_missing_answers(spark):
     with pytest.raises(ValueError):
         C.prepare_bands(r, 4, "complete")
     assert C.prepare_bands(r.where("false"), 4).count() == 0
+
+
+def test_validation_tells_kinds_apart(spark):
+    frame = lambda rows: spark.createDataFrame([(i, j, x) for i, row in enumerate(rows) for j, x in enumerate(row)], "person_id long, item_id int, x int")
+    assert C.require_valid(frame([[0, 1], [1, 0]])) == "binary" and C.require_valid(frame([[0, 2], [1, 0], [0, 1]])) == "graded"
+    assert C.require_valid(frame([[None, 1], [1, 0]]), allow_missing=True) == "binary"
+    for bad in ([[None, 1]], [[-1, 0]], [[0, 3], [1, 0]], [[None, None]], [[2, 2], [2, 1]]):
+        with pytest.raises(ValueError):
+            C.require_valid(frame(bad))

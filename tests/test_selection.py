@@ -158,3 +158,17 @@ def test_dense_core(spark):
     assert {r["row"] for r in core.collect()} == {1, 3, 4} and core.count() == 15
     with pytest.raises(ValueError):
         K.dense_core(cells.withColumn("n_total", cells.n_total * 0))
+
+
+def test_goodness_of_fit_of_a_small_table(spark):
+    """Two items, eight people, one class: the statistic by hand, with one degree of freedom."""
+    patterns = spark.createDataFrame([([0, 0], 2), ([0, 1], 1), ([1, 0], 1), ([1, 1], 4)], "x array<int>, freq long")
+    f = M.fit(patterns, "UN", n_classes=1, n_starts=1)
+    row = S.goodness_of_fit(patterns, f).first()
+    expected = {(a, b): 8 * (5 / 8 if a else 3 / 8) * (5 / 8 if b else 3 / 8) for a in (0, 1) for b in (0, 1)}
+    seen = {(0, 0): 2, (0, 1): 1, (1, 0): 1, (1, 1): 4}
+    g2 = 2 * sum(n * math.log(n / expected[k]) for k, n in seen.items())
+    assert row["g2"] == pytest.approx(g2, abs=1e-6) and row["df"] == 1
+    assert row["p_g2"] == pytest.approx(math.erfc(math.sqrt(g2 / 2)), abs=1e-6)
+    with pytest.raises(ValueError):
+        S.goodness_of_fit(patterns, M.fit(patterns, "RM"))
