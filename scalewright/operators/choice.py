@@ -95,6 +95,15 @@ class _Record:
         self.rows.append((len(self.rows) + 1, name, float(observed), float(t["p"]), float(t["cutoff"]), t["replicates"], holds, None))
         return holds
 
+    def add_posets(self, packed: DataFrame, patterns: DataFrame, n_classes: int, sides: tuple[str, ...], bound: float, alpha: float, options: dict) -> None:
+        """A row per side with the pairs shown to be ordered, of how many; its shape is in the name.  Two classes have no partial order."""
+        sides = tuple(s for s in sides if s == "item" or n_classes > 2)
+        if not sides:
+            return
+        for r in P.refine(packed, patterns, n_classes, options["replicates"], bound, alpha, options["n_starts"], sides, options["seed"])[1].orderBy("side").collect():
+            kind = f" ({r['kind']})" if r["kind"] else ""
+            self.rows.append((len(self.rows) + 1, f"{r['side']} poset: {r['shape']}{kind}", float(r["comparable"]), None, float(r["total"]), None, r["comparable"] > 0, None))
+
     def result(self, selected: str) -> DataFrame:
         return self.spark.createDataFrame([*self.rows, (len(self.rows) + 1, None, None, None, None, None, None, selected)], TESTS)
 
@@ -112,24 +121,36 @@ def _quantitative(packed: DataFrame, patterns: DataFrame, record: _Record, grain
     return "RM" if record.add("RM against LCR", observed, null, alpha, lower=True) else "LCR"
 
 
-def select_by_tests(packed: DataFrame, patterns: DataFrame, classes: range = range(1, 7), alpha: float = 0.05, replicates: int = N.REPLICATES, n_starts: int = 5, least: float = 1.0, joint: bool = False, seed: int = 1, reselect: bool = False) -> DataFrame:
+def select_by_tests(packed: DataFrame, patterns: DataFrame, classes: range = range(1, 7), alpha: float = 0.05, replicates: int = N.REPLICATES, n_starts: int = 5, least: float = 1.0, joint: bool = False, seed: int = 1, reselect: bool = False, severe: bool = False, posets: bool = True, slight: float = 0.01) -> DataFrame:
     """``TESTS``: bootstrap likelihood-ratio tests along the lattice of orders, then the quantitative edge; the last row names the choice.
 
     MON and IIO are tested against free classes, DM against both if both hold (``joint``: DM against free classes first).
     If both hold and DM doesn't, the likelier of the two is chosen.  The number of classes is that of least BIC, two at least;
-    ``reselect`` repeats that choice in every replicate of the tests of order.
+    ``reselect`` repeats that choice in every replicate of the tests of order.  With ``severe`` a rejected order stays if ratios
+    under the general fit aren't separated from the null's.  Sides whose order doesn't hold are searched for partial orders
+    (``posets``), with the tolerance ``slight`` at 1,500 persons and more for fewer.
     """
     with kept(packed) as packed, kept(patterns) as patterns:
-        return _by_tests(packed, patterns, classes, alpha, replicates, n_starts, least, joint, seed, reselect)
+        return _by_tests(packed, patterns, classes, alpha, replicates, n_starts, least, joint, seed, reselect, severe, posets, slight)
 
 
-def _by_tests(packed: DataFrame, patterns: DataFrame, classes: range, alpha: float, replicates: int, n_starts: int, least: float, joint: bool, seed: int, reselect: bool) -> DataFrame:
+def _by_tests(packed: DataFrame, patterns: DataFrame, classes: range, alpha: float, replicates: int, n_starts: int, least: float, joint: bool, seed: int, reselect: bool, severe: bool, posets: bool, slight: float) -> DataFrame:
     options = {"replicates": replicates, "n_starts": n_starts, "seed": seed}
     _, best = S.select_n_classes(patterns, classes, n_starts=n_starts, seed=seed)
     c = max(2, len(best.weights))
     fits = {m: fit(patterns, m, n_classes=c, n_starts=n_starts, seed=seed) for m in ("UN", "MON", "IIO", "DM")}
     record = _Record(patterns)
-    holds = lambda low, high: record.add(f"{low} against {high}", *N.likelihood_ratio_test(packed, patterns, fits[low], fits[high], **options, reselect=tuple(classes) if reselect else (), selection="UN"), alpha, least)
+    again = {**options, "reselect": tuple(classes) if reselect else (), "selection": "UN"}
+
+    def holds(low: str, high: str) -> bool:
+        observed, null = N.likelihood_ratio_test(packed, patterns, fits[low], fits[high], **again)
+        with kept(null) as null:
+            stays = record.add(f"{low} against {high}", observed, null, alpha, least)
+            if not stays and severe and not N.severity(packed, patterns, fits[low], fits[high], null, **again).first()["separated"]:
+                record.rows[-1] = (*record.rows[-1][:6], True, None)
+                return True
+        return stays
+
     double = joint and holds("DM", "UN")
     selected = "DM" if double else "UN"
     if not double:
@@ -141,6 +162,9 @@ def _by_tests(packed: DataFrame, patterns: DataFrame, classes: range, alpha: flo
             selected = "MON" if mon else "IIO"
     if selected == "DM":
         selected = _quantitative(packed, patterns, record, classes, alpha, least, options)
+    elif posets:
+        bound = slight * math.sqrt(1500 / max(fits["UN"].n_obs, 1))
+        record.add_posets(packed, patterns, c, {"UN": ("class", "item"), "MON": ("item",), "IIO": ("class",)}[selected], bound, alpha, options)
     return record.result(selected)
 
 
@@ -182,10 +206,8 @@ def _by_axes(packed: DataFrame, patterns: DataFrame, n_classes: int, grain: rang
     selected = {(True, True): "DM", (True, False): "MON", (False, True): "IIO", (False, False): "UN"}[mon, iio]
     if selected == "DM":
         selected = _quantitative(packed, patterns, record, grain, alpha, least, options)
-    sides = tuple(side for side, holds in (("class", mon), ("item", iio)) if not holds and (side == "item" or n_classes > 2))
-    if posets and sides:
-        for r in P.refine(packed, patterns, n_classes, replicates, bound, alpha, n_starts, sides, seed)[1].orderBy("side").collect():
-            record.rows.append((len(record.rows) + 1, f"{r['side']} poset: {r['shape']}" + (f" ({r['kind']})" if r["kind"] else ""), float(r["comparable"]), None, float(r["total"]), None, r["comparable"] > 0, None))
+    if posets:
+        record.add_posets(packed, patterns, n_classes, tuple(side for side, holds in (("class", mon), ("item", iio)) if not holds), bound, alpha, options)
     return record.result(selected)
 
 

@@ -196,6 +196,15 @@ def polytomous_counts(r: DataFrame, n_items: int, least: int = 10) -> DataFrame:
     return recode_adjacent(r).join(person, "person_id").groupBy("score", "item_id", "step").agg(F.count("y").alias("n_total"), F.coalesce(F.sum("y"), F.lit(0)).cast("long").alias("n_right"))
 
 
+def ranked_steps(cells: DataFrame) -> DataFrame:
+    """``polytomous_counts`` with rate and facility_rank: steps of all items together, hardest first, by the share that took them."""
+    step = Window.partitionBy("item_id", "step")
+    shares = cells.withColumn("facility", F.sum("n_right").over(step) / F.greatest(F.sum("n_total").over(step), F.lit(1)))
+    rank = F.dense_rank().over(Window.orderBy("facility", "item_id", "step"))
+    rate = F.when(F.col("n_total") > 0, F.col("n_right") / F.col("n_total"))
+    return shares.select("score", "item_id", "step", "n_total", "n_right", rate.alias("rate"), rank.alias("facility_rank"))
+
+
 def rest_score_table(r: DataFrame, n_items: int) -> DataFrame:
     """(easier, harder, rest, n, sum_easier, sum_harder) over persons who answered both items.
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from . import mixtures as M
 from . import nulls as N
+from . import selection as S
 from .mixtures import PATTERNS_PER_TASK, Fit, expected_counts, step_table
 
 ERRORS = "kind string, class_id int, item_id int, step int, estimate double, se double"
@@ -117,7 +118,7 @@ def bootstrap_errors(packed: DataFrame, patterns: DataFrame, f: Fit, replicates:
     """``ERRORS`` and replicates: the spread of every parameter over refits of resampled persons.
 
     Classes of a refit are matched to those of the fit by their tables of probabilities; Rasch classes are in order of their
-    abilities anyway.  Fewer than two refits is an error.
+    abilities anyway.  With fewer than two refits errors are null.
     """
     shape, n_cat = f.probs.shape, f.probs.shape[2]
     classes = f.model != "RM"
@@ -160,3 +161,12 @@ def bootstrap_errors(packed: DataFrame, patterns: DataFrame, f: Fit, replicates:
     same = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]
     joined = estimates.withColumn("key", F.concat_ws("/", *same)).join(spreads.withColumn("key", F.concat_ws("/", *same)).select("key", "se", "replicates"), "key", "left")
     return joined.select(*key, "estimate", "se", F.coalesce("replicates", F.lit(0)).cast("long").alias("replicates"))
+
+
+def standard_errors(packed: DataFrame, patterns: DataFrame, f: Fit, method: str = "hessian", **options) -> DataFrame:
+    """(kind, class_id, item_id, step, estimate, se) of any fit: by its information, or over resamples ("bootstrap")."""
+    if method == "bootstrap":
+        return bootstrap_errors(packed, patterns, f, **options).drop("replicates")
+    if method != "hessian":
+        raise ValueError(f"no method named {method}")
+    return rasch_errors(patterns, f, **options) if f.theta is not None else S.standard_errors(patterns, f, **options).withColumnRenamed("category", "step")

@@ -52,8 +52,8 @@ def free_latent(patterns: DataFrame, rasch: Fit, nodes: int = NODES, rounds: int
 
     with kept(patterns) as patterns:
         n = patterns.count()
-        weights, probs, loglik, steps, done, par = M.climbed(patterns, n, 1, table(start).shape, climb)[0]
-    return replace(rasch, weights=np.maximum(weights, 1e-10) / np.maximum(weights, 1e-10).sum(), probs=probs, loglik=float(loglik), n_par=int(tops.sum()) + nodes - 1, iterations=steps, converged=done, theta=z, steps=M._split(par, 0, tops), sigma=None)
+        weights, probs, loglik, steps, done, fall, par = M.climbed(patterns, n, 1, table(start).shape, climb)[0]
+    return replace(rasch, weights=np.maximum(weights, 1e-10) / np.maximum(weights, 1e-10).sum(), probs=probs, loglik=float(loglik), n_par=int(tops.sum()) + nodes - 1, iterations=steps, converged=done, theta=z, steps=M._split(par, 0, tops), sigma=None, fall=float(fall))
 
 
 def latent_moments(f: Fit) -> tuple[float, float]:

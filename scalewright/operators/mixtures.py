@@ -96,6 +96,8 @@ class Fit:
     theta: np.ndarray | None = None
     steps: list[np.ndarray] = field(default_factory=list)
     sigma: float | None = None
+    #: How far the loglik fell in one step of this run at most, relative to its size: 0 but for rounding if all went well.
+    fall: float = 0.0
 
 
 def _one_hot(x: pd.Series, n_items: int, n_cat: int) -> np.ndarray:
@@ -148,17 +150,22 @@ def expected_counts(patterns: DataFrame, starts: list[tuple[np.ndarray, np.ndarr
 
 
 def _climb(weights: np.ndarray, probs: np.ndarray, update: Callable, fixed_weights: bool, tol: float, max_iter: int):
-    """One EM run: yields parameters, gets their expected counts, returns (weights, probs, loglik, steps, converged)."""
-    last = -np.inf
+    """One EM run: yields parameters, gets their expected counts, returns (weights, probs, loglik, steps, converged, fall).
+
+    The parameters of the start needn't keep the model's orders, so the first step may lose likelihood.
+    """
+    last, fall = -np.inf, 0.0
     for step in range(max_iter):
         loglik, n, e = yield weights, probs
+        if step >= 2:
+            fall = max(fall, (last - loglik) / (abs(loglik) + tol))
         if step >= 3 and abs(loglik - last) < tol * (abs(loglik) + tol):
-            return weights, probs, loglik, step + 1, True
+            return weights, probs, loglik, step + 1, True, fall
         last, probs = loglik, update(e)
         if not fixed_weights:
             weights = n / n.sum()
     loglik, _, _ = yield weights, probs  # a run that was ended early is judged by the parameters it returns
-    return weights, probs, loglik, max_iter, False
+    return weights, probs, loglik, max_iter, False, fall
 
 
 def _climbed_together(patterns: DataFrame, runs: list) -> list[tuple]:
@@ -187,12 +194,12 @@ def _climbed_apart(patterns: DataFrame, n_starts: int, shape: tuple[int, ...], c
             try:
                 asked = one.send(_parted(_sums(seen, freq, [asked]), shape)[0])
             except StopIteration as end:
-                weights, probs, loglik, steps, done = end.value
-                return pd.DataFrame({"start": [k], "weights": [weights.tobytes()], "probs": [np.ascontiguousarray(probs).tobytes()], "loglik": [loglik], "steps": [steps], "done": [done], "pars": [pars().tobytes()]})
+                weights, probs, loglik, steps, done, fall = end.value
+                return pd.DataFrame({"start": [k], "weights": [weights.tobytes()], "probs": [np.ascontiguousarray(probs).tobytes()], "loglik": [loglik], "steps": [steps], "done": [done], "fall": [fall], "pars": [pars().tobytes()]})
 
     each = patterns.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(n_starts - 1))))
-    rows = {r["start"]: r for r in per_key(each, "start", n_starts, run, "start int, weights binary, probs binary, loglik double, steps int, done boolean, pars binary").collect()}
-    return [(np.frombuffer(r["weights"]), np.frombuffer(r["probs"]).reshape(shape), r["loglik"], r["steps"], r["done"], np.frombuffer(r["pars"])) for r in (rows[k] for k in range(n_starts))]
+    rows = {r["start"]: r for r in per_key(each, "start", n_starts, run, "start int, weights binary, probs binary, loglik double, steps int, done boolean, fall double, pars binary").collect()}
+    return [(np.frombuffer(r["weights"]), np.frombuffer(r["probs"]).reshape(shape), r["loglik"], r["steps"], r["done"], r["fall"], np.frombuffer(r["pars"])) for r in (rows[k] for k in range(n_starts))]
 
 
 def _free(e: np.ndarray, tops: np.ndarray) -> np.ndarray:
@@ -395,7 +402,7 @@ def _problem(counts: np.ndarray, model: str, n_classes: int, n_starts: int, tol:
         return _climb(weights[s], probs[s], updater(par), model == "RM", tol, max_iter or (1000 if model == "UN" else 500)), lambda: np.asarray(par[0], float)
 
     def finish(results: list[tuple], n_obs: int) -> Fit:
-        weights, probs, loglik, steps, done, pars = (list(column) for column in zip(*results))
+        weights, probs, loglik, steps, done, fall, pars = (list(column) for column in zip(*results))
         best = int(np.argmax(loglik))
         w, p = weights[best], probs[best]
         k = ability.shape[1] if ability is not None else 0
@@ -410,7 +417,7 @@ def _problem(counts: np.ndarray, model: str, n_classes: int, n_starts: int, tol:
         # Classes that constraints name keep their numbers.
         rank = np.arange(len(w)) if constraints is not None else np.argsort(-w if model == "UN" else level, kind="stable")
         n_par = {"RM": 1 + int(tops.sum()), "LCR": 2 * n_classes - 1 + int(tops.sum()) - 1}.get(model, n_classes - 1 + n_classes * int(tops.sum()))
-        return Fit(model, w[rank], p[rank], float(loglik[best]), n_par, n_obs, steps[best], done[best], None if theta is None else theta[rank], items, sigma)
+        return Fit(model, w[rank], p[rank], float(loglik[best]), n_par, n_obs, steps[best], done[best], None if theta is None else theta[rank], items, sigma, float(fall[best]))
 
     return probs[0].shape, probs, climb, finish
 

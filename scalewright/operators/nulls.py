@@ -462,10 +462,11 @@ def likelihood_ratio_test(packed: DataFrame, patterns: DataFrame, restricted: Fi
 
 
 def severity(packed: DataFrame, patterns: DataFrame, restricted: Fit, general: Fit, null: DataFrame, replicates: int = REPLICATES, n_starts: int = 3, seed: int = 1, alpha: float = 0.05, reselect: tuple[int, ...] = (), selection: str | None = None) -> DataFrame:
-    """(cutoff, power, effect, observed_rank, replicates): how far the likelihood ratio moves if the general fit is true.
+    """(cutoff, power, effect, observed_rank, separated, replicates): how far the likelihood ratio moves if the general fit is true.
 
     ``power`` is the share of ratios under the general fit above the null's cutoff, ``effect`` the chance that one of them
-    exceeds one of the null (ties half), ``observed_rank`` the share of them below the observed ratio.
+    exceeds one of the null (ties half), ``observed_rank`` the share of them below the observed ratio; they are ``separated`` if
+    their median is above the cutoff.
     """
     recipe, statistic = _ratio_recipe(restricted.model, general.model, len(general.weights), reselect, selection or general.model)
     drawn = model_replicates(packed, general, replicates, seed + 1)
@@ -475,8 +476,8 @@ def severity(packed: DataFrame, patterns: DataFrame, restricted: Fit, general: F
     # Both sides are a row per replicate.
     pairs = shifted.select(F.col("statistic").alias("s")).join(null.select(F.col("statistic").alias("t")), F.lit(True))
     effect = pairs.agg(F.avg(F.when(F.col("s") > F.col("t"), 1.0).when(F.col("s") == F.col("t"), 0.5).otherwise(0.0)).alias("effect"))
-    rank = shifted.join(cutoff, F.lit(True)).agg(F.first("cutoff").alias("cutoff"), F.avg((F.col("statistic") > F.col("cutoff")).cast("double")).alias("power"), F.avg((F.col("statistic") < _ratio(restricted, general)).cast("double")).alias("observed_rank"), F.count(F.lit(1)).alias("replicates"))
-    return rank.join(effect, F.lit(True)).select("cutoff", "power", "effect", "observed_rank", "replicates")
+    rank = shifted.join(cutoff, F.lit(True)).agg(F.first("cutoff").alias("cutoff"), F.avg((F.col("statistic") > F.col("cutoff")).cast("double")).alias("power"), F.avg((F.col("statistic") < _ratio(restricted, general)).cast("double")).alias("observed_rank"), (F.percentile("statistic", F.lit(0.5)) > F.first("cutoff")).alias("separated"), F.count(F.lit(1)).alias("replicates"))
+    return rank.join(effect, F.lit(True)).select("cutoff", "power", "effect", "observed_rank", "separated", "replicates")
 
 
 def _bic(f: Fit) -> float:

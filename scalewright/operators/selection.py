@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .mixtures import CLIP, PATTERNS_PER_TASK, Fit, expected_counts, fit, fit_measures
+from .orders import ordering, values
 
 FITS = "model string, n_classes int, loglik double, n_par int, n_obs long, converged boolean"
 
@@ -162,52 +163,53 @@ def compare_rm_lcr(patterns: DataFrame, n_classes: int = 4, **options) -> tuple[
 
 
 def standard_errors(patterns: DataFrame, f: Fit, h: float = 1e-4) -> DataFrame:
-    """(kind, class_id, item_id, estimate, se) of a latent class fit of binary answers.
+    """(kind, class_id, item_id, category, estimate, se) of a latent class fit.
 
-    The information is the slope of the score in logit and softmax coordinates.  The scores at all shifted
-    parameters come from expected counts, so one pass over the patterns serves them all.  Cells at 0 or 1 and cells
-    that an ordering ties together have no error (null), as have all if the information is singular.
+    The information is the slope of the score in log ratios of weights and of categories to the lowest one.  The scores at
+    all shifted parameters come from expected counts, so one pass over the patterns serves them all.  Distributions with
+    a category at 0 or 1 and those that an ordering ties together have no error (null), as have all if the information
+    is singular.  Abilities and steps have theirs by ``errors.rasch_errors``.
     """
-    if f.theta is not None or f.probs.shape[2] != 2:
-        raise ValueError("standard errors are for latent class models of binary answers")
-    n_classes, n_items = f.probs.shape[:2]
-    p = f.probs[:, :, 1]
-    near = lambda a, b: abs(a - b) < 1e-6
-    tied = np.zeros_like(p, bool)
-    if f.model in ("MON", "DM"):
-        for c, j in np.argwhere(np.abs(np.diff(p, axis=0)) < 1e-6):
-            tied[c : c + 2, j] = True
-    if f.model in ("IIO", "DM"):
-        order = np.argsort(-p.mean(0), kind="stable")
-        for c in range(n_classes):
-            for a, b in zip(order, order[1:]):
-                if near(p[c, a], p[c, b]):
-                    tied[c, [a, b]] = True
-    free = ~tied & (p > 1e-6) & (p < 1 - 1e-6)
-    cells = np.argwhere(free)
-    base = np.concatenate([np.log(f.weights[:-1] / f.weights[-1]), np.log(p[free] / (1 - p[free]))])
+    if f.theta is not None:
+        raise ValueError("these standard errors are for latent class models without abilities")
+    n_classes, n_items, n_cat = f.probs.shape
+    tops = np.maximum(1, ((f.probs > CLIP).any(0) * np.arange(n_cat)).max(1))
+    easy = np.argsort(-(f.probs @ np.arange(n_cat)).mean(0), kind="stable")
+    free = np.array([[all(1e-6 < v < 1 - 1e-6 for v in f.probs[c, j, : tops[j] + 1]) for j in range(n_items)] for c in range(n_classes)])
+    for low, high in ordering(f.model, easy).edges(tops, n_classes):
+        if abs(values(f.probs, low) - values(f.probs, high)) < 1e-6:
+            free[low.class_id, low.item_id] = free[high.class_id, high.item_id] = False
+    cells = [(int(c), int(j)) for c, j in np.argwhere(free)]
+    first = n_classes - 1 + np.concatenate([[0], np.cumsum([tops[j] for _, j in cells])]).astype(int)
+    ratios = [np.log(f.probs[c, j, 1 : tops[j] + 1] / f.probs[c, j, 0]) for c, j in cells]
+    base = np.concatenate([np.log(f.weights[:-1] / f.weights[-1]), *ratios])
 
     def parameters(eta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = np.exp(np.concatenate([eta[: n_classes - 1], [0.0]]))
-        q = p.copy()
-        q[free] = 1 / (1 + np.exp(-eta[n_classes - 1 :]))
-        return w / w.sum(), np.stack([1 - q, q], 2)
-
-    points = [parameters(base + s * h * e) for e in np.eye(len(base)) for s in (1, -1)]
-    small = patterns.coalesce(1) if patterns.count() <= PATTERNS_PER_TASK else patterns
-    scores = []
-    for (w, q), (_, n, e) in zip(points, expected_counts(small, points)):
-        scores.append(np.concatenate([(n - n.sum() * w)[:-1], (e[:, :, 1] - e.sum(2) * q[:, :, 1])[free]]))
-    slope = np.array([(scores[2 * k] - scores[2 * k + 1]) / (2 * h) for k in range(len(base))])
+        q = f.probs.copy()
+        for k, (c, j) in enumerate(cells):
+            v = np.exp(np.concatenate([[0.0], eta[first[k] : first[k + 1]]]))
+            q[c, j, : tops[j] + 1] = v / v.sum()
+        return w / w.sum(), q
+
+    def score(q: np.ndarray, w: np.ndarray, n: np.ndarray, e: np.ndarray) -> np.ndarray:
+        left = e - e.sum(2, keepdims=True) * q
+        return np.concatenate([(n - n.sum() * w)[:-1], *[left[c, j, 1 : tops[j] + 1] for c, j in cells]])
+
+    points = [parameters(base + s * h * d) for d in np.eye(len(base)) for s in (1, -1)]
+    small = patterns.coalesce(1) if patterns.limit(PATTERNS_PER_TASK + 1).count() <= PATTERNS_PER_TASK else patterns
+    scores = [score(q, w, n, e) for (w, q), (_, n, e) in zip(points, expected_counts(small, points))] if len(base) else []
+    slope = np.array([(scores[2 * k] - scores[2 * k + 1]) / (2 * h) for k in range(len(base))]).reshape(len(base), len(base))
     information = -(slope + slope.T) / 2
-    sound = len(base) and np.linalg.cond(information) < 1e12
+    sound = len(base) and np.isfinite(information).all() and np.linalg.cond(information) < 1e12
     cov = np.linalg.inv(information) if sound else np.full((len(base), len(base)), np.nan)
-    jacobian = np.diag(f.weights)[:, :-1] - np.outer(f.weights, f.weights[:-1])
-    of_weights = np.sqrt(np.maximum(np.einsum("ia,ab,ib->i", jacobian, cov[: n_classes - 1, : n_classes - 1], jacobian), 0)) if n_classes > 1 else np.zeros(1)
-    of_cells = np.full_like(p, np.nan)
+    spread = lambda jacobian, at: np.sqrt(np.maximum(np.einsum("ia,ab,ib->i", jacobian, cov[at, at], jacobian), 0))
+    of_weights = spread(np.diag(f.weights)[:, :-1] - np.outer(f.weights, f.weights[:-1]), slice(0, n_classes - 1)) if n_classes > 1 else np.zeros(1)
+    of_cells: dict[tuple[int, int], np.ndarray] = {}
     for k, (c, j) in enumerate(cells):
-        of_cells[c, j] = math.sqrt(max(cov[n_classes - 1 + k, n_classes - 1 + k], 0)) * p[c, j] * (1 - p[c, j]) if sound else np.nan
-    value = lambda x: None if np.isnan(x) else float(x)
-    rows = [("weight", c, None, float(f.weights[c]), value(of_weights[c])) for c in range(n_classes)]
-    rows += [("probability", c, j, float(p[c, j]), value(of_cells[c, j])) for c in range(n_classes) for j in range(n_items)]
-    return patterns.sparkSession.createDataFrame(rows, "kind string, class_id int, item_id int, estimate double, se double")
+        p = f.probs[c, j, 1 : tops[j] + 1]
+        of_cells[c, j] = spread(np.diag(p) - np.outer(p, p), slice(first[k], first[k + 1]))
+    value = lambda x: None if not np.isfinite(x) else float(x)
+    rows = [("weight", c, None, None, float(f.weights[c]), value(of_weights[c])) for c in range(n_classes)]
+    rows += [("probability", c, j, x, float(f.probs[c, j, x]), value(of_cells[c, j][x - 1]) if (c, j) in of_cells else None) for c in range(n_classes) for j in range(n_items) for x in range(1, tops[j] + 1)]
+    return patterns.sparkSession.createDataFrame([(k, c, j, None if x is None else int(x), v, s) for k, c, j, x, v, s in rows], "kind string, class_id int, item_id int, category int, estimate double, se double")

@@ -195,6 +195,12 @@ def _pairs() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
             lambda s, d: C.polytomous_counts(g(s, d), ITEMS),
             _G + ", top AS (SELECT item_id, MAX(x) AS m FROM r GROUP BY 1) SELECT score, item_id, CAST(k AS INT) AS step, COUNT(CASE WHEN x IN (k, k - 1) THEN 1 END) AS n_total, CAST(SUM(CASE WHEN x = k THEN 1 ELSE 0 END) AS BIGINT) AS n_right FROM r JOIN top USING (item_id) JOIN (SELECT UNNEST([1, 2, 3]) AS k) ON k <= m JOIN whole USING (person_id) JOIN grp USING (score) GROUP BY 1, 2, 3",
         ),
+        "poly_counts_ranked": (
+            lambda s, d: rounded(C.ranked_steps(C.polytomous_counts(g(s, d), ITEMS)), "rate"),
+            _G + ", top AS (SELECT item_id, MAX(x) AS m FROM r GROUP BY 1), pc AS (SELECT score, item_id, CAST(k AS INT) AS step, COUNT(CASE WHEN x IN (k, k - 1) THEN 1 END) AS n_total, CAST(SUM(CASE WHEN x = k THEN 1 ELSE 0 END) AS BIGINT) AS n_right FROM r JOIN top USING (item_id) JOIN (SELECT UNNEST([1, 2, 3]) AS k) ON k <= m JOIN whole USING (person_id) JOIN grp USING (score) GROUP BY 1, 2, 3), "
+            + "sh AS (SELECT item_id, step, SUM(n_right) / CAST(GREATEST(SUM(n_total), 1) AS DOUBLE) AS share FROM pc GROUP BY 1, 2), rk2 AS (SELECT item_id, step, ROW_NUMBER() OVER (ORDER BY share, item_id, step) AS facility_rank FROM sh) "
+            + "SELECT score, item_id, step, n_total, n_right, ROUND(CASE WHEN n_total > 0 THEN n_right / CAST(n_total AS DOUBLE) END, 6) AS rate, facility_rank FROM pc JOIN rk2 USING (item_id, step)",
+        ),
         "rest_score_table": (
             lambda s, d: C.rest_score_table(b(s, d), ITEMS),
             _B + ", t AS (SELECT person_id, SUM(x) AS total FROM r GROUP BY 1), f AS (SELECT r.*, rank, total FROM r JOIN ranks USING (item_id) JOIN t USING (person_id)) SELECT a.item_id AS easier, h.item_id AS harder, CAST(a.total - a.x - h.x AS BIGINT) AS rest, COUNT(*) AS n, CAST(SUM(a.x) AS BIGINT) AS sum_easier, CAST(SUM(h.x) AS BIGINT) AS sum_harder FROM f a JOIN f h ON a.person_id = h.person_id AND a.rank < h.rank GROUP BY 1, 2, 3",
@@ -475,6 +481,8 @@ def _nulls() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "poset_shapes": _chosen(lambda p, t: P.refine(p, t, n_starts=REFITS)[1]),
         "rasch_errors": _chosen(lambda p, t: E.rasch_errors(t, M.fit(t, "RM")), *errors, answers=graded),
         "lcr_errors": _chosen(lambda p, t: E.rasch_errors(t, M.fit(t, "LCR", n_classes=2, n_starts=STARTS)), *errors),
+        "lcr_scores": _tables(binary, lambda p, t: rounded(M.person_scores(p, M.fit(t, "LCR", n_classes=3, n_starts=STARTS)), "eap", "sd", "modal")),
+        "standard_errors_graded": _chosen(lambda p, t: E.standard_errors(p, t, M.fit(t, "DM", n_starts=STARTS)), *errors, answers=graded),
         "bootstrap_errors": _chosen(lambda p, t: E.bootstrap_errors(p, t, M.fit(t, "UN", n_starts=STARTS)), *errors),
         "bootstrap_errors_rasch": _chosen(lambda p, t: E.bootstrap_errors(p, t, M.fit(t, "RM")), *errors),
         "latent_histogram": _chosen(lambda p, t: L.histogram(t.sparkSession, L.free_latent(t, M.fit(t, "RM"))), "ability", "weight", answers=graded),

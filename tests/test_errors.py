@@ -205,3 +205,66 @@ def test_combinations_by_number():
     assert len(places) == 50 and all(0 not in rows for _, rows, _ in places)
     assert places[20:30] == K.chosen_places(range(20, 30), (9, 9), 3, 50, sound, (1,))
     assert len(K.chosen_places(range(100), (5, 5), 3, 1000, sound, (1,))) == 100
+
+
+def test_graded_errors_without_classes_are_those_of_shares(spark):
+    rng = np.random.default_rng(1)
+    answers = [[int(rng.choice(3, p=[0.2, 0.5, 0.3])), int(rng.choice(2, p=[0.6, 0.4]))] for _ in range(400)]
+    patterns = table(spark, answers)
+    f = M.fit(patterns, "UN", n_classes=1, n_starts=1)
+    got = {(r["item_id"], r["step"]): (r["estimate"], r["se"]) for r in E.standard_errors(patterns, patterns, f).where("kind = 'probability'").collect()}
+    assert set(got) == {(0, 1), (0, 2), (1, 1)}
+    for (j, x), (p, se) in got.items():
+        assert p == pytest.approx(np.mean([a[j] == x for a in answers]), abs=1e-6) and se == pytest.approx(np.sqrt(p * (1 - p) / 400), rel=1e-3)
+    assert f.fall < 1e-9
+    with pytest.raises(ValueError):
+        E.standard_errors(patterns, patterns, f, "other")
+
+
+def test_tied_cells_have_no_error(spark):
+    patterns = table(spark, drawn(np.array([[0.3, 0.6, 0.5], [0.8, 0.2, 0.5]]), 800))
+    f = M.fit(patterns, "MON", n_starts=2)
+    rows = {(r["class_id"], r["item_id"]): r["se"] for r in E.standard_errors(patterns, patterns, f).where("kind = 'probability'").collect()}
+    tied = [j for j in range(3) if abs(f.probs[0, j, 1] - f.probs[1, j, 1]) < 1e-6]
+    assert tied and all(rows[c, j] is None for c in (0, 1) for j in tied)
+
+
+def test_severity_tells_real_from_negligible_departures(spark):
+    crossed = packed_rows(spark, drawn(np.array([[0.2, 0.8, 0.2, 0.8, 0.5], [0.8, 0.2, 0.8, 0.2, 0.5]]), 600)).persist()
+    patterns = patterns_of(crossed)
+    low, high = (M.fit(patterns, m, n_starts=3) for m in ("MON", "UN"))
+    _, null = N.likelihood_ratio_test(crossed, patterns, low, high, replicates=15, n_starts=2, reselect=(1, 2))
+    row = N.severity(crossed, patterns, low, high, null, 15, 2).first()
+    assert row["separated"] and row["power"] > 0.9 and row["effect"] > 0.95 and row["replicates"] == 15
+    same = N.severity(crossed, patterns, low, low, null, 15, 2).first()
+    assert same["effect"] < 0.9
+    crossed.unpersist()
+
+
+def test_large_tables_are_refitted_by_replicate(spark, monkeypatch):
+    """The path of large tables gives the statistics of the small one."""
+    people = packed_rows(spark, drawn(np.array([[0.2, 0.15, 0.3, 0.1], [0.9, 0.8, 0.85, 0.75]]), 400)).persist()
+    patterns = patterns_of(people)
+    low, high = (M.fit(patterns, m, n_starts=2) for m in ("MON", "UN"))
+    small = {r["rep"]: r["statistic"] for r in N.likelihood_ratio_test(people, patterns, low, high, 3, 2)[1].collect()}
+    monkeypatch.setattr(N, "PATTERNS_PER_TASK", 3)
+    large = {r["rep"]: r["statistic"] for r in N.likelihood_ratio_test(people, patterns, low, high, 3, 2)[1].collect()}
+    assert set(small) == set(large) and all(large[k] == pytest.approx(v, abs=1e-6) for k, v in small.items())
+    monkeypatch.setattr(N, "GROUPS_ON_DRIVER", 1)
+    spread = np.concatenate(N.fit_conditional(patterns))
+    monkeypatch.setattr(N, "GROUPS_ON_DRIVER", 2000)
+    assert spread == pytest.approx(np.concatenate(N.fit_conditional(patterns)), abs=1e-5)
+    people.unpersist()
+
+
+def test_replicates_are_added_in_stages(spark):
+    calls = []
+
+    def stage(first, n):
+        calls.append((first, n))
+        return spark.createDataFrame([(first + k, float(first + k)) for k in range(n)], "rep int, statistic double")
+
+    null, more = N.in_stages(stage, 45.5, 49, most=199)  # p = 4 / 50, too near to 0.05
+    assert more and calls == [(0, 49), (49, 150)] and null.count() == 199
+    calls.clear()
+    assert not N.in_stages(stage, 10.0, 49)[1] and not N.in_stages(stage, 1000.0, 49)[1] and calls == [(0, 49)] * 2
