@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -179,8 +180,8 @@ def _fit_conditional(patterns: DataFrame, rounds: int, tol: float) -> list[np.nd
         raise ValueError("nobody has some but not all of the steps")
     if len(few) > GROUPS_ON_DRIVER:
         # Groups of one set of items share its generating function, so they stay together.
-        masks = masks.repartition(MOST_TASKS, "mask").persist()
-        persons = masks.agg(F.sum("n")).first()[0]
+        n_groups, persons = masks.agg(F.count(F.lit(1)), F.sum("n")).first()
+        masks = masks.repartition(min(MOST_TASKS, 1 + n_groups // GROUPS_ON_DRIVER), "mask").persist()
         loss_of = lambda d: _loss_in_tasks(masks, d)
     else:
         groups = [(r["mask"], r["total"], r["n"]) for r in few]
@@ -333,6 +334,15 @@ def _expected_each(replicates: DataFrame, asked: dict[tuple[int, int], tuple[np.
     return {(rep, s): one for rep, starts in of.items() if rep in total for s, one in zip(starts, M._parted(total[rep], shape))}
 
 
+@contextmanager
+def _spread(replicates: DataFrame, n: int) -> Iterator[DataFrame]:
+    """Replicates held in tasks of about PATTERNS_PER_TASK patterns, each of one replicate or a few."""
+    with kept(replicates) as replicates:
+        parts = 1 + replicates.count() // (PATTERNS_PER_TASK * max(n, 1))
+        with kept(replicates.repartition(min(n * parts, MOST_TASKS), "rep", F.pmod(F.xxhash64("x"), F.lit(parts)))) as spread:
+            yield spread
+
+
 def fit_each(replicates: DataFrame, n_cat: int, model: str, n_classes: int, n_starts: int, seed: int, also: dict[int, list[Fit]] | None = None) -> dict[int, Fit]:
     """The fit of every replicate of a table that no task holds whole; one pass serves a step of all runs.
 
@@ -377,8 +387,7 @@ def refitted(replicates: DataFrame, n: int, n_cat: int, recipe: dict[str, Refit]
             return statistic(get)
 
         return per_replicate(replicates, here, n)
-    parts = max(1, MOST_TASKS // max(n, 1))
-    with kept(replicates.repartition(min(n * parts, MOST_TASKS), "rep", F.pmod(F.xxhash64("x"), F.lit(parts)))) as spread:
+    with _spread(replicates, n) as spread:
         fits: dict[str, dict[int, Fit]] = {}
         for name, r in recipe.items():  # in order, so that what a fit starts from is there
             also = {rep: [fits[a][rep] for a in r.also] for rep in (fits[r.also[0]] if r.also else {})}
@@ -403,8 +412,7 @@ def refit_table(replicates: DataFrame, n: int, n_cat: int, refit: Refit, large:
         return rep, f.weights.tolist(), f.probs.ravel().tolist(), None if f.theta is None else f.theta.tolist(), flat, f.sigma
 
     if large:
-        parts = max(1, MOST_TASKS // max(n, 1))
-        with kept(replicates.repartition(min(n * parts, MOST_TASKS), "rep", F.pmod(F.xxhash64("x"), F.lit(parts)))) as spread:
+        with _spread(replicates, n) as spread:
             fits = fit_each(spread, n_cat, refit.model, refit.n_classes, n_starts, seed)
         return replicates.sparkSession.createDataFrame([row(rep, f) for rep, f in fits.items()], FITS)
     names = [c.split()[0] for c in FITS.split(", ")]

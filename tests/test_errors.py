@@ -245,12 +245,12 @@ def test_large_tables_are_refitted_by_replicate(spark, monkeypatch):
     """The path of large tables gives the statistics of the small one."""
     people = packed_rows(spark, drawn(np.array([[0.2, 0.15, 0.3, 0.1], [0.9, 0.8, 0.85, 0.75]]), 400)).persist()
     patterns = patterns_of(people)
-    low, high = (M.fit(patterns, m, n_starts=2) for m in ("MON", "UN"))
-    small = {r["rep"]: r["statistic"] for r in N.likelihood_ratio_test(people, patterns, low, high, 3, 2)[1].collect()}
+    low, high = (M.fit(patterns, m, n_starts=1) for m in ("MON", "UN"))
+    small = {r["rep"]: r["statistic"] for r in N.likelihood_ratio_test(people, patterns, low, high, 2, 1)[1].collect()}
     monkeypatch.setattr(N, "PATTERNS_PER_TASK", 3)
-    large = {r["rep"]: r["statistic"] for r in N.likelihood_ratio_test(people, patterns, low, high, 3, 2)[1].collect()}
+    large = {r["rep"]: r["statistic"] for r in N.likelihood_ratio_test(people, patterns, low, high, 2, 1)[1].collect()}
     assert set(small) == set(large) and all(large[k] == pytest.approx(v, abs=1e-6) for k, v in small.items())
-    monkeypatch.setattr(N, "GROUPS_ON_DRIVER", 1)
+    monkeypatch.setattr(N, "GROUPS_ON_DRIVER", 2)
     spread = np.concatenate(N.fit_conditional(patterns))
     monkeypatch.setattr(N, "GROUPS_ON_DRIVER", 2000)
     assert spread == pytest.approx(np.concatenate(N.fit_conditional(patterns)), abs=1e-5)
