@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -42,13 +42,23 @@ MOST_LONG = (1 << 63) - 1
 
 
 def kept_vectors(vectors: DataFrame, size: int = SIZE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v): vectors of exactly ``size`` components, none null or non-finite, in the table's own precision."""
+    """(vec_id, v): vectors of exactly ``size`` components, none null or non-finite, in the table's own precision.
+
+    ``v`` is floor(256 x) / 256, which any precision holds, and which takes few different values that Parquet stores in few bits.
+    """
     kind = vectors.schema[embedding].dataType
     own = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
     e = F.col(f"`{embedding}`").cast("array<double>")
     sound = ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x * float(SCALE)) == float("inf")))
     kept = vectors.where(F.col(f"`{embedding}`").isNotNull() & (F.size(e) == size) & sound)
-    return kept.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<float>" if own else "array<double>").alias("v"))
+    return kept.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.transform(e, _floored).cast("array<float>" if own else "array<double>").alias("v"))
+
+
+def _floored(x: Column) -> Column:
+    """floor(256 x) / 256, in doubles all the way, since a long may not hold it."""
+    y = x * float(SCALE)
+    near = F.rint(y)
+    return F.when(near > y, near - 1).otherwise(near) / float(SCALE)
 
 
 def first_centroids(v: DataFrame, clusters: int = CLUSTERS, salt: str = "2") -> list[list[int]]:
