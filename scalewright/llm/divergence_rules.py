@@ -35,6 +35,8 @@ LIMIT, SCATTER = 0.12, 1.0
 LEAST_CHARACTERS, LEAST_WORDS = 200, 50
 #: Shares are summed as whole parts of this, so that sums don't depend on the order of addition.
 UNIT = 1_000_000_000
+#: Hash of the window of ``words`` at ``i``.
+WINDOW_HASH = "xxhash64(words[i], words[i + 1], words[i + 2])"
 
 
 def _remaining(text: Column, pattern: str) -> Column:
@@ -64,15 +66,24 @@ def features(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     characters = F.array(*[(a - b).cast("long") for a, b in zip(length, length[1:])], length[-1].cast("long"))
 
     # A key is the hash of a window of three words above, its position below; equal windows sort together.
+    # The hash is cut, so neighbours with one hash are compared word by word.  Should a text hold two windows
+    # of different words under one hash, its windows themselves are sorted instead.
     df = df.withColumn("bits", F.expr("cast(ceil(log2(greatest(n, 2))) as int) + 1"))
-    keys = F.expr("case when n >= 3 then sort_array(transform(sequence(0, n - 3), i -> coalesce(shiftleft(xxhash64(words[i], words[i + 1], words[i + 2]), bits) | cast(i as bigint), 0L))) else cast(array() as array<bigint>) end")
+    keys = F.expr(f"case when n >= 3 then sort_array(transform(sequence(0, n - 3), i -> coalesce(shiftleft({WINDOW_HASH}, bits) | cast(i as bigint), 0L))) else cast(array() as array<bigint>) end")
     df = df.withColumn("keys", keys)
-    twins = F.expr("""flatten(filter(zip_with(slice(keys, 1, greatest(size(keys) - 1, 0)), slice(keys, 2, greatest(size(keys) - 1, 0)),
-        (a, b) -> case when shiftright(a, bits) = shiftright(b, bits) then array(a, b) end), x -> x is not null))""")
+    twins = F.expr("""filter(zip_with(slice(keys, 1, greatest(size(keys) - 1, 0)), slice(keys, 2, greatest(size(keys) - 1, 0)),
+        (a, b) -> case when shiftright(a, bits) = shiftright(b, bits)
+            then array(cast(a & (shiftleft(1L, bits) - 1) as int), cast(b & (shiftleft(1L, bits) - 1) as int)) end), x -> x is not null)""")
     df = df.withColumn("twins", twins)
-    df = df.withColumn("starts", F.expr("sort_array(array_distinct(transform(twins, k -> k & (shiftleft(1L, bits) - 1))))"))
+    df = df.withColumn("mistaken", F.expr("exists(twins, t -> words[t[0]] != words[t[1]] or words[t[0] + 1] != words[t[1] + 1] or words[t[0] + 2] != words[t[1] + 2])"))
+    windows = F.expr("case when mistaken then sort_array(transform(sequence(0, n - 3), i -> struct(concat_ws(' ', words[i], words[i + 1], words[i + 2]) as said, i as at))) end")
+    df = df.withColumn("windows", windows)
+    same = F.expr("""case when mistaken then filter(zip_with(slice(windows, 1, size(windows) - 1), slice(windows, 2, size(windows) - 1),
+        (a, b) -> case when a.said = b.said then array(a.at, b.at) end), x -> x is not null) else twins end""")
+    df = df.withColumn("same", same)
+    df = df.withColumn("starts", F.expr("sort_array(array_distinct(flatten(same)))"))
     covered = F.expr("""case when size(starts) = 0 then 0L else 3L + aggregate(zip_with(slice(starts, 1, size(starts) - 1), slice(starts, 2, size(starts) - 1),
-        (p, q) -> least(3L, q - p)), 0L, (s, x) -> s + x) end""")
+        (p, q) -> least(3L, cast(q - p as bigint))), 0L, (s, x) -> s + x) end""")
     df = df.withColumn("n_repeat_words", covered)
 
     lines = F.filter(F.split("body", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
