@@ -2,8 +2,8 @@
 
 Every text gives a row of statistics.  Random Fourier features of the standardised statistics approximate a
 Gaussian kernel.  Each task sums the normal equations of its labelled rows; the sums are added per matrix
-row, and the driver solves one system of fixed size.  Scores are calibrated by isotonic regression over
-``BINS`` bins of raw scores.  Labels of rows whose crc32 of the id leaves 1 modulo 3 are never read.
+row, and the driver solves systems of fixed size.  Scores are calibrated by isotonic regression over ``BINS``
+bins of raw scores, each of them the score of a row by a fit to the other folds.  Labels of rows whose crc32 of the id leaves 1 modulo 3 are never read.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .store import saved
 
 #: Random features, width of the kernel in standard deviations, weight of the ridge, bins, seed.
 FEATURES, WIDTH, RIDGE, BINS, SEED = 160, 6.0, 1.0, 400, 20240
+#: Labelled rows are calibrated by the fit to the folds they aren't in; rows of equal statistics share a fold.
+FOLDS = 4
 #: Standardised statistics are cut at this, so that one odd text can't leave the kernel's range.
 LARGEST = 6.0
 NAMES = ("log_words", "word_length", "symbols", "upper", "digits", "stops", "commas", "exclaims", "bars", "distinct", "distinct_pairs", "top_word", "line_length", "repeated_lines", "ends", "short_words", "odd")
@@ -74,26 +76,36 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in NAMES])
 
 
+def fold() -> Column:
+    return F.pmod(F.xxhash64(*NAMES), F.lit(FOLDS)).cast("int")
+
+
 def normal_equations(rows: DataFrame, kernel: Kernel) -> np.ndarray:
-    """[Z'Z | Z'y] over ``rows`` (NAMES, label): each task sums its own, then the sums are added row by row."""
+    """[Z'Z | Z'y] of every fold of ``rows`` (NAMES, label, fold): each task sums its own, then the sums are added row by row."""
     side = FEATURES + 1
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((side, side + 1))
+        total = np.zeros((FOLDS, side, side + 1))
         for batch in batches:
-            z = kernel(_matrix(batch))
-            total += z.T @ np.column_stack((z, batch.column("label").to_numpy(zero_copy_only=False)))
-        yield pa.RecordBatch.from_arrays([pa.array(range(side), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["i", "sums"])
+            z, folds = kernel(_matrix(batch)), batch.column("fold").to_numpy(zero_copy_only=False)
+            zy = np.column_stack((z, batch.column("label").to_numpy(zero_copy_only=False)))
+            for k in range(FOLDS):
+                total[k] += z[folds == k].T @ zy[folds == k]
+        yield pa.RecordBatch.from_arrays([pa.array(range(FOLDS * side), pa.int32()), pa.array([r.tobytes() for r in total.reshape(FOLDS * side, -1)], pa.binary())], ["i", "sums"])
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
         sums = sum(np.frombuffer(b, np.float64) for b in group.sums)
         return pd.DataFrame({"i": group.i[:1], "sums": [sums.tobytes()]})
 
-    found = rows.select(*NAMES, "label").mapInArrow(partial, "i int, sums binary").groupBy("i").applyInPandas(added, "i int, sums binary").collect()
-    out = np.zeros((side, side + 1))
+    found = rows.select(*NAMES, "label", "fold").mapInArrow(partial, "i int, sums binary").groupBy("i").applyInPandas(added, "i int, sums binary").collect()
+    out = np.zeros((FOLDS * side, side + 1))
     for r in found:
         out[r["i"]] = np.frombuffer(r["sums"], np.float64)
-    return out
+    return out.reshape(FOLDS, side, side + 1)
+
+
+def ridge(sums: np.ndarray) -> np.ndarray:
+    return np.linalg.solve(sums[:, :-1] + RIDGE * np.eye(len(sums)), sums[:, -1])
 
 
 def isotonic(weights: np.ndarray, means: np.ndarray) -> np.ndarray:
@@ -127,7 +139,7 @@ def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     measured = saved(texts.mapInArrow(_measure, "doc_id long, " + ", ".join(f"{c} double" for c in NAMES)), "quality-statistics")
     known = labels.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("label"))
     known = known.where(F.col("label").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("label").alias("label"))
-    rows = saved(measured.join(known, "doc_id"), "quality-labelled")
+    rows = saved(measured.join(known, "doc_id").withColumn("fold", fold()), "quality-labelled")
     ends = rows.agg(F.count("label").alias("n"), F.avg("label").alias("share"), *[f(c).alias(f"{k}_{c}") for c in NAMES for k, f in (("mean", F.avg), ("sd", F.stddev_pop))]).first()
     if not ends["n"] or not 0 < ends["share"] < 1:
         score = (1 + ends["n"] * (ends["share"] or 0.0)) / (2 + ends["n"])
@@ -135,17 +147,19 @@ def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     kernel = Kernel(np.array([ends[f"mean_{c}"] for c in NAMES]), np.array([max(ends[f"sd_{c}"], 1e-9) for c in NAMES]))
     sums = normal_equations(rows, kernel)
-    weights = np.linalg.solve(sums[:, :-1] + RIDGE * np.eye(len(sums)), sums[:, -1])
+    total = sums.sum(axis=0)
+    weights, others = ridge(total), np.column_stack([ridge(total - own) for own in sums])
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, ones = np.zeros(BINS), np.zeros(BINS)
         for batch in batches:
-            at = _bin(kernel(_matrix(batch)) @ weights)
+            folds = batch.column("fold").to_numpy(zero_copy_only=False)
+            at = _bin((kernel(_matrix(batch)) @ others)[np.arange(len(folds)), folds])
             n += np.bincount(at, minlength=BINS)
             ones += np.bincount(at, weights=batch.column("label").to_numpy(zero_copy_only=False), minlength=BINS)
         yield pa.RecordBatch.from_arrays([pa.array(range(BINS), pa.int32()), pa.array(n), pa.array(ones)], ["bin", "n", "ones"])
 
-    counted = rows.select(*NAMES, "label").mapInArrow(bins, "bin int, n double, ones double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).orderBy("bin").toPandas()
+    counted = rows.select(*NAMES, "label", "fold").mapInArrow(bins, "bin int, n double, ones double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).orderBy("bin").toPandas()
     used = counted[counted.n > 0]
     levels = isotonic(used.n.to_numpy(), used.ones.to_numpy() / used.n.to_numpy())
     centres = (used.bin.to_numpy() + 0.5) * 2 / BINS - 0.5
