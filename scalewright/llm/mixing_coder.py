@@ -19,6 +19,7 @@ from __future__ import annotations
 import struct
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -302,13 +303,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, doc_id: str = "do
     """Write the ids of ``docs`` under ``path``, in ascending order of doc_id over the numbered files.
 
     Null texts count as empty; each document ends with ``END_ID``.  Null ids come first.  Rows repeated
-    under one id follow each other.  Partitions are ranges of ids, so no key is hot.
+    under one id follow each other, by hash of their texts and then by text, so that reruns agree.  Partitions
+    are ranges of id and hash: an id that many different texts share is split, too.
     """
     with open(tokenizer_file, encoding="utf-8") as f:
         tokenizer = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(_write(tokenizer), "segment binary").select(F.col("segment").cast("string").alias("value")).write.text(path)
+    rows = rows.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
+    ordered.select("doc_id", "text").mapInArrow(_write(tokenizer), "segment binary").select(F.col("segment").cast("string").alias("value")).write.text(path)
 
 
 _READ = "part int, number int, doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -319,13 +322,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _READ.split(", ")]
     for batch in batches:
         for content in batch.column("content"):
-            open_docs: list[tuple[int, int]] = []
+            open_docs: deque[tuple[int, int]] = deque()
             rest, done, start, rows, part = np.zeros(0, np.uint16), 0, 0, [], 0
             for part, docs, ids in unpack_segments(content.as_py()):
                 open_docs += map(tuple, docs.tolist())
                 ids, at = np.concatenate((rest, ids)), 0
                 while open_docs and at + open_docs[0][1] <= len(ids):
-                    doc_id, n = open_docs.pop(0)
+                    doc_id, n = open_docs.popleft()
                     rows.append((part, done, None if doc_id == _NULL_ID else doc_id, start, n, zlib.crc32(ids[at : at + n].astype("<u4").tobytes())))
                     at, done, start = at + n, done + 1, start + n
                 rest = ids[at:]
