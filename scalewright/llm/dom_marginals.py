@@ -7,15 +7,16 @@ tree and down again; a run of text is kept when its marginal probability of bein
 
 The potentials are counts over labelled pages.  A page labels itself if it has an ``article`` or ``main``
 element: what is inside, but not in one of the elements or classes listed below, is content.  At most about
-``TRAIN_PAGES`` pages, chosen by a hash of their id, are used for that; the model then applies to all pages,
-with or without such elements.
+``TRAIN_PAGES`` pages, chosen by a hash of their id, are used for that, each as it is and once more with a
+``div`` in place of those elements; the model then applies to all pages, with or without them.  Counts set by
+hand stand in only where no page of the sample labels itself.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -33,19 +34,21 @@ DROPPED = set("script style noscript template head title svg iframe select optio
 RAW = {"script", "style", "title", "textarea", "iframe"}
 IN_HEAD = set("html head base link meta title style script noscript template basefont bgsound".split())
 CLOSES_P = BLOCKS - {"html", "body", "li", "td", "th", "tr", "thead", "tbody", "tfoot", "dt", "dd", "caption"}
+#: Elements that end an open one of the same group.
+SIBLINGS = (("li",), ("tr",), ("td", "th"), ("dt", "dd"))
 #: Elements that are never content, and stems of classes and ids that say so.
 BOILERPLATE = {"nav", "footer", "aside", "header", "form", "menu", "dialog", "search"}
 HINTS_AGAINST = "ad ads advert advertisement banner promo sponsor sponsored cookie consent notice nav navbar menu breadcrumb footer header sidebar widget share social related recommend newsletter subscribe comment comments reply disqus popup modal login signup toolbar pagination copyright".split()
 HINTS_FOR = "article content main post story entry body text".split()
-#: Pseudo-counts by which the lists above count before any page is seen.
+#: Counts of the lists above where no page labels itself.
 PRIOR = 50.0
 
 
 #: Kinds of children, each with its own parent-child potential: anything below boilerplate, runs of text,
 #: elements that open an article, other elements.
 KINDS = ("barred", "text", "opening", "element")
-#: Fixed pseudo-counts of (kind, parent, child): pages without an article element aren't in the training pages.
-PAIR_PRIOR = {"barred": ((200, 0.2), (40, 1)), "text": ((100, 1), (1, 100)), "opening": ((1, 4), (1, 20)), "element": ((50, 2), (1, 100))}
+#: Counts of (kind, parent, child) where no page labels itself.
+PAIR_PRIOR = {"barred": ((200, 0.2), (40, 1)), "text": ((100, 1), (1, 100)), "opening": ((1, 4), (1, 20)), "element": ((50, 5), (20, 100))}
 #: The most that the looks of one node count for, as log odds.
 STRONGEST = 5.0
 
@@ -62,10 +65,13 @@ class Tree(HTMLParser):
         self.parent, self.tag, self.hints, self.text, self.linked = [-1], ["root"], [()], [None], [0]
         self.kind, self.barred = ["element"], [False]
         self.open: list[tuple[str, int]] = [("root", 0)]
+        #: Positions in ``open`` of every tag, outermost first, so that no search runs over all open elements.
+        self.places: dict[str, list[int]] = defaultdict(list)
         self.pieces: list[str] = []
         self.in_link = self.link_chars = 0
         #: Open elements from the outermost dropped one inwards; nothing is kept while there are any.
         self.skipped: list[str] = []
+        self.n_skipped: Counter = Counter()
 
     def _node(self, tag: str, hints: tuple, text: str | None = None, linked: int = 0) -> int:
         for column, value in zip((self.parent, self.tag, self.hints, self.text, self.linked), (self.open[-1][1], tag, hints, text, linked)):
@@ -82,62 +88,89 @@ class Tree(HTMLParser):
         self.pieces, self.link_chars = [], 0
 
     def _pop(self, tag: str) -> None:
+        """End the innermost open ``tag`` and all inside it."""
         self.flush()
-        while self.open[-1][0] != tag:
-            self.open.pop()
-        self.open.pop()
+        at = self.places[tag][-1]
+        while len(self.open) > at:
+            self.places[self.open.pop()[0]].pop()
+
+    def _skip(self, tag: str) -> None:
+        self.skipped.append(tag)
+        self.n_skipped[tag] += 1
+
+    def _unskip(self, tag: str) -> None:
+        """End the innermost dropped ``tag`` and all inside it."""
+        found = None
+        while found != tag:
+            found = self.skipped.pop()
+            self.n_skipped[found] -= 1
+
+    def _unskip_all(self) -> None:
+        self.skipped.clear()
+        self.n_skipped.clear()
 
     def _end_skipped_before(self, tag: str) -> None:
         """End the dropped elements whose end tag may be left out before ``tag``."""
-        open_, last = self.skipped, self.skipped[-1]
+        last, count = self.skipped[-1], self.n_skipped
         if last in RAW:
             return
         if last == "head" and tag not in IN_HEAD or last == "option" and tag in ("option", "optgroup") or last == "svg" and tag in BLOCKS:
-            open_.pop()
-        elif tag in ("button", "label") and tag in open_:
-            del open_[open_.index(tag) :]
+            self._unskip(last)
+        elif tag in ("button", "label") and count[tag]:
+            while count[tag]:
+                self._unskip(tag)
         elif last in ("select", "option") and (tag in ("select", "input", "textarea") or tag in BLOCKS - {"div"}):
-            del open_[open_.index("select" if "select" in open_ else last) :]
-        elif all(t == "label" for t in open_):
+            outer = "select" if count["select"] else last
+            while count[outer]:
+                self._unskip(outer)
+        elif count["label"] == len(self.skipped):
             outer = self.open[-1][0]
-            if outer == "p" and tag in CLOSES_P or any(outer in same and tag in same for same in (("li",), ("tr",), ("td", "th"), ("dt", "dd"))):
-                open_.clear()
+            if outer == "p" and tag in CLOSES_P or any(outer in same and tag in same for same in SIBLINGS):
+                self._unskip_all()
+
+    def _end_sibling_before(self, tag: str) -> None:
+        """End the open element whose end tag may be left out before ``tag``, unless a list or table lies between."""
+        if tag in CLOSES_P:
+            if self.open[-1][0] == "p":
+                self._pop("p")
+            return
+        same = next((s for s in SIBLINGS if tag in s), ())
+        at, which = max(((self.places[t][-1], t) for t in same if self.places[t]), default=(0, ""))
+        if at > max((self.places[t][-1] for t in ("ul", "ol", "table", "dl") if self.places[t]), default=0):
+            self._pop(which)
 
     def handle_starttag(self, tag, attrs):
         if self.skipped:
             self._end_skipped_before(tag)
         if self.skipped or tag in DROPPED:
             if tag in DROPPED or tag in BLOCKS or tag == "foreignobject":
-                self.skipped.append(tag)
+                self._skip(tag)
             return
         if tag == "br":
             self.pieces.append(" ")
         elif tag == "a":
             self.in_link = 1
         elif tag in BLOCKS:
-            names = [t for t, _ in self.open]
-            for same in ((tag,) if tag in ("li", "tr") else ("td", "th") if tag in ("td", "th") else ("dt", "dd") if tag in ("dt", "dd") else ("p",) if tag in CLOSES_P else ()):
-                stop = max((i for i, t in enumerate(names) if t in ("ul", "ol", "table", "dl") or t in BLOCKS and same == "p" and t != "p"), default=0)
-                if same in names[stop:]:
-                    self._pop(same)
+            self._end_sibling_before(tag)
             self.flush()
             said = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
-            self.open.append((tag, self._node(tag, tuple(sorted(set(re.split(r"[^a-z]+", said)))))))
+            node = self._node(tag, tuple(sorted(set(re.split(r"[^a-z]+", said)))))
+            self.places[tag].append(len(self.open))
+            self.open.append((tag, node))
 
     def handle_endtag(self, tag):
         if self.skipped:
-            if tag in self.skipped and self.skipped[-1] in (RAW - {tag}):
-                return
-            if tag in self.skipped:
-                del self.skipped[len(self.skipped) - 1 - self.skipped[::-1].index(tag) :]
+            if self.n_skipped[tag]:
+                if self.skipped[-1] not in RAW - {tag}:
+                    self._unskip(tag)
                 return
             # The end of an element around the dropped ones ends them too.
-            if self.skipped[-1] in RAW or "template" in self.skipped or tag not in BLOCKS or all(t != tag for t, _ in self.open):
+            if self.skipped[-1] in RAW or self.n_skipped["template"] or tag not in BLOCKS or not self.places[tag]:
                 return
-            self.skipped.clear()
+            self._unskip_all()
         if tag == "a":
             self.in_link = 0
-        elif tag in BLOCKS and any(t == tag for t, _ in self.open):
+        elif tag in BLOCKS and self.places[tag]:
             self._pop(tag)
 
     def handle_startendtag(self, tag, attrs):
@@ -146,7 +179,7 @@ class Tree(HTMLParser):
 
     def handle_data(self, data):
         if self.skipped == ["head"] and data.strip():
-            self.skipped.clear()
+            self._unskip_all()
         if not self.skipped:
             self.pieces.append(data)
             if self.in_link:
@@ -167,6 +200,8 @@ def looks(tree: Tree, i: int) -> list[str]:
     text = tree.text[i]
     if text is None:
         found = ["tag:" + tree.tag[i]]
+        if is_barrier(tree.tag[i], tree.hints[i]):
+            found.append("barrier")
         found += ["against:" + h for h in tree.hints[i] if h in HINTS_AGAINST]
         return found + ["for:" + h for h in tree.hints[i] if h in HINTS_FOR]
     share = tree.linked[i] / len(text)
@@ -183,6 +218,13 @@ def self_labels(tree: Tree) -> list[int] | None:
     return [int(a and not b) for a, b in zip(inside, tree.barred)]
 
 
+def unmarked(tree: Tree) -> Tree:
+    """The tree as if its article were any ``div``."""
+    tree.tag = ["div" if t in ("article", "main") else t for t in tree.tag]
+    tree.kind = ["element" if k == "opening" else k for k in tree.kind]
+    return tree
+
+
 def prior_counts() -> Counter:
     counts: Counter = Counter()
     for name, content in [*(("tag:" + t, 0) for t in BOILERPLATE), *(("against:" + h, 0) for h in HINTS_AGAINST), *(("for:" + h, 1) for h in HINTS_FOR), ("tag:article", 1), ("tag:main", 1)]:
@@ -201,10 +243,10 @@ class Potentials:
         total = [sum(n for (f, c), n in counts.items() if c == k and f.startswith(("tag:", "length:"))) + 1 for k in (0, 1)]
         self.node = {f: [math.log((counts[f, k] + 0.5) / total[k]) for k in (0, 1)] for f in {f for f, _ in counts if not f.startswith("pair:")}}
         self.pair = {}
+        # Where a kind was hardly seen below a parent of some label, the share over all kinds stands in.
+        pooled = [[1 + sum(counts[f"pair:{kind}:{p}", c] for kind in KINDS) for c in (0, 1)] for p in (0, 1)]
         for kind in KINDS:
-            n = [[counts[f"pair:{kind}:{p}", c] for c in (0, 1)] for p in (0, 1)]
-            if kind == "element":  # an article needn't have an opening element of its own
-                n[0][1] = max(n[0][1], 0.03 * n[0][0])
+            n = [[counts[f"pair:{kind}:{p}", c] + 0.5 + 2 * pooled[p][c] / sum(pooled[p]) for c in (0, 1)] for p in (0, 1)]
             self.pair[kind] = [[n[p][c] / sum(n[p]) for c in (0, 1)] for p in (0, 1)]
 
     def marginals(self, tree: Tree) -> list[float]:
@@ -234,6 +276,12 @@ class Potentials:
         return [b[1] for b in belief]
 
 
+def count_labels(tree: Tree, labels: list[int], counts: Counter) -> None:
+    for i in range(1, len(labels)):
+        counts.update((f, labels[i]) for f in looks(tree, i))
+        counts[f"pair:{tree.kind[i]}:{labels[tree.parent[i]]}", labels[i]] += 1
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
@@ -242,9 +290,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             labels = self_labels(tree)
             if labels is None:
                 continue
-            for i in range(1, len(labels)):
-                counts.update((f, labels[i]) for f in looks(tree, i))
-                counts[f"pair:{tree.kind[i]}:{labels[tree.parent[i]]}", labels[i]] += 1
+            count_labels(tree, labels, counts)
+            count_labels(unmarked(tree), labels, counts)
     rows = [(f, c, n) for (f, c), n in counts.items()]
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.int32(), pa.int64()))], ["feature", "content", "n"])
 
@@ -254,10 +301,10 @@ def trained(pages: DataFrame, page_id: str = "page_id", html: str = "html", most
     sample = pages.select(F.col(f"`{page_id}`").alias("id"), F.col(f"`{html}`").alias("html"))
     share = max(1, sample.count() // most)
     sample = sample.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("html")
-    counts = prior_counts()
+    counts: Counter = Counter()
     for r in sample.mapInArrow(_count, "feature string, content int, n long").groupBy("feature", "content").agg(F.sum("n").alias("n")).collect():
         counts[r["feature"], r["content"]] += r["n"]
-    return Potentials(counts)
+    return Potentials(counts or prior_counts())
 
 
 def main_text(html: str, potentials: Potentials) -> str:
