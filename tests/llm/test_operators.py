@@ -236,6 +236,67 @@ def test_divergence_rules(spark):
     assert divergence_rules.assessed(docs.where("false")).collect() == []
 
 
+def test_windows_of_one_hash_are_told_apart_by_their_words(spark, monkeypatch):
+    monkeypatch.setattr(divergence_rules, "WINDOW_HASH", "cast(length(words[i]) % 2 as bigint)")
+    few = ["a", "bb", "c", "dd"]
+    texts = [*TEXTS[:5], *TEXTS[6:], *[" ".join(R.choice(few) for _ in range(n)) for n in (3, 4, 5, 9, 30, 80)], prose(600) + " x y z x y z", "a a a a", "a b c a d c a b c"]
+    rows = divergence_rules.assessed(table(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    assert {r["doc_id"]: r["n_repeat_words"] for r in rows} == {i: base_rules(t)[4] for i, t in enumerate(texts)}
+
+
+def brute_quality_scores(texts, labels, folds):
+    """Features, normal equations, folds and calibration by plain loops; the fold of a row is given."""
+    f = fourier_quality
+    rows = np.array([f.statistics(t or "") for t in texts])
+    known = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 != 1]
+    kernel = f.Kernel(rows[known].mean(axis=0), np.maximum(rows[known].std(axis=0), 1e-9))
+
+    def lifted(row):
+        x = [max(-f.LARGEST, min(f.LARGEST, (v - m) / s)) for v, m, s in zip(row, kernel.mean, kernel.scale)]
+        angles = [sum(a * w for a, w in zip(x, kernel.waves[:, j])) + kernel.phases[j] for j in range(f.FEATURES)]
+        return np.array([*(np.sqrt(2 / f.FEATURES) * np.cos(a) for a in angles), 1.0])
+
+    z = [lifted(r) for r in rows]
+
+    def fitted(used):
+        left, right = f.RIDGE * np.eye(f.FEATURES + 1), np.zeros(f.FEATURES + 1)
+        for i in used:
+            left, right = left + np.outer(z[i], z[i]), right + labels[i] * z[i]
+        return np.linalg.solve(left, right)
+
+    bins = {}
+    for k in range(f.FOLDS):
+        weights = fitted([i for i in known if folds[i] != k])
+        for i in known:
+            if folds[i] == k:
+                at = min(f.BINS - 1, max(0, int((z[i] @ weights + 0.5) / 2 * f.BINS)))
+                bins.setdefault(at, []).append(labels[i])
+    at = sorted(bins)
+    mean = lambda a, b: np.mean([y for j in at[a : b + 1] for y in bins[j]])
+    levels = [max(min(mean(a, b) for b in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))]
+    raw = np.array([v @ fitted(known) for v in z])
+    return 0.999 * np.interp(raw, [(j + 0.5) * 2 / f.BINS - 0.5 for j in at], levels) + 0.001 * np.clip((raw + 1) / 3, 0, 1)
+
+
+def test_quality_scores_against_plain_loops(spark):
+    rng = random.Random(11)
+    texts, labels = [None, ""], [0, 1]
+    for _ in range(90):
+        good = rng.random() < 0.6
+        said = prose(rng.randint(5, 90)).split()
+        texts.append(" ".join(w.upper() + "!" if rng.random() < (0.2 if good else 0.5) else w for w in said) + "." * good)
+        labels.append(int(good if rng.random() < 0.85 else not good))
+    docs = table(spark, texts)
+    statistics = spark.createDataFrame([(i, *map(float, fourier_quality.statistics(t or ""))) for i, t in enumerate(texts)], ["doc_id", *fourier_quality.NAMES])
+    folds = {r["doc_id"]: r["fold"] for r in statistics.select("doc_id", fourier_quality.fold().alias("fold")).collect()}
+    assert len(set(folds.values())) == fourier_quality.FOLDS
+    want = brute_quality_scores(texts, labels, folds)
+    rows = fourier_quality.scored(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int")).collect()
+    assert len(rows) == len(texts)
+    assert [r["score"] for r in sorted(rows, key=lambda r: r["doc_id"])] == pytest.approx(want.tolist(), abs=1e-6)
+
+
 def test_quality_scores(spark):
     texts = [prose(60) + "." if i % 2 else " ".join(w.upper() + "!!" for w in prose(60).split()) for i in range(240)]
     docs, labels = table(spark, [*texts, None, ""]), spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, quality int")
@@ -315,6 +376,18 @@ def test_stored_ids(spark):
     assert mixing_coder.stored_documents(table(spark, texts).where("false"), path).collect() == []
 
 
+def test_stored_ids_of_repeated_and_missing_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(k, t) for k in (None, 5, -3) for t in [*TEXTS[:5], *TEXTS[6:], None]]
+    runs = [
+        mixing_coder.stored_documents(spark.createDataFrame(order, "doc_id long, text string").repartition(n), path).collect() for order, n in ((rows, 2), (rows[::-1], 5))
+    ]
+    first, second = ([tuple(r) for r in sorted(run, key=lambda r: r["start"])] for run in runs)
+    assert first == second and len(first) == len(rows)
+    assert [r[0] for r in first] == [k for k in (None, -3, 5) for _ in range(len(rows) // 3)]
+    assert all(a[1] + a[2] == b[1] for a, b in zip(first, first[1:]))
+
+
 def test_ids_of_texts_with_added_tokens_are_the_librarys():
     path = public_tokenizers.path("byte_bpe_50k.json")
     real = Tokenizer.from_file(path)
@@ -398,6 +471,56 @@ def test_dropped_elements_end_where_html_ends_them(html, want):
     assert " ".join(t for t in dom_marginals.parsed(html).text if t is not None) == want
 
 
+ARTICLE = "<html><body><nav><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul></nav><div class='ad'>Buy this now, today.</div><%s class=%s><h1>Line %d</h1><p>A paragraph of some length, with an end.</p><div class='comments'><p>Nice article, thanks a lot.</p></div></%s><footer>Made by us in some place.</footer></body></html>"
+
+
+def test_potentials_are_the_counts_of_labelled_pages(spark):
+    pages = [ARTICLE % (t, "x", i, t) for i, t in enumerate(["article", "main", "div", "article"])]
+    found = dom_marginals.trained(spark.createDataFrame(list(enumerate([*pages, None, ""])), "page_id long, html string"))
+    counts = {}
+    for html in pages:
+        if "<div class=x>" in html:
+            continue
+        for page in (html, html.replace("<article", "<div").replace("/article>", "/div>").replace("<main", "<div").replace("/main>", "/div>")):
+            tree = dom_marginals.parsed(page)
+            content, parents = [], tree.parent
+            for i in range(len(tree.tag)):
+                above, j = [], i
+                while j >= 0:
+                    above.append((tree.tag[j], tree.hints[j]))
+                    j = parents[j]
+                content.append(int(any(h == ("", "x") or "x" in h for _, h in above) and not any(t in dom_marginals.BOILERPLATE or set(h) & set(dom_marginals.HINTS_AGAINST) for t, h in above)))
+            for i in range(1, len(content)):
+                for feature in [*dom_marginals.looks(tree, i), f"pair:{tree.kind[i]}:{content[parents[i]]}"]:
+                    counts[feature, content[i]] = counts.get((feature, content[i]), 0) + 1
+    want = dom_marginals.Potentials(dom_marginals.Counter(counts))
+    assert found.node == want.node and found.pair == want.pair
+
+
+@pytest.mark.parametrize("element", ["article", "main", "div", "section"])
+def test_pages_without_an_article_element(spark, element):
+    pages = [ARTICLE % ("article", "x", i, "article") for i in range(20)] + [ARTICLE % (element, "x", i, element) for i in range(20)]
+    rows = dom_marginals.extracted(spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)], "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == {i: f"Line {i % 20}\nA paragraph of some length, with an end." for i in range(40)}
+
+
+def test_no_page_labels_itself(spark):
+    rows = dom_marginals.extracted(spark.createDataFrame([(0, "u", ARTICLE % ("div", "post", 0, "div"))], "page_id long, url string, html string")).collect()
+    assert rows[0]["text"] == "Line 0\nA paragraph of some length, with an end."
+
+
+@pytest.mark.parametrize("start", ["<div>", "<svg>", "<ul><li>", "<p>a<b>", "<b><button><div>", "<td><select>"])
+def test_deep_pages_take_linear_time(start):
+    import time
+
+    model, taken = dom_marginals.Potentials(dom_marginals.prior_counts()), []
+    for n in (4000, 32_000):
+        before = time.process_time()
+        dom_marginals.main_text(start * n + "x", model)
+        taken.append(time.process_time() - before)
+    assert taken[1] < 24 * taken[0] + 0.5  # quadratic time would be 64 times as long
+
+
 def brute_marginals(tree, model):
     from itertools import product
 
