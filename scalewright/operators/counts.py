@@ -115,9 +115,16 @@ def value_bands(r: DataFrame, n_items: int, kind: str = "facility", least: int =
     not gathered.  ``adjusted`` scores are all but unique: round them before, to bound that array.
     """
     s = scores(r, n_items, kind).withColumn("score", F.round("score", 9))
-    counts = s.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    gathered = counts.agg(F.sort_array(F.collect_list(F.struct("score", "n"))).alias("c"), F.sum("n").alias("total"))
-    gathered = gathered.withColumn("target", F.greatest(F.lit(max(2, least)), F.ceil(F.col("total") / (n_items + 1))))
+    return _banded(s.groupBy("score").agg(F.count(F.lit(1)).alias("n")), F.lit(n_items + 1), least)
+
+
+def _banded(counts: DataFrame, parts: Column, least: int) -> DataFrame:
+    """(score, band) of a table (score, n), in bands of ``least`` persons and of all persons divided by ``parts`` at least.
+
+    ``parts`` is a number or an aggregate over the table.
+    """
+    gathered = counts.agg(F.sort_array(F.collect_list(F.struct("score", "n"))).alias("c"), F.sum("n").alias("total"), parts.alias("parts"))
+    gathered = gathered.withColumn("target", F.greatest(F.lit(max(2, least)), F.ceil(F.col("total") / F.col("parts"))))
     # The fold keeps what the open band holds and the last score of each closed one.  The last end bounds nothing: what
     # lies above it, an open rest, belongs to the band that it closes.
     fold = """aggregate(c, cast((0L, array()) as struct<held: bigint, ends: array<double>>), (s, v) ->
@@ -196,6 +203,31 @@ def polytomous_counts(r: DataFrame, n_items: int, least: int = 10) -> DataFrame:
     return recode_adjacent(r).join(person, "person_id").groupBy("score", "item_id", "step").agg(F.count("y").alias("n_total"), F.coalesce(F.sum("y"), F.lit(0)).cast("long").alias("n_right"))
 
 
+def polytomous_bands(r: DataFrame, n_items: int, person_order: str = "facility", least: int = 10) -> DataFrame:
+    """(band, ability, item_id, step, n_total, n_right) of the recoded table over bands of everyone's scores; persons with missing answers stay.
+
+    ``facility`` orders persons by their mean answer, ``adjusted`` by (total - expected) / sd over the items that they answered, from
+    the items' means and sample variances.  Bands hold at least ``least`` persons and a share of as many parts as there are totals,
+    three at least; equal scores stay together.  Scores are rounded to 9 places.  A cell counts those of its band who gave one of the two answers
+    next to its step; one without any is 0 of 0.  Persons without answers are in no band.
+    """
+    if person_order not in ("facility", "adjusted"):
+        raise ValueError(f"no order of persons named {person_order}")
+    answered = r.where("x is not null")
+    if person_order == "facility":
+        person = answered.groupBy("person_id").agg(F.sum("x").cast("long").alias("total"), F.avg("x").alias("score"))
+    else:
+        items = answered.groupBy("item_id").agg(F.avg("x").alias("mean"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("v"))
+        person = answered.join(_per_item(items, n_items), "item_id").groupBy("person_id").agg(F.sum("x").cast("long").alias("total"), ((F.sum("x") - F.sum("mean")) / F.sqrt(F.greatest(F.sum("v"), F.lit(1e-12)))).alias("score"))
+    person = person.withColumn("score", F.round("score", 9))
+    counts = person.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.collect_set("total").alias("totals"))
+    n_totals = F.size(F.array_distinct(F.flatten(F.collect_list("totals"))))
+    person = person.join(F.broadcast(_banded(counts, F.greatest(F.lit(3), n_totals), least)), "score")
+    ability = person.groupBy("band").agg(F.avg("score").alias("ability"))
+    cells = recode_adjacent(r).join(person.select("person_id", "band"), "person_id").groupBy("band", "item_id", "step").agg(F.count("y").alias("n_total"), F.coalesce(F.sum("y"), F.lit(0)).cast("long").alias("n_right"))
+    return cells.join(F.broadcast(ability), "band").select("band", "ability", "item_id", "step", "n_total", "n_right")
+
+
 def ranked_steps(cells: DataFrame) -> DataFrame:
     """``polytomous_counts`` with rate and facility_rank: steps of all items together, hardest first, by the share that took them."""
     step = Window.partitionBy("item_id", "step")

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import mixtures as M
-from .counts import mask_ranks
+from .counts import mask_ranks, pattern_frequencies
 from .fanout import kept
 from .mixtures import Fit
-from .nulls import REPLICATES, _matrix, _replicated, _step_weights, _uniform, given_totals
+from .nulls import REPLICATES, Refit, _matrix, _replicated, _step_weights, _uniform, given_totals, is_large, refit_table
 
 #: Nodes of the histogram and how many standard deviations it reaches to either side.
 NODES, REACH = 41, 4.0
@@ -77,15 +77,19 @@ def drawn_abilities(f: Fit, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return edges[k] + v * (edges[k + 1] - edges[k])
 
 
-def _all_answers(ids: np.ndarray, rep: int, f: Fit, seed: int) -> np.ndarray:
+#: Steps of the replicates that don't have those of the fit.
+Steps = dict[int, list[np.ndarray]]
+
+
+def _all_answers(ids: np.ndarray, rep: int, f: Fit, seed: int, steps: Steps) -> np.ndarray:
     """Simulated answers of persons to all items."""
     theta = drawn_abilities(f, _uniform(ids, rep, 0, seed), _uniform(ids, rep, 1, seed))
-    upto = np.cumsum(M.step_table(theta, f.steps, f.probs.shape[2]), axis=2)
+    upto = np.cumsum(M.step_table(theta, steps.get(rep, f.steps), f.probs.shape[2]), axis=2)
     tops = np.array([len(d) for d in f.steps])
     return np.stack([np.minimum((_uniform(ids, rep, j + 2, seed)[:, None] >= upto[:, j]).sum(1), tops[j]) for j in range(len(tops))], 1)
 
 
-def simulated_totals(packed: DataFrame, f: Fit, replicates: int, seed: int) -> np.ndarray:
+def simulated_totals(packed: DataFrame, f: Fit, replicates: int, seed: int, steps: Steps) -> np.ndarray:
     """Replicates x totals: how many simulated persons have each total; a row per batch and replicate is added up by Spark."""
     top = sum(len(d) for d in f.steps)
 
@@ -93,7 +97,7 @@ def simulated_totals(packed: DataFrame, f: Fit, replicates: int, seed: int) -> n
         for b in batches:
             ids = b.column(0).to_numpy()
             for rep in range(replicates):
-                n = np.bincount(_all_answers(ids, rep, f, seed).sum(1), minlength=top + 1)
+                n = np.bincount(_all_answers(ids, rep, f, seed, steps).sum(1), minlength=top + 1)
                 yield pa.RecordBatch.from_pydict({"rep": pa.array([rep] * (top + 1), pa.int32()), "total": pa.array(np.arange(top + 1), pa.int32()), "n": pa.array(n, pa.int64())})
 
     counts = packed.where("person_id is not null").select("person_id").mapInArrow(run, "rep int, total int, n long").groupBy("rep", "total").agg(F.sum("n").alias("n"))
@@ -103,20 +107,39 @@ def simulated_totals(packed: DataFrame, f: Fit, replicates: int, seed: int) -> n
     return out
 
 
-def marginal_replicates(packed: DataFrame, f: Fit, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
+#: What the seed of a provisional replicate has on top of the seed of the final one.
+_PROVISIONAL = 1_000_003
+
+
+def redrawn_steps(packed: DataFrame, f: Fit, replicates: int = REPLICATES, seed: int = 1) -> Steps:
+    """Steps of every replicate with their sampling error: those of a Rasch fit to answers drawn under ``f``.
+
+    The refits are a task each and take abilities of mean zero, so the mean of those of ``f`` is added to their steps.  A
+    replicate that can't be fitted, or in which the highest answer of an item is absent, keeps the steps of ``f``.
+    """
+    drawn = marginal_replicates(packed, f, replicates, seed + _PROVISIONAL)
+    fits = refit_table(drawn, replicates, f.probs.shape[2], Refit("RM"), is_large(pattern_frequencies(packed)), 1, seed)
+    tops, mean = np.array([len(d) for d in f.steps]), 0.0 if f.sigma is not None else latent_moments(f)[0]
+    rows = fits.select("rep", "steps").collect()  # a row per replicate
+    return {r["rep"]: M._split(np.array(r["steps"]) + mean, 0, tops) for r in rows if len(r["steps"]) == tops.sum()}
+
+
+def marginal_replicates(packed: DataFrame, f: Fit, replicates: int = REPLICATES, seed: int = 1, item_errors: bool = False) -> DataFrame:
     """(rep, x, freq): abilities drawn from the distribution of ``f``, answers under its steps, observed masks by rank.
 
-    Persons without any answer come last in rank.
+    Persons without any answer come last in rank.  With ``item_errors`` every replicate has steps of its own, see
+    ``redrawn_steps``, so that what is made of replicates varies with the steps' errors too.
     """
     people = packed.where("person_id is not null").select("person_id", "x")
+    steps = redrawn_steps(people, f, replicates, seed) if item_errors else {}
     if not people.where(F.exists("x", lambda v: v.isNull())).limit(1).count():
-        return _replicated(people, range(replicates), lambda ids, answers, rep: _all_answers(ids, rep, f, seed))
-    weights, upto = _step_weights(f.steps), np.cumsum(simulated_totals(people, f, replicates, seed), axis=1)
+        return _replicated(people, range(replicates), lambda ids, answers, rep: _all_answers(ids, rep, f, seed, steps))
+    upto = np.cumsum(simulated_totals(people, f, replicates, seed, steps), axis=1)
     ranks = mask_ranks(people.select("person_id", F.posexplode("x").alias("item_id", "x")), len(f.steps)).select("person_id", "rank")
 
     def draw(ids: np.ndarray, answers: np.ndarray, rep: int, rank: np.ndarray) -> np.ndarray:
         totals = np.minimum(np.searchsorted(upto[rep], rank, "left"), upto.shape[1] - 1)
-        drawn = given_totals(totals, weights, lambda place: _uniform(ids, rep, place + 2 + len(weights), seed))
+        drawn = given_totals(totals, _step_weights(steps.get(rep, f.steps)), lambda place: _uniform(ids, rep, place + 2 + len(f.steps), seed))
         return np.where(answers < 0, -1, drawn)
 
     return _replicated(people.join(ranks, "person_id"), range(replicates), draw, "rank")

@@ -15,7 +15,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .counts import pattern_frequencies
@@ -29,6 +31,8 @@ NODES = 61
 #: Distinct patterns that one task turns into expected counts at least, and the most tasks of a step.
 PATTERNS_PER_TASK, MOST_TASKS = 20_000, 512
 MODELS = ("UN", "MON", "IIO", "DM", "LCR", "RM")
+#: How starts of free and ordered classes are made, and runs of k-means of which the best is taken.
+STARTS, KMEANS_RUNS = ("spread", "quantiles", "kmeans"), 5
 
 
 def weighted_pava(y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
@@ -279,7 +283,72 @@ def _starts(model: str, shares: np.ndarray, tops: np.ndarray, n_classes: int, n_
     return out
 
 
-def fit(patterns: DataFrame, model: str = "UN", n_classes: int = 2, n_starts: int = 10, tol: float = 1e-6, seed: int = 1, max_iter: int | None = None, also: list[Fit] | None = None, item_order: tuple[int, ...] | None = None, constraints: Constraints | None = None) -> Fit:
+def _total() -> Column:
+    return F.aggregate("x", F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0)))
+
+
+def score_cuts(patterns: DataFrame, n_classes: int) -> list[float]:
+    """Quantiles (with linear interpolation) of everyone's total that cut persons into ``n_classes`` parts; one row per total is collected."""
+    rows = patterns.groupBy(_total().alias("total")).agg(F.sum("freq").alias("n")).orderBy("total").collect()
+    totals, upto = np.array([r["total"] for r in rows], float), np.cumsum([r["n"] for r in rows])
+    at = (upto[-1] - 1) * np.arange(1, n_classes) / n_classes
+    low, high = (totals[np.searchsorted(upto, np.floor(k) if down else np.ceil(k), "right")] for k, down in ((at, True), (at, False)))
+    return (low + (at - np.floor(at)) * (high - low)).tolist()
+
+
+def _by_scores(patterns: DataFrame, n_classes: int) -> DataFrame:
+    """(k, x, freq): patterns with the part of the totals in which they are; a total equal to a cut is below it."""
+    cuts = score_cuts(patterns, n_classes)
+    return patterns.select(sum((_total() > c).cast("int") for c in cuts) if cuts else F.lit(0), "x", "freq").toDF("k", "x", "freq")
+
+
+def _by_means(patterns: DataFrame, n_classes: int, shares: np.ndarray, seed: int) -> DataFrame:
+    """(k, x, freq): patterns with their cluster, of KMEANS_RUNS runs of k-means that with the least cost.
+
+    Missing answers take the item's mean.  Rows lie in an order that doesn't depend on how they came, so reruns agree.
+    """
+    mean = F.array(*[F.lit(float(v)) for v in shares @ np.arange(shares.shape[1])])
+    filled = F.zip_with("x", mean, lambda v, m: F.coalesce(v.cast("double"), m))
+    parts = 1 + min(patterns.count() // PATTERNS_PER_TASK, MOST_TASKS - 1)
+    rows = patterns.select("x", "freq", array_to_vector(filled).alias("features")).repartition(parts, "x").sortWithinPartitions("x")
+    with kept(rows) as rows:
+        runs = [KMeans(k=n_classes, seed=seed + s, weightCol="freq", predictionCol="k").fit(rows) for s in range(KMEANS_RUNS)]
+        return min(runs, key=lambda m: m.summary.trainingCost).transform(rows).select("k", "x", "freq")
+
+
+def grouped_starts(patterns: DataFrame, kind: str, shares: np.ndarray, tops: np.ndarray, n_classes: int, n_starts: int, seed: int) -> list[np.ndarray]:
+    """Tables of the answers in ``n_classes`` groups of persons, lowest mean answers first, by quantiles of totals or by k-means.
+
+    A group without answers to an item takes a level by its place.  Tables are moved by up to 0.05, by k-means all but the first
+    one, and kept off 0 and 1 by 0.01.  Groups are counted by Spark: a row per group, item and answer is collected.
+    """
+    n_cat = shares.shape[1]
+    possible = np.arange(n_cat) <= tops[:, None]
+    if n_classes == 1:
+        groups = patterns.select(F.lit(0).alias("k"), "x", "freq")
+    else:
+        groups = _by_scores(patterns, n_classes) if kind == "quantiles" else _by_means(patterns, n_classes, shares, seed)
+    e = np.zeros((n_classes, *shares.shape))
+    for r in groups.select("k", "freq", F.posexplode("x").alias("item", "v")).where("v is not null").groupBy("k", "item", "v").agg(F.sum("freq").alias("n")).collect():
+        e[r["k"], r["item"], r["v"]] = r["n"]
+    place = (np.arange(n_classes) + 0.5) / n_classes
+    level = np.exp(np.arange(n_cat) * np.log(place / (1 - place))[:, None])[:, None, :] * possible
+    total = e.sum(2, keepdims=True)
+    table = np.where(total > 0, e / np.maximum(total, 1), level / level.sum(2, keepdims=True))
+    table = table[np.argsort((table @ np.arange(n_cat)).sum(1), kind="stable")]
+    out = []
+    for s in range(n_starts):
+        p = table.copy()
+        if kind == "quantiles" or s:
+            p[:, :, 1:] += np.random.default_rng(seed + s).uniform(-0.05, 0.05, p[:, :, 1:].shape)
+        p[:, :, 1:] = np.clip(p[:, :, 1:], 0.01, 0.99)
+        p[:, :, 0] = np.maximum(1 - (p * possible)[:, :, 1:].sum(2), 0.01)
+        p = p * possible
+        out.append(p / p.sum(2, keepdims=True))
+    return out
+
+
+def fit(patterns: DataFrame, model: str = "UN", n_classes: int = 2, n_starts: int = 10, tol: float = 1e-6, seed: int = 1, max_iter: int | None = None, also: list[Fit] | None = None, item_order: tuple[int, ...] | None = None, constraints: Constraints | None = None, starts: str = "spread") -> Fit:
     """The best of ``n_starts`` EM runs on a table (x, freq).
 
     Runs on up to PATTERNS_PER_TASK patterns are a task each; on more, all runs share each pass over the patterns.
@@ -289,15 +358,20 @@ def fit(patterns: DataFrame, model: str = "UN", n_classes: int = 2, n_starts: in
     partial-credit items over free classes; RM: the same over a normal distribution (one start).  On graded answers
     MON orders every P(answer >= x) over classes and IIO the mean answers of items; their M step is the constrained maximum.  A run ends when the loglik changes by less than ``tol`` of its size, after 3 steps at least.
     Latent class fits in ``also`` with the same number of classes are further starts.  ``item_order`` (easy to hard) takes the
-    place of the order of mean answers; ``constraints`` put any orders on free classes.
+    place of the order of mean answers; ``constraints`` put any orders on free classes.  ``starts`` says where runs of free and
+    ordered classes begin: "spread" around the overall shares, or at groups of persons by "quantiles" of totals or "kmeans".
     """
     with kept(patterns) as patterns:
-        return _fit(patterns, model, n_classes, n_starts, tol, seed, max_iter, also, item_order, constraints)
+        return _fit(patterns, model, n_classes, n_starts, tol, seed, max_iter, also, item_order, constraints, starts)
 
 
-def _fit(patterns: DataFrame, model: str, n_classes: int, n_starts: int, tol: float, seed: int, max_iter: int | None, also: list[Fit] | None, item_order: tuple[int, ...] | None, constraints: Constraints | None) -> Fit:
+def _fit(patterns: DataFrame, model: str, n_classes: int, n_starts: int, tol: float, seed: int, max_iter: int | None, also: list[Fit] | None, item_order: tuple[int, ...] | None, constraints: Constraints | None, starts: str) -> Fit:
     if model not in MODELS:
         raise ValueError(f"no model named {model}")
+    if starts not in STARTS:
+        raise ValueError(f"no starts named {starts}")
+    if starts != "spread" and model in ("LCR", "RM"):
+        raise ValueError("groups of persons are starts of classes without abilities")
     overall = patterns.select("freq", F.posexplode("x").alias("item", "v")).groupBy("item", "v").agg(F.sum("freq").alias("n")).collect()
     n_patterns, n_obs = patterns.agg(F.count(F.lit(1)), F.coalesce(F.sum("freq"), F.lit(0))).first()
     answered = [r for r in overall if r["v"] is not None]
@@ -306,8 +380,9 @@ def _fit(patterns: DataFrame, model: str, n_classes: int, n_starts: int, tol: fl
     counts = np.zeros((1 + max(r["item"] for r in overall), max(2, 1 + max(r["v"] for r in answered))))
     for r in answered:
         counts[r["item"], r["v"]] += r["n"]
-    shape, starts, climb, finish = _problem(counts, model, n_classes, n_starts, tol, seed, max_iter, also, item_order, constraints)
-    return finish(climbed(patterns, n_patterns, len(starts), shape, climb), n_obs)
+    given = None if starts == "spread" else grouped_starts(patterns, starts, *_shares(counts), n_classes, n_starts, seed)
+    shape, tables, climb, finish = _problem(counts, model, n_classes, n_starts, tol, seed, max_iter, also, item_order, constraints, given)
+    return finish(climbed(patterns, n_patterns, len(tables), shape, climb), n_obs)
 
 
 def climbed(patterns: DataFrame, n_patterns: int, n_starts: int, shape: tuple[int, ...], climb: Callable) -> list[tuple]:
@@ -336,11 +411,17 @@ def fit_here(x: np.ndarray, freq: np.ndarray, n_cat: int, model: str = "UN", n_c
     return finish(results, int(freq.sum()))
 
 
-def _problem(counts: np.ndarray, model: str, n_classes: int, n_starts: int, tol: float, seed: int, max_iter: int | None, also: list[Fit] | None, item_order: tuple[int, ...] | None = None, constraints: Constraints | None = None) -> tuple:
+def _shares(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shares of categories per item, each category that occurs counted half a time more, highest categories)."""
+    tops = np.maximum(1, np.array([np.nonzero(c)[0].max(initial=0) for c in counts]))
+    raised = counts + 0.5 * (np.arange(counts.shape[1]) <= tops[:, None])
+    return raised / raised.sum(1, keepdims=True), tops
+
+
+def _problem(counts: np.ndarray, model: str, n_classes: int, n_starts: int, tol: float, seed: int, max_iter: int | None, also: list[Fit] | None, item_order: tuple[int, ...] | None = None, constraints: Constraints | None = None, given: list[np.ndarray] | None = None) -> tuple:
     """(shape of the probabilities, starts, ``climb(s)`` of one EM run, ``finish`` of all results) for answer counts per item and category."""
     n_items, n_cat = counts.shape
-    tops = np.maximum(1, np.array([np.nonzero(c)[0].max(initial=0) for c in counts]))
-    shares = (counts + 0.5 * (np.arange(n_cat) <= tops[:, None])) / (counts + 0.5 * (np.arange(n_cat) <= tops[:, None])).sum(1, keepdims=True)
+    shares, tops = _shares(counts)
     order = np.argsort(-(shares @ np.arange(n_cat)), kind="stable") if item_order is None else np.array(item_order)
     if constraints is not None and model != "UN":
         raise ValueError("constraints are for free classes")
@@ -351,7 +432,7 @@ def _problem(counts: np.ndarray, model: str, n_classes: int, n_starts: int, tol:
         ability, n_classes, n_starts = z[:, None], len(z), 1
     elif model == "LCR":
         ability = np.eye(n_classes)
-    probs = _starts(model, shares, tops, n_classes, n_starts, seed)
+    probs = given or _starts(model, shares, tops, n_classes, n_starts, seed)
     weights = [node_weights if model == "RM" else np.full(n_classes, 1 / n_classes) for _ in probs]
     if ability is None:
         for f in also or []:

@@ -201,6 +201,13 @@ def _pairs() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
             + "sh AS (SELECT item_id, step, SUM(n_right) / CAST(GREATEST(SUM(n_total), 1) AS DOUBLE) AS share FROM pc GROUP BY 1, 2), rk2 AS (SELECT item_id, step, ROW_NUMBER() OVER (ORDER BY share, item_id, step) AS facility_rank FROM sh) "
             + "SELECT score, item_id, step, n_total, n_right, ROUND(CASE WHEN n_total > 0 THEN n_right / CAST(n_total AS DOUBLE) END, 6) AS rate, facility_rank FROM pc JOIN rk2 USING (item_id, step)",
         ),
+        "poly_counts_bands": (
+            lambda s, d: rounded(C.polytomous_bands(g(s, d), ITEMS), "ability"),
+            _G.replace("WITH raw", "WITH RECURSIVE raw")
+            + _BANDS.format(least=10).replace("COUNT(*) / 9.0", "COUNT(*) / (SELECT GREATEST(3.0, COUNT(DISTINCT total)) FROM (SELECT SUM(x) AS total FROM r GROUP BY person_id))")
+            + ", p AS (SELECT person_id, ROUND(AVG(x), 9) AS score FROM r GROUP BY 1), q AS (SELECT p.*, band FROM p JOIN bands USING (score)), ab AS (SELECT band, ROUND(AVG(score), 6) AS ability FROM q GROUP BY 1), top AS (SELECT item_id, MAX(x) AS m FROM r GROUP BY 1) "
+            + "SELECT band, ability, item_id, CAST(k AS INT) AS step, COUNT(CASE WHEN x IN (k, k - 1) THEN 1 END) AS n_total, CAST(SUM(CASE WHEN x = k THEN 1 ELSE 0 END) AS BIGINT) AS n_right FROM r JOIN q USING (person_id) JOIN ab USING (band) JOIN top USING (item_id) JOIN (SELECT UNNEST([1, 2, 3]) AS k) ON k <= m GROUP BY 1, 2, 3, 4",
+        ),
         "rest_score_table": (
             lambda s, d: C.rest_score_table(b(s, d), ITEMS),
             _B + ", t AS (SELECT person_id, SUM(x) AS total FROM r GROUP BY 1), f AS (SELECT r.*, rank, total FROM r JOIN ranks USING (item_id) JOIN t USING (person_id)) SELECT a.item_id AS easier, h.item_id AS harder, CAST(a.total - a.x - h.x AS BIGINT) AS rest, COUNT(*) AS n, CAST(SUM(a.x) AS BIGINT) AS sum_easier, CAST(SUM(h.x) AS BIGINT) AS sum_harder FROM f a JOIN f h ON a.person_id = h.person_id AND a.rank < h.rank GROUP BY 1, 2, 3",
@@ -340,6 +347,7 @@ def _fits() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     b, g = binary, graded
     out = {f"fit_{m.lower()}": _fitted(b, m) for m in ("UN", "MON", "IIO", "DM", "LCR")}
     out |= {"fit_lca_poly": _fitted(g, "UN"), "fit_lcr_poly": _fitted(g, "LCR")}
+    out |= {"fit_un_kmeans": _fitted(g, "UN", n_classes=3, starts="kmeans"), "fit_mon_quantiles": _fitted(b, "MON", n_classes=3, starts="quantiles")}
     out |= {f"fit_{m.lower()}_poly": _fitted(g, m) for m in ("MON", "IIO", "DM")}
     return out | {
         "fit_rm": _with_rasch(b, lambda s, r, p, t, f: rounded(M.step_rows(s, f), "delta")),
@@ -467,6 +475,7 @@ def _nulls() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cancellation_null": _null(lambda p, t: N.cancellation_null(p, t, "double")),
         "cancellation_null_graded": _null(lambda p, t: N.cancellation_null(p, t, "single"), graded),
         "cancellation_null_free": _null(free_null),
+        "cancellation_null_item_errors": _null(lambda p, t: N.cancellation_null(p, t, "double", drawn=L.marginal_replicates(p, M.fit(t, "RM"), item_errors=True))),
         "cancellation_levels": _chosen(lambda p, t: H.check_hierarchy(p, t), "statistic", "p", "adjusted"),
         "item_order_test": _null(lambda p, t: N.ordering_null(p, t, M.fit(t, "IIO", n_classes=3, n_starts=STARTS))),
         "item_order_staged": _null(staged),
