@@ -25,6 +25,8 @@ from .mixtures import PATTERNS_PER_TASK, Fit, fit, fit_here
 
 #: Replicates of a test, and distinct (answered items, total) rows that the driver weighs itself; tasks weigh more of them.
 REPLICATES, GROUPS_ON_DRIVER = 99, 2_000
+#: Most coefficients of generating functions that are held side by side.
+CELLS_AT_ONCE = 1 << 20
 REPLICATE_ROWS = "rep int, x array<int>, freq long"
 
 
@@ -110,39 +112,62 @@ def mask_totals(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy(mask.alias("mask"), total.alias("total")).agg(F.sum("freq").alias("n"))
 
 
+def _times(left: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Products of the polynomials in the rows of ``left`` and of ``weights``, cut to the length of ``left``."""
+    out = left * weights[:, :1]
+    for k in range(1, weights.shape[1]):
+        out[:, k:] += left[:, :-k] * weights[:, k : k + 1]
+    return out
+
+
 def _conditional_loss(groups: list[tuple[str, int, int]], steps: list[np.ndarray]) -> tuple[float, np.ndarray]:
-    """Sum of n log gamma over the groups, and minus its slope by the steps: the expected numbers that reach each."""
-    weights = _step_weights(steps)
+    """Sum of n log gamma over the groups, and minus its slope by the steps: the expected numbers that reach each.
+
+    An item's rest is the product of those before and behind it.  All sets of answered items go side by side, as many as CELLS_AT_ONCE allows.
+    """
     value, reached = 0.0, np.zeros(sum(map(len, steps)))
-    first = np.concatenate([[0], np.cumsum([len(d) for d in steps])]).astype(int)
-    by_mask: dict[str, list[tuple[int, int]]] = {}
-    for mask, total, n in groups:
-        by_mask.setdefault(mask, []).append((total, n))
-    for mask, totals in by_mask.items():
-        items = [j for j, m in enumerate(mask) if m == "1"]
-        whole = np.ones(1)
-        scale = 0.0
-        for j in items:
-            whole = np.convolve(whole, weights[j])
-            scale += np.log(whole.max())
-            whole = whole / whole.max()
-        for total, n in totals:
-            value += n * (np.log(whole[total]) + scale)
-        for j in items:
-            rest = np.ones(1)
-            for i in items:
-                if i != j:
-                    rest = np.convolve(rest, weights[i])
-                    rest = rest / rest.max()
-            for total, n in totals:
-                k = np.arange(len(weights[j]))
-                left = total - k
-                p = np.where((left >= 0) & (left < len(rest)), weights[j] * rest[np.clip(left, 0, len(rest) - 1)], 0)
-                p = p / p.sum()
-                reached[first[j] : first[j + 1]] += n * np.cumsum(p[::-1])[::-1][1:]
+    masks = sorted({mask for mask, _, _ in groups})
+    at_once = max(1, CELLS_AT_ONCE // ((len(steps) + 1) * (len(reached) + 1)))
+    place = {mask: k for k, mask in enumerate(masks)}
+    of, total, n = (np.array(v) for v in zip(*[(place[mask], total, n) for mask, total, n in groups])) if groups else np.zeros((3, 0), int)
+    for start in range(0, len(masks), at_once):
+        here = (of >= start) & (of < start + at_once)
+        more = _loss_of_masks(masks[start : start + at_once], of[here] - start, total[here], n[here], steps)
+        value, reached = value + more[0], reached + more[1]
     return value, reached
 
 
+def _loss_of_masks(masks: list[str], of: np.ndarray, total: np.ndarray, n: np.ndarray, steps: list[np.ndarray]) -> tuple[float, np.ndarray]:
+    seen = np.array([[m == "1" for m in mask] for mask in masks])
+    # An item that wasn't answered is the polynomial 1.
+    weights = [np.where(seen[:, j, None], w, np.arange(len(w)) == 0) for j, w in enumerate(_step_weights(steps))]
+    ends, scale = [], np.zeros(len(masks))
+    for side in (weights, weights[::-1]):
+        products = [np.zeros((len(masks), 1 + sum(map(len, steps))))]
+        products[0][:, 0] = 1
+        for w in side:
+            p = _times(products[-1], w)
+            largest = p.max(1, keepdims=True)
+            products.append(p / largest)
+            scale += np.log(largest[:, 0]) * (side is weights)
+        ends.append(products)
+    before, behind = ends[0], ends[1][::-1]
+    value = float(n @ (np.log(before[-1][of, total]) + scale[of]))
+    reached = []
+    for j, w in enumerate(weights):
+        # The rest is wanted at the groups' totals alone, less each answer to the item.
+        left, right = before[j][of], behind[j + 1][of]
+        p = np.zeros((len(of), w.shape[1]))
+        for k in range(w.shape[1]):
+            upto = total - k
+            for s in range(int(upto.max(initial=-1)) + 1):
+                p[:, k] += np.where(upto >= s, left[:, s] * right[np.arange(len(of)), np.maximum(upto - s, 0)], 0)
+        p *= w[of]
+        p /= p.sum(1, keepdims=True)
+        reached.append((n * seen[of, j]) @ np.cumsum(p[:, ::-1], axis=1)[:, ::-1][:, 1:])
+    return value, np.concatenate(reached)
+
+
 def _loss_in_tasks(groups: DataFrame, steps: list[np.ndarray]) -> tuple[float, np.ndarray]:
     """``_conditional_loss`` of a table (mask, total, n): a task per part of it, one vector of sums from each."""
 
@@ -157,7 +182,7 @@ def _loss_in_tasks(groups: DataFrame, steps: list[np.ndarray]) -> tuple[float, n
     return float(sums[0]), sums[1:]
 
 
-def fit_conditional(patterns: DataFrame, rounds: int = 500, tol: float = 1e-8) -> list[np.ndarray]:
+def fit_conditional(patterns: DataFrame, rounds: int = 500, tol: float = 1e-10) -> list[np.ndarray]:
     """Steps of every item, summing to zero, by conditional maximum likelihood given who answered what and their totals.
 
     Persons with none or all of their steps say nothing, nor do those with one answer.  An iteration costs as much as there
@@ -196,28 +221,42 @@ def _fit_conditional(patterns: DataFrame, rounds: int, tol: float) -> list[np.nd
         value, reached = loss_of(np.split(d, first[1:-1]))
         return (value + margin @ d) / persons, (margin - reached) / persons
 
+    # The search starts where each item by itself lies, with the curvature that it has by itself.
+    spread = np.zeros((first[-1], first[-1]))
     at = np.zeros(first[-1])
+    for low, high in zip(first[:-1], first[1:]):
+        share = (margin[low:high] + 0.5) / (persons + 1)
+        spread[low:high, low:high] = np.minimum.outer(share, share) - np.outer(share, share)
+        given = np.maximum(np.concatenate([[persons], margin[low:high]]) - np.append(margin[low:high], 0), 0) + 0.5
+        at[low:high] = np.log(given[:-1] / given[1:])
+    begin = np.linalg.inv(spread + 1e-9 * np.eye(len(at)))
+    at -= at.mean()
     value, slope = loss(at)
-    inverse = np.eye(len(at))
+    inverse = begin
     for _ in range(rounds):
         if np.abs(slope).max() < tol:
             break
         move, scale = -inverse @ slope, 1.0
         move -= move.mean()
         if move @ slope >= 0:
-            inverse = np.eye(len(at))
-            move = -(slope - slope.mean())
+            inverse = begin
+            move = -inverse @ (slope - slope.mean())
+            move -= move.mean()
         while True:  # halve until the loss falls enough
             new = at + scale * move
             new_value, new_slope = loss(new)
-            if new_value <= value + 1e-4 * scale * (move @ slope) or scale < 1e-10:
+            # Within rounding of the loss the slope decides, so a search at the end of the digits doesn't go on.
+            near = abs(new_value - value) <= 1e-12 * (1 + abs(value))
+            if (np.abs(new_slope).max() <= 0.9 * np.abs(slope).max()) if near else new_value <= value + 1e-4 * scale * (move @ slope):
+                break
+            scale = scale / 2 if not near else 0.0
+            if scale < 1e-10:
                 break
-            scale /= 2
         if scale < 1e-10:
             break
         s, y = new - at, new_slope - slope
         at, value, slope = new, new_value, new_slope
-        if s @ y > 1e-14:
+        if s @ y > 1e-14 * np.sqrt((s @ s) * (y @ y)):
             rho = 1 / (s @ y)
             left = np.eye(len(at)) - rho * np.outer(s, y)
             inverse = left @ inverse @ left.T + rho * np.outer(s, s)

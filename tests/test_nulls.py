@@ -46,6 +46,26 @@ def test_conditional_fit_is_the_best_by_enumeration(spark):
         N.fit_conditional(table(spark, [[1, 1], [0, 0]]))
 
 
+def test_conditional_search_ends_where_digits_do(spark, monkeypatch):
+    """Graded answers, the last steps of which few take: the search used to go on at the end of the digits."""
+    rng = np.random.default_rng(4)
+    deltas = [np.array([-1.6, -0.5, -1.2]) + 0.3 * j + np.array([0.0, 0.02, 0.2]) * j for j in range(8)]
+    weights = np.exp(np.arange(4) * rng.normal(0.5, 0.6, 4000)[:, None, None] - [np.concatenate([[0], np.cumsum(d)]) for d in deltas])
+    upto = np.cumsum(weights, axis=2)
+    answers = (rng.random((4000, 8, 1)) * upto[:, :, -1:] >= upto).sum(2)
+    people = packed_rows(spark, [[None if rng.random() < 0.02 else v for v in row] for row in answers])
+    calls, loss = [], N._conditional_loss
+    monkeypatch.setattr(N, "_conditional_loss", lambda *a: calls.append(1) or loss(*a))
+    patterns = people.groupBy("x").agg(F.count(F.lit(1)).alias("freq"))
+    steps = N.fit_conditional(patterns)
+    assert len(calls) < 60 and np.abs(np.concatenate(steps) - np.concatenate(deltas) + np.concatenate(deltas).mean()).max() < 0.6
+    groups = [(r["mask"], r["total"], r["n"]) for r in N.mask_totals(patterns).collect()]
+    whole = loss(groups, steps)
+    monkeypatch.setattr(N, "CELLS_AT_ONCE", 1000)
+    parts = loss(groups, steps)
+    assert parts[0] == pytest.approx(whole[0]) and parts[1] == pytest.approx(whole[1])
+
+
 def test_conditional_replicates_keep_masks_and_totals(spark):
     steps = [np.array([-0.5]), np.array([0.3]), np.array([0.2, -0.4])]
     answers = [[1, 0, 1]] * 3000 + [[None, 1, 1]] * 40 + [[0, 0, 0], [1, 1, 2], [None, None, 1], [None, None, None]]
