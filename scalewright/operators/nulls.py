@@ -508,6 +508,11 @@ def likelihood_ratio_test(packed: DataFrame, patterns: DataFrame, restricted: Fi
     return _ratio(restricted, general), refitted(drawn, replicates, _categories([restricted, general]), recipe, statistic, is_large(patterns), n_starts, seed)
 
 
+def _held_rows(small: DataFrame) -> DataFrame:
+    """A table of a row per replicate whose rows are made now, once."""
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)
+
+
 def severity(packed: DataFrame, patterns: DataFrame, restricted: Fit, general: Fit, null: DataFrame, replicates: int = REPLICATES, n_starts: int = 3, seed: int = 1, alpha: float = 0.05, reselect: tuple[int, ...] = (), selection: str | None = None) -> DataFrame:
     """(cutoff, power, effect, observed_rank, separated, replicates): how far the likelihood ratio moves if the general fit is true.
 
@@ -518,10 +523,10 @@ def severity(packed: DataFrame, patterns: DataFrame, restricted: Fit, general: F
     recipe, statistic = _ratio_recipe(restricted.model, general.model, len(general.weights), reselect, selection or general.model)
     drawn = model_replicates(packed, general, replicates, seed + 1)
     shifted = refitted(drawn, replicates, _categories([restricted, general]), recipe, statistic, is_large(patterns), n_starts, seed).where("not failed")
-    null = null.where(F.col("statistic").isNotNull())
+    # Both sides are a row per replicate, and seconds of fitting: they are made once, not again for every use and every pair.
+    shifted, null = (_held_rows(t.where(F.col("statistic").isNotNull()).select("statistic")) for t in (shifted, null))
     cutoff = null.agg(F.percentile("statistic", F.lit(1 - alpha)).alias("cutoff"))
-    # Both sides are a row per replicate.
-    pairs = shifted.select(F.col("statistic").alias("s")).join(null.select(F.col("statistic").alias("t")), F.lit(True))
+    pairs = shifted.select(F.col("statistic").alias("s")).join(F.broadcast(null.select(F.col("statistic").alias("t"))), F.lit(True))
     effect = pairs.agg(F.avg(F.when(F.col("s") > F.col("t"), 1.0).when(F.col("s") == F.col("t"), 0.5).otherwise(0.0)).alias("effect"))
     rank = shifted.join(cutoff, F.lit(True)).agg(F.first("cutoff").alias("cutoff"), F.avg((F.col("statistic") > F.col("cutoff")).cast("double")).alias("power"), F.avg((F.col("statistic") < _ratio(restricted, general)).cast("double")).alias("observed_rank"), (F.percentile("statistic", F.lit(0.5)) > F.first("cutoff")).alias("separated"), F.count(F.lit(1)).alias("replicates"))
     return rank.join(effect, F.lit(True)).select("cutoff", "power", "effect", "observed_rank", "separated", "replicates")

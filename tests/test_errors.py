@@ -241,6 +241,25 @@ def test_severity_tells_real_from_negligible_departures(spark):
     crossed.unpersist()
 
 
+def test_severity_fits_every_replicate_once(spark, monkeypatch):
+    fitted = spark.sparkContext.accumulator(0)
+    draw = N.model_replicates
+
+    def counted(*args, **options):
+        made = F.udf(lambda rep: fitted.add(1) or rep, "int")
+        return draw(*args, **options).withColumn("rep", made("rep"))
+
+    people = packed_rows(spark, drawn(np.array([[0.2, 0.15, 0.3], [0.9, 0.8, 0.85]]), 300)).persist()
+    patterns = patterns_of(people)
+    low, high = (M.fit(patterns, m, n_starts=1) for m in ("MON", "UN"))
+    null = spark.range(4).selectExpr("cast(id as int) as rep", "id / 2D as statistic", "false as failed")
+    monkeypatch.setattr(N, "model_replicates", counted)
+    row = N.severity(people, patterns, low, high, null, 4, 1).first()
+    # A replicate of three binary items has eight patterns at most.
+    assert row["replicates"] == 4 and row["cutoff"] == pytest.approx(1.425) and 0 < fitted.value <= 4 * 8
+    people.unpersist()
+
+
 def test_large_tables_are_refitted_by_replicate(spark, monkeypatch):
     """The path of large tables gives the statistics of the small one."""
     people = packed_rows(spark, drawn(np.array([[0.2, 0.15, 0.3, 0.1], [0.9, 0.8, 0.85, 0.75]]), 400)).persist()
