@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_mixtures import drawn, table
 
 from scalewright.operators import cancellation as K
@@ -172,3 +173,17 @@ def test_goodness_of_fit_of_a_small_table(spark):
     assert row["p_g2"] == pytest.approx(math.erfc(math.sqrt(g2 / 2)), abs=1e-6)
     with pytest.raises(ValueError):
         S.goodness_of_fit(patterns, M.fit(patterns, "RM"))
+
+
+def test_fits_of_one_comparison_read_their_answers_once(spark):
+    """Patterns are counted once for all models and numbers of classes, however many fits there are."""
+    read = spark.sparkContext.accumulator(0)
+
+    def answers():
+        seen = F.udf(lambda i: read.add(1) or [i % 2, i // 2 % 2, i // 4 % 2], "array<int>")
+        return spark.range(0, 64, 1, 2).select(seen("id").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("freq"))
+
+    for compare in (lambda t: S.compare_models(t, ("UN", "MON"), 2, n_starts=1), lambda t: S.select_n_classes(t, range(1, 3), n_starts=1), lambda t: S.compare_rm_lcr(t, 2, n_starts=1)):
+        read.value = 0
+        compare(answers())
+        assert read.value == 64
