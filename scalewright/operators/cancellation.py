@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fanout import kept
+
 #: Sub-matrices that are sampled side by side; the group's number is part of the seed.
 GROUP = 512
 #: Sampling steps, those left out at the start, and every how many-th one is kept.
@@ -296,12 +298,13 @@ def hierarchy(cells: DataFrame, which: str | int = "adjacent", seed: int = 1, **
 
     A cell passes on the border of its range here.  A sub-matrix with a rate of 0 or 1 is SKIPPED.
     """
-    everyone = sub_matrices(cells, 4, which, seed).select("sub_id")
     levels = []
-    for level, check in (("SINGLE", "single4"), ("DOUBLE", "double4"), ("TRIPLE", "triple")):
-        bad = ((F.col("rate") < F.col("low")) | (F.col("rate") > F.col("high"))).cast("int")
-        found = conjoint_checks(cells, check, which, seed=seed, **options)
-        levels.append((level, found.groupBy("sub_id").agg(F.max(bad).alias(level))))
+    with kept(cells.select("row", "col", "n_total", "n_right")) as cells:  # a row per score group and item, read by every level
+        everyone = sub_matrices(cells, 4, which, seed).select("sub_id")
+        for level, check in (("SINGLE", "single4"), ("DOUBLE", "double4"), ("TRIPLE", "triple")):
+            bad = ((F.col("rate") < F.col("low")) | (F.col("rate") > F.col("high"))).cast("int")
+            found = conjoint_checks(cells, check, which, seed=seed, **options)
+            levels.append((level, found.groupBy("sub_id").agg(F.max(bad).alias(level))))
     for _, found in levels:
         everyone = everyone.join(found, "sub_id", "left")
     status = F.when(F.col("SINGLE").isNull(), "SKIPPED")
@@ -320,11 +323,13 @@ def dense_core(cells: DataFrame, least: int = 5) -> DataFrame:
     column; the first of equal ones goes.  Fewer than three of either is an error.  The table has a row per
     score group and step, so its counts are weighed on the driver.
     """
-    n = {(r["row"], r["col"]): r["n_total"] for r in cells.select("row", "col", "n_total").collect()}
+    found = cells.collect()  # counted once: what stays is cut from the same rows
+    n = {(r["row"], r["col"]): r["n_total"] for r in found}
     rows, cols = (sorted({k[i] for k in n}) for i in (0, 1))
     table = np.array([[n.get((r, c), 0) for c in cols] for r in rows]).reshape(len(rows), len(cols))
     stay = dense_sides(table, least)
-    return cells.where(F.col("row").isin([rows[i] for i in stay[0]]) & F.col("col").isin([cols[j] for j in stay[1]]))
+    rows, cols = {rows[i] for i in stay[0]}, {cols[j] for j in stay[1]}
+    return cells.sparkSession.createDataFrame([r for r in found if r["row"] in rows and r["col"] in cols], cells.schema)
 
 
 def dense_sides(total: np.ndarray, least: int = 5) -> tuple[list[int], list[int]]:

@@ -187,3 +187,15 @@ def test_fits_of_one_comparison_read_their_answers_once(spark):
         read.value = 0
         compare(answers())
         assert read.value == 64
+
+
+def test_cells_of_checks_are_counted_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def cells():
+        seen = F.udf(lambda i: read.add(1) or 40, "int")
+        return spark.range(0, 16, 1, 2).select((F.col("id") / 4).cast("int").alias("row"), (F.col("id") % 4).cast("int").alias("col"), seen("id").alias("n_total")).groupBy("row", "col").agg(F.sum("n_total").alias("n_total")).withColumn("n_right", 8 + 3 * F.col("row") + 4 * F.col("col"))
+
+    assert K.dense_core(cells()).count() == 16 and read.value == 16
+    read.value = 0
+    assert K.hierarchy(cells(), "all", steps=200, burn=100).count() == 1 and read.value == 16
