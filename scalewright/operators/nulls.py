@@ -59,6 +59,16 @@ def _lists(answers: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, mask=flat < 0))
 
 
+def _counted(answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in order and how often each occurs; rows that fit into one number are compared as such."""
+    base = int(answers.max(initial=0)) + 2
+    if base ** answers.shape[1] >= 2**62:
+        return np.unique(answers, axis=0, return_counts=True)
+    powers = base ** np.arange(answers.shape[1], dtype=np.int64)[::-1]
+    codes, freq = np.unique((answers + 1) @ powers, return_counts=True)
+    return codes[:, None] // powers % base - 1, freq
+
+
 def _replicated(people: DataFrame, replicates: range, draw: Callable[..., np.ndarray], *more: str) -> DataFrame:
     """(rep, x, freq) of ``draw(person_ids, answers, rep, columns named in more)`` for every replicate."""
 
@@ -69,7 +79,7 @@ def _replicated(people: DataFrame, replicates: range, draw: Callable[..., np.nda
             ids, answers = b.column(0).to_numpy(), _matrix(b.column(1))
             extra = [b.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(more))]
             for rep in replicates:
-                patterns, freq = np.unique(draw(ids, answers, rep, *extra), axis=0, return_counts=True)
+                patterns, freq = _counted(draw(ids, answers, rep, *extra))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(patterns), rep, np.int32)), _lists(patterns), pa.array(freq.astype(np.int64))], ["rep", "x", "freq"])
 
     drawn = people.where("person_id is not null").select("person_id", "x", *more).mapInArrow(run, REPLICATE_ROWS)

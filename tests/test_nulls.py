@@ -66,6 +66,16 @@ def test_conditional_search_ends_where_digits_do(spark, monkeypatch):
     assert parts[0] == pytest.approx(whole[0]) and parts[1] == pytest.approx(whole[1])
 
 
+@pytest.mark.parametrize("items, top", [(3, 1), (8, 3), (40, 3), (2, 0)])
+def test_patterns_are_counted_as_numbers_or_rows(items, top):
+    rng = np.random.default_rng(items)
+    answers = rng.integers(-1, top + 1, (500, items))
+    answers[250:] = answers[:250]
+    found, freq = N._counted(answers)
+    rows, n = np.unique(answers, axis=0, return_counts=True)
+    assert (found == rows).all() and (freq == n).all() and len(N._counted(answers[:0])[0]) == 0
+
+
 def test_conditional_replicates_keep_masks_and_totals(spark):
     steps = [np.array([-0.5]), np.array([0.3]), np.array([0.2, -0.4])]
     answers = [[1, 0, 1]] * 3000 + [[None, 1, 1]] * 40 + [[0, 0, 0], [1, 1, 2], [None, None, 1], [None, None, None]]
