@@ -22,7 +22,7 @@ from . import mixtures as M
 from .counts import mask_ranks, pattern_frequencies
 from .fanout import kept
 from .mixtures import Fit
-from .nulls import REPLICATES, Refit, _matrix, _replicated, _step_weights, _uniform, given_totals, is_large, refit_table
+from .nulls import REPLICATES, Draw, Refit, _matrix, _numbers, _replicated, _step_weights, given_totals, is_large, refit_table
 
 #: Nodes of the histogram and how many standard deviations it reaches to either side.
 NODES, REACH = 41, 4.0
@@ -83,10 +83,11 @@ Steps = dict[int, list[np.ndarray]]
 
 def _all_answers(ids: np.ndarray, rep: int, f: Fit, seed: int, steps: Steps) -> np.ndarray:
     """Simulated answers of persons to all items."""
-    theta = drawn_abilities(f, _uniform(ids, rep, 0, seed), _uniform(ids, rep, 1, seed))
+    number = _numbers(ids, rep, seed)
+    theta = drawn_abilities(f, number(0), number(1))
     upto = np.cumsum(M.step_table(theta, steps.get(rep, f.steps), f.probs.shape[2]), axis=2)
     tops = np.array([len(d) for d in f.steps])
-    return np.stack([np.minimum((_uniform(ids, rep, j + 2, seed)[:, None] >= upto[:, j]).sum(1), tops[j]) for j in range(len(tops))], 1)
+    return np.stack([np.minimum((number(j + 2)[:, None] >= upto[:, j]).sum(1), tops[j]) for j in range(len(tops))], 1)
 
 
 def simulated_totals(packed: DataFrame, f: Fit, replicates: int, seed: int, steps: Steps) -> np.ndarray:
@@ -133,13 +134,17 @@ def marginal_replicates(packed: DataFrame, f: Fit, replicates: int = REPLICATES,
     people = packed.where("person_id is not null").select("person_id", "x")
     steps = redrawn_steps(people, f, replicates, seed) if item_errors else {}
     if not people.where(F.exists("x", lambda v: v.isNull())).limit(1).count():
-        return _replicated(people, range(replicates), lambda ids, answers, rep: _all_answers(ids, rep, f, seed, steps))
+        return _replicated(people, range(replicates), lambda ids, answers: lambda rep: _all_answers(ids, rep, f, seed, steps))
     upto = np.cumsum(simulated_totals(people, f, replicates, seed, steps), axis=1)
     ranks = mask_ranks(people.select("person_id", F.posexplode("x").alias("item_id", "x")), len(f.steps)).select("person_id", "rank")
 
-    def draw(ids: np.ndarray, answers: np.ndarray, rep: int, rank: np.ndarray) -> np.ndarray:
-        totals = np.minimum(np.searchsorted(upto[rep], rank, "left"), upto.shape[1] - 1)
-        drawn = given_totals(totals, _step_weights(steps.get(rep, f.steps)), lambda place: _uniform(ids, rep, place + 2 + len(f.steps), seed))
-        return np.where(answers < 0, -1, drawn)
+    def prepare(ids: np.ndarray, answers: np.ndarray, rank: np.ndarray) -> Draw:
+        def draw(rep: int) -> np.ndarray:
+            number = _numbers(ids, rep, seed)
+            totals = np.minimum(np.searchsorted(upto[rep], rank, "left"), upto.shape[1] - 1)
+            drawn = given_totals(totals, _step_weights(steps.get(rep, f.steps)), lambda place: number(place + 2 + len(f.steps)))
+            return np.where(answers < 0, -1, drawn)
 
-    return _replicated(people.join(ranks, "person_id"), range(replicates), draw, "rank")
+        return draw
+
+    return _replicated(people.join(ranks, "person_id"), range(replicates), prepare, "rank")

@@ -27,19 +27,30 @@ from .mixtures import PATTERNS_PER_TASK, Fit, fit, fit_here
 REPLICATES, GROUPS_ON_DRIVER = 99, 2_000
 #: Most coefficients of generating functions that are held side by side.
 CELLS_AT_ONCE = 1 << 20
+#: Persons whose replicates a task draws at once, and the most counts of patterns that it holds.
+PERSONS_HELD, COUNTS_HELD = 1 << 15, 1 << 23
 REPLICATE_ROWS = "rep int, x array<int>, freq long"
 
 
+def _mixed(z: np.ndarray, part: int) -> np.ndarray:
+    z = z + np.uint64(int(part) * 0xD1B54A32D192ED03 % 2**64)
+    z ^= z >> np.uint64(30)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return z
+
+
+def _numbers(persons: np.ndarray, rep: int, seed: int) -> Callable[[int], np.ndarray]:
+    """``_uniform`` of persons in a replicate, by what it is for; the bits that all of them share are mixed once."""
+    z = _mixed(persons.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), rep + 1)
+    return lambda what: (_mixed(_mixed(z, what + 1), seed + 1) >> np.uint64(11)).astype(float) * 2.0**-53
+
+
 def _uniform(persons: np.ndarray, rep: int, what: int, seed: int) -> np.ndarray:
     """One number in [0, 1) per person, by mixing the bits of all four arguments."""
-    with np.errstate(over="ignore"):
-        z = persons.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for part in (rep + 1, what + 1, seed + 1):
-            z = z + np.uint64(part) * np.uint64(0xD1B54A32D192ED03)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            z ^= z >> np.uint64(31)
-    return (z >> np.uint64(11)).astype(float) / 2**53
+    return _numbers(persons, rep, seed)(what)
 
 
 def _answers(x: pd.Series) -> np.ndarray:
@@ -59,28 +70,72 @@ def _lists(answers: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, mask=flat < 0))
 
 
+def _codes(answers: np.ndarray, base: int) -> np.ndarray:
+    """Rows as numbers, in the order of the rows."""
+    code = np.zeros(len(answers), np.int64)
+    for column in answers.T:
+        code *= base
+        code += column
+        code += 1
+    return code
+
+
+def _decoded(codes: np.ndarray, base: int, n_items: int) -> np.ndarray:
+    return codes[:, None] // base ** np.arange(n_items, dtype=np.int64)[::-1] % base - 1
+
+
 def _counted(answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows in order and how often each occurs; rows that fit into one number are compared as such."""
     base = int(answers.max(initial=0)) + 2
     if base ** answers.shape[1] >= 2**62:
         return np.unique(answers, axis=0, return_counts=True)
-    powers = base ** np.arange(answers.shape[1], dtype=np.int64)[::-1]
-    codes, freq = np.unique((answers + 1) @ powers, return_counts=True)
-    return codes[:, None] // powers % base - 1, freq
+    codes, freq = np.unique(_codes(answers, base), return_counts=True)
+    return _decoded(codes, base, answers.shape[1]), freq
 
 
-def _replicated(people: DataFrame, replicates: range, draw: Callable[..., np.ndarray], *more: str) -> DataFrame:
-    """(rep, x, freq) of ``draw(person_ids, answers, rep, columns named in more)`` for every replicate."""
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to PERSONS_HELD rows or some more."""
+    waiting: list[pa.RecordBatch] = []
+    for b in batches:
+        waiting.append(b)
+        if sum(w.num_rows for w in waiting) >= PERSONS_HELD:
+            yield pa.concat_batches(waiting)
+            waiting = []
+    if sum(w.num_rows for w in waiting):
+        yield pa.concat_batches(waiting)
+
+
+#: What draws a replicate of some persons: a row of answers for each of them.
+Draw = Callable[[int], np.ndarray]
+
+
+def _replicated(people: DataFrame, replicates: range, prepare: Callable[..., Draw], *more: str) -> DataFrame:
+    """(rep, x, freq) of ``prepare(person_ids, answers, columns named in more)(rep)`` for every replicate.
+
+    Patterns of which there can be only few are counted over the whole task, others over the persons that are held together.
+    """
+
+    def rows(rep: int, patterns: np.ndarray, freq: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(patterns), rep, np.int32)), _lists(patterns), pa.array(freq.astype(np.int64))], ["rep", "x", "freq"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in _held(batches):
             ids, answers = b.column(0).to_numpy(), _matrix(b.column(1))
-            extra = [b.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(more))]
-            for rep in replicates:
-                patterns, freq = _counted(draw(ids, answers, rep, *extra))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(patterns), rep, np.int32)), _lists(patterns), pa.array(freq.astype(np.int64))], ["rep", "x", "freq"])
+            draw = prepare(ids, answers, *[b.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(more))])
+            for place, rep in enumerate(replicates):
+                drawn = draw(rep)
+                base, n_items = int(drawn.max(initial=0)) + 2, drawn.shape[1]
+                if base**n_items * len(replicates) > COUNTS_HELD:
+                    yield rows(rep, *_counted(drawn))
+                    continue
+                if (base, n_items) not in sums:
+                    sums[base, n_items] = np.zeros((len(replicates), base**n_items), np.int32)
+                sums[base, n_items][place] += np.bincount(_codes(drawn, base), minlength=base**n_items).astype(np.int32)
+        for (base, n_items), counts in sums.items():
+            for rep, one in zip(replicates, counts):
+                codes = np.flatnonzero(one)
+                yield rows(rep, _decoded(codes, base, n_items), one[codes])
 
     drawn = people.where("person_id is not null").select("person_id", "x", *more).mapInArrow(run, REPLICATE_ROWS)
     return drawn.groupBy("rep", "x").agg(F.sum("freq").alias("freq"))
@@ -91,15 +146,25 @@ def model_replicates(packed: DataFrame, f: Fit, replicates: int = REPLICATES, se
 
     Replicates are numbered from ``first`` on; each is the same whichever others are drawn.
     """
-    weights, tables = np.cumsum(f.weights), np.cumsum(f.probs, axis=2)
+    weights, tables = np.cumsum(f.weights), np.ascontiguousarray(np.cumsum(f.probs, axis=2).transpose(1, 2, 0))
+
+    def prepare(ids: np.ndarray, answers: np.ndarray) -> Draw:
+        left_out = answers < 0
 
-    def draw(ids: np.ndarray, answers: np.ndarray, rep: int) -> np.ndarray:
-        k = np.minimum((_uniform(ids, rep, 0, seed)[:, None] >= weights).sum(1), len(weights) - 1)
-        top = (f.probs > 0).shape[2] - 1
-        new = np.column_stack([np.minimum((_uniform(ids, rep, j + 1, seed)[:, None] >= tables[k, j]).sum(1), top) for j in range(answers.shape[1])])
-        return np.where(answers < 0, -1, new)
+        def draw(rep: int) -> np.ndarray:
+            number = _numbers(ids, rep, seed)
+            k = np.minimum(np.searchsorted(weights, number(0), "right"), len(weights) - 1)
+            new = np.zeros(answers.shape[::-1], np.int64).T
+            for j, table in enumerate(tables):
+                u = number(j + 1)
+                for upto in table[:-1]:
+                    new[:, j] += u >= upto[k]
+            new[left_out] = -1
+            return new
 
-    return _replicated(packed, range(first, first + replicates), draw)
+        return draw
+
+    return _replicated(packed, range(first, first + replicates), prepare)
 
 
 def _products(weights: list[np.ndarray]) -> list[np.ndarray]:
@@ -292,20 +357,63 @@ def given_totals(totals: np.ndarray, weights: list[np.ndarray], uniform: Callabl
     return out
 
 
+class _GivenTotals:
+    """``given_totals`` of persons with different items, all at once: what an item's answer depends on is laid out by set of items and rest of the total."""
+
+    def __init__(self, masks: np.ndarray, weights: list[np.ndarray]):
+        self.width = 1 + sum(len(w) - 1 for w in weights)
+        rests = np.zeros((len(weights), len(masks), self.width + 1))  # the last place is for rests that can't be
+        for m, mask in enumerate(masks):
+            items = np.flatnonzero(mask)
+            for j, rest in zip(items, _products([weights[j] for j in items])[1:]):
+                rests[j, m, : len(rest)] = rest
+        self.bounds, self.scale, self.most = [], [], []
+        for j, w in enumerate(weights):
+            after = np.arange(self.width)[:, None] - np.arange(len(w))
+            p = w * rests[j][:, np.where(after >= 0, after, self.width)]
+            upto, able = np.cumsum(p, axis=2), p > 0
+            # Who didn't answer takes nothing from the total.
+            upto[~masks[:, j], :, :-1] = np.inf
+            self.bounds.append([np.ascontiguousarray(upto[..., k]).ravel() for k in range(len(w) - 1)])
+            self.scale.append(np.ascontiguousarray(upto[..., -1]).ravel())
+            self.most.append(np.where(masks[:, j, None], able.sum(2) - 1 + able.argmax(2), 0).ravel())
+
+    def __call__(self, kind: np.ndarray, totals: np.ndarray, number: Callable[[int], np.ndarray]) -> np.ndarray:
+        at = kind * self.width + totals
+        out = np.zeros((len(self.scale), len(at)), np.int64).T
+        for j, bounds in enumerate(self.bounds):
+            u, x = number(j) * self.scale[j][at], out[:, j]
+            for upto in bounds:
+                x += u >= upto[at]
+            np.minimum(x, self.most[j][at], out=x)
+            at = at - x
+        return out
+
+
 def conditional_replicates(packed: DataFrame, steps: list[np.ndarray], replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """(rep, x, freq) drawn given everyone's answered items and total, both of which stay exactly as they are."""
     weights = _step_weights(steps)
+    cells = len(weights) * (1 + sum(map(len, steps))) * max(map(len, weights))
 
-    def draw(ids: np.ndarray, answers: np.ndarray, rep: int) -> np.ndarray:
-        out = np.full_like(answers, -1)
-        masks, kind = np.unique(answers >= 0, axis=0, return_inverse=True)
-        for m, mask in enumerate(masks):
-            rows, items = np.flatnonzero(kind.ravel() == m), np.flatnonzero(mask)
-            if len(items):
-                out[np.ix_(rows, items)] = given_totals(np.maximum(answers[rows], 0).sum(1), [weights[j] for j in items], lambda place: _uniform(ids[rows], rep, items[place], seed))  # noqa: B023
-        return out
+    def prepare(ids: np.ndarray, answers: np.ndarray) -> Draw:
+        left_out, totals = answers < 0, np.maximum(answers, 0).sum(1)
+        masks, kind = np.unique(~left_out, axis=0, return_inverse=True)
+        kind, at_once = kind.ravel(), max(1, CELLS_AT_ONCE // cells)
+        parts = [(start, np.flatnonzero((kind >= start) & (kind < start + at_once))) for start in range(0, len(masks), at_once)]
+        ready = _GivenTotals(masks, weights) if len(parts) == 1 else None
+
+        def draw(rep: int) -> np.ndarray:
+            out = np.empty(answers.shape[::-1], np.int64).T
+            for start, rows in parts:
+                # Tables of more sets of items than are held at once are made again.
+                given = ready or _GivenTotals(masks[start : start + at_once], weights)
+                out[rows] = given(kind[rows] - start, totals[rows], _numbers(ids[rows], rep, seed))
+            out[left_out] = -1
+            return out
 
-    return _replicated(packed, range(replicates), draw)
+        return draw
+
+    return _replicated(packed, range(replicates), prepare)
 
 
 def resampled(packed: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
@@ -313,10 +421,10 @@ def resampled(packed: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
 
     table = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
-    def draw(ids: np.ndarray, answers: np.ndarray, rep: int) -> np.ndarray:
-        return np.repeat(answers, (_uniform(ids, rep, 0, seed)[:, None] >= table).sum(1), axis=0)
+    def prepare(ids: np.ndarray, answers: np.ndarray) -> Draw:
+        return lambda rep: np.repeat(answers, np.searchsorted(table, _uniform(ids, rep, 0, seed), "right"), axis=0)
 
-    return _replicated(packed, range(replicates), draw)
+    return _replicated(packed, range(replicates), prepare)
 
 
 def per_replicate(replicates: DataFrame, statistic: Callable[[np.ndarray, np.ndarray], float], n: int = REPLICATES) -> DataFrame:
@@ -453,8 +561,11 @@ def refitted(replicates: DataFrame, n: int, n_cat: int, recipe: dict[str, Refit]
 FITS = "rep int, weights array<double>, probs array<double>, theta array<double>, steps array<double>, sigma double"
 
 
-def refit_table(replicates: DataFrame, n: int, n_cat: int, refit: Refit, large: bool = False, n_starts: int = 3, seed: int = 1) -> DataFrame:
-    """``FITS``: the parameters of one fit of every replicate; those that can't be fitted are absent."""
+def refit_table(replicates: DataFrame, n: int, n_cat: int, refit: Refit, large: bool = False, n_starts: int = 3, seed: int = 1, then: Callable[[pd.DataFrame], pd.DataFrame] | None = None, schema: str = FITS) -> DataFrame:
+    """``FITS``: the parameters of one fit of every replicate; those that can't be fitted are absent.
+
+    ``then`` makes rows of ``schema`` of them in the task of the fit, so that no second Python process waits beside it.
+    """
 
     def row(rep: int, f: Fit) -> tuple:
         flat = [float(d) for item in f.steps for d in item]
@@ -463,17 +574,19 @@ def refit_table(replicates: DataFrame, n: int, n_cat: int, refit: Refit, large:
     if large:
         with _spread(replicates, n) as spread:
             fits = fit_each(spread, n_cat, refit.model, refit.n_classes, n_starts, seed)
-        return replicates.sparkSession.createDataFrame([row(rep, f) for rep, f in fits.items()], FITS)
+        table = replicates.sparkSession.createDataFrame([row(rep, f) for rep, f in fits.items()], FITS)
+        return table if then is None else table.mapInPandas(lambda batches: map(then, batches), schema)
     names = [c.split()[0] for c in FITS.split(", ")]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         try:
             f = fit_here(*_sorted_patterns(group), n_cat, refit.model, n_classes=refit.n_classes, n_starts=n_starts, seed=seed)
         except (ValueError, np.linalg.LinAlgError):
-            return pd.DataFrame([], columns=names)
-        return pd.DataFrame([row(int(group["rep"].iloc[0]), f)], columns=names)
+            return pd.DataFrame([], columns=[c.split()[0] for c in schema.split(", ")])
+        found = pd.DataFrame([row(int(group["rep"].iloc[0]), f)], columns=names)
+        return found if then is None else then(found)
 
-    return per_key(replicates, "rep", n, run, FITS)
+    return per_key(replicates, "rep", n, run, schema)
 
 
 def _ratio(low: Fit, high: Fit) -> float:

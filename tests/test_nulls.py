@@ -98,6 +98,45 @@ def test_conditional_replicates_keep_masks_and_totals(spark):
     assert sorted(map(str, rows)) == sorted(map(str, N.conditional_replicates(people.repartition(5), steps, 3, seed=5).collect()))
 
 
+def test_sets_of_items_are_laid_out_once_for_all_replicates(spark, monkeypatch):
+    """Every replicate used to multiply the generating functions of every set of answered items again."""
+    rng = np.random.default_rng(5)
+    answers, ids = rng.integers(-1, 3, (400, 4)), rng.integers(-(10**12), 10**12, 400)
+    steps = [np.array([-0.5, 0.4]), np.array([0.3, 0.1]), np.array([0.2, -0.4]), np.array([0.7, -0.8])]
+    weights, masks, made, products = N._step_weights(steps), {tuple(row) for row in answers >= 0}, [], N._products
+    monkeypatch.setattr(N, "_replicated", lambda people, replicates, prepare, *more: prepare)
+    monkeypatch.setattr(N, "_products", lambda w: (made.append(1), products(w))[1])
+    for at_once in (N.CELLS_AT_ONCE, 5 * 4 * 9 * 3):  # the latter holds five sets of items at a time
+        monkeypatch.setattr(N, "CELLS_AT_ONCE", at_once)
+        made.clear()
+        draw = N.conditional_replicates(None, steps, 3, 2)(ids, answers)
+        drawn_here = [draw(rep) for rep in range(3)]
+        assert at_once < 1000 or len(made) == len(masks)
+        for rep, new in enumerate(drawn_here):
+            for mask in masks:
+                rows, items = np.flatnonzero(((answers >= 0) == mask).all(1)), np.flatnonzero(mask)
+                one_by_one = N.given_totals(answers[np.ix_(rows, items)].sum(1), [weights[j] for j in items], lambda place: N._uniform(ids[rows], rep, items[place], 2))  # noqa: B023
+                assert (new[np.ix_(rows, items)] == one_by_one).all() and (new[rows][:, ~np.array(mask)] == -1).all()
+
+
+def test_few_patterns_are_counted_over_the_task(spark, monkeypatch):
+    """A replicate used to leave the task once per batch of persons."""
+    rng = np.random.default_rng(6)
+    people = packed_rows(spark, [[None if v < 0 else v for v in row] for row in rng.integers(-1, 3, (300, 3)).tolist()]).coalesce(1).persist()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        out = []
+        for most in (N.COUNTS_HELD, 0):
+            monkeypatch.setattr(N, "COUNTS_HELD", most)
+            out.append(sorted(map(str, N.resampled(people, 4).collect())))
+        assert out[0] == out[1] and len(out[0]) > 100
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        people.unpersist()
+    batches = [N.pa.RecordBatch.from_pydict({"k": [k] * 20}) for k in range(5)]
+    assert [b.num_rows for b in N._held(iter(batches))] == [100]
+
+
 def test_model_replicates_follow_the_fit(spark):
     probs = np.array([[0.2, 0.15, 0.3], [0.9, 0.8, 0.85]])
     people = packed_rows(spark, [[1, 1, None]] * 500 + [[0, 0, 0]] * 4000)
