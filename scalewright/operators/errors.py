@@ -7,7 +7,6 @@ serves all shifted parameters.  Resamples are refitted a task each; Spark takes
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -138,22 +137,21 @@ def bootstrap_errors(packed: DataFrame, patterns: DataFrame, f: Fit, replicates:
             out.append(("log_sigma", None, None, None, math.log(sigma)))
         return out + [("step", None, j, x, float(d)) for (j, x), d in zip(places, steps)]
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for weights, probs, theta, steps, sigma in zip(b["weights"], b["probs"], b["theta"], b["steps"], b["sigma"]):
-                weights, probs = np.asarray(weights), np.asarray(probs)
-                if probs.size != math.prod(shape) or len(steps) != len(places):
-                    continue  # a resample in which the highest answer of an item is absent
-                probs = probs.reshape(shape)
-                if f.theta is None:
-                    order = matched(probs.reshape(shape[0], -1), f.probs.reshape(shape[0], -1))
-                    weights, probs = weights[order], probs[order]
-                rows += parameters(weights, probs, theta, steps, sigma)
-            yield pd.DataFrame(rows, columns=["kind", "class_id", "item_id", "step", "value"]).astype({"class_id": "Int32", "item_id": "Int32", "step": "Int32"})
-
-    refits = N.refit_table(N.resampled(packed, replicates, seed), replicates, n_cat, N.Refit(f.model, shape[0] if classes else 2), N.is_large(patterns), n_starts, seed)
-    values = refits.mapInPandas(spread, "kind string, class_id int, item_id int, step int, value double")
+    def spread(fits: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for weights, probs, theta, steps, sigma in zip(fits["weights"], fits["probs"], fits["theta"], fits["steps"], fits["sigma"]):
+            weights, probs = np.asarray(weights), np.asarray(probs)
+            if probs.size != math.prod(shape) or len(steps) != len(places):
+                continue  # a resample in which the highest answer of an item is absent
+            probs = probs.reshape(shape)
+            if f.theta is None:
+                order = matched(probs.reshape(shape[0], -1), f.probs.reshape(shape[0], -1))
+                weights, probs = weights[order], probs[order]
+            rows += parameters(weights, probs, theta, steps, sigma)
+        return pd.DataFrame(rows, columns=["kind", "class_id", "item_id", "step", "value"]).astype({"class_id": "Int32", "item_id": "Int32", "step": "Int32"})
+
+    refit = N.Refit(f.model, shape[0] if classes else 2)
+    values = N.refit_table(N.resampled(packed, replicates, seed), replicates, n_cat, refit, N.is_large(patterns), n_starts, seed, spread, "kind string, class_id int, item_id int, step int, value double")
     key = ["kind", "class_id", "item_id", "step"]
     spreads = values.groupBy(*key).agg(F.stddev_samp("value").alias("se"), F.count(F.lit(1)).alias("replicates"))
     flat = np.concatenate(f.steps) if f.steps else np.zeros(0)

@@ -9,7 +9,6 @@ its shortfall is within a tolerance, while the bound from below of the reverse o
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -105,20 +104,19 @@ def refine(packed: DataFrame, patterns: DataFrame, n_classes: int = 3, replicate
     here, shape = profiles(free), free.probs.shape
     tolerance = SLIGHT * math.sqrt(1500 / max(free.n_obs, 1)) if tolerance is None else tolerance
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for rep, weights, probs in zip(b["rep"], b["weights"], b["probs"]):
-                if len(probs) == math.prod(shape):
-                    p = profiles(Fit("UN", np.asarray(weights), np.asarray(probs).reshape(shape), 0.0, 0, 0, 0, True))
-                    rows += [(rep, *one) for one in shortfalls(p[matched(p, here)], sides)]
-            yield pd.DataFrame(rows, columns=["rep", "side", "x", "y", "v"])
+    def compared(fits: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for rep, weights, probs in zip(fits["rep"], fits["weights"], fits["probs"]):
+            if len(probs) == math.prod(shape):
+                p = profiles(Fit("UN", np.asarray(weights), np.asarray(probs).reshape(shape), 0.0, 0, 0, 0, True))
+                rows += [(rep, *one) for one in shortfalls(p[matched(p, here)], sides)]
+        return pd.DataFrame(rows, columns=["rep", "side", "x", "y", "v"])
 
     drawn = N.model_replicates(packed, free, replicates, seed)
-    refits = N.refit_table(drawn, replicates, shape[2], N.Refit("UN", n_classes), N.is_large(patterns), n_starts, seed)
+    refits = N.refit_table(drawn, replicates, shape[2], N.Refit("UN", n_classes), N.is_large(patterns), n_starts, seed, compared, SHORTFALLS)
     spark = patterns.sparkSession
     # Replicates x pairs of classes and items; held, since the bounds use them twice.
-    rows = refits.mapInPandas(run, SHORTFALLS).persist()
+    rows = refits.persist()
     fitted = rows.select("rep").distinct().count()
     if fitted < max(LEAST_FITTED, replicates // 2):
         raise ValueError(f"only {fitted} of {replicates} replicates could be fitted")

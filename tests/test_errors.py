@@ -91,6 +91,28 @@ def test_bootstrap_errors_agree_with_the_information(spark):
     assert set(kinds) == {"step", "log_sigma"} and all(v > 0 for v in kinds.values())
 
 
+def test_refits_take_one_python_process_per_task(spark, monkeypatch):
+    """Classes used to be matched in a second process that waited beside that of the refit."""
+    people = packed_rows(spark, drawn(np.array([[0.1] * 4, [0.5] * 4, [0.9] * 4]), 900)).persist()
+    patterns = patterns_of(people)
+    found, refit_table = [], N.refit_table
+    monkeypatch.setattr(N, "refit_table", lambda *a, **k: (found.append(refit_table(*a, **k)), found[-1])[1])
+    errors = E.bootstrap_errors(people, patterns, M.fit(patterns, "RM"), 20, 1)
+    P.refine(people, patterns, 3, n_starts=1)
+    for plan in (errors, *found):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInPandas" in text and "MapInPandas" not in text.replace("FlatMapGroupsInPandas", "")
+    assert found[1].columns == ["rep", "side", "x", "y", "v"]
+    # Tables that no task holds whole give the same rows.
+    few = E.bootstrap_errors(people, patterns, M.fit(patterns, "UN", n_starts=1), 4, 1)
+    monkeypatch.setattr(N, "is_large", lambda patterns: True)
+    many = E.bootstrap_errors(people, patterns, M.fit(patterns, "UN", n_starts=1), 4, 1)
+    key = lambda r: str((r["kind"], r["class_id"], r["item_id"]))
+    for a, b in zip(sorted(few.collect(), key=key), sorted(many.collect(), key=key)):
+        assert key(a) == key(b) and a["replicates"] == b["replicates"] == 4 and a["se"] == pytest.approx(b["se"], rel=1e-4)
+    people.unpersist()
+
+
 def test_free_abilities_show_two_peaks(spark):
     rng = np.random.default_rng(5)
     steps = [np.array([b]) for b in np.linspace(-1.5, 1.5, 12)]
