@@ -16,6 +16,8 @@ from pyspark.storagelevel import StorageLevel
 
 #: Most tasks of a fan-out; further keys share them in turn.
 MOST_TASKS = 512
+#: Lets adaptive execution merge the partitions of a table that is held.
+MERGES = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
 
 
 def per_key(df: DataFrame, key: str, n_keys: int, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, number: Column | None = None) -> DataFrame:
@@ -30,11 +32,20 @@ def per_key(df: DataFrame, key: str, n_keys: int, run: Callable[[pd.DataFrame],
 
 @contextmanager
 def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """``df``, held while its rows are used several times; one that is held already stays so."""
+    """``df``, held while its rows are used several times; one that is held already stays so.
+
+    It may be held in as few partitions as its size asks for: otherwise a small table stays in as many as a shuffle has, and
+    every step that reads it pays for a task, and mostly a Python call, per handful of rows.
+    """
     if df.storageLevel != StorageLevel.NONE:
         yield df
         return
-    df = df.persist()
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(MERGES)
+    conf.set(MERGES, "true")
+    try:
+        df = df.persist()
+    finally:
+        conf.set(MERGES, before)
     try:
         yield df
     finally:

@@ -42,20 +42,24 @@ def logistic_fits(design: np.ndarray, total: np.ndarray, right: np.ndarray, roun
 def isotonic_rows(by: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weighted isotonic regressions of the rows of ``y`` on those of ``by``; ties of ``by`` are ordered by y.
 
-    A value is the largest over beginnings before it of the least mean over ends behind it.
+    Neighbours that fall are pooled, whole falling runs of all rows at once, until none is left.
     """
     order = np.lexsort((y, by))
-    w = np.take_along_axis(np.broadcast_to(weight, y.shape), order, 1)
-    wy = w * np.take_along_axis(y, order, 1)
-    n = y.shape[1]
-    upto, sums = (np.concatenate([np.zeros((len(y), 1)), np.cumsum(v, axis=1)], axis=1) for v in (w, wy))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        mean = (sums[:, None, 1:] - sums[:, :-1, None]) / (upto[:, None, 1:] - upto[:, :-1, None])
-    inside = np.arange(n)[None, :] >= np.arange(n)[:, None]
-    least = np.minimum.accumulate(np.where(inside, mean, np.inf)[:, :, ::-1], axis=2)[:, :, ::-1]
-    value = np.where(inside, least, -np.inf).max(1)
-    out = np.empty_like(value)
-    np.put_along_axis(out, order, value, 1)
+    w = np.take_along_axis(np.broadcast_to(weight, y.shape), order, 1).astype(float).ravel()
+    wy = w * np.take_along_axis(y, order, 1).ravel()
+    # The blocks of all rows in one line: their weights, sums, numbers of cells and whether a row begins with them.
+    cells, begins = np.ones(y.size, np.int64), np.arange(y.size) % y.shape[1] == 0
+    while True:
+        mean = wy / w
+        falls = np.zeros(len(mean), bool)
+        falls[1:] = (mean[1:] < mean[:-1]) & ~begins[1:]
+        if not falls.any():
+            break
+        first = np.flatnonzero(~falls)
+        w, wy, cells = (np.add.reduceat(v, first) for v in (w, wy, cells))
+        begins = begins[first]
+    out = np.empty(y.shape)
+    np.put_along_axis(out, order, np.repeat(mean, cells).reshape(y.shape), 1)
     return out
 
 
