@@ -18,14 +18,16 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``x`` is binary, ``xp`` counts up to 3.  A pair of customer and item that never occurs is missing.
     """
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_quantity")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     item = F.col("l_partkey") % 8
     right = F.when(F.col("l_quantity") > 20 + 4 * item, 1).otherwise(0)
+    # Lines go to the join as item and answer, which take a fraction of the room of part and quantity.
+    answers = lines.select("l_orderkey", item.cast("int").alias("item_id"), right.alias("right"))
     return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.col("o_custkey").alias("person_id"), item.cast("int").alias("item_id"))
-        .agg(F.max(right).cast("int").alias("x"), F.least(F.lit(3), F.sum(right)).cast("int").alias("xp"))
+        answers.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy(F.col("o_custkey").alias("person_id"), "item_id")
+        .agg(F.max("right").cast("int").alias("x"), F.least(F.lit(3), F.sum("right")).cast("int").alias("xp"))
     )
 
 
