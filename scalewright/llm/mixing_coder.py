@@ -1,15 +1,16 @@
 """Token ids in files, packed by an adaptive context-mixing range coder.
 
-Ids are cut into blocks of ``BLOCK``; a block starts with an empty model and has its own checksum.  For each
-id the model adds up four predictions into one distribution, with weights that adapt to how each fared so far:
+Ids of a segment are cut into blocks of at most ``BLOCK``, coded side by side, one numpy lane each, with one model for
+all of them.  For each id the model adds up four predictions into one distribution:
 
-* the id that last followed the same two ids (order 2),
-* the last two different ids that followed the same id (order 1),
-* the ids of the block so far by their counts, with a share for every id (order 0).
+* the id that follows the same two ids (order 2),
+* two ids that follow the same id (order 1),
+* all ids of the segment so far by their counts, with a share for every id (order 0).
 
-The weights in use depend on how often the predictions of orders 2 and 1 held at last in their contexts.  The range
-coder narrows its interval to the id's part of that sum, which is exact in whole numbers.  Blocks of a segment are
-coded side by side, one numpy lane each, so that a step over all lanes costs a few dozen array operations.
+The weights in use depend on how firmly orders 2 and 1 hold in their contexts, and follow how often each prediction was
+right there.  The range coder narrows its interval to the id's part of that sum, which is exact in whole numbers.
+The model learns from all lanes after every few ids, so between two lessons a step is some dozens of array operations over
+all lanes, and the writer weighs the ids between them at once.  Every block has its own checksum.
 
 Files are written by Spark's text writer, one segment a line; the reader goes by the lengths in the headers.
 """
@@ -30,98 +31,116 @@ from pyspark.sql import functions as F
 
 from .store import new_path, saved
 
-#: Ids in a block, and blocks that are coded side by side.
-BLOCK, LANES = 4096, 512
+#: Most and fewest ids in a block of a long segment, and blocks that are coded side by side.
+BLOCK, LEAST_BLOCK, LANES = 1024, 512, 2048
 END_ID = 2
 #: The split before the merges of the byte-level vocabulary, as its file's ByteLevel pre-tokenizer defines it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 REMEMBERED, LONGEST_REMEMBERED = 1 << 19, 64
 
-_NONE = 0xFFFF
-_HASHED = 1 << 14
+_HASHED = 1 << 18
 _U = np.uint64
 _TOP, _BOT, _WORD = _U(1 << 48), _U(1 << 32), _U(16)
-#: What a counted id weighs against one that wasn't seen, and the most that the weights of a lane add up to.
-_SEEN, _HEAVY = 128, 4000
-#: Bits that hold a lane's cumulative counts.
-_LANE = 20
+#: What the weights of the four predictions add up to, what the counts of order 0 are scaled to, and the longest time between lessons.
+_WEIGHTS, _SCALE, _LESSON = 256, 1 << 18, 16
+
+
+def _lesson_after(t: int) -> bool:
+    """Whether the model learns once ``t`` ids of every lane are known: often at first, then every ``_LESSON``."""
+    return t % _LESSON == 0 or t < _LESSON and t & (t - 1) == 0
 
 
 class _Model:
-    """Predictions and weights of all lanes at one position."""
+    """Predictions and weights of all lanes, which share them."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.points = [np.full(lanes * _HASHED, _NONE, np.uint16) for _ in range(3)]
-        self.held = [np.zeros(lanes * _HASHED, np.int8) for _ in range(2)]
-        self.weights = np.tile(np.array([16, 8, 4, 8]), (lanes * 16, 1))
-        self.back1 = np.zeros(lanes, np.int64)
-        self.back2 = np.zeros(lanes, np.int64)
-        self.n_past = 0
-        self.past = self.keys = self.ends = np.zeros(0, np.int32)
-
-    def look(self) -> None:
-        """Points, their masses, the mass of the counts, and the total of this position."""
-        self.at = [self.lane * _HASHED + (self.back2 * 40503 + self.back1 * 30011) % _HASHED, self.lane * _HASHED + (self.back1 * 40503 >> 4) % _HASHED]
-        self.p = np.stack([self.points[0][self.at[0]], self.points[1][self.at[1]], self.points[2][self.at[1]]]).astype(np.int64)
-        self.row = self.lane * 16 + self.held[0][self.at[0]] * 4 + self.held[1][self.at[1]]
-        self.w = self.weights[self.row]
-        self.base = self.n_past * _SEEN + (1 << 16)
-        self.mass = np.where(self.p == _NONE, 0, self.w[:, :3].T) * self.base
-        self.counts = self.w[:, 3]
-        self.total = self.mass.sum(0) + self.counts * self.base
-
-    def counted(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many counted ids of the lane are smaller, and how many equal."""
-        key = (ids + (self.lane << 16)).astype(np.int32)
-        less = np.searchsorted(self.keys, key, "left")
-        return less - self.lane * self.n_past, np.searchsorted(self.keys, key, "right") - less
+        self.two, self.firm_two = np.full(_HASHED, 0xFFFF, np.uint16), np.zeros(_HASHED, np.int8)
+        self.one, self.other, self.firm_one = np.full(1 << 16, 0xFFFF, np.uint16), np.full(1 << 16, 0xFFFF, np.uint16), np.zeros(1 << 16, np.int8)
+        self.right = np.tile(np.array([2, 2, 1, 3]), (16, 1))
+        self.counts, self.n = np.zeros(1 << 16, np.int64), 0
+        self.back1, self.back2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.known = 0
+        self._weigh()
+
+    def _weigh(self) -> None:
+        """What coding uses of the counts."""
+        share = self.counts * _SCALE // max(self.n, 1) + 1
+        self.upto = np.concatenate([[0], np.cumsum(share)])
+        self.base = int(self.upto[-1])
+        self.total = self.base * _WEIGHTS
+        w = 1 + self.right * (_WEIGHTS - 4) // self.right.sum(1, keepdims=True)
+        w[:, 3] += _WEIGHTS - w.sum(1)
+        self.masses, self.rest = np.ascontiguousarray(w[:, :3].T) * self.base, np.ascontiguousarray(w[:, 3])
+
+    def look(self, back2: np.ndarray | None = None, back1: np.ndarray | None = None) -> None:
+        """Predictions behind two ids (those of this position), what each weighs, and what a count does."""
+        back2, back1 = (self.back2, self.back1) if back2 is None else (back2, back1)
+        self.at, self.behind = (back2 * 40503 + back1 * 30011) & (_HASHED - 1), back1
+        self.p = np.stack([self.two[self.at], self.one[back1], self.other[back1]])
+        self.row = self.firm_two[self.at] * 4 + self.firm_one[back1]
+        self.mass, self.count = self.masses[:, self.row], self.rest[self.row]
 
     def part(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids' parts of the total begin, and how long they are."""
-        less, times = self.counted(ids)
-        self.own = times * _SEEN + 1
-        hit = self.p == ids
-        self.share = np.where(hit, self.mass, 0)
-        start = np.where(self.p < ids, self.mass, 0).sum(0) + self.counts * (less * _SEEN + ids)
-        return start, self.share.sum(0) + self.counts * self.own
+        less = self.upto[ids]
+        self.hit = self.p == ids
+        start, own = self.count * less, self.count * (self.upto[ids + 1] - less)
+        for p, hit, mass in zip(self.p, self.hit, self.mass):
+            start += mass * (p < ids)
+            own += mass * hit
+        return start, own
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The id whose part holds ``value``."""
-        less, times = self.counted(self.p)
-        start = np.where(self.p < self.p[:, None], self.mass, 0).sum(1) + self.counts * (less * _SEEN + self.p)
-        end = start + np.where(self.p == self.p[:, None], self.mass, 0).sum(1) + self.counts * (times * _SEEN + 1)
-        real = self.p != _NONE
-        known = np.where(real & (value >= start) & (value < end), self.p, -1).max(0)
-        rest = value - np.where(real & (value >= end), self.mass, 0).sum(0)
-        at = rest // self.counts
-        upto = np.searchsorted(self.ends, (np.clip(at, 0, self.base - 1) + (self.lane << _LANE)).astype(np.int32), "right")
-        rank = upto - self.lane * self.n_past
-        if self.n_past:
-            last = self.past[np.maximum(upto - 1, 0)]
-            free = np.where((rank > 0) & (at <= rank * _SEEN + last), last, at - rank * _SEEN)
-        else:
-            free = at
-        return np.where(known >= 0, known, free)
+        p, known, rest = self.p, np.full(len(value), -1), value.copy()
+        for k in range(3):
+            one = p[k].astype(np.int64)
+            less = self.upto[one]
+            start, end = self.count * less, self.count * self.upto[one + 1]
+            for j in range(3):
+                if j == k:
+                    end += self.mass[k]
+                else:
+                    start += self.mass[j] * (p[j] < p[k])
+                    end += self.mass[j] * (p[j] <= p[k])
+            behind = value >= end
+            rest -= self.mass[k] * behind
+            np.copyto(known, one, where=(value >= start) & ~behind)
+        free = np.flatnonzero(known < 0)
+        known[free] = np.searchsorted(self.upto, rest[free] // self.count[free], "right") - 1
+        return known
+
+    def learn(self, ids: np.ndarray) -> None:
+        """Contexts, weights and counts after ``ids``, which ``look`` and ``part`` were called for."""
+        which = np.where(self.hit[0], 0, np.where(self.hit[1], 1, np.where(self.hit[2], 2, 3)))
+        self.right += np.bincount(self.row * 4 + which, minlength=64).reshape(16, 4)
+        firm = self.firm_two[self.at]
+        # Of ids in one context the last one counts.
+        self.two[self.at] = np.where(firm > 1, self.p[0], ids)
+        self.firm_two[self.at] = np.where(self.hit[0], np.minimum(firm + 1, 3), np.where(firm > 1, firm - 1, 1))
+        firm = self.firm_one[self.behind]
+        self.other[self.behind] = np.where(self.hit[0 + 1], self.p[2], np.where(firm > 1, ids, self.p[1]))
+        self.one[self.behind] = np.where(firm > 1, self.p[1], ids)
+        self.firm_one[self.behind] = np.where(self.hit[1], np.minimum(firm + 1, 3), np.where(firm > 1, firm - 1, 1))
+        self.counts += np.bincount(ids, minlength=1 << 16)
+        self.n += len(ids)
+        self._weigh()
+
+    def backs(self, seen: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The two ids before each of the ids of ``seen`` (steps x lanes) from step ``start`` to ``end``, in a line."""
+        before = np.zeros((end - start + 2, seen.shape[1]), np.int32)
+        before[max(0, 2 - start) :] = seen[max(0, start - 2) : end]
+        return before[:-2].ravel(), before[1:-1].ravel()
 
     def update(self, ids: np.ndarray, t: int, seen: np.ndarray) -> None:
-        """Weights gain by their part in the id's probability; the ids are noted in their contexts.  ``part`` was called before."""
-        gained = np.concatenate([self.share, (self.counts * self.own)[None]]).T
-        w = self.w + 32 * gained // gained.sum(1, keepdims=True)
-        self.weights[self.row] = np.where(w.sum(1, keepdims=True) > _HEAVY, (w + 1) >> 1, w)
-        for k in range(2):
-            held = self.held[k][self.at[k]]
-            self.held[k][self.at[k]] = np.where(self.p[k] == ids, np.minimum(held + 1, 3), np.where(self.p[k] == _NONE, 1, np.maximum(held >> 1, 1)))
-        self.points[0][self.at[0]] = ids
-        self.points[2][self.at[1]] = np.where(self.p[1] == ids, self.p[2], self.p[1])
-        self.points[1][self.at[1]] = ids
-        self.back2, self.back1 = self.back1, ids
-        n = t + 1
-        if n >= 16 and (n & (n - 1) == 0 or n % 256 == 0):
-            past = np.sort(seen[:, :n].astype(np.int32), axis=1)
-            self.n_past, self.past = n, past.ravel()
-            self.keys = (past + (self.lane[:, None] << 16)).astype(np.int32).ravel()
-            self.ends = (past + np.arange(n) * _SEEN + (self.lane[:, None] << _LANE)).astype(np.int32).ravel()
+        """The ids of step ``t`` are known; ``seen`` (lanes x steps) has them all.  At the end of a lesson the model learns."""
+        self.back2, self.back1 = self.back1, ids.astype(np.int32)
+        if _lesson_after(t + 1):
+            now = seen.T[self.known : t + 1]
+            self.look(*self.backs(seen.T, self.known, t + 1))
+            self.part(now.ravel())
+            self.learn(now.ravel())
+            self.known = t + 1
 
 
 def _unsettled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,28 +153,37 @@ def _unsettled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """Packed bytes of each row of ``ids`` (lanes x length)."""
     lanes, length = ids.shape
-    ids = ids.astype(np.int64)
-    model = _Model(lanes)
+    ids = np.ascontiguousarray(ids.T).astype(np.int32)
+    model, known = _Model(lanes), 0
     low, span = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
     out, end = np.zeros((lanes, 3 * length + 8), np.uint16), np.zeros(lanes, np.int64)
 
-    for t in range(length):
-        model.look()
-        start, own = model.part(ids[:, t])
-        unit = span // model.total.astype(_U)
-        low = low + unit * start.astype(_U)
-        span = unit * own.astype(_U)
-        while True:
+    while known < length:
+        upto = known + 1
+        while upto < length and not _lesson_after(upto):
+            upto += 1
+        now = ids[known:upto].ravel()
+        model.look(*model.backs(ids, known, upto))
+        starts, owns = (v.astype(_U).reshape(-1, lanes) for v in model.part(now))
+        total = _U(model.total)
+        for start, own in zip(starts, owns):
+            unit = span // total
+            low += unit * start
+            span = unit * own
             at, span = _unsettled(low, span)
-            if not len(at):
-                break
-            out[at, end[at]] = (low[at] >> _U(48)).astype(np.uint16)
-            end[at] += 1
-            low[at] <<= _WORD
-            span[at] <<= _WORD
-        model.update(ids[:, t], t, ids)
+            while len(at):
+                l, s = low[at], span[at]
+                out[at, end[at]] = l >> _U(48)
+                end[at] += 1
+                low[at], span[at] = l, s = l << _WORD, s << _WORD
+                more, s = _unsettled(l, s)
+                at = at[more]
+                span[at] = s[more]
+        model.learn(now)
+        known = upto
+    lane = np.arange(lanes)
     for k in (48, 32, 16, 0):
-        out[model.lane, end] = ((low >> _U(k)) & _U(0xFFFF)).astype(np.uint16)
+        out[lane, end] = ((low >> _U(k)) & _U(0xFFFF)).astype(np.uint16)
         end += 1
     return [out[i, : end[i]].astype("<u2").tobytes() for i in range(lanes)]
 
@@ -167,7 +195,7 @@ def decode_blocks(packed: list[bytes], length: int) -> np.ndarray:
     for i, raw in enumerate(packed):
         words[i, : len(raw) // 2] = np.frombuffer(raw, "<u2")
     model = _Model(lanes)
-    ids = np.zeros((lanes, length), np.int64)
+    ids = np.zeros((length, lanes), np.int32)
     low, span = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
     code, at_word = np.zeros(lanes, _U), np.full(lanes, 4)
     for k in range(4):
@@ -175,27 +203,27 @@ def decode_blocks(packed: list[bytes], length: int) -> np.ndarray:
 
     for t in range(length):
         model.look()
-        unit = span // model.total.astype(_U)
+        unit = span // _U(model.total)
         x = model.find(np.minimum(((code - low) // unit).astype(np.int64), model.total - 1))
         start, own = model.part(x)
-        low = low + unit * start.astype(_U)
+        low += unit * start.astype(_U)
         span = unit * own.astype(_U)
-        while True:
-            at, span = _unsettled(low, span)
-            if not len(at):
-                break
+        at, span = _unsettled(low, span)
+        while len(at):
             code[at] = (code[at] << _WORD) | words[at, at_word[at]]
             at_word[at] += 1
-            low[at] <<= _WORD
-            span[at] <<= _WORD
-        ids[:, t] = x
-        model.update(x, t, ids)
-    return ids
+            low[at], span[at] = l, s = low[at] << _WORD, span[at] << _WORD
+            more, s = _unsettled(l, s)
+            at = at[more]
+            span[at] = s[more]
+        ids[t] = x
+        model.update(x, t, ids.T)
+    return ids.T.astype(np.int64)
 
 
 _HEAD = struct.Struct("<4sIIIII")
 _BLOCK_HEAD = struct.Struct("<II")
-_MAGIC = b"MXR1"
+_MAGIC = b"MXR2"
 
 
 def pack_segment(part: int, docs: list[tuple[int, int]], ids: np.ndarray) -> bytes:
@@ -203,7 +231,7 @@ def pack_segment(part: int, docs: list[tuple[int, int]], ids: np.ndarray) -> byt
 
     All blocks have one length; the last is filled up with the end id.
     """
-    length = min(BLOCK, max(1, len(ids)))
+    length = min(BLOCK, max(LEAST_BLOCK, -(-len(ids) // LANES)), max(1, len(ids)))
     lanes = -(-len(ids) // length) if len(ids) else 0
     grid = np.full(lanes * length, END_ID, np.uint16)
     grid[: len(ids)] = ids
