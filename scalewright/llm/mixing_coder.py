@@ -17,6 +17,7 @@ Files are written by Spark's text writer, one segment a line; the reader goes by
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from array import array
@@ -36,7 +37,12 @@ BLOCK, LEAST_BLOCK, LANES = 1024, 512, 2048
 END_ID = 2
 #: The split before the merges of the byte-level vocabulary, as its file's ByteLevel pre-tokenizer defines it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same of texts of ASCII characters.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 REMEMBERED, LONGEST_REMEMBERED = 1 << 19, 64
+#: The letters of a byte-level vocabulary: bytes that can be printed stand for themselves, others for characters from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - _PRINTED))}
 
 _HASHED = 1 << 18
 _U = np.uint64
@@ -59,32 +65,33 @@ class _Model:
         self.right = np.tile(np.array([2, 2, 1, 3]), (16, 1))
         self.counts, self.n = np.zeros(1 << 16, np.int64), 0
         self.back1, self.back2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.known = 0
+        self.learnt = 0
         self._weigh()
 
     def _weigh(self) -> None:
         """What coding uses of the counts."""
         share = self.counts * _SCALE // max(self.n, 1) + 1
-        self.upto = np.concatenate([[0], np.cumsum(share)])
+        self.upto = np.concatenate([[0], np.cumsum(share)]).astype(np.int32)
         self.base = int(self.upto[-1])
         self.total = self.base * _WEIGHTS
         w = 1 + self.right * (_WEIGHTS - 4) // self.right.sum(1, keepdims=True)
         w[:, 3] += _WEIGHTS - w.sum(1)
-        self.masses, self.rest = np.ascontiguousarray(w[:, :3].T) * self.base, np.ascontiguousarray(w[:, 3])
+        # The total stays below 2^27.
+        *self.masses, self.rest = (v.astype(np.int32) for v in (*(w[:, :3].T * self.base), w[:, 3]))
 
     def look(self, back2: np.ndarray | None = None, back1: np.ndarray | None = None) -> None:
         """Predictions behind two ids (those of this position), what each weighs, and what a count does."""
         back2, back1 = (self.back2, self.back1) if back2 is None else (back2, back1)
         self.at, self.behind = (back2 * 40503 + back1 * 30011) & (_HASHED - 1), back1
-        self.p = np.stack([self.two[self.at], self.one[back1], self.other[back1]])
-        self.row = self.firm_two[self.at] * 4 + self.firm_one[back1]
-        self.mass, self.count = self.masses[:, self.row], self.rest[self.row]
+        self.p = [self.two.take(self.at).astype(np.int32), self.one.take(back1).astype(np.int32), self.other.take(back1).astype(np.int32)]
+        self.row = self.firm_two.take(self.at) * np.int8(4) + self.firm_one.take(back1)
+        self.mass, self.count = [m.take(self.row) for m in self.masses], self.rest.take(self.row)
 
     def part(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids' parts of the total begin, and how long they are."""
-        less = self.upto[ids]
-        self.hit = self.p == ids
-        start, own = self.count * less, self.count * (self.upto[ids + 1] - less)
+        less = self.upto.take(ids)
+        self.hit = [p == ids for p in self.p]
+        start, own = self.count * less, self.count * (self.upto.take(ids + 1) - less)
         for p, hit, mass in zip(self.p, self.hit, self.mass):
             start += mass * (p < ids)
             own += mass * hit
@@ -92,20 +99,20 @@ class _Model:
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The id whose part holds ``value``."""
-        p, known, rest = self.p, np.full(len(value), -1), value.copy()
+        p, known, rest = self.p, np.full(len(value), -1, np.int32), value.astype(np.int32)
+        value = rest.copy()
+        less = {(j, k): p[j] < p[k] for j in range(3) for k in range(3) if j != k}
         for k in range(3):
-            one = p[k].astype(np.int64)
-            less = self.upto[one]
-            start, end = self.count * less, self.count * self.upto[one + 1]
+            below = self.upto.take(p[k])
+            start, own = self.count * below, self.count * (self.upto.take(p[k] + 1) - below) + self.mass[k]
             for j in range(3):
-                if j == k:
-                    end += self.mass[k]
-                else:
-                    start += self.mass[j] * (p[j] < p[k])
-                    end += self.mass[j] * (p[j] <= p[k])
-            behind = value >= end
+                if j != k:
+                    start += self.mass[j] * less[j, k]
+                    own += self.mass[j] * ~(less[j, k] | less[k, j])
+            past = value - start
+            behind = past >= own
             rest -= self.mass[k] * behind
-            np.copyto(known, one, where=(value >= start) & ~behind)
+            np.copyto(known, p[k], where=(past >= 0) & ~behind)
         free = np.flatnonzero(known < 0)
         known[free] = np.searchsorted(self.upto, rest[free] // self.count[free], "right") - 1
         return known
@@ -113,13 +120,13 @@ class _Model:
     def learn(self, ids: np.ndarray) -> None:
         """Contexts, weights and counts after ``ids``, which ``look`` and ``part`` were called for."""
         which = np.where(self.hit[0], 0, np.where(self.hit[1], 1, np.where(self.hit[2], 2, 3)))
-        self.right += np.bincount(self.row * 4 + which, minlength=64).reshape(16, 4)
+        self.right += np.bincount(self.row * np.int64(4) + which, minlength=64).reshape(16, 4)
         firm = self.firm_two[self.at]
         # Of ids in one context the last one counts.
         self.two[self.at] = np.where(firm > 1, self.p[0], ids)
         self.firm_two[self.at] = np.where(self.hit[0], np.minimum(firm + 1, 3), np.where(firm > 1, firm - 1, 1))
         firm = self.firm_one[self.behind]
-        self.other[self.behind] = np.where(self.hit[0 + 1], self.p[2], np.where(firm > 1, ids, self.p[1]))
+        self.other[self.behind] = np.where(self.hit[1], self.p[2], np.where(firm > 1, ids, self.p[1]))
         self.one[self.behind] = np.where(firm > 1, self.p[1], ids)
         self.firm_one[self.behind] = np.where(self.hit[1], np.minimum(firm + 1, 3), np.where(firm > 1, firm - 1, 1))
         self.counts += np.bincount(ids, minlength=1 << 16)
@@ -136,11 +143,11 @@ class _Model:
         """The ids of step ``t`` are known; ``seen`` (lanes x steps) has them all.  At the end of a lesson the model learns."""
         self.back2, self.back1 = self.back1, ids.astype(np.int32)
         if _lesson_after(t + 1):
-            now = seen.T[self.known : t + 1]
-            self.look(*self.backs(seen.T, self.known, t + 1))
+            now = seen.T[self.learnt : t + 1]
+            self.look(*self.backs(seen.T, self.learnt, t + 1))
             self.part(now.ravel())
             self.learn(now.ravel())
-            self.known = t + 1
+            self.learnt = t + 1
 
 
 def _unsettled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,11 +273,12 @@ def unpack_segments(content: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarra
 
 
 class _WordIds(dict):
-    """word -> ids, asked of the tokenizers library once per distinct word.
+    """word -> bytes of its ids, asked of the tokenizers library once per distinct word.
 
     The vocabulary's merges never cross the words of its pre-tokenizer, so the ids of a text are the ids of
     its words in turn; a test compares with whole texts.  Texts that hold an added token are the exception:
-    the library looks for those tokens before the words, so it encodes such a text whole.
+    the library looks for those tokens before the words, so it encodes such a text whole.  A word goes to the library's merges
+    directly, its bytes as the letters that the vocabulary is written in.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -279,19 +287,21 @@ class _WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.find = regex.compile(WORD_PATTERN)
+        self.find, self.find_ascii = regex.compile(WORD_PATTERN), re.compile(ASCII_PATTERN, re.ASCII)
+        self.merged = self.tokenizer.model
 
     def of_text(self, text: str) -> array:
         ids = array("H")
         if any(t in text for t in self.added):
             ids.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
         else:
-            for word in self.find.findall(text):
-                ids += self[word]
+            words = (self.find_ascii if text.isascii() else self.find).findall(text)
+            ids.frombytes(b"".join(map(self.__getitem__, words)))
         return ids
 
-    def __missing__(self, word: str) -> array:
-        ids = array("H", self.tokenizer.encode(word, add_special_tokens=False).ids)
+    def __missing__(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(_LETTERS)
+        ids = array("H", [t.id for t in self.merged.tokenize(letters)]).tobytes()
         if len(word) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
                 self.clear()

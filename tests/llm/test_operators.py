@@ -603,3 +603,23 @@ def test_word_count_bound_holds_for_frequent_words_in_bins_of_two_widths():
     rows = [(i, len(x), order_minhash.word_counts(x).tobytes(), i, 0, 5, np.array([5, 7 + i])) for i, x in enumerate((one, other))]
     pairs = order_minhash._cross_pairs(pd.DataFrame(rows, columns=["rep", "n_words", "counts", "class_id", "side", "sketch", "sketches"]))
     assert pairs.to_numpy().tolist() == [[0, 1]]
+
+
+def test_words_of_ascii_texts_are_the_librarys():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    real, rng = Tokenizer.from_file(path), np.random.default_rng(6)
+    words = mixing_coder._WordIds(open(path, encoding="utf-8").read())
+    signs = np.array([*map(chr, range(128)), *" \n\t'''stremvdl0aZ" * 4])
+    for text in ["".join(rng.choice(signs, 200)) for _ in range(100)]:
+        assert words.of_text(text).tolist() == real.encode(text, add_special_tokens=False).ids
+
+
+def test_lanes_learn_from_each_other():
+    lane = np.random.default_rng(8).integers(0, 50000, 512)
+    ids = np.tile(lane, (64, 1))
+    for i, row in enumerate(ids):
+        row[:] = np.roll(row, 8 * i)
+    packed = mixing_coder.encode_blocks(ids)
+    assert (mixing_coder.decode_blocks(packed, 512) == ids).all()
+    # Alone, a lane of ids that never come twice has nothing to learn from.
+    assert sum(map(len, packed)) < 0.7 * 64 * len(mixing_coder.encode_blocks(ids[:1])[0])
