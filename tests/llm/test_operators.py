@@ -8,6 +8,7 @@ from array import array
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -623,3 +624,33 @@ def test_lanes_learn_from_each_other():
     assert (mixing_coder.decode_blocks(packed, 512) == ids).all()
     # Alone, a lane of ids that never come twice has nothing to learn from.
     assert sum(map(len, packed)) < 0.7 * 64 * len(mixing_coder.encode_blocks(ids[:1])[0])
+
+
+def test_texts_split_at_once_are_the_librarys():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    real, rng = Tokenizer.from_file(path), np.random.default_rng(7)
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)]]
+    texts = ["x".join(points[k : k + 4096]) for k in range(0, len(points), 4096)]
+    signs = [*"''''stremvdl \n\t  a0.", "ſ", "é", "٣", "<|endoftext|>", "\U0001f600"]
+    texts += ["", *("".join(rng.choice(signs, rng.integers(0, 12))) for _ in range(3000)), "'", "'l", "'s's", "''re", " 's", "\n'll", ""]
+    words = mixing_coder._WordIds(open(path, encoding="utf-8").read())
+    for column in (pa.array(texts), pa.array(["before", *texts])[1:]):
+        ids, sizes = words.of_texts(column)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [real.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [next(mixing_coder._at_once(pa.array(t))) for t in (["a"], ["a" * (mixing_coder.TEXT_AT_ONCE + 1), "b"], ["a", "b"])] == [(0, 1), (0, 1), (0, 2)]
+
+
+def test_tasks_of_a_process_share_the_words():
+    content = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    words = mixing_coder._words(content)
+    words.of_text("shared words")
+    assert mixing_coder._words(content) is words and b" words" in words.place
+
+
+def test_forgetting_words_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(mixing_coder, "REMEMBERED", 3)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    real, words = Tokenizer.from_file(path), mixing_coder._WordIds(open(path, encoding="utf-8").read())
+    for text in ["one two three four five", "two " * 100, "x" * 1000, "one two"]:
+        assert words.of_text(text).tolist() == real.encode(text, add_special_tokens=False).ids
+    assert len(words.place) < 5
