@@ -46,19 +46,20 @@ _SHORT, _LONG = "stmd", ("re", "ve", "ll")
 REMEMBERED, TEXT_AT_ONCE = 1 << 20, 1 << 22
 #: The letters of a byte-level vocabulary: bytes that can be printed stand for themselves, others for characters from 256 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_LETTERS = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - _PRINTED))}
+_LETTERS = np.arange(256, dtype="<u4")
+_LETTERS[sorted({*range(256)} - _PRINTED)] = np.arange(256, 256 + 256 - len(_PRINTED))
 
 _HASHED = 1 << 18
 _U = np.uint64
 #: What the weights of the four predictions add up to, what the counts of order 0 do, and the longest time between lessons.
-_WEIGHTS, _BASE, _LESSON = 256, 1 << 19, 16
+_WEIGHTS, _BASE, _LESSON = 256, 1 << 19, 32
 #: A lane's number stays in [_LEAST, 2^32 * _LEAST); the parts add up to 2^_BITS.
 _BITS, _LEAST, _WORD = 27, _U(1 << 31), _U(32)
 
 
 def _lesson_after(t: int) -> bool:
     """Whether the model learns once ``t`` ids of every lane are known: often at first, then every ``_LESSON``."""
-    return t % _LESSON == 0 or t < _LESSON and t & (t - 1) == 0
+    return t % _LESSON == 0 or t <= 8 * _LESSON and t % (_LESSON // 2) == 0 or t < _LESSON and t & (t - 1) == 0
 
 
 class _Model:
@@ -74,11 +75,11 @@ class _Model:
         self._weigh()
 
     def _weigh(self) -> None:
-        """What coding uses of the counts: shares of all ids that add up to _BASE, and whose share a place in them is."""
+        """What coding uses of the counts: shares of all ids that add up to _BASE."""
         share = 1 + (self.counts * (_BASE - len(self.counts)) // self.n if self.n else np.full(len(self.counts), _BASE // len(self.counts) - 1))
         share[np.flatnonzero(self.counts)[: _BASE - share.sum()]] += 1  # what rounding left
         self.share, self.upto = share.astype(np.int32), np.concatenate([[0], np.cumsum(share)]).astype(np.int32)
-        self.whose = np.repeat(np.arange(len(share), dtype=np.uint16), share)
+        self.whose = None
         self.total = _BASE * _WEIGHTS
         w = 1 + self.right * (_WEIGHTS - 4) // self.right.sum(1, keepdims=True)
         w[:, 3] += _WEIGHTS - w.sum(1)
@@ -113,6 +114,8 @@ class _Model:
         a, b = np.minimum(a, b), np.maximum(a, b)
         b, c = np.minimum(b, c), np.maximum(b, c)
         a, b = np.minimum(a, b), np.maximum(a, b)
+        if self.whose is None:
+            self.whose = np.repeat(np.arange(len(self.share), dtype=np.uint16), self.share)
         value = value.astype(np.int32)
         for packed in (a, b, c):
             last = self.count * self.upto.take((packed >> 32) + 1) - 1
@@ -121,8 +124,9 @@ class _Model:
 
     def learn(self, ids: np.ndarray) -> None:
         """Contexts, weights and counts after ``ids``, which ``look`` and ``part`` were called for."""
-        which = np.where(self.hit[0], 0, np.where(self.hit[1], 1, np.where(self.hit[2], 2, 3)))
-        self.right += np.bincount(self.row * np.int64(4) + which, minlength=64).reshape(16, 4)
+        none, one, two, three = np.arange(4, dtype=np.int8)
+        which = np.where(self.hit[0], none, np.where(self.hit[1], one, np.where(self.hit[2], two, three)))
+        self.right += np.bincount(self.row * 4 + which, minlength=64).reshape(16, 4)
         firm, small = self.row >> 2, ids.astype(np.uint16)
         first, second, third = (p.astype(np.uint16) for p in self.p)
         # Of ids in one context the last one counts.
@@ -138,7 +142,7 @@ class _Model:
 
     @staticmethod
     def _firmer(firm: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        return np.where(hit, np.minimum(firm + 1, 3), np.where(firm > 1, firm - 1, 1)).astype(np.int8)
+        return np.where(hit, np.minimum(firm + 1, 3), np.where(firm > 1, firm - 1, 1)).astype(np.int8, copy=False)
 
     def backs(self, seen: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The two ids before each of the ids of ``seen`` (steps x lanes) from step ``start`` to ``end``, in a line."""
@@ -177,7 +181,8 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         known = upto
     # The coder works like a stack, so it takes the ids from the last to the first.
     x, out, at = np.full(lanes, _LEAST, _U), np.zeros((lanes, length + 2), np.uint32), np.full(lanes, length + 2)
-    for start, own in zip(starts[::-1].astype(_U), owns[::-1].astype(_U)):
+    for start, own in zip(starts[::-1], owns[::-1]):
+        start, own = start.astype(_U), own.astype(_U)
         full = np.flatnonzero(x >= own << _U(63 - _BITS))
         at[full] -= 1
         out[full, at[full]] = x[full] & _U(0xFFFFFFFF)
@@ -324,21 +329,22 @@ class _WordIds:
         bounds = (bounds - bounds[0]).astype(np.intp)
         if not len(raw):
             return np.zeros(0, np.uint16), np.zeros(len(texts), np.intp)
-        points, at, where = raw, bounds, None
-        if raw.max() > 127:
-            points, where = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32), np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-            at = np.searchsorted(where, bounds)
+        points, at, ascii_only = raw, bounds, raw.max() < 128
+        if not ascii_only:
+            points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+            at = np.append(0, np.cumsum(pc.utf8_length(texts).to_numpy())).astype(np.intp)
         first = np.zeros(len(points) + 1, bool)
         first[at] = True
         begin = _word_starts(points, first[:-1])
         whole = np.logical_or.reduce([pc.match_substring(texts, t).to_numpy(zero_copy_only=False) for t in self.added] or [np.zeros(len(texts), bool)])
         for k in np.flatnonzero(whole):
             begin[at[k] + 1 : at[k + 1]] = False
-        words = np.append(np.flatnonzero(begin), len(points))
-        if where is not None:
-            words = where.take(words)
+        if not ascii_only:
+            of_points, begin = begin, np.zeros(len(raw), bool)
+            begin[raw.view(np.int8) > -65] = of_points  # the bytes that don't go on with a character
+        words = np.append(np.flatnonzero(begin), len(raw))
         coded = pa.Array.from_buffers(pa.binary(), len(words) - 1, [None, pa.py_buffer(words.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
-        place = self._places(coded.dictionary.to_pylist()).take(coded.indices.to_numpy())
+        place = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist()).take(coded.indices.to_numpy())
         ids, upto = np.frombuffer(self.ids, np.uint16), np.frombuffer(self.upto, np.int64)
         begins, sizes = upto.take(place), upto.take(place + 1) - upto.take(place)
         ends = np.append(0, np.cumsum(sizes))
@@ -349,10 +355,11 @@ class _WordIds:
         """The place of every word among those that are remembered; new ones are encoded."""
         if self.size >= REMEMBERED:
             self._forget()
-        new = [w for w in words if w not in self.place]
+        places = list(map(self.place.get, words))
+        new = [w for w, place in zip(words, places) if place is None]
         # No text has the byte that parts the words here.
         added = [t.encode() for t in self.added]
-        for word, letters in zip(new, b"\xff".join(new).decode("latin-1").translate(_LETTERS).split("\xff")):
+        for word, letters in zip(new, _LETTERS.take(np.frombuffer(b"\xff".join(new), np.uint8)).tobytes().decode("utf-32-le").split("\xff")):
             if any(t in word for t in added):
                 self.ids.extend(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
             else:
@@ -360,7 +367,7 @@ class _WordIds:
             self.place[word] = len(self.place)
             self.upto.append(len(self.ids))
             self.size += 1 + len(word) // 64
-        return np.array([self.place[w] for w in words], np.intp)
+        return np.array([self.place[w] for w in words] if new else places, np.intp)
 
 
 @lru_cache(1)
