@@ -5,6 +5,7 @@ import math
 import pytest
 
 from scalewright.operators import counts as C
+from scalewright.sources import responses
 from scalewright.sources.responses import packed
 
 
@@ -60,3 +61,23 @@ def test_keys_are_dealt_to_tasks_of_their_own(spark):
     df = spark.range(600).selectExpr("cast(id % 12 - 1 as int) as rep", "id")
     rows = per_key(df, "rep", 12, where, "rep int, task int, n int").collect()
     assert sorted(r["rep"] for r in rows) == list(range(-1, 11)) and len({r["task"] for r in rows}) == 12 and {r["n"] for r in rows} == {50}
+
+
+def test_lines_and_orders_are_not_sorted(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = responses.from_orders(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan
+
+
+def test_packing_few_and_many_items(spark):
+    rows = [(1, 0, 1), (1, 0, 2), (1, 2, 0), (2, 5, None), (2, 1, 3), (3, 70, 4), (None, 1, 1), (4, 0, None), (None, 1, 2), (5, None, 1)]
+    df = spark.createDataFrame(rows, "person_id long, item_id int, x int").where("item_id is not null")
+    few, many = (responses.packed(df, n).collect() for n in (3, 33))
+    assert responses.ITEMS_AT_ONCE < 33
+    expected = {1: [2, None, 0], 2: [None, 3, None], 3: [None] * 3, None: [None, 2, None]}
+    assert {r["person_id"]: r["x"] for r in few} == expected and len(few) == len(many) == 4
+    assert {r["person_id"]: r["x"][:3] for r in many} == expected
