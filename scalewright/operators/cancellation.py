@@ -104,20 +104,19 @@ def sampled_ranges(total: np.ndarray, right: np.ndarray, check: str, rng: np.ran
         held = hits * np.log(old) + misses * np.log1p(-old)
         for step in range(2, steps + 1):
             random = rng.random((len(plan), 2, m))
-            for c, (below, above, a, b, rules) in enumerate(plan):
+            for c, (below, above, a, b, premises, smaller, runs, others) in enumerate(plan):
                 lower = zero if not below else old[below[0]] if len(below) == 1 else np.maximum(old[below[0]], old[below[1]])
                 upper = one if not above else old[above[0]] if len(above) == 1 else np.minimum(old[above[0]], old[above[1]])
-                if rules:
-                    less, cross = old[a] < old[b], one
-                    for premises, other, is_small in rules:
-                        every = none = less[premises[0]]
-                        for k in premises[1:]:
-                            every, none = every & less[k], none | less[k]
-                        under, over = (every, ~none) if is_small else (~none, every)
-                        cross = np.where(under, np.minimum(cross, old[other]), cross)
-                        lower = np.where(over, np.maximum(lower, old[other]), lower)
+                if len(others):
+                    holds = (old.take(a, 0) < old.take(b, 0)).take(premises, 0)
+                    every, none = holds.all(0), ~holds.any(0)
+                    under, over = (np.array([(x if k < smaller else y)[k:end].any(0) for k, end in runs]) for x, y in ((every, none), (none, every)))
+                    value = old[others]
+                    cross = np.maximum(value, ~under).min(0)  # all lie between 0 and 1: what doesn't bind gives way to these
+                    lower = np.maximum(lower, np.minimum(value, over).max(0))
                     upper = np.where(cross > lower, np.minimum(upper, cross), upper)
-                upper = np.where(upper < lower, 1.0, upper)
+                if (turned := upper < lower).any():
+                    upper = np.where(turned, 1.0, upper)
                 draw = lower + (upper - lower) * random[c, 0]
                 new = hits[c] * np.log(draw) + misses[c] * np.log1p(-draw)
                 ratio = np.exp(np.minimum(new - held[c], 1.0))
@@ -130,15 +129,21 @@ def sampled_ranges(total: np.ndarray, right: np.ndarray, check: str, rng: np.ran
                 kept.append(old.copy())
     if not kept:
         raise ValueError("no draws are left after the first ones")
-    draws = np.array(kept)
-    tables = lambda v: v.T.reshape(m, size, size)
-    return tables(np.quantile(draws, low, axis=0)), tables(np.quantile(draws, high, axis=0)), tables(draws.mean(0))
+    tables = lambda v: np.array(v).T.reshape(m, size, size)
+    lows, highs, means = [], [], []
+    for c in range(size * size):  # the draws are held once, and sorted a cell at a time
+        draws = np.array([k[c] for k in kept])
+        for out, v in zip((lows, highs, means), (*np.quantile(draws, [low, high], axis=0), draws.mean(0))):
+            out.append(v)
+    return tables(lows), tables(highs), tables(means)
 
 
 def _plan(check: str) -> list[tuple]:
     """Per cell, numbered row by row: cells that bound it from below and from above, pairs to compare, and its rules.
 
-    A rule is (places of its premises among the pairs, the other cell of the conclusion, whether this is the smaller one).
+    Rules are given by the places of their premises among the pairs (a column per rule, the first one repeated where there are
+    fewer), how many have the cell as the smaller one of the conclusion, which come first, and by the other cell of the
+    conclusion: rules stand together by that, and each such run is given by its start and end, and by that cell.
     """
     size, orders, rules = CHECKS[check]
     number = lambda cell: cell[0] * size + cell[1]
@@ -147,10 +152,15 @@ def _plan(check: str) -> list[tuple]:
         for j in range(size):
             below = [number((i, j - 1))] * ("R" in orders and j > 0) + [number((i - 1, j))] * ("C" in orders and i > 0)
             above = [number((i, j + 1))] * ("R" in orders and j < size - 1) + [number((i + 1, j))] * ("C" in orders and i < size - 1)
-            mine = [r for r in rules if (i, j) in r[1]]
+            other = lambda r: number(r[1][1] if r[1][0] == (i, j) else r[1][0])  # noqa: B023, E731
+            mine = sorted((r for r in rules if (i, j) in r[1]), key=lambda r: (r[1][0] != (i, j), other(r)))
             pairs = sorted({(number(a), number(b)) for premises, _ in mine for a, b in premises})
-            found = [([pairs.index((number(a), number(b))) for a, b in premises], number(end[1] if end[0] == (i, j) else end[0]), end[0] == (i, j)) for premises, end in mine]
-            out.append((below, above, [a for a, _ in pairs], [b for _, b in pairs], found))
+            most = max((len(premises) for premises, _ in mine), default=0)
+            places = [[pairs.index((number(a), number(b))) for a, b in [*premises, *premises[:1] * (most - len(premises))]] for premises, _ in mine]
+            smaller = sum(end[0] == (i, j) for _, end in mine)
+            kinds = [(k >= smaller, other(r)) for k, r in enumerate(mine)]
+            starts = [k for k, kind in enumerate(kinds) if k == 0 or kind != kinds[k - 1]]
+            out.append((below, above, [a for a, _ in pairs], [b for _, b in pairs], np.array(places, int).T, smaller, list(zip(starts, [*starts[1:], len(mine)])), [kinds[k][1] for k in starts]))
     return out
 
 

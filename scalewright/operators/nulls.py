@@ -29,6 +29,8 @@ REPLICATES, GROUPS_ON_DRIVER = 99, 2_000
 CELLS_AT_ONCE = 1 << 20
 #: Persons whose replicates a task draws at once, and the most counts of patterns that it holds.
 PERSONS_HELD, COUNTS_HELD = 1 << 15, 1 << 23
+#: Numbers of sub-matrices in a part of a replicate, and the most sub-matrices that are sampled side by side.
+NUMBERS_A_PART, SIDE_BY_SIDE = 1 << 13, 1 << 11
 REPLICATE_ROWS = "rep int, x array<int>, freq long"
 
 
@@ -703,54 +705,66 @@ def counts_of_patterns(x: np.ndarray, freq: np.ndarray, least: int = 10, thin: i
     return (total[:, order], right[:, order], *([np.array(groups)[rows]] if with_scores else []))
 
 
-def _sub_tables(replicates: DataFrame, size: int, least: int, which: str | int, seed: int, n: int) -> tuple[DataFrame, int]:
-    """((rep, part, k, rows, cols, n_total, n_right) of sub-matrices that can be checked, cells row by row; parts).
-
-    A replicate's table of counts is score groups by items.  Its sub-matrices go to parts of about GROUP, which a task checks
-    side by side; replicates with few of them share a part.
-    """
+def _count_tables(replicates: DataFrame, size: int, least: int, which: str | int, n: int) -> DataFrame:
+    """(rep, width, n_total, n_right, turn, turns): every replicate's table of counts, score groups x items row by row, for every part of
+    at most NUMBERS_A_PART of its sub-matrices; none if the table is too small for one."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rep, found = int(group["rep"].iloc[0]), []
+        found = []
         try:
             total, right = counts_of_patterns(*_sorted_patterns(group), least)
+            if min(total.shape) >= size:
+                turns = 1 if which == "adjacent" else max(1, -(-_wanted(total.shape, size, which) // NUMBERS_A_PART))
+                found = [(int(group["rep"].iloc[0]), total.shape[1], total.ravel().tolist(), right.ravel().tolist(), turns)]
         except ValueError:
-            total = right = np.zeros((0, 0))
-        if min(total.shape) >= size:
-            table = K.Table(list(range(total.shape[0])), list(range(total.shape[1])), total, right)
-            number = K._number_of(total.shape, size, which == "adjacent")
-            wanted = min(which, number) if isinstance(which, int) else number
-            for k, rows, cols in K.chosen_places(range(wanted), total.shape, size, which, table.sound, (seed, rep + 1)):
-                if table.sound(rows, cols):
-                    found.append((rep, k, rows, cols, total[np.ix_(rows, cols)].ravel().tolist(), right[np.ix_(rows, cols)].ravel().tolist()))
-        return pd.DataFrame(found, columns=["rep", "k", "rows", "cols", "n_total", "n_right"])
+            pass
+        return pd.DataFrame(found, columns=["rep", "width", "n_total", "n_right", "turns"])
 
-    found = per_key(replicates, "rep", n, run, "rep int, k long, rows array<int>, cols array<int>, n_total array<double>, n_right array<double>")
-    shared = max(1, K.GROUP // 64) if which == "adjacent" else 1
-    parts = 1 if which == "adjacent" else 1 + (which if isinstance(which, int) else 1 << 16) // K.GROUP
-    part = F.floor((F.col("rep") + 1) / shared) * parts + F.floor(F.col("k") / K.GROUP) % parts
-    return found.withColumn("part", part.cast("int")), -(-(n + 1) // shared) * parts
+    tables = per_key(replicates, "rep", n, run, "rep int, width int, n_total array<double>, n_right array<double>, turns long")
+    return tables.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+
+
+def _wanted(shape: tuple[int, int], size: int, which: str | int) -> int:
+    number = K._number_of(shape, size, which == "adjacent")
+    return min(which, number) if isinstance(which, int) else number
 
 
 def violation_rates(replicates: DataFrame, check: str = "double", least: int = 10, seed: int = 1, which: str | int = "adjacent", n: int = REPLICATES) -> DataFrame:
     """(rep, statistic): mean violation rate of the sub-matrices of every replicate, weighted by answers.
 
     ``which`` is "adjacent", "all", or a number that every replicate draws.  A replicate without a sub-matrix that can be
-    checked has no row.
+    checked has no row.  A task finds the sub-matrices of its part by number, checks up to SIDE_BY_SIDE at once and returns sums
+    per cell; replicates share a part of adjacent ones, which are few.
     """
-    size = K.CHECKS[check][0]
+    size, adjacent = K.CHECKS[check][0], which == "adjacent"
+    cell = ["rep", "row", "col"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rep", "k"])
-        total, right = (np.array(group[c].tolist()).reshape(-1, size, size) for c in ("n_total", "n_right"))
-        low, high, _ = K.sampled_ranges(total, right, check, np.random.default_rng([seed, int(group["part"].iloc[0])]))
-        bad = ~((right / total > low) & (right / total < high))
-        rows, cols = (np.array(group[c].tolist()) for c in ("rows", "cols"))
-        return pd.DataFrame({"rep": np.repeat(group["rep"].to_numpy(), size * size), "row": np.repeat(rows, size, axis=1).ravel(), "col": np.tile(cols, size).ravel(), "n_total": total.ravel(), "violated": bad.ravel()})
-
-    found, parts = _sub_tables(replicates, size, least, which, seed, n)
-    cells = per_key(found, "part", parts, run, "rep int, row int, col int, n_total double, violated boolean")
-    rate = cells.groupBy("rep", "row", "col").agg(F.first("n_total").alias("n"), F.avg(F.col("violated").cast("double")).alias("rate"))
+        rng, found, sums = np.random.default_rng([seed, int(group["part"].iloc[0])]), [], []
+        for t in group.sort_values("rep").itertuples():
+            total, right = (np.array(v).reshape(-1, t.width) for v in (t.n_total, t.n_right))
+            table = K.Table(list(range(total.shape[0])), list(range(t.width)), total, right)
+            # Parts take turns, as numbers that stand together are often alike in whether they can be checked.
+            numbers = range(t.turn, _wanted(total.shape, size, which), t.turns)
+            for _, rows, cols in K.chosen_places(numbers, total.shape, size, which, table.sound, (seed, t.rep + 1)):
+                if table.sound(rows, cols):
+                    found.append((t.rep, rows, cols, total[np.ix_(rows, cols)], right[np.ix_(rows, cols)]))
+        batches = 1 if adjacent else -(-len(found) // SIDE_BY_SIDE)
+        for k in range(batches if found else 0):
+            reps, rows, cols, total, right = (np.array(v) for v in zip(*found[k::batches]))
+            low, high, _ = K.sampled_ranges(total, right, check, rng)
+            bad = ~((right / total > low) & (right / total < high))
+            sums.append(pd.DataFrame({"rep": np.repeat(reps, size * size), "row": np.repeat(rows, size, axis=1).ravel(), "col": np.tile(cols, size).ravel(), "n_total": total.ravel(), "violated": bad.ravel()}))
+        if not sums:
+            return pd.DataFrame([], columns=[*cell, "n_total", "n_checks", "n_violated"])
+        return pd.concat(sums).groupby(cell, as_index=False).agg(n_total=("n_total", "first"), n_checks=("violated", "size"), n_violated=("violated", "sum"))
+
+    rep, shared = F.col("rep").cast("long") + 1, max(1, K.GROUP // 64)
+    part = F.floor(rep / shared) if adjacent else F.shiftleft(rep, 32) + F.col("turn")
+    keys, number = (-(-(n + 1) // shared), None) if adjacent else (max(64, 4 * (n + 1)), rep + F.col("turn") * (n + 1))
+    parts = _count_tables(replicates, size, least, which, n).withColumn("part", part)
+    cells = per_key(parts, "part", keys, run, "rep int, row int, col int, n_total double, n_checks long, n_violated long", number)
+    rate = cells.groupBy(*cell).agg(F.first("n_total").alias("n"), (F.sum("n_violated") / F.sum("n_checks")).alias("rate"))
     return rate.groupBy("rep").agg((F.sum(F.col("rate") * F.col("n")) / F.sum("n")).alias("statistic"))
 
 

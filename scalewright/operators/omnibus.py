@@ -15,8 +15,8 @@ from . import counts as C
 from .fanout import per_key
 from .nulls import REPLICATES, _sorted_patterns, conditional_replicates, counts_of_patterns, fit_conditional
 
-#: Prior draws in a task.
-BLOCK = 250
+#: Prior draws in a task, and cells of data sets that are fitted side by side.
+BLOCK, CELLS_AT_ONCE = 250, 1 << 15
 CELLS = "rep int, ability double, item int, n_total double, n_right double"
 
 
@@ -39,6 +39,36 @@ def logistic_fits(design: np.ndarray, total: np.ndarray, right: np.ndarray, roun
     return np.where(np.isfinite(fitted).all(1, keepdims=True), fitted, raw)
 
 
+def additive_fits(ability: np.ndarray, item: np.ndarray, total: np.ndarray, right: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """What ``logistic_fits`` gives on a slope of ability and an intercept per item, without a system of equations per data set.
+
+    Intercepts don't meet each other in the equations, so each is eliminated by a division; data sets that have ended are left alone.
+    """
+    raw = right / total
+    member = (item[:, None] == np.unique(item)).astype(float)
+    x = ability[:, None].astype(float)
+    parts = np.hstack([member, member * x, x * x])
+    k = member.shape[1]
+    eta = np.log((right + 0.5) / (total - right + 0.5))
+    going, held, hits = np.arange(len(right)), eta.copy(), right
+    for _ in range(rounds):
+        mu = 1 / (1 + np.exp(-held))
+        weight = np.maximum(total * mu * (1 - mu), 1e-10)
+        curve = weight @ parts
+        own, cross = curve[:, :k] + 1e-9, curve[:, k : 2 * k]
+        pull = weight * held + hits - total * mu
+        slopes, share = pull @ parts[:, :k], cross / own
+        slope = ((pull @ x)[:, 0] - (share * slopes).sum(1)) / (curve[:, 2 * k] + 1e-9 - (share * cross).sum(1))
+        new = np.clip((slopes / own - share * slope[:, None]) @ member.T + slope[:, None] * x[:, 0], -30, 30)
+        eta[going] = new
+        moves = ~(np.abs(new - held).max(1) < 1e-8)
+        if not moves.any():
+            break
+        going, held, hits = going[moves], new[moves], hits[moves]
+    fitted = 1 / (1 + np.exp(-eta))
+    return np.where(np.isfinite(fitted).all(1, keepdims=True), fitted, raw)
+
+
 def isotonic_rows(by: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weighted isotonic regressions of the rows of ``y`` on those of ``by``; ties of ``by`` are ordered by y.
 
@@ -64,12 +94,12 @@ def isotonic_rows(by: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarr
 
 
 def density_at(samples: np.ndarray, point: np.ndarray) -> np.ndarray:
-    """Gaussian kernel density of each column of ``samples`` at ``point``, its width from the median deviation."""
-    n = len(samples)
-    sigma = np.median(np.abs(samples - np.median(samples, axis=0)), axis=0) / 0.6745
-    sigma = np.where(sigma > 0, sigma, np.ptp(samples, axis=0))
+    """Gaussian kernel density of each column of ``samples``, one table or several, at ``point``, its width from the median deviation."""
+    n = samples.shape[-2]
+    sigma = np.median(np.abs(samples - np.median(samples, axis=-2, keepdims=True)), axis=-2) / 0.6745
+    sigma = np.where(sigma > 0, sigma, np.ptp(samples, axis=-2))
     h = np.where(sigma > 0, sigma * (4 / (3 * n)) ** 0.2, 1.0)
-    return np.exp(-0.5 * ((point - samples) / h) ** 2).mean(0) / (h * np.sqrt(2 * np.pi))
+    return np.exp(-0.5 * ((point - samples) / h[..., None, :]) ** 2).mean(-2) / (h * np.sqrt(2 * np.pi))
 
 
 def _design(ability: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -83,15 +113,22 @@ def observed_summary(design: np.ndarray, total: np.ndarray, right: np.ndarray) -
     return isotonic_rows(second, (right / total)[None], total)[0]
 
 
-def block_sums(design: np.ndarray, total: np.ndarray, right: np.ndarray, draws: int, synthetic: int, a: float, b: float, rng: np.random.Generator) -> np.ndarray:
-    """Sums of w, w w, w theta and w Z per cell over prior draws; w is the density of synthetic summaries at the observed one."""
-    target, sums = observed_summary(design, total, right), np.zeros((4, len(total)))
-    for _ in range(draws):
-        theta = np.clip(rng.beta(a, b, len(total)), 1e-12, 1 - 1e-12)
-        drawn = rng.binomial(total.astype(int), theta, (synthetic, len(total))).astype(float)
-        summary = isotonic_rows(logistic_fits(design, total, drawn), drawn / total, total)
-        w = density_at(summary, target) + np.finfo(float).eps
-        sums += [w, w * w, w * theta, w * (right - total * theta) / np.sqrt(total * theta * (1 - theta))]
+def block_sums(ability: np.ndarray, item: np.ndarray, total: np.ndarray, right: np.ndarray, draws: int, synthetic: int, a: float, b: float, rng: np.random.Generator) -> np.ndarray:
+    """Sums of w, w w, w theta and w Z per cell over prior draws; w is the density of synthetic summaries at the observed one.
+
+    As many draws as have CELLS_AT_ONCE cells of data sets are fitted side by side.
+    """
+    target, sums = observed_summary(_design(ability, item), total, right), np.zeros((4, len(total)))
+    at_once = max(1, CELLS_AT_ONCE // (synthetic * len(total)))
+    for first in range(0, draws, at_once):
+        theta, drawn = [], []
+        for _ in range(min(at_once, draws - first)):
+            theta.append(np.clip(rng.beta(a, b, len(total)), 1e-12, 1 - 1e-12))
+            drawn.append(rng.binomial(total.astype(int), theta[-1], (synthetic, len(total))))
+        theta, hits = np.array(theta), np.concatenate(drawn).astype(float)
+        summary = isotonic_rows(additive_fits(ability, item, total, hits), hits / total, total)
+        w = density_at(summary.reshape(len(theta), synthetic, -1), target) + np.finfo(float).eps
+        sums += [v.sum(0) for v in (w, w * w, w * theta, w * (right - total * theta) / np.sqrt(total * theta * (1 - theta)))]
     return sums
 
 
@@ -109,7 +146,7 @@ def omnibus(cells: DataFrame, draws: int = 30_000, synthetic: int = 100, a: floa
         rep, block = int(group["rep"].iloc[0]), int(group["block"].iloc[0])
         total, right = group["n_total"].to_numpy(float), group["n_right"].to_numpy(float)
         n = min(BLOCK, draws - block * BLOCK)
-        sums = block_sums(_design(group["ability"].to_numpy(), group["item"].to_numpy()), total, right, n, synthetic, a, b, np.random.default_rng([seed, rep + 2, block]))
+        sums = block_sums(group["ability"].to_numpy(), group["item"].to_numpy(), total, right, n, synthetic, a, b, np.random.default_rng([seed, rep + 2, block]))
         return group[["rep", "ability", "item", "n_total", "n_right"]].assign(w=sums[0], ww=sums[1], wt=sums[2], wz=sums[3])
 
     parts = per_key(spread.where("n_total > 0"), "unit", blocks * n_tables, run, CELLS + ", w double, ww double, wt double, wz double")
